@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from nearfield.llm import bpe, decontaminate, lang_id, minhash, pii, quality, token_counts, toxicity, url_filter
+from nearfield.llm import bpe, decontaminate, lang_id, minhash, pii, quality, suffix_dedup, token_counts, toxicity, url_filter
 from nearfield.llm.common import table
 
 VOCAB, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def op3_language_id(spark, sf_dir, model=None):
     return lang_id.predicted(table(spark, sf_dir, "documents"), lang_id.vocabulary(model or tokenizers.path(PIECES)))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark, sf_dir):
     return pii.found(table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,8 @@ def op10_minhash(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_language_id, op5_pii, op6_quality_rules, op7_byte_bpe, op8_decontamination, op9_toxicity, op10_minhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_language_id, op4_suffix_dedup, op5_pii, op6_quality_rules, op7_byte_bpe, op8_decontamination, op9_toxicity, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.SQL, "op6_quality_rules": quality.SQL, "op8_decontamination": decontaminate.SQL, "op10_minhash": minhash.SQL}
+    return {"op2_url_filter": url_filter.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op6_quality_rules": quality.SQL, "op8_decontamination": decontaminate.SQL, "op10_minhash": minhash.SQL}
