@@ -11,6 +11,7 @@ import base64
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -165,7 +166,7 @@ def _memo(vocab: bytes, pattern: str) -> Memo:
 
 
 def encode_decode(df: DataFrame, vocab: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; ids: also the ids and the decoded text."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; ids: also the ids themselves."""
     sent = df.sparkSession.sparkContext.broadcast(vocab)
 
     def make():
@@ -176,8 +177,8 @@ def encode_decode(df: DataFrame, vocab: bytes, pattern: str, id_col: str = "doc_
             parts = s.split()
             decoded = b"".join(map(bytes_of.__getitem__, parts))
             out = len(parts), sha256(s[1:]), sha256(decoded)
-            return (*out, list(map(int, parts)), decoded.decode()) if ids else out
+            return (*out, np.array(s.split(), np.int32)) if ids else out
 
         return f
 
-    return per_text(id_and_text(df, id_col, text_col), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids, make)
+    return per_text(id_and_text(df, id_col, text_col), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids, make)

@@ -28,11 +28,17 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one the cluster names, or on a single machine one of our own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "nearfield-checkpoints"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a copy in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "nearfield-checkpoints"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -58,30 +64,22 @@ def per_text(df: DataFrame, schema: str, make: Callable[[], Callable[[str | None
     return df.mapInArrow(run, out)
 
 
-def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
-    """The rows of df, whatever its columns are, for whose text the function that make() returns is true."""
-    bounded_batches(df.sparkSession)
-    k = df.columns.index(text_col)
-
-    def run(batches):
-        f = None
-        for batch in batches:
-            f = f or make()
-            yield batch.filter(pa.array([f(t) for t in batch.column(k).to_pylist()], pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)
-
-
-def change_text(df: DataFrame, text_col: str, make: Callable[[], Callable[[str | None], str | None]]) -> DataFrame:
-    """df, whatever its columns are, with each text replaced."""
+def change_text(df: DataFrame, text_col: str, make: Callable[[], Callable[[str | None], str | None]], size_col: str | None = None) -> DataFrame:
+    """df, whatever its columns are, with each text replaced; size_col, if df has it, gets the length of those that changed."""
     bounded_batches(df.sparkSession)
     k = df.columns.index(text_col)
+    n = df.columns.index(size_col) if size_col in df.columns else None
 
     def run(batches):
         f = None
         for batch in batches:
             f = f or make()
-            yield batch.set_column(k, batch.schema.field(k), pa.array([f(t) for t in batch.column(k).to_pylist()], batch.schema.field(k).type))
+            old = batch.column(k).to_pylist()
+            new = [f(t) for t in old]
+            if n is not None:
+                sizes = [s if a == b else len(b) for a, b, s in zip(old, new, batch.column(n).to_pylist(), strict=True)]
+                batch = batch.set_column(n, batch.schema.field(n), pa.array(sizes, batch.schema.field(n).type))
+            yield batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
 
     return df.mapInArrow(run, df.schema)
 
