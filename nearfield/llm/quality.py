@@ -60,7 +60,8 @@ def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
         "n_repeat_words": F.when(F.size("__p") > 0, F.aggregate(gaps, F.lit(0), lambda s, x: s + x)).otherwise(0).cast("long"),
     }
-    return out.select("__row", F.struct(*(c.alias(k) for k, c in q.items())).alias("__q"))
+    # The row number keeps the optimizer from pushing conditions on the counts below this, where each use would compute them again.
+    return out.select("__row", F.struct(*(c.alias(k) for k, c in q.items())).alias("__q"), F.monotonically_increasing_id().alias("__k"))
 
 
 def base_failed(q: Column) -> Column:
@@ -120,7 +121,7 @@ def judged(rows: DataFrame, sketch: DataFrame, lang: Column, source: Column, rea
         bounds = F.broadcast(bounds)
     rows = rows.join(bounds, lang.eqNullSafe(F.col("__lang")) & source.eqNullSafe(F.col("__source")), "left")
     q, got = F.col("__q"), measures(F.col("__q"))
-    ok = ~base_failed(q)
+    ok = (F.col("__k") >= 0) & ~base_failed(q)
     for k, (_, low) in MEASURES.items():
         ok = ok & F.coalesce(got[k] <= F.col(f"__high_{k}"), F.lit(True))
         if low:
@@ -130,7 +131,7 @@ def judged(rows: DataFrame, sketch: DataFrame, lang: Column, source: Column, rea
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **how) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row."""
-    slim = measured(df, text_col).select(F.struct(F.col(f"__row.`{id_col}`").cast("long").alias("doc_id"), F.col(f"__row.`{lang_col}`").alias("lang"), F.col(f"__row.`{source_col}`").alias("source")).alias("__row"), "__q")
+    slim = measured(df, text_col).select(F.struct(F.col(f"__row.`{id_col}`").cast("long").alias("doc_id"), F.col(f"__row.`{lang_col}`").alias("lang"), F.col(f"__row.`{source_col}`").alias("source")).alias("__row"), "__q", "__k")
     slim = checkpointed(slim)  # some 60 bytes a document; the texts are read once
     lang, source = F.col("__row.lang"), F.col("__row.source")
     out = judged(slim, sketches(slim, lang, source), lang, source, **how)
