@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -333,7 +334,7 @@ def bucket_matches(table: pa.Table, least: int) -> pa.Table:
     names, kinds = ["pid", "hot", "digest", "doc", "bits"], [I64, pa.bool_(), BIN, BIN, BIN]
     rows: list[tuple] = []
     for hot in (False, True):
-        t = table.filter(pa.compute.equal(table["hot"], hot))
+        t = table.filter(pc.equal(table["hot"], hot))
         if not t.num_rows:
             continue
         pids = t["pid"].to_pylist()
@@ -385,7 +386,7 @@ def part_removals(docs: pa.Table, told: pa.Table, least: int):
     part = Part(docs["id"].to_pylist(), docs["text"].to_pylist(), least)
     tables = {}
     for hot in (False, True):
-        t = told.filter(pa.compute.equal(told["hot"], hot)) if told.num_rows else told
+        t = told.filter(pc.equal(told["hot"], hot)) if told.num_rows else told
         digest, doc, bits = (_unpack(t[c].to_pylist(), k) for c, k in (("digest", np.uint64), ("doc", np.int64), ("bits", np.uint64)))
         order = np.argsort(digest)
         tables[hot] = digest[order], doc[order], bits[order]
