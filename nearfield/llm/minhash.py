@@ -30,8 +30,8 @@ from nearfield.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
 PERMUTATIONS = BANDS * ROWS // 2
-#: Members of a bucket's block; a task holds two blocks, some 150 bytes a member.
-BLOCK = 2000
+#: Members of a bucket's block, and their shingles; a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 2000, 500_000
 #: How far below the threshold a pair's estimated similarity may be: over four standard deviations.
 SLACK = 0.15
 
@@ -150,42 +150,62 @@ def confirmed(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return edges.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def other_pairs(members: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Pairs a, b of a bucket in different components whose signatures agree in a share of at least `least`, without those of the
-    centre, which are done. members: key, rep, n, centre, comp, sig. Each pair of a bucket's blocks is one cell."""
-    nb = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), nb).cast("int")
-    cells = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "centre", "sig").withColumn("cell", F.xxhash64("key", "i", "j"))
-    dealt = cells.repartition("cell").sortWithinPartitions("cell", "key", "i", "j").select("cell", "key", "i", "j", "rep", "comp", "centre", "sig")
-
-    def pairs(rows):
-        rep, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        open_ = rep != np.array([r[2] for r in rows])
-        for k in range(len(rows) - 1):
-            if open_[k]:
-                rest = np.flatnonzero(open_[k + 1 :] & (comp[k + 1 :] != comp[k])) + k + 1
-                if len(rest):
-                    for x in rest[(sig[rest] == sig[k]).mean(1) >= least]:
-                        yield min(rep[k], rep[x]), max(rep[k], rep[x])
+def _links_in(rows: list[tuple], key: int, least: float, percent: int):
+    """The links a, b of one cell that tie different components, each confirmed on full sets when its turn comes."""
+    rep, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    size = np.array([r[3] for r in rows])
+    sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+    bands = np.array([r[5] for r in rows])
+    other = rep != np.array([r[2] for r in rows])
+    sets: dict[int, np.ndarray] = {}
+
+    def of(k):
+        if k not in sets:
+            sets[k] = shingles(rows[k][6])
+        return sets[k]
+
+    for k in range(len(rows) - 1):
+        if not other[k]:
+            continue
+        lo, hi = np.minimum(size[k + 1 :], size[k]), np.maximum(size[k + 1 :], size[k])
+        rest = np.flatnonzero(other[k + 1 :] & (comp[k + 1 :] != comp[k]) & (100 * lo >= percent * hi)) + k + 1
+        rest = rest[(sig[rest] == sig[k]).mean(1) >= least]
+        # A pair that shares several bands is compared in the bucket of the first.
+        shared = bands[rest] == bands[k]
+        rest = rest[bands[k][shared.argmax(1)] == key]
+        for x in rest.tolist():
+            if comp[x] != comp[k]:
+                both = len(np.intersect1d(of(k), of(x), assume_unique=True))
+                if 100 * both >= percent * (size[k] + size[x] - both):
+                    comp[comp == comp[x]] = comp[k]
+                    yield min(rep[k], rep[x]), max(rep[k], rep[x])
+
+
+def other_links(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links a, b between members of a bucket in different components, without those of its centre, which are done; as few as
+    tie the components. members: key, blocks, rep, centre, comp, size, sig, bands, text. A cell is a pair of a bucket's blocks;
+    its rows come to one task, where pairs are only held one at a time."""
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    cells = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "centre", "size", "sig", "bands", "text")
+    dealt = cells.repartition("cell").sortWithinPartitions("cell", "key", "i", "j")
 
     def run(batches):
         now, rows = None, []
 
-        def out(found):
-            got = list(found)
+        def out():
+            got = list(_links_in(rows, now[1], least, percent)) if len(rows) > 2 else []
             return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for *cell, rep, comp, centre, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *cell, rep, comp, centre, size, sig, bands, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if cell != now:
-                    if len(rows) > 2:
-                        yield out(pairs(rows))
+                    if rows:
+                        yield out()
                     now, rows = cell, []
-                rows.append((rep, comp, centre, sig))
-        if len(rows) > 2:
-            yield out(pairs(rows))
+                rows.append((rep, comp, centre, size, sig, bands, text))
+        if rows:
+            yield out()
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -197,11 +217,13 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     signs = checkpointed(signed(docs))
     some = signs.where("doc_id IS NOT NULL AND n > 0")
     first = F.min(F.struct("doc_id", "text_key"))
-    nodes = some.groupBy("set").agg(first.alias("f"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).select("set", F.col("f.doc_id").alias("rep"), F.col("f.text_key").alias("text_key"), "sig", "bands")
+    nodes = some.groupBy("set").agg(first.alias("f"), F.first("n").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).select("set", F.col("f.doc_id").alias("rep"), F.col("f.text_key").alias("text_key"), "size", "sig", "bands")
     nodes = checkpointed(nodes)
 
-    rows = nodes.select("rep", F.explode("bands").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = nodes.select("rep", "size", F.explode("bands").alias("key"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1")
+    rows = rows.drop("size")
     rows = checkpointed(rows.join(sizes, "key"))
     scores = rows.groupBy("rep").agg(F.sum("n").alias("score"))
     centres = rows.join(scores, "rep").groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("c"))).alias("m")).select("key", (-F.col("m.c")).alias("centre"))
@@ -217,8 +239,9 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     in_comp = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     mixed = in_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    members = in_comp.where("n > 2").join(mixed, "key").join(sigs, "rep")
-    more = checkpointed(confirmed(other_pairs(members, least), texts, percent))
+    members = in_comp.where("n > 2").join(mixed, "key").select("key", "blocks", "rep", "centre", "comp")
+    members = members.join(nodes.select("rep", "size", "sig", "bands"), "rep").join(texts, "rep")
+    more = checkpointed(other_links(members, least, percent))
     if more.limit(1).count():
         comp = components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
