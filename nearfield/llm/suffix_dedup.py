@@ -147,6 +147,16 @@ def _unpack(blobs, kind) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind)
 
 
+def _zip(a: np.ndarray | bytes) -> bytes:
+    """Compressed, behind its size; what parts and buckets exchange is mostly text and close numbers."""
+    data = a if isinstance(a, bytes) else _pack(a)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unzip(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(h) >> U(33)).astype(np.int64) % buckets
 
@@ -207,13 +217,9 @@ def _digest(prefix: Prefix, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(prefix.of(at, n) + n.astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def _take(buf: bytes, at: np.ndarray, n: np.ndarray) -> bytes:
-    return b"".join([buf[a : a + k] for a, k in zip(at.tolist(), n.tolist(), strict=True)])
-
-
 def part_segments(docs: pa.Table, told: pa.Table, least: int, buckets: int) -> pa.Table:
-    """Step 3: bucket, part, hot, and packed: each segment's digest, least document, length and bytes."""
-    kinds, names = [I64, I64, pa.bool_(), BIN, BIN, BIN, BIN], ["bucket", "pid", "hot", "digest", "doc", "size", "data"]
+    """Step 3: bucket, part, hot, and packed: each segment's least document, length and bytes."""
+    kinds, names = [I64, I64, pa.bool_(), BIN, BIN, BIN], ["bucket", "pid", "hot", "doc", "size", "data"]
     if not told.num_rows or not docs.num_rows:
         return _table(names, [], kinds)
     part, rows = Part(docs["id"].to_pylist(), docs["text"].to_pylist(), least), []
@@ -240,7 +246,8 @@ def part_segments(docs: pa.Table, told: pa.Table, least: int, buckets: int) -> p
         keep = _least_of(digest, d)
         digest, d, n, to = digest[keep], d[keep], n[keep], to[keep]
         for b, g in _split(_bucket(to, buckets)):
-            rows.append((b, pid, is_hot, _pack(digest[g]), _pack(d[g]), _pack(n[g].astype(np.uint8)), b"".join([data[i] for i in keep[g].tolist()])))
+            g = g[np.argsort(d[g], kind="stable")]
+            rows.append((b, pid, is_hot, _zip(d[g]), _zip(n[g].astype(np.uint8)), _zip(b"".join([data[i] for i in keep[g].tolist()]))))
     return _table(names, rows, kinds)
 
 
@@ -338,18 +345,19 @@ def bucket_matches(table: pa.Table, least: int) -> pa.Table:
         if not t.num_rows:
             continue
         pids = t["pid"].to_pylist()
-        digest, doc, size = (_unpack(t[c].to_pylist(), k) for c, k in (("digest", np.uint64), ("doc", np.int64), ("size", np.uint8)))
-        size = size.astype(np.int64)
-        buf = np.frombuffer(b"".join(t["data"].to_pylist()) + b"\0" * 8, np.uint8)
+        docs, sizes, data = ([_unzip(x) for x in t[c].to_pylist()] for c in ("doc", "size", "data"))
+        doc, size = _unpack(docs, np.int64), _unpack(sizes, np.uint8).astype(np.int64)
+        buf = np.frombuffer(b"".join(data) + b"\0" * 8, np.uint8)
         begin = np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(pids)), [len(x) // 8 for x in t["digest"].to_pylist()])
+        owner = np.repeat(np.arange(len(pids)), [len(x) for x in sizes])
+        s = Suffixes(buf, least)
+        digest = _digest(s.prefix, begin, size)
         # One of each content goes on, with the least document that has it.
         distinct = _least_of(digest, doc)
         count = size[distinct] - least + 1
         seg = np.repeat(distinct, count)
         off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         at, least_doc = begin[seg] + off, doc[seg]
-        s = Suffixes(buf, least)
         # A string whose hash none shares equals no other.
         h = s.prefix.of(at, least)
         order = np.argsort(h)
@@ -377,7 +385,7 @@ def bucket_matches(table: pa.Table, least: int) -> pa.Table:
             keep = np.flatnonzero(bits)
         for o, g in _split(owner[keep]):
             g = keep[g]
-            rows.append((pids[o], hot, _pack(digest[g]), _pack(told[g]), _pack(bits[g])))
+            rows.append((pids[o], hot, _pack(digest[g]), _zip(told[g]), _zip(bits[g])))
     return _table(names, rows, kinds)
 
 
@@ -387,7 +395,8 @@ def part_removals(docs: pa.Table, told: pa.Table, least: int):
     tables = {}
     for hot in (False, True):
         t = told.filter(pc.equal(told["hot"], hot)) if told.num_rows else told
-        digest, doc, bits = (_unpack(t[c].to_pylist(), k) for c, k in (("digest", np.uint64), ("doc", np.int64), ("bits", np.uint64)))
+        digest = _unpack(t["digest"].to_pylist(), np.uint64)
+        doc, bits = (_unpack([_unzip(x) for x in t[c].to_pylist()], k) for c, k in (("doc", np.int64), ("bits", np.uint64)))
         order = np.argsort(digest)
         tables[hot] = digest[order], doc[order], bits[order]
     seen = [(_digest(Prefix(np.frombuffer(buf, np.uint8)), first, last - first + least), doc, c, first, last - first + least) for c, (_, buf, _, first, last, _, doc) in enumerate(part.each())]
@@ -445,7 +454,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_part = docs.groupBy("pid")
     anchors = by_part.applyInArrow(lambda t: part_anchors(t, least, parts), "bucket long, pid long, one binary, more binary")
     shared = anchors.groupBy("bucket").applyInArrow(bucket_shared, "pid long, some binary, hot binary")
-    found = by_part.cogroup(shared.groupBy("pid")).applyInArrow(lambda t, s: part_segments(t, s, least, parts), "bucket long, pid long, hot boolean, digest binary, doc binary, size binary, data binary")
+    found = by_part.cogroup(shared.groupBy("pid")).applyInArrow(lambda t, s: part_segments(t, s, least, parts), "bucket long, pid long, hot boolean, doc binary, size binary, data binary")
     told = found.groupBy("bucket").applyInArrow(lambda t: bucket_matches(t, least), "pid long, hot boolean, digest binary, doc binary, bits binary")
 
     def removed(t: pa.Table, s: pa.Table) -> pa.Table:
