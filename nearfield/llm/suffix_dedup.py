@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import bounded_batches, sha256
 
-LEAST, GRAM, HOT = 50, 16, 64
+LEAST, GRAM = 50, 16
+#: Parts from which on an anchor is hot. Each sends a few hundred segments of it at most, so a bucket gets some 50 MB for it.
+HOT = 1024
 #: Bytes of text in a part, and in what is hashed at once.
 PART_BYTES, CHUNK_BYTES = 8 << 20, 1 << 19
 
@@ -434,9 +436,13 @@ def part_removals(docs: pa.Table, told: pa.Table, least: int):
             if len(known):
                 valid = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])
                 d = _digest(Prefix(np.frombuffer(buf, np.uint8)), valid, np.full(len(valid), least))
-                at = np.searchsorted(known, d)
+                bits_ = U((1 << 22) - 1)
+                may = np.zeros(1 << 22, bool)
+                may[(known & bits_).astype(np.int64)] = True
+                some = np.flatnonzero(may[(d & bits_).astype(np.int64)])
+                at = np.searchsorted(known, d[some])
                 at[at == len(known)] = 0
-                cover(valid[(known[at] == d) & (owner[at] < np.repeat(doc, last - first + 1))])
+                cover(valid[some][(known[at] == d[some]) & (owner[at] < np.repeat(doc, last - first + 1)[some])])
         gone = np.cumsum(delta[:-1]) > 0
         for k, b, e in zip(rows, np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
             yield k, buf[b:e], gone[b:e]
