@@ -35,7 +35,7 @@ LEAST, GRAM = 50, 16
 #: Parts from which on an anchor is hot. Each sends a few hundred segments of it at most, so a bucket gets some 50 MB for it.
 HOT = 1024
 #: Bytes of text in a part, and in what is hashed at once.
-PART_BYTES, CHUNK_BYTES = 8 << 20, 1 << 19
+PART_BYTES, CHUNK_BYTES = 4 << 20, 1 << 19
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
