@@ -26,6 +26,7 @@ WINDOW = 10
 MAX_BYTES = 8 << 20
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -97,7 +98,7 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 names = sorted(names)
                 row = n, sum(b - a for a, b in runs), len(names), sha256(",".join(names)), bool(runs)
                 if spans:
-                    places = [m.span() for m in WORD.finditer(text or "")] if runs else []
+                    places = [m.span() for m in WORD.finditer((text or "").translate(_LOWER))] if runs else []
                     row = (*row, names, [x for a, b in runs for x in (places[a][0], places[b - 1][1])])
                 rows.append(row)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *([pa.list_(pa.string()), pa.list_(pa.int32())] if spans else [])]
