@@ -1,5 +1,5 @@
-"""Toxicity by a classifier chain. Categories are predicted in order; each linear model sees the words of a text and the
-probabilities of the categories before it. In training those probabilities are out-of-fold: they come from models that
+"""Toxicity by a classifier chain. Categories are predicted in order; each linear model sees the words of a text, their
+beginnings and the probabilities of the categories before it. In training those probabilities are out-of-fold: they come from models that
 did not see the document.
 
 The last category is the label `toxic`. The earlier ones are silver labels: a toxic document that has a word of the
@@ -29,7 +29,11 @@ CATEGORIES = {
     "threat": "kill murder hurt destroy hang shoot stab töten tuer matar",
 }
 #: Bounds of the fit: labelled documents, and words that become features.
-MAX_DOCS, MAX_FEATURES = 6000, 4000
+MAX_DOCS, MAX_FEATURES = 10_000, 4000
+#: How far apart, in standard deviations, the labels must be in a feature's presence. Without this, chance features add up in long texts.
+LEAST_Z = 4.0
+#: Letters of a word's beginning that count as a feature of its own, for words with many endings.
+STEM = 5
 FOLDS = 4
 
 
@@ -37,10 +41,16 @@ def distinct_words(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+def distinct_features(text: str | None) -> set[str]:
+    """The words, and the beginnings of longer ones, marked by a hyphen."""
+    words = distinct_words(text)
+    return words | {f"{w[:STEM]}-" for w in words if len(w) > STEM}
+
+
 class Linear:
     """Logistic regression on sets of present features and a few dense ones."""
 
-    def __init__(self, n_features: int, n_dense: int, l2: float = 1.0, rounds: int = 60):
+    def __init__(self, n_features: int, n_dense: int, l2: float = 0.05, rounds: int = 400):
         self.w, self.v, self.b = np.zeros(n_features), np.zeros(n_dense), 0.0
         self.l2, self.rounds = l2, rounds
 
@@ -57,7 +67,7 @@ class Linear:
             off = 1 / (1 + np.exp(-self.score(row, col, dense))) - y
             grads = [np.bincount(col, off[row], len(self.w)) + self.l2 * self.w, dense.T @ off + self.l2 * self.v, off.sum()]
             seen = [s + g * g for s, g in zip(seen, grads, strict=True)]
-            step = 0.5
+            step = 1.0
             self.w, self.v, self.b = self.w - step * grads[0] / np.sqrt(seen[0]), self.v - step * grads[1] / np.sqrt(seen[1]), self.b - step * grads[2] / np.sqrt(seen[2])
         return self
 
@@ -94,13 +104,13 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(distinct_words(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["fold", "y", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(distinct_features(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["fold", "y", "words"])
 
     return checkpointed(got.mapInArrow(run, "fold int, y int, words array<string>"))
 
 
 def features(rows: DataFrame, max_features: int) -> list[str]:
-    """The words whose presence differs most between the labels, by a normal score, that five documents have."""
+    """The words and beginnings that five documents have and whose presence differs most between the labels, by a normal score."""
     n = {r.y > 0: r.n for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     a, b = n.get(True, 0), n.get(False, 0)
     if not a or not b:
@@ -108,7 +118,7 @@ def features(rows: DataFrame, max_features: int) -> list[str]:
     w = rows.select((F.col("y") > 0).alias("y"), F.explode("words").alias("w")).groupBy("w").agg(F.count(F.when(F.col("y"), 1)).alias("a"), F.count(F.when(~F.col("y"), 1)).alias("b")).where("a + b >= 5")
     p = (F.col("a") + F.col("b")) / (a + b)
     z = F.abs(F.col("a") / a - F.col("b") / b) / F.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-9)
-    return sorted(r.w for r in w.withColumn("z", F.round(z, 6)).orderBy(F.desc("z"), "w").limit(max_features).collect())
+    return sorted(r.w for r in w.withColumn("z", F.round(z, 6)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "w").limit(max_features).collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_features: int = MAX_FEATURES) -> tuple[dict[str, int], list[Linear]]:
@@ -139,7 +149,7 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
             place, chain = sent.value
             n, row, col = batch.num_rows, [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                has = [place[w] for w in distinct_words(text) & place.keys()]
+                has = [place[w] for w in distinct_features(text) & place.keys()]
                 row += [k] * len(has)
                 col += has
             row, col, before = np.array(row, int), np.array(col, int), np.zeros((n, 0))
