@@ -1,0 +1,381 @@
+import base64
+import random
+import re
+from hashlib import sha256
+
+import numpy as np
+import public_tokenizers as tokenizers
+import pyarrow as pa
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from nearfield.llm import bpe, components, decontaminate, lang_id, minhash, pii, quality, queries, suffix_dedup, token_counts, toxicity, url_filter
+
+SF = "/root/testdata/sf0.001"
+VOCAB = bpe.read_vocab(tokenizers.path("byte_bpe_50k.tiktoken"))
+ENCODER = bpe.encoder(VOCAB, tokenizers.PATTERN)
+TIKTOKEN = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ENCODER.ranks, special_tokens={})
+
+#: Nulls in every column, empty and long texts, repeated rows, and columns named as operators name theirs.
+ODD = [
+    (1, "one two three four five six seven", "en", "a", 33, 1.0, "x"),
+    (1, "one two three four five six seven", "en", "a", 33, 1.0, "x"),
+    (2, None, "en", None, None, None, None),
+    (3, "", None, "a", 0, 1.0, "x"),
+    (None, "One  two three FOUR five\tsix seven", "en", "a", 33, 1.0, "x"),
+    (4, "word " * 30_000, "en", "a", 150_000, 1.0, "x"),
+    (5, "ñandú a@b.co 日本語 \x00 +1 (555) 010-9999", "es", "b", 30, 1.0, "x"),
+    (6, "...", "en", "b", 3, 1.0, "x"),
+]
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, n_tokens double, kept string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (4, 0, 1), (4, 1, 0), (5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame([(0, "ONE two; three"), (1, None), (2, ""), (None, "seven"), (3, "ONE two; three")], "item_id long, text string")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, against_sql, name):
+    against_sql(spark, queries.queries()[name], queries.oracle_sql()[name], SF)
+
+
+def operators(labels, items):
+    pieces = lang_id.vocabulary(tokenizers.path("piece_bpe_32k.model"))
+    return {
+        "counts": lambda d: token_counts.edited_counts(d, VOCAB, tokenizers.PATTERN),
+        "lang": lambda d: lang_id.predicted(d, pieces),
+        "suffix": lambda d: suffix_dedup.deduplicated(d, kept=True),
+        "pii": lambda d: pii.found(d),
+        "quality": quality.report,
+        "bpe": lambda d: bpe.encode_decode(d, VOCAB, tokenizers.PATTERN, ids=True),
+        "benchmark": lambda d: decontaminate.contaminated(d, items, spans=True),
+        "toxicity": lambda d: toxicity.scored(d, labels),
+        "minhash": minhash.linked,
+    }
+
+
+def test_a_row_for_each_odd_row_and_none_for_none(spark, odd, labels, items):
+    for name, f in operators(labels, items).items():
+        rows = f(odd).collect()
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(r[0]) for r in ODD), name
+        assert len({tuple(map(str, r)) for r in rows if r.doc_id == 1}) == 1, name
+        assert f(odd.limit(0)).count() == 0, name
+
+
+def test_filters_keep_columns(spark, odd, items):
+    for f in (quality.filtered, minhash.one_of_each, lambda d: decontaminate.clean_rows(d, items), pii.redacted):
+        out = f(odd)
+        assert out.dtypes == odd.dtypes and out.count() <= len(ODD)
+        assert f(odd.limit(0)).count() == 0
+    texts = {r.doc_id: r for r in pii.redacted(odd).collect()}
+    assert texts[5].text == "ñandú <EMAIL> 日本語 \x00 <PHONE>" and texts[5].n_chars == len(texts[5].text) and texts[2].text is None
+    assert sorted(str(r.doc_id) for r in minhash.one_of_each(odd).collect()) == ["1", "2", "3", "4", "5", "6", "None"]
+
+
+# 1 and 7
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60))
+def test_ids_equal_tiktoken(text):
+    assert ENCODER.encode(text) == TIKTOKEN.encode_ordinary(text)
+
+
+def test_all_documents_equal_tiktoken(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in bpe.encode_decode(docs, VOCAB, tokenizers.PATTERN, ids=True).collect():
+        ids = TIKTOKEN.encode_ordinary(texts[r.doc_id])
+        assert (r.ids, r.n_tokens) == (ids, len(ids)) and r.ids_sha256 == sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_perfect_hash_is_minimal_and_knows_its_keys():
+    whole = ENCODER.whole
+    assert len(whole.keys) == len(ENCODER.ranks) and None not in whole.keys
+    assert all(whole.get(k) == v for k, v in ENCODER.ranks.items()) and whole.get(b"not a token at all") is None and bpe.PerfectHash({}).get(b"x") is None
+
+
+def test_a_long_pre_token():
+    text = "ab" * 20_000
+    assert ENCODER.encode(text) == TIKTOKEN.encode_ordinary(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab 's're\n19é!", max_size=50), st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60), st.text(alphabet="ab 'r\n1!", max_size=8)), max_size=5))
+def test_edits_equal_a_new_count(text, edits):
+    counts = token_counts._counts(VOCAB, tokenizers.PATTERN)
+    doc = token_counts.CountedText(text, ENCODER.find, ENCODER.match, counts)
+    for a, b, new in edits:
+        a, b = min(a, len(text)), min(max(a, b), len(text))
+        doc.edit(a, b, new)
+        text = text[:a] + new + text[b:]
+        assert doc.text == text and doc.n_tokens == len(TIKTOKEN.encode_ordinary(text))
+
+
+def test_an_edit_encodes_little(spark):
+    text = "some words go on and on " * 500
+    doc = token_counts.CountedText(text, ENCODER.find, ENCODER.match, token_counts._counts(VOCAB, tokenizers.PATTERN))
+    doc.edit(6000, 6001, "x")
+    assert doc.reencoded < 10
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for r in token_counts.edited_counts(docs, VOCAB, tokenizers.PATTERN, with_text=True).collect():
+        assert r.n_tokens_edited == len(TIKTOKEN.encode_ordinary(r.text))
+
+
+# 2
+
+
+def test_longest_rule_wins_in_both_ways(spark):
+    rules = [*url_filter.RULES, ("block", "x.org/"), ("block", "org/a/b"), ("allow", "bad.net/")]
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/en/12?q", "http://example.org", "http://example.org/es", "http://example.org/es/", "http://notexample.org/es/", "http://x.org/a/b", "http://y.org/a/bc/d", "http://c.com/de/x#y", "ftp://bad.net:80/", "http://bad.net/x", "http://q.com?de/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    df = df.withColumn("rule", F.lit(1)).withColumn("host", F.lit(2))
+    a = sorted(url_filter.judge(df, rules).collect())
+    assert a == sorted(url_filter.judge(df, rules, max_rules=0).collect())
+    by = {r.page_id: (r.rule, r.verdict) for r in a}
+    assert by[4] == ("example.org/en/1", "block") and by[5] == (None, "allow") and by[6] == ("org/", "allow") and by[7] == ("example.org/es/", "block") and by[8] == ("org/", "allow")
+    assert by[9] == ("x.org/", "block") and by[10] == ("org/a/b", "block") and by[11] == ("com/de/", "block") and by[12] == (None, "allow") and by[14] == (None, "allow")
+
+
+# 3
+
+
+def test_forward_sums_all_segmentations():
+    pieces = sorted(["▁", "▁a", "a", "b", "ab", "▁ab", "abb"])
+    p = np.append(np.linspace(0.1, 0.7, len(pieces)), [0, 1e-8])[:, None]
+
+    def brute(w):
+        return 1.0 if not w else sum((p[pieces.index(w[:n]), 0] if w[:n] in pieces else 1e-8 if n == 1 else 0) * brute(w[n:]) for n in range(1, len(w) + 1))
+
+    words = ["a", "ab", "abb", "abzba", "zz"]
+    for at, chars in lang_id.by_length(words):
+        got = lang_id.forward(lang_id.Lattice(pieces).edges(chars), p)[-1, :, 0]
+        assert np.allclose(got, [brute("▁" + words[i]) for i in at], rtol=1e-9)
+
+
+def test_held_out_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = queries.op3_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97 and all(0 <= r.score <= 1 for r in got)
+
+
+# 4
+
+
+def brute_removed(rows, least):
+    starts = {}
+    for i, b in rows:
+        for k in range(len(b) - least + 1):
+            s = b[k : k + least]
+            starts[s] = min(starts.get(s, i), i)
+    out = []
+    for i, b in rows:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - least + 1):
+            if starts[b[k : k + least]] < i:
+                gone[k : k + least] = True
+        out.append((i, gone.tolist()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [1, 2, 1024])
+@pytest.mark.parametrize("seed", range(4))
+def test_removed_bytes_equal_brute_force(monkeypatch, hot, seed):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    r, least, parts = random.Random(seed), 24, 4
+    pool = ["".join(r.choice("abé ") for _ in range(r.randint(10, 120))) for _ in range(6)]
+    rows = [(r.randint(0, 25), "".join(r.choice([*pool, "ab" * r.randint(1, 40), "zq"]) for _ in range(r.randint(0, 6)))) for _ in range(30)]
+    docs = {p: pa.table({"doc_id": [i for i, _ in own], "id": pa.array([i for i, _ in own], pa.int64()), "pid": pa.array([p] * len(own), pa.int64()), "text": [t for _, t in own]}) for p in range(parts) if (own := [x for x in rows if x[0] % parts == p])}
+
+    def dealt(tables, by):
+        t = pa.concat_tables(tables)
+        return {k: t.filter(pa.compute.equal(t[by], k)) for k in set(t[by].to_pylist())}
+
+    anchors = dealt([suffix_dedup.part_anchors(t, least, 3) for t in docs.values()], "bucket")
+    shared = dealt([suffix_dedup.bucket_shared(t) for t in anchors.values()], "pid")
+    none = suffix_dedup.bucket_shared(next(iter(anchors.values()))).slice(0, 0)
+    found = dealt([suffix_dedup.part_segments(t, shared.get(p, none), least, 3) for p, t in docs.items()], "bucket")
+    told = dealt([suffix_dedup.bucket_matches(t, least) for t in found.values()], "pid")
+    empty = suffix_dedup.bucket_matches(next(iter(found.values())).slice(0, 0), least)
+    got = [(t["doc_id"][k].as_py(), gone.tolist()) for p, t in docs.items() for k, _, gone in suffix_dedup.part_removals(t, told.get(p, empty), least)]
+    assert sorted(got) == brute_removed([(i, t.encode()) for i, t in rows], least)
+
+
+def test_sorting_survives_collisions(monkeypatch):
+    buf = np.frombuffer(bytes(random.Random(5).choices(b"ab", k=3000)) + b"\0" * 60, np.uint8)
+    pos = np.arange(2900)
+    want = sorted(pos.tolist(), key=lambda p: (bytes(buf[p : p + 50]), p))
+    for lie in (False, True):
+        if lie:
+            monkeypatch.setattr(suffix_dedup.Prefix, "of", lambda self, at, n: np.zeros(len(at), np.uint64))
+        got, new = suffix_dedup.Suffixes(buf, 50).runs(pos.copy())
+        assert [bytes(buf[p : p + 50]) for p in got] == [bytes(buf[p : p + 50]) for p in want]
+        assert new.sum() == len({bytes(buf[p : p + 50]) for p in pos})
+
+
+# 5
+
+
+def brute_spans(x):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", x) if 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", x) if 8 <= len(digits(m)) <= 15]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="a1.@+- (2)b9é", max_size=60))
+def test_base_spans_equal_brute_force(text):
+    assert pii.base_spans(text) == brute_spans(text)
+
+
+def test_long_runs_are_read_in_linear_time():
+    text = "1" * 200_000 + " " + "a@" * 50_000 + "+1" + " 1" * 50_000 + "." * 50_000
+    assert pii.base_spans(text) == pii.base_spans(text) and len(pii.all_spans(text, pii.Field())[0]) >= 0
+
+
+def test_the_field_adds_spans_and_keeps_base_ones(spark):
+    field = pii.Field().fit(pii.made_up(40))
+    base, spans = pii.all_spans("call (269) 555-3288, or joe (at) example (dot) org; 99.25.247.72", field)
+    assert base == [("ip", 52, 64)] and {s[0] for s in spans} == {"phone", "email", "ip"} and set(base) <= set(spans)
+    for clean in ("on 12.05.2020 at 14", "1999-2003", "id 123456789012", "a plain text, with nothing in it"):
+        assert pii.all_spans(clean, field)[1] == []
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in pii.found(docs).collect():
+        want = brute_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == w[0] for w in want) for k in pii.KINDS]
+        assert r.base_sha256 == sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest() and {f"{k}:{a}:{b}" for k, a, b in want} <= set(r.spans.split(","))
+
+
+def test_field_sums_equal_brute_force():
+    field = pii.Field().fit(pii.made_up(3), rounds=2)
+    text = "+1 (269) 555-3288"
+    units = pii.runs(text)[0]
+    lat = field.lattice(text, units)
+
+    def brute(i):
+        return 1.0 if i == len(units) else brute(i + 1) + sum(np.exp(s) * brute(j) for (a, j), (_, scores) in lat.items() if a == i for s in scores)
+
+    a, b = field.sums(len(units), lat)
+    assert np.isclose(np.exp(a[-1]), brute(0)) and np.isclose(a[-1], b[0])
+
+
+# 6
+
+
+def test_sketches_merge_in_any_way(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.measured(docs)
+    lang, source = F.col("__row.lang"), F.col("__row.source")
+    whole = quality.sketches(rows, lang, source)
+    halves = [quality.sketches(quality.measured(docs.where(f"doc_id % 2 = {k}")), lang, source) for k in (0, 1)]
+    merged = quality.merged(halves[0].unionByName(halves[1]), "lang", "source")
+    assert sorted(map(str, whole.select("lang", "source", "measure", "lo", "c").collect())) == sorted(map(str, merged.select("lang", "source", "measure", "lo", "c").collect()))
+
+
+def test_quality_runs_no_python(spark):
+    plan = quality.filtered(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# 8
+
+
+def test_small_automata_find_the_same(spark, items):
+    docs = spark.createDataFrame(ODD, COLUMNS)
+    a, b = (sorted(map(str, decontaminate.contaminated(docs, items, max_bytes=n, spans=True).collect())) for n in (1 << 20, 1))
+    assert a == b
+    row = next(r for r in decontaminate.contaminated(docs, items, spans=True).collect() if r.doc_id == 1)
+    assert (row.n_words, row.n_hit, row.n_items, row["items"], row.spans) == (7, 4, 2, ["0", "3"], [0, 13, 28, 33])
+    assert decontaminate.contaminated(docs, items.limit(0)).where("contaminated").count() == 0
+
+
+# 9
+
+
+def test_toxic_documents_are_found(spark):
+    """On labels that the fit didn't see. Some twentieth of the toxic labels are on documents without any telling word."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    seen = toxicity.scored(docs, labels.where(~held)).join(labels.where(held).withColumnRenamed("toxic", "y"), "doc_id").collect()
+    both = sum(r.toxic and r.y > 0 for r in seen)
+    assert both / sum(r.toxic for r in seen) > 0.95 and both / sum(r.y > 0 for r in seen) > 0.8
+
+
+def test_later_models_see_out_of_fold_probabilities():
+    r = np.random.RandomState(0)
+    y = r.randint(0, 2, 400)
+    row, col = np.arange(400), y + 0
+    chain = toxicity.fit_chain(row, col, np.column_stack([y, y]), row % toxicity.FOLDS, 2)
+    assert len(chain) == 2 and len(chain[0].v) == 0 and len(chain[1].v) == 1 and chain[1].v[0] > 0
+
+
+# 10
+
+
+def brute_components(rows, percent):
+    def shingles(t):
+        w = "".join(c.lower() if c < "\x80" else c for c in t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_components_equal_brute_force(spark, monkeypatch, percent):
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    r = random.Random(percent)
+    base = [[f"w{r.randint(0, 400)}" for _ in range(r.randint(60, 200))] for _ in range(6)]
+    rows = []
+    for i in range(150):
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = f"v{r.randint(0, 9)}"
+        rows.append((i * 7 % 151, " ".join(w)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.linked(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+    assert got == brute_components(rows, percent)
+
+
+def test_one_id_with_two_texts_ties_them(spark):
+    a, b = ("".join(f"{p}{i} " for i in range(60)) for p in "ab")
+    rows = [(5, a), (5, b), (1, a), (9, b)]
+    got = {(r.doc_id, r.component_id) for r in minhash.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 1), (1, 1), (9, 1)}
+
+
+def test_long_path_is_one_component(spark):
+    path = spark.range(400).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    got = components.components(path).collect()
+    assert len(got) == 401 and {r.component for r in got} == {0}
