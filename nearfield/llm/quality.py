@@ -25,7 +25,8 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 
 #: For each measure: its slack, and whether low values fail as well. Per mille, but for ten times the word length.
-MEASURES = {"symbols": (40, False), "dup_lines": (150, False), "repeats": (50, False), "word_len": (20, True)}
+#: Lines count as ten at least and words get twenty of five letters, so that one line or word doesn't decide on a short text.
+MEASURES = {"symbols": (40, False), "dup_lines": (300, False), "repeats": (200, False), "word_len": (20, True)}
 
 #: The most groups whose thresholds are broadcast: 100 bytes each. More are joined by a shuffle, with skewed keys split.
 MAX_GROUPS = 50_000
@@ -70,7 +71,7 @@ def base_failed(q: Column) -> Column:
 
 def measures(q: Column) -> dict[str, Column]:
     ratio = lambda a, b, k: F.floor(F.lit(k) * a / F.greatest(b, F.lit(1))).cast("long")
-    return {"symbols": ratio(q.n_symbols, q.word_chars, 1000), "dup_lines": ratio(q.n_dup_lines, q.n_lines, 1000), "repeats": ratio(q.n_repeat_words, q.n_words, 1000), "word_len": ratio(q.word_chars, q.n_words, 10)}
+    return {"symbols": ratio(q.n_symbols, q.word_chars, 1000), "dup_lines": ratio(q.n_dup_lines, F.greatest(q.n_lines, F.lit(10)), 1000), "repeats": ratio(q.n_repeat_words, q.n_words, 1000), "word_len": ratio(q.word_chars + 100, q.n_words + 20, 10)}
 
 
 def leading_bits(v: Column) -> Column:
@@ -158,13 +159,13 @@ rw AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 5))
 q AS (SELECT w.k, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   coalesce(rw.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rw USING (k)),
-m AS (SELECT k, lang, source, unnest([{'m': 'symbols', 'v': 1000 * n_symbols // greatest(word_chars, 1)}, {'m': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1)},
-  {'m': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1)}, {'m': 'word_len', 'v': 10 * word_chars // greatest(n_words, 1)}]) AS u FROM q),
+m AS (SELECT k, lang, source, unnest([{'m': 'symbols', 'v': 1000 * n_symbols // greatest(word_chars, 1)}, {'m': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 10)},
+  {'m': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1)}, {'m': 'word_len', 'v': 10 * (word_chars + 100) // (n_words + 20)}]) AS u FROM q),
 b AS (SELECT k, lang, source, u.m AS m, u.v AS v, (u.v >> greatest(0, length(bin(u.v)) - 6)) << greatest(0, length(bin(u.v)) - 6) AS lo FROM m),
 o AS (SELECT lang, source, m, count(*) AS n, quantile_disc(lo, 0.25) AS q1, quantile_disc(lo, 0.75) AS q3 FROM b GROUP BY ALL),
 l AS (SELECT lang, m, count(*) AS n, quantile_disc(lo, 0.25) AS q1, quantile_disc(lo, 0.75) AS q3 FROM b GROUP BY ALL),
 a AS (SELECT m, quantile_disc(lo, 0.25) AS q1, quantile_disc(lo, 0.75) AS q3 FROM b GROUP BY ALL),
-s AS (SELECT * FROM (VALUES ('symbols', 40), ('dup_lines', 150), ('repeats', 50), ('word_len', 20)) AS x(m, slack)),
+s AS (SELECT * FROM (VALUES ('symbols', 40), ('dup_lines', 300), ('repeats', 200), ('word_len', 20)) AS x(m, slack)),
 t AS (SELECT o.lang, o.source, o.m, slack, CASE WHEN o.n >= 50 THEN o.q1 WHEN l.n >= 50 THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN o.n >= 50 THEN o.q3 WHEN l.n >= 50 THEN l.q3 ELSE a.q3 END AS q3
   FROM o JOIN l ON o.m = l.m AND o.lang IS NOT DISTINCT FROM l.lang JOIN a ON a.m = o.m JOIN s ON s.m = o.m),
 f AS (SELECT b.k, bool_or(b.v > t.q3 + 3 * (t.q3 - t.q1) + slack OR (b.m = 'word_len' AND b.v < t.q1 - 3 * (t.q3 - t.q1) - slack)) AS bad
