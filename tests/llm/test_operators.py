@@ -291,8 +291,17 @@ def test_sketches_merge_in_any_way(spark):
 
 
 def test_quality_runs_no_python(spark):
-    plan = quality.filtered(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for df in (quality.measured(docs), quality.filtered(docs), quality.report(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_filtered_rows_are_those_reported_as_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("__c0", F.lit(None).cast("int"))
+    kept = docs.join(quality.report(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    got = quality.filtered(docs)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, kept.collect()))
 
 
 # 8
