@@ -1,7 +1,8 @@
 """Exact nearest neighbours: queries are broadcast in bounded blocks and met by every corpus row once, in matrix products.
 
 Each task keeps k hits for each query, so a shuffle carries tasks * queries * k rows; a window then takes the best k.
-Candidates from the products are measured again exactly. Ties: by id. Rows whose vector is null are left out.
+Candidates from the products, all rows that rounding may put among the best k, are measured again exactly. Ties: by id,
+in any number and whatever the batches are. Rows whose vector is null are left out.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql.window import Window
 
 #: Queries that are broadcast at once: some megabytes; more go in further passes.
 MAX_QUERIES, CHUNK = 20_000, 128
+#: Pairs that are measured exactly at once.
+PAIRS = 1 << 16
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -32,29 +35,57 @@ def exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 def _rough(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
         return np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0)
-    unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1)), 1e-9)[:, None]
+
+    def unit(m):
+        n = np.sqrt((m * m).sum(1))[:, None]
+        return np.where(n < 1e-9, 0.0, m / np.maximum(n, 1e-9))
+
     return 1 - unit(q) @ unit(x).T
 
 
+def _margin(m: np.ndarray, metric: str) -> np.ndarray:
+    """For each row, its share of the most that rounding moves a rough distance or an exact one; rows of q and x add up."""
+    return 8 * (m.shape[1] + 8) * np.finfo(float).eps * ((m * m).sum(1) if metric == "l2" else np.ones(len(m)))
+
+
+def _least_copies(ids: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """The places of the n least ids of each distinct vector, in order. Copies lie side by side, by a hash; vectors decide."""
+    mult = np.random.RandomState(1).randint(0, 1 << 62, x.shape[1]).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    h = ((x + 0.0).view(np.uint64) * mult).sum(1, dtype=np.uint64)
+    order = np.lexsort((ids, h))
+    new = np.ones(len(order), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    same = np.flatnonzero(~new)
+    new[same] = (x[order[same]] != x[order[same - 1]]).any(1)
+    start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return np.sort(order[np.arange(len(order)) - start < n])
+
+
 def block_hits(q_ids, q, ids, x, k: int, metric: str, exclude: str):
     """(query, id, distance) of the best k for each query; exclude: none, id (the query itself) or zero (distance up to 1e-9)."""
     out = []
+    # Of equal vectors only the k least ids can be among the best k, or as many more as rows share the excluded id.
+    spare = np.unique(ids, return_counts=True)[1].max(initial=0) if exclude == "id" else 0
+    least = _least_copies(ids, x, k + spare)
+    if len(least) < len(x):
+        ids, x = ids[least], x[least]
+    far, near = _margin(x, metric), _margin(q, metric)
     for s in range(0, len(q), CHUNK):
-        part, own = q[s : s + CHUNK], q_ids[s : s + CHUNK]
+        part, own, mine = q[s : s + CHUNK], q_ids[s : s + CHUNK], near[s : s + CHUNK]
         d = _rough(part, x, metric)
         if exclude == "id":
             d[own[:, None] == ids[None]] = np.inf
         elif exclude == "zero":
-            i, j = np.nonzero(d < 1e-6)
-            gone = exact(part[i], x[j], metric) <= 1e-9
+            i, j = np.nonzero(d <= 1e-6 + mine[:, None] + far[None])
+            gone = _measured(part, x, i, j, metric) <= 1e-9
             d[i[gone], j[gone]] = np.inf
-        n = min(k + 16, len(x))
-        top = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(x) else np.broadcast_to(np.arange(len(x)), d.shape)
-        i = np.repeat(np.arange(len(part)), top.shape[1])
-        j = top.ravel()
-        keep = np.isfinite(d[i, j])
-        i, j = i[keep], j[keep]
-        dist = np.round(exact(part[i], x[j], metric), 9)
+        d[~np.isfinite(d)] = np.inf
+        d += far[None]
+        # k rows are at most this far, so the others that count, ties after rounding to 9 digits too, are not farther.
+        most = np.maximum((np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(x) else np.full(len(d), np.inf)) + mine, 0)
+        most = (np.sqrt(most) + 2e-9) ** 2 if metric == "l2" else most + 2e-9
+        i, j = np.nonzero((d - 2 * far[None] <= (most + mine)[:, None]) & np.isfinite(d))
+        dist = np.round(_measured(part, x, i, j, metric), 9)
         order = np.lexsort((ids[j], dist, i))
         i, j, dist = i[order], j[order], dist[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
@@ -63,6 +94,11 @@ def block_hits(q_ids, q, ids, x, k: int, metric: str, exclude: str):
     return tuple(np.concatenate([o[c] for o in out]) for c in range(3)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
+def _measured(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
+    """exact() of the pairs i, j, some at a time, as ties may be many."""
+    return np.concatenate([exact(q[i[s : s + PAIRS]], x[j[s : s + PAIRS]], metric) for s in range(0, len(i), PAIRS)] or [np.zeros(0)])
+
+
 def _pass(corpus: DataFrame, rows: list, k: int, metric: str, exclude: str) -> DataFrame:
     sent = corpus.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
 
