@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from array import array
 from bisect import bisect_left
 
 from pyspark.sql import DataFrame
@@ -128,13 +129,16 @@ class Field:
     def __init__(self):
         self.w: dict[tuple[str, str], float] = {}
 
+    def scores(self, f: list[str]) -> list[float]:
+        return [sum(self.w.get((x, k), 0.0) for x in f) for k in KINDS]
+
     def lattice(self, text: str, units: list[tuple[int, int]]):
         """For each segment (first unit, unit behind): its features, and the scores of the kinds."""
         out = {}
         for i in range(len(units)):
             for j in range(i + 1, min(i + MAX_UNITS, len(units)) + 1):
                 f = features(text, units[i][0], units[j - 1][1])
-                out[i, j] = f, [sum(self.w.get((x, k), 0.0) for x in f) for k in KINDS]
+                out[i, j] = f, self.scores(f)
         return out
 
     def sums(self, n: int, lattice) -> tuple[list[float], list[float]]:
@@ -167,26 +171,33 @@ class Field:
         return self
 
     def decode(self, text: str, units: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
-        """The segments of the best cut, as (kind, start, end, probability). Runs of many units are read in windows."""
-        if len(units) > 64:
-            return [x for k in range(0, len(units), 64) for x in self.decode(text, units[k : k + 64])]
-        n, lat = len(units), self.lattice(text, units)
-        if all(s <= 0 for _, scores in lat.values() for s in scores):
-            return []
-        best: list[tuple[float, int, str | None]] = [(0.0, 0, None)]
+        """The segments of the best cut of the whole run, as (kind, start, end, probability). Of a segment only the sum over
+        its kinds is kept, so that a unit takes some hundred bytes in a run of any length."""
+        n = len(units)
+        a, both = array("d", [0.0]), array("d", bytes(8 * MAX_UNITS * n))  # both[MAX_UNITS * (j - 1) + j - 1 - i]: segment i, j
+        best, first, kinds, score = array("d", [0.0]), array("q", [0]), bytearray(1), array("d", [0.0])  # kinds: 0 for none
         for j in range(1, n + 1):
-            top = best[j - 1][0], j - 1, None
+            top, terms = (best[j - 1], j - 1, 0, 0.0), [a[j - 1]]
             for i in range(j - 1, max(0, j - MAX_UNITS) - 1, -1):
-                for k, s in zip(KINDS, lat[i, j][1], strict=True):
-                    if best[i][0] + s > top[0] + 1e-12:
-                        top = best[i][0] + s, i, k
-            best.append(top)
-        a, b = self.sums(n, lat)
+                scores = self.scores(features(text, units[i][0], units[j - 1][1]))
+                for k, s in enumerate(scores, 1):
+                    if best[i] + s > top[0] + 1e-12:
+                        top = best[i] + s, i, k, s
+                g = both[MAX_UNITS * (j - 1) + j - 1 - i] = _logsum(scores)
+                terms.append(a[i] + g)
+            a.append(_logsum(terms))
+            for column, x in zip((best, first, kinds, score), top, strict=True):
+                column.append(x)
+        if not any(kinds):
+            return []
+        b = array("d", bytes(8 * (n + 1)))
+        for i in range(n - 1, -1, -1):
+            b[i] = _logsum([b[i + 1], *(b[j] + both[MAX_UNITS * (j - 1) + j - 1 - i] for j in range(i + 1, min(n, i + MAX_UNITS) + 1))])
         out, j = [], n
         while j:
-            _, i, kind = best[j]
-            if kind:
-                out.append((kind, units[i][0], units[j - 1][1], math.exp(a[i] + lat[i, j][1][KINDS.index(kind)] + b[j] - a[-1])))
+            i = first[j]
+            if kinds[j]:
+                out.append((KINDS[kinds[j] - 1], units[i][0], units[j - 1][1], math.exp(a[i] + score[j] + b[j] - a[-1])))
             j = i
         return out[::-1]
 

@@ -277,6 +277,18 @@ def test_field_sums_equal_brute_force():
     assert np.isclose(np.exp(a[-1]), brute(0)) and np.isclose(a[-1], b[0])
 
 
+def test_a_long_run_is_read_as_a_whole():
+    field = pii.Field().fit(pii.made_up(40))
+    text = " ".join(["(555) 121-1021"] * 30)
+    (units,) = pii.runs(text)
+    got = field.decode(text, units)
+    assert len(units) == 90 and [(k, text[a:b]) for k, a, b, _ in got] == [("phone", "(555) 121-1021")] * 30
+    lat = field.lattice(text, units)
+    a, b = field.sums(len(units), lat)
+    at = {(units[i][0], units[j - 1][1]): a[i] + scores[pii.KINDS.index("phone")] + b[j] - a[-1] for (i, j), (_, scores) in lat.items()}
+    assert np.allclose([p for *_, p in got], [np.exp(at[x, y]) for _, x, y, _ in got])
+
+
 # 6
 
 
