@@ -194,7 +194,7 @@ def other_links(members: DataFrame, least: float, percent: int) -> DataFrame:
         now, rows = None, []
 
         def out():
-            got = list(_links_in(rows, now[1], least, percent)) if len(rows) > 2 else []
+            got = list(_links_in(rows, now[1], least, percent)) if len(rows) > 1 else []  # two may both be others: the centre lies in a third block
             return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["a", "b"])
 
         for batch in batches:

@@ -389,6 +389,16 @@ def test_components_equal_brute_force(spark, monkeypatch, percent):
     assert got == brute_components(rows, percent)
 
 
+def test_two_others_of_a_bucket_whose_centre_is_in_a_third_block(spark):
+    reps = spark.range(100).select("id", F.pmod(F.xxhash64("id"), F.lit(3)).alias("block")).collect()
+    a, b, c = (next(r.id for r in reps if r.block == k) for k in range(3))
+    words = [f"w{i}" for i in range(200)]
+    texts = {a: "a text that is like neither of the others", b: " ".join(words), c: " ".join([*words[:-1], "x"])}
+    rows = [(7, 3, r, a, r, len(minhash.shingles(t)), bytes(2 * minhash.PERMUTATIONS), [7] * minhash.BANDS, t) for r, t in texts.items()]
+    members = spark.createDataFrame(rows, "key long, blocks int, rep long, centre long, comp long, size long, sig binary, bands array<long>, text string")
+    assert [tuple(r) for r in minhash.other_links(members, 0.7, 85).collect()] == [(min(b, c), max(b, c))]
+
+
 def test_one_id_with_two_texts_ties_them(spark):
     a, b = ("".join(f"{p}{i} " for i in range(60)) for p in "ab")
     rows = [(5, a), (5, b), (1, a), (9, b)]
