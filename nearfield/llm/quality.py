@@ -5,7 +5,8 @@ the count for each such value. Sketches merge by adding counts, so tasks and gro
 results; a group has at most some two thousand counts, and a quantile is off by at most 1/32 of its value.
 
 A document fails where a measure lies beyond the quartiles of its group by more than `reach` times their distance plus
-the measure's slack. Groups of fewer than min_group documents use their language's thresholds, or else everyone's.
+the measure's slack. That of `repeats`, 200 per mille, is the base rule's cutoff, so its threshold rejects nothing that the
+base rule keeps, in any group: it has no effect, the fixed cutoff alone decides. Groups of fewer than min_group documents use their language's thresholds, or else everyone's.
 
 Null text: no words, so base_failed. Null language or source: a group of its own. Very long texts: whole. Ties lie on
 the same side of a threshold. Repeated rows each count and are each judged. Other columns are left as they are.
