@@ -98,7 +98,7 @@ def runs(text: str, spelt: bool = True) -> list[list[tuple[int, int]]]:
             units = [(m.start() + g.start(), m.start() + g.end()) for g in GROUP.finditer(m[0])]
             if sum(b - a for a, b in units) >= 7:
                 out.append(units)
-    if spelt and ("@" in text or "(at)" in text or "[at]" in text or " dot " in text):
+    if spelt and SPELT.search(text):
         out += [[m.span()] for m in ADDRESS.finditer(text)]
     return out
 

@@ -277,6 +277,13 @@ def test_field_sums_equal_brute_force():
     assert np.isclose(np.exp(a[-1]), brute(0)) and np.isclose(a[-1], b[0])
 
 
+def test_addresses_are_read_in_any_case():
+    field = pii.Field().fit(pii.made_up(40))
+    assert pii.all_spans("JOHN (AT) EXAMPLE (DOT) COM", field)[1] == [("email", 0, 27)]
+    for text in ("JOHN [AT] EXAMPLE.COM", "John At Example.com", "joe at example.com", "a@b"):
+        assert pii.runs(text) == [[(0, len(text))]]
+
+
 def test_a_long_run_is_read_as_a_whole():
     field = pii.Field().fit(pii.made_up(40))
     text = " ".join(["(555) 121-1021"] * 30)
