@@ -4,7 +4,7 @@ A word's probability in a language is the sum, over all ways to cut it into piec
 product of the pieces' probabilities there; a forward pass computes it. Expectation-maximisation with the backward pass
 learns the probabilities from a bounded sample of labelled documents. A text is scored by all its words.
 
-Words are runs of letters, lowered; a longer run than LONGEST is scored in parts. A text that is null or has no letter
+Words are runs of letters, lowered, of any length; only the fit takes a longer run than LONGEST in parts. A text that is null or has no letter
 gets `und` and 0.0; so does every text if nothing could be learned. Equal scores: the first language by name. Repeated
 rows are each predicted. Extra columns are ignored.
 """
@@ -23,9 +23,9 @@ from nearfield.llm.common import bounded_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
-#: Letters of a word that are scored together, letters of a piece, and the probability of a letter outside the vocabulary.
-LONGEST, PIECE, UNKNOWN = 24, 8, 1e-8
-#: Words whose scores a task remembers.
+#: Letters of a word whose sums need no scaling, and the probability of a letter outside the vocabulary.
+LONGEST, UNKNOWN = 24, 1e-8
+#: Words whose scores a task remembers, of LONGEST letters each on average.
 MEMO = 300_000
 #: Bounds of the fit: documents for each language, distinct words, languages (the most frequent ones).
 MAX_DOCS, MAX_WORDS, MAX_LANGS = 1000, 150_000, 100
@@ -39,14 +39,14 @@ def vocabulary(path: str) -> list[str]:
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (p.id_to_piece(i) for i in range(p.get_piece_size()))
-    return sorted({x for x in pieces if len(x) <= PIECE and (y := x.removeprefix(START)) and LETTERS.fullmatch(y) and y == y.lower()} | {START})
+    return sorted({x for x in pieces if (y := x.removeprefix(START)) and LETTERS.fullmatch(y) and y == y.lower()} | {START})
 
 
 class Lattice:
     """Finds which substrings of many words of equal length are pieces, by an open-addressing table of their hashes."""
 
     def __init__(self, pieces: list[str]):
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
         self.none, self.unknown = self.n, self.n + 1  # the ids of no piece and of a letter outside the vocabulary
         self.bits = max(4, (8 * self.n).bit_length())
         self.hash = np.zeros(1 << self.bits, np.uint64)
@@ -73,7 +73,7 @@ class Lattice:
     def edges(self, chars: np.ndarray) -> list[np.ndarray]:
         """For each length l from 1: ids[word, start] of the pieces of that length; chars[word, place] are code points."""
         h, out = np.zeros_like(chars), []
-        for n in range(1, min(PIECE, chars.shape[1]) + 1):
+        for n in range(1, min(self.longest, chars.shape[1]) + 1):
             h = h[:, : chars.shape[1] - n + 1] * _B + chars[:, n - 1 :]
             ids = self.look(h)
             out.append(np.where(ids == self.none, self.unknown, ids) if n == 1 else ids)
@@ -100,6 +100,23 @@ def forward(edges: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_forward(edges: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
+    """Logarithm of forward()'s last place, [word, language], for words of any length: the sums are scaled at each letter."""
+    words, size = edges[0].shape
+    reach = len(edges)
+    # last[:, n - 1] is the sum n places back.
+    last, logs = np.zeros((words, reach, prob.shape[1])), np.zeros((words, prob.shape[1]))
+    last[:, 0] = 1
+    for e in range(1, size + 1):
+        n = min(reach, e)
+        ids = np.stack([edges[k][:, e - 1 - k] for k in range(n)], axis=1)
+        new = (last[:, :n] * prob[ids]).sum(1)
+        logs += np.log(new)
+        last[:, 1:] = last[:, :-1] / new[:, None]
+        last[:, 0] = 1
+    return logs
+
+
 def expected(edges: list[np.ndarray], prob: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> None:
     """Adds each piece's expected number of uses under prob[:, 0], by forward and backward sums."""
     alpha, size = forward(edges, prob)[:, :, 0], edges[0].shape[1]
@@ -135,7 +152,12 @@ def learn(words: list[tuple[str, str, int]], pieces: list[str], rounds: int = 4,
 
 
 def split_words(text: str | None) -> list[str]:
-    words = LETTERS.findall((text or "").lower())
+    return LETTERS.findall((text or "").lower())
+
+
+def short_words(text: str | None) -> list[str]:
+    """For the fit."""
+    words = split_words(text)
     if max(map(len, words), default=0) > LONGEST:
         words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
     return words
@@ -145,16 +167,20 @@ class Scorer:
     def __init__(self, pieces: list[str], langs: list[str], prob: np.ndarray):
         self.lattice, self.langs, self.prob = Lattice(pieces), langs, prob
         self.place: dict[str, int] = {}
-        self.logs = np.zeros((0, len(langs)))
+        self.logs, self.letters = np.zeros((0, len(langs))), 0
 
     def learn_words(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.place]
-        if len(new) + len(self.place) > MEMO:
-            self.place, self.logs, new = {}, self.logs[:0], list(words)
+        if len(new) + len(self.place) > MEMO or sum(map(len, new)) + self.letters > MEMO * LONGEST:
+            self.place, self.logs, self.letters, new = {}, self.logs[:0], 0, list(words)
+        self.letters += sum(map(len, new))
         logs = np.zeros((len(new), len(self.langs)))
         for at, chars in by_length(new):
-            for k in range(0, len(at), 4096):
-                logs[at[k : k + 4096]] = np.log(np.maximum(forward(self.lattice.edges(chars[k : k + 4096]), self.prob)[-1], 1e-300))
+            long = chars.shape[1] > LONGEST + 1
+            step = max(1, 4096 * LONGEST // chars.shape[1]) if long else 4096
+            for k in range(0, len(at), step):
+                edges = self.lattice.edges(chars[k : k + step])
+                logs[at[k : k + step]] = log_forward(edges, self.prob) if long else np.log(np.maximum(forward(edges, self.prob)[-1], 1e-300))
         self.place.update(zip(new, range(len(self.logs), len(self.logs) + len(new)), strict=True))
         self.logs = np.concatenate([self.logs, logs])
 
@@ -191,7 +217,7 @@ def training_words(labelled: DataFrame, max_docs: int = MAX_DOCS, max_words: int
         for batch in batches:
             counts: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.update((lang, w) for w in split_words(text))
+                counts.update((lang, w) for w in short_words(text))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "c"])
 
     words = picked.mapInArrow(run, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))

@@ -168,6 +168,25 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(got, [brute("▁" + words[i]) for i in at], rtol=1e-9)
 
 
+def test_every_piece_and_long_words_count():
+    import sentencepiece
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    model, pieces = sentencepiece.SentencePieceProcessor(model_file=path), lang_id.vocabulary(path)
+    every = {x for k in range(model.get_piece_size()) if (y := (x := model.id_to_piece(k)).removeprefix("▁")) and y.isalpha() and y == y.lower()}
+    assert every <= set(pieces) and max(map(len, pieces)) > 8
+    own = sorted(["▁", "▁a", "a", "b", "ab", "▁abababababab"])
+    p = np.append(np.linspace(0.1, 0.6, len(own)), [0, 1e-8])[:, None]
+    scorer = lang_id.Scorer(own, ["x"], p)
+    for word in ("abababababab", "ab" * 20, "z" * 1000):
+        assert lang_id.split_words(word) == [word]
+        scorer.learn_words({word})
+        ((_, chars),) = lang_id.by_length([word])
+        edges = scorer.lattice.edges(chars)
+        want = np.log(1e-8) * 1000 + np.log(p[own.index("▁"), 0]) if "z" in word else np.log(lang_id.forward(edges, p)[-1, 0, 0])
+        assert np.isclose(scorer.logs[scorer.place[word], 0], want) and np.isclose(lang_id.log_forward(edges, p)[0, 0], want)
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op3_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
