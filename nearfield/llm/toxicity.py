@@ -2,11 +2,16 @@
 beginnings and the probabilities of the categories before it. In training those probabilities are out-of-fold: they come from models that
 did not see the document.
 
-The last category is the label `toxic`. The earlier ones are silver labels: a toxic document that has a word of the
-category's list. Models are fitted on a bounded sample of labelled rows and scored on every whole text.
-
-Null text, or one without words: the models' intercepts. Null labels are left out; if labels of one id differ, the
-larger counts. No labels at all: all probabilities 0. Repeated rows are each scored. Extra columns are ignored.
+The last category is the label `toxic`. The labels name no kinds of toxicity, so the earlier categories are found in the
+labelled documents: telling features are grouped around a few centres that rarely occur together, and a document is of a
+category if it is toxic and has a feature of that group. Models are fitted on a bounded number of labelled rows, with every
+feature that tells the labels apart there, and scored on every whole text.
+
+Null or empty text, or one without words: the models' intercepts. Very long texts: whole, as the set of their words. Null
+labels and labels of null ids are left out; if labels of one id differ, the larger counts. Without any label, or with labels
+of one kind only, all models are intercepts of -12, or 12 where all labels are toxic, that is probabilities of 6e-6 or nearly
+1. Ties: of equally telling features the first by name is a centre; a probability equal to the threshold is toxic. Repeated
+rows are each scored, and each counts in the fit. An empty table gives no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +27,10 @@ from nearfield.llm.common import bounded_batches, checkpointed
 
 WORD = re.compile(r"[^\W\d_]+")
 
-#: The words of the silver categories.
-CATEGORIES = {
-    "insult": "idiot moron stupid dumb fool loser clown imbecile jerk dummkopf imbécile idiota estúpido",
-    "contempt": "scum trash worthless pathetic disgusting vermin filth garbage abschaum ordure basura escoria",
-    "threat": "kill murder hurt destroy hang shoot stab töten tuer matar",
-}
-#: Bounds of the fit: labelled documents, and words that become features.
-MAX_DOCS, MAX_FEATURES = 10_000, 4000
+#: Categories before the last one.
+GROUPS = 3
+#: The bound of the fit: labelled documents.
+MAX_DOCS = 10_000
 #: How far apart, in standard deviations, the labels must be in a feature's presence. Without this, chance features add up in long texts.
 LEAST_Z = 4.0
 #: Letters of a word's beginning that count as a feature of its own, for words with many endings.
@@ -109,40 +110,67 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
     return checkpointed(got.mapInArrow(run, "fold int, y int, words array<string>"))
 
 
-def features(rows: DataFrame, max_features: int) -> list[str]:
-    """The words and beginnings that five documents have and whose presence differs most between the labels, by a normal score."""
+def features(rows: DataFrame) -> dict[str, bool]:
+    """The words and beginnings that five documents have and whose presence differs clearly between the labels, by a normal score,
+    in order, and whether toxic documents have them more often. As many as a bounded sample has."""
     n = {r.y > 0: r.n for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     a, b = n.get(True, 0), n.get(False, 0)
     if not a or not b:
-        return []
+        return {}
     w = rows.select((F.col("y") > 0).alias("y"), F.explode("words").alias("w")).groupBy("w").agg(F.count(F.when(F.col("y"), 1)).alias("a"), F.count(F.when(~F.col("y"), 1)).alias("b")).where("a + b >= 5")
     p = (F.col("a") + F.col("b")) / (a + b)
-    z = F.abs(F.col("a") / a - F.col("b") / b) / F.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-9)
-    return sorted(r.w for r in w.withColumn("z", F.round(z, 6)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "w").limit(max_features).collect())
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_features: int = MAX_FEATURES) -> tuple[dict[str, int], list[Linear]]:
+    z = (F.col("a") / a - F.col("b") / b) / F.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-9)
+    return dict(sorted((r.w, r.z > 0) for r in w.withColumn("z", F.round(z, 6)).where(F.abs("z") >= LEAST_Z).collect()))
+
+
+def grouped(row: np.ndarray, col: np.ndarray, toxic: np.ndarray, names: list[str], more: np.ndarray, k: int = GROUPS) -> np.ndarray:
+    """The group, from 0, of each feature that toxic documents have more often, -1 for others. The first centre is the most frequent
+    one, the next is the one that is frequent without those before; a feature joins the centre it occurs with most, by cosine."""
+    on = toxic[row] & more[col]
+    row, col = row[on], col[on]
+    n = np.bincount(col, minlength=len(names)).astype(float)
+    order = sorted(np.flatnonzero(n), key=lambda f: names[f])
+    alike, centres = np.zeros((0, len(names))), []
+    while len(centres) < min(k, len(order)):
+        free = n * (1 - alike.max(0, initial=0.0))
+        free[centres] = -1
+        c = max(order, key=lambda f: round(free[f], 9))  # the first by name of equals
+        with_it = np.zeros(len(toxic), bool)
+        with_it[row[col == c]] = True
+        both = np.bincount(col[with_it[row]], minlength=len(names))
+        alike = np.vstack([alike, both / np.sqrt(np.maximum(n * n[c], 1))])
+        centres.append(c)
+    return np.where(n > 0, alike.argmax(0), -1) if centres else np.full(len(names), -1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[dict[str, int], list[Linear]]:
     rows = sample(docs, labels, max_docs)
-    place = {w: k for k, w in enumerate(features(rows, max_features))}
-    lists = [set(words.split()) for words in CATEGORIES.values()]
-    row, col, ys, folds = [], [], [], []
+    known = features(rows)
+    names = list(known)
+    place = {w: k for k, w in enumerate(names)}
+    row, col, toxic, folds = [], [], [], []
     for k, r in enumerate(rows.toLocalIterator()):  # at most about max_docs rows
         has = [place[w] for w in r.words if w in place]
         row += [k] * len(has)
         col += has
-        ys.append([*(int(r.y > 0 and not words.isdisjoint(r.words)) for words in lists), int(r.y > 0)])
+        toxic.append(r.y > 0)
         folds.append(r.fold)
-    y = np.array(ys, int).reshape(-1, len(lists) + 1)
-    return place, fit_chain(np.array(row, int), np.array(col, int), y, np.array(folds, int), len(place))
+    row, col, toxic = np.array(row, int), np.array(col, int), np.array(toxic, bool)
+    group = grouped(row, col, toxic, names, np.array([known[w] for w in names], bool))
+    y = np.zeros((len(toxic), GROUPS + 1), int)
+    on = toxic[row] & (group[col] >= 0)
+    y[row[on], group[col[on]]] = 1
+    y[:, -1] = toxic
+    return place, fit_chain(row, col, y, np.array(folds, int), len(place))
 
 
 def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **bounds) -> DataFrame:
-    """doc_id, p_insult, p_contempt, p_threat, p_toxic, toxic for each row."""
+    """doc_id, p_group1 and so on, p_toxic, toxic for each row."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     place, chain = fit(docs, labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")), **bounds)
     bounded_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast((place, chain))
-    names = [f"p_{c}" for c in (*CATEGORIES, "toxic")]
+    names = [*(f"p_group{k + 1}" for k in range(GROUPS)), "p_toxic"]
 
     def run(batches):
         for batch in batches:
