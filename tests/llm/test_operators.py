@@ -127,6 +127,43 @@ def test_edits_equal_a_new_count(text, edits):
         assert doc.text == text and doc.n_tokens == len(TIKTOKEN.encode_ordinary(text))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 1 << 30))
+def test_many_edits_of_a_long_text_equal_a_new_count(seed):
+    r = random.Random(seed)
+    counts = token_counts._counts(VOCAB, tokenizers.PATTERN)
+    text = "".join(r.choice(["word ", "it's ", "  ", "\n", "12", "é!", "x" * 40, " " * 30]) for _ in range(r.randint(0, 3000)))
+    doc = token_counts.CountedText(text, ENCODER.find, ENCODER.match, counts)
+    for _ in range(25):
+        a = r.randint(0, len(text))
+        b = a + r.choice([0, 1, 5, 400, 4000])
+        new = "".join(r.choice([" a", "'ll", "  ", "99", "\n", "qqq"]) for _ in range(r.choice([0, 1, 3, 300])))
+        doc.edit(a, b, new)
+        text = text[:a] + new + text[b:]
+    pieces = [p for p, _ in doc.leaves(0)]
+    assert doc.text == text and pieces == ENCODER.find(text) and doc.n_tokens == len(TIKTOKEN.encode_ordinary(text)) and doc.root.chars == len(text)
+
+
+def test_inserts_at_one_place_encode_little():
+    doc = token_counts.CountedText("some words go on and on " * 20_000, ENCODER.find, ENCODER.match, token_counts._counts(VOCAB, tokenizers.PATTERN))
+    for k in range(300):
+        doc.edit(240_000 + 5 * k, 240_000 + 5 * k, " more")
+    assert doc.reencoded < 2000
+    for _ in range(300):
+        doc.edit(240_000, 240_000, " more")
+    assert doc.reencoded < 4000 and doc.n_tokens == len(ENCODER.encode(doc.text))
+
+
+def test_counts_of_the_query_equal_tiktoken(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op1_token_counts(spark, SF).collect():
+        assert r.n_tokens == len(TIKTOKEN.encode_ordinary(texts[r.doc_id])) and (r.n_edits > 0 or r.n_reencoded == 0) and r.n_reencoded <= r.n_tokens
+        edited = texts[r.doc_id]
+        for a, b, new in token_counts.cleaning_edits(edited):
+            edited = edited[:a] + new + edited[b:]
+        assert r.n_tokens_edited == len(TIKTOKEN.encode_ordinary(edited))
+
+
 def test_an_edit_encodes_little(spark):
     text = "some words go on and on " * 500
     doc = token_counts.CountedText(text, ENCODER.find, ENCODER.match, token_counts._counts(VOCAB, tokenizers.PATTERN))
@@ -187,6 +224,74 @@ def test_every_piece_and_long_words_count():
         assert np.isclose(scorer.logs[scorer.place[word], 0], want) and np.isclose(lang_id.log_forward(edges, p)[0, 0], want)
 
 
+def cuts(word, pieces):
+    """All segmentations: pieces, or single letters."""
+    if not word:
+        return [[]]
+    return [[word[:n], *rest] for n in range(1, len(word) + 1) if n == 1 or word[:n] in pieces for rest in cuts(word[n:], pieces)]
+
+
+def brute_probabilities(words, pieces, rounds=4, smooth=0.05):
+    """Expectation-maximisation over written-out segmentations; words: {word: count}."""
+    p = {x: 1 / len(pieces) for x in pieces}
+    for _ in range(rounds):
+        counts = dict.fromkeys(pieces, 0.0)
+        for w, c in words.items():
+            every = [(cut, np.prod([p.get(x, 1e-8) for x in cut])) for cut in cuts("▁" + w, pieces)]
+            total = sum(q for _, q in every)
+            for cut, q in every:
+                for x in cut:
+                    if x in counts:
+                        counts[x] += c * q / total
+        whole = sum(counts.values())
+        p = {x: (counts[x] + smooth) / (whole + smooth * len(pieces)) for x in pieces}
+    return p
+
+
+def test_learned_probabilities_equal_brute_force():
+    pieces = sorted(["▁", "▁a", "a", "b", "ab", "▁ab", "abb", "ba"])
+    words = {"a": 3, "abba": 2, "bab": 5, "zab": 1, "ababab": 4}
+    got = lang_id.learn(sorted(words), np.array([float(words[w]) for w in sorted(words)]), lang_id.Lattice(pieces))
+    want = brute_probabilities(words, pieces)
+    assert np.allclose(got[: len(pieces)], [want[x] for x in pieces], rtol=1e-9)
+
+
+def test_query_equals_brute_force(spark):
+    """Every language counts, whatever its share is, and so does every word; scores come from all segmentations."""
+    pieces = sorted(["▁", "▁a", "a", "b", "ab", "▁ab", "abb", "ba", "u", "um", "▁mu"])
+    texts = [("x", "ab abba ba ab"), ("x", "abb ab"), ("y", "mu um umu ab"), ("rare", "zz qq"), (None, "mu"), ("x", None)]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(texts * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in lang_id.predicted(docs, pieces).collect()}
+    held = {r.doc_id: r.held_out for r in got.values()}
+    words = {}
+    for i, t, lang in rows:
+        for w in (t or "").split() if lang and not held[i] else ():
+            words.setdefault(lang, {}).setdefault(w, 0)
+            words[lang][w] += 1
+    prob = {lang: brute_probabilities(w, pieces) for lang, w in words.items()}
+    assert set(prob) == {"x", "y", "rare"}
+    for i, t, _ in rows:
+        if not t:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        logs = {lang: sum(np.log(sum(np.prod([p.get(x, 1e-8) for x in cut]) for cut in cuts("▁" + w, pieces))) for w in t.split()) for lang, p in prob.items()}
+        best = max(sorted(logs), key=logs.get)
+        assert got[i].lang_pred == best and np.isclose(got[i].score, 1 / sum(np.exp(v - logs[best]) for v in logs.values()))
+
+
+def test_a_language_of_few_short_documents_is_learned(spark):
+    rows = [(i, " ".join(f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k % 6]}" for k in range(i, i + 3000)), "en") for i in range(30)]
+    rows += [(100 + i, "habari ya asubuhi rafiki yangu", "sw") for i in range(60)]
+    pieces = lang_id.vocabulary(tokenizers.path("piece_bpe_32k.model"))
+    got = lang_id.predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string"), pieces).collect()
+    assert all(r.lang_pred == ("en" if r.doc_id < 100 else "sw") for r in got)
+
+
+def test_marks_belong_to_words():
+    assert lang_id.split_words("हिन्दी में, नमस्ते!") == ["हिन्दी", "में", "नमस्ते"] and lang_id.split_words("\u0301 9_") == []
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op3_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -212,27 +317,61 @@ def brute_removed(rows, least):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [1, 2, 1024])
-@pytest.mark.parametrize("seed", range(4))
-def test_removed_bytes_equal_brute_force(monkeypatch, hot, seed):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    r, least, parts = random.Random(seed), 24, 4
-    pool = ["".join(r.choice("abé ") for _ in range(r.randint(10, 120))) for _ in range(6)]
-    rows = [(r.randint(0, 25), "".join(r.choice([*pool, "ab" * r.randint(1, 40), "zq"]) for _ in range(r.randint(0, 6)))) for _ in range(30)]
+def removed_by_parts(rows, least, parts=4, buckets=3):
+    """The steps on plain tables; rows: id, text."""
     docs = {p: pa.table({"doc_id": [i for i, _ in own], "id": pa.array([i for i, _ in own], pa.int64()), "pid": pa.array([p] * len(own), pa.int64()), "text": [t for _, t in own]}) for p in range(parts) if (own := [x for x in rows if x[0] % parts == p])}
 
     def dealt(tables, by):
         t = pa.concat_tables(tables)
         return {k: t.filter(pa.compute.equal(t[by], k)) for k in set(t[by].to_pylist())}
 
-    anchors = dealt([suffix_dedup.part_anchors(t, least, 3) for t in docs.values()], "bucket")
+    anchors = dealt([suffix_dedup.part_anchors(t, least, buckets) for t in docs.values()], "bucket")
     shared = dealt([suffix_dedup.bucket_shared(t) for t in anchors.values()], "pid")
-    none = suffix_dedup.bucket_shared(next(iter(anchors.values()))).slice(0, 0)
-    found = dealt([suffix_dedup.part_segments(t, shared.get(p, none), least, 3) for p, t in docs.items()], "bucket")
-    told = dealt([suffix_dedup.bucket_matches(t, least) for t in found.values()], "pid")
-    empty = suffix_dedup.bucket_matches(next(iter(found.values())).slice(0, 0), least)
-    got = [(t["doc_id"][k].as_py(), gone.tolist()) for p, t in docs.items() for k, _, gone in suffix_dedup.part_removals(t, told.get(p, empty), least)]
-    assert sorted(got) == brute_removed([(i, t.encode()) for i, t in rows], least)
+    none = pa.table({"pid": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
+    found = dealt([suffix_dedup.part_segments(t, shared.get(p, none), least, buckets) for p, t in docs.items()], "bucket")
+    told = dealt([suffix_dedup.bucket_matches(t, least) for t in found.values()] + [none], "pid")
+    return sorted((t["doc_id"][k].as_py(), gone.tolist()) for p, t in docs.items() for k, _, gone in suffix_dedup.part_removals(t, told.get(p, none), least))
+
+
+def repetitive_rows(seed):
+    r = random.Random(seed)
+    pool = ["".join(r.choice("abé ") for _ in range(r.randint(10, 120))) for _ in range(6)]
+    return [(r.randint(0, 25), "".join(r.choice([*pool, "ab" * r.randint(1, 40), "zq"]) for _ in range(r.randint(0, 6)))) for _ in range(30)]
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1 << 14])
+@pytest.mark.parametrize("seed", range(4))
+def test_removed_bytes_equal_brute_force(monkeypatch, hot, seed):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = repetitive_rows(seed)
+    assert removed_by_parts(rows, 24) == brute_removed([(i, t.encode()) for i, t in rows], 24)
+
+
+@pytest.mark.parametrize("chunk, piece", [(64, 1 << 20), (1 << 19, 1), (300, 200)])
+def test_chunks_and_slices_change_nothing(monkeypatch, chunk, piece):
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", piece)
+    rows = [*repetitive_rows(9), (26, "".join(t for _, t in repetitive_rows(9))), (27, "xyz" * 100)]
+    assert removed_by_parts(rows, 50) == brute_removed([(i, t.encode()) for i, t in rows], 50)
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 14])
+@pytest.mark.parametrize("seed", range(4))
+def test_removal_survives_collisions(monkeypatch, hot, seed):
+    """Hashes of strings are narrowed to five bits, so most are shared by different strings."""
+    of = suffix_dedup.Prefix.of
+    monkeypatch.setattr(suffix_dedup.Prefix, "of", lambda self, at, n: of(self, at, n) & np.uint64(31))
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = repetitive_rows(seed)
+    assert removed_by_parts(rows, 24) == brute_removed([(i, t.encode()) for i, t in rows], 24)
+
+
+def test_null_ids_are_dealt_over_parts(spark):
+    docs = spark.createDataFrame([(None if k % 2 else k, f"{k} " * 30) for k in range(2000)], "doc_id long, text string")
+    rows = suffix_dedup.deduplicated(docs.withColumn("pid", F.lit(0)).withColumn("id", F.lit(0)))
+    assert rows.count() == 2000 and rows.where("doc_id IS NULL").count() == 1000
+    dealt = suffix_dedup.dealt(docs.select("doc_id", "text"), 20).groupBy("pid").count().collect()
+    assert len(dealt) == 20 and max(r["count"] for r in dealt) < 200
 
 
 def test_sorting_survives_collisions(monkeypatch):
@@ -374,6 +513,72 @@ def test_later_models_see_out_of_fold_probabilities():
     assert len(chain) == 2 and len(chain[0].v) == 0 and len(chain[1].v) == 1 and chain[1].v[0] > 0
 
 
+def test_query_equals_a_plain_chain(spark, monkeypatch):
+    """The chain written out with dictionaries and loops."""
+    monkeypatch.setattr(toxicity, "LEAST_Z", 1.5)
+    r = random.Random(3)
+    bad = ["fiend fool", "brute rogue", "villain"]
+    texts = {i: " ".join(r.choice(["one", "two", "three", "four", "sixteen"]) for _ in range(4)) + (f" {r.choice(bad)}" if i % 3 == 0 and i % 4 else " rogue" if i % 7 == 0 else "") for i in range(96)}
+    y = {i: int(i % 3 == 0) for i in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, v) for i, v in y.items() if i < 80], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.scored(docs, labels).collect()}
+
+    has = {i: set(t.split()) | {f"{w[:5]}-" for w in t.split() if len(w) > 5} for i, t in texts.items()}
+    seen = [i for i in texts if i < 80]
+    a, b = sum(y[i] for i in seen), sum(1 - y[i] for i in seen)
+
+    def z(w):
+        x, v = sum(w in has[i] and y[i] for i in seen), sum(w in has[i] and not y[i] for i in seen)
+        p = (x + v) / (a + b)
+        return (x / a - v / b) / (p * (1 - p) * (1 / a + 1 / b) + 1e-9) ** 0.5 if x + v >= 5 else 0
+
+    score = {w: round(z(w), 6) for w in sorted(set().union(*(has[i] for i in seen)))}
+    words = [w for w in score if abs(score[w]) >= 1.5]
+    docs_of = {w: {i for i in seen if y[i] and w in has[i]} for w in words if score[w] > 0}
+    alike = lambda w, c: len(docs_of[w] & docs_of[c]) / (len(docs_of[w]) * len(docs_of[c])) ** 0.5
+    centres = []
+    for _ in range(min(toxicity.GROUPS, len(docs_of))):
+        free = {w: round(len(docs_of[w]) * (1 - max([alike(w, c) for c in centres], default=0)), 9) for w in docs_of if w not in centres}
+        centres.append(max(free, key=free.get))
+    group = {w: max(range(len(centres)), key=lambda k: alike(w, centres[k])) for w in docs_of}
+    label = [{i: int(y[i] and any(group.get(w) == k for w in has[i])) for i in seen} for k in range(toxicity.GROUPS)] + [{i: y[i] for i in seen}]
+
+    def logistic(rows, dense, target):
+        if len({target[i] for i in rows}) < 2:
+            return dict.fromkeys(words, 0.0), [0.0] * len(dense), 12.0 if target[rows[0]] else -12.0
+        w, v, c = dict.fromkeys(words, 0.0), [0.0] * len(dense), 0.0
+        sw, sv, sc = dict.fromkeys(words, 1e-8), [1e-8] * len(dense), 1e-8
+        for _ in range(400):
+            off = {i: prob(i, (w, v, c), dense) - target[i] for i in rows}
+            gw = {x: sum(off[i] for i in rows if x in has[i]) + 0.05 * w[x] for x in words}
+            gv = [sum(off[i] * d[i] for i in rows) + 0.05 * v[k] for k, d in enumerate(dense)]
+            gc = sum(off.values())
+            sw, sv, sc = {x: sw[x] + gw[x] ** 2 for x in words}, [s + g * g for s, g in zip(sv, gv, strict=True)], sc + gc * gc
+            w, v, c = {x: w[x] - gw[x] / sw[x] ** 0.5 for x in words}, [q - g / s**0.5 for q, g, s in zip(v, gv, sv, strict=True)], c - gc / sc**0.5
+        return w, v, c
+
+    def prob(i, m, dense):
+        return 1 / (1 + np.exp(-(sum(m[0][x] for x in words if x in has[i]) + sum(q * d[i] for q, d in zip(m[1], dense, strict=True)) + m[2])))
+
+    import zlib
+
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i in texts}
+    inside, outside = [], []  # out-of-fold probabilities of the labelled, and the chain's of all
+    for k in range(toxicity.GROUPS + 1):
+        m = logistic(seen, inside, label[k])
+        held = {}
+        for f in range(4):
+            part = logistic([i for i in seen if fold[i] != f], inside, label[k]) if k < toxicity.GROUPS else None
+            held |= {i: prob(i, part, inside) for i in seen if fold[i] == f} if part else {}
+        outside.append({i: prob(i, m, outside) for i in texts})
+        inside.append(held)
+    assert len(words) > 4 and len(set(group.values())) == toxicity.GROUPS
+    for i in texts:
+        assert np.allclose([got[i].p_group1, got[i].p_group2, got[i].p_group3, got[i].p_toxic], [p[i] for p in outside], rtol=1e-6, atol=1e-9)
+        assert got[i].toxic == (outside[-1][i] >= 0.5)
+
+
 # 10
 
 
