@@ -1,18 +1,27 @@
-"""Benchmark decontamination. One Aho-Corasick automaton over the windows of all benchmark items; a text is scanned once.
-
-Words are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z lowered. Windows of ten words,
-or a whole shorter item, are joined by spaces and put between spaces, so that matches begin and end at words. A match's
-place in the joined words gives the words that are hit, and with `spans` their places in the original text.
-
-Null or empty texts: no words. An item with no words has no window. Repeated items and rows each count. Items of null
-id hit words, but aren't listed. Up to max_bytes of windows make one broadcast automaton; a larger benchmark is dealt
-into several, through which the texts then pass one after another.
+"""Benchmark decontamination. One Aho-Corasick automaton over the benchmark's items; a text is scanned once.
+
+Words are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z lowered. A document word is hit if it
+lies in an occurrence of a window: `window` consecutive words of an item, or the whole of a shorter one. The automaton holds
+blocks of fewer words, at every few words of an item, such that each window contains one; that takes a sixth of what all
+windows would. A block found is extended in both directions as long as document and item agree, and counts if the run is as
+long as a window. Texts are scanned as words joined by spaces, between spaces, so that matches begin and end at words; a
+match's place there gives the words that are hit, and these their places in the original text.
+
+Null or empty texts: no words, not contaminated. An item with no words has no window. Very long texts: whole, in one scan.
+Repeated items and rows each count; ties don't arise, as every item found is listed. Items of null id hit words, but aren't
+listed. An empty table gives no rows, an empty benchmark hits nothing. Extra columns, whatever their names, are ignored
+(contaminated) or left as they are (clean_rows).
+
+Up to max_bytes of blocks make one automaton, of some 50 bytes for each, and the items' words beside it. A larger benchmark is
+dealt into several, of which a task holds one at a time; what each finds is then joined to the documents. The driver holds
+the items of one automaton at a time, too.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from functools import lru_cache
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -22,8 +31,8 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import bounded_batches, sha256
 
 WINDOW = 10
-#: Of all windows' characters in one automaton; it takes up to 60 bytes for each.
-MAX_BYTES = 8 << 20
+#: Characters of the blocks in one automaton.
+MAX_BYTES = 4 << 20
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -34,145 +43,193 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def item_windows(text: str | None, window: int = WINDOW) -> list[bytes]:
-    w = words(text)
-    return [b" ".join(w[i : i + window]) for i in range(max(1, len(w) - window + 1))] if w else []
+def blocks(n: int, window: int) -> list[tuple[int, int]]:
+    """(first word, word behind the last) of the blocks of an item of n words: each of its windows contains one."""
+    if n <= window:
+        return [(0, n)] if n else []
+    step = -(-window // 3)
+    return [(k, k + window - step + 1) for k in range(0, n - window + step, step) if k + window - step < n]
+
+
+class Finder:
+    """items: (id, text)."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+        self.ids, self.words, self.window = [i for i, _ in items], [words(t) for _, t in items], window
+        places: dict[bytes, list[tuple[int, int]]] = {}
+        for k, w in enumerate(self.words):
+            for a, b in blocks(len(w), window):
+                places.setdefault(b" " + b" ".join(w[a:b]) + b" ", []).append((k, a))
+        self.automaton = ahocorasick.Automaton() if places else None
+        for block, where in places.items():
+            self.automaton.add_word(block.decode("latin-1"), (block.count(b" ") - 1, where))
+        if places:
+            self.automaton.make_automaton()
+
+    def scan(self, w: list[bytes]) -> list[tuple[int, int, int]]:
+        """For each run of words that a window or several cover: its first word, the word behind its last, and the item."""
+        if self.automaton is None:
+            return []
+        joined = (b" " + b" ".join(w) + b" ").decode("latin-1")
+        found, at, seen, upto = [], 0, 0, {}
+        for end, (n, where) in self.automaton.iter(joined):
+            seen += joined.count(" ", at, end)
+            at = end
+            for item, a in where:
+                own, lo, hi, shift = self.words[item], seen - n, seen, seen - n - a
+                if upto.get((item, shift), 0) >= hi:
+                    continue  # in a run that is known
+                while lo > 0 and lo - shift > 0 and w[lo - 1] == own[lo - shift - 1]:
+                    lo -= 1
+                while hi < len(w) and hi - shift < len(own) and w[hi] == own[hi - shift]:
+                    hi += 1
+                upto[item, shift] = hi
+                if hi - lo >= min(self.window, len(own)):
+                    found.append((lo, hi, item))
+        return found
+
+
+_FINDERS: dict[bytes, Finder] = {}
+
+
+def _finder(sent: tuple[bytes, list, int]) -> Finder:
+    """The last one is kept for a worker's next task."""
+    digest, items, window = sent
+    if digest not in _FINDERS:
+        _FINDERS.clear()
+        _FINDERS[digest] = Finder(items, window)
+    return _FINDERS[digest]
+
+
+def finders(items: DataFrame, item_col: str, text_col: str, window: int, max_bytes: int) -> Iterator:
+    """A broadcast for each max_bytes of blocks; at least one."""
+    rows = items.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    sc = items.sparkSession.sparkContext
+
+    def sent(held):
+        return sc.broadcast((hashlib.sha256(repr((held, window)).encode()).digest(), held, window))
+
+    held, size, some = [], 0, False
+    for i, t in rows.toLocalIterator():
+        w = words(t)
+        own = sum(sum(map(len, w[a:b])) + b - a + 1 for a, b in blocks(len(w), window))
+        if held and size + own > max_bytes:
+            yield sent(held)
+            held, size, some = [], 0, True
+        if w:
+            held.append((i, t))
+            size += own
+    if held or not some:
+        yield sent(held)
 
 
-def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, w (the window as text between spaces), n (its words), without repeats."""
-    bounded_batches(items.sparkSession)
+def _union(runs: list[tuple[int, int]]) -> list[int]:
+    out: list[int] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
 
-    def run(batches):
-        for batch in batches:
-            got = [(i, b" " + w + b" ") for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in dict.fromkeys(item_windows(t, window))]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1].decode() for g in got], pa.string()), pa.array([g[1].count(b" ") - 1 for g in got], pa.int32())], names=["item_id", "w", "n"])
 
-    return items.mapInArrow(run, "item_id string, w string, n int").distinct()
+def _looked(finder: Finder, text: str | None) -> tuple[int, list[int], list[str]]:
+    """The number of words, the runs of words that are hit, and the items."""
+    w = words(text)
+    found = finder.scan(w)
+    return len(w), _union([f[:2] for f in found]), sorted({i for f in found if (i := finder.ids[f[2]]) is not None})
 
 
-@lru_cache(maxsize=2)
-def _automaton(windows: tuple) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for w, n, items in windows:
-        a.add_word(w.encode().decode("latin-1"), (n, items))
-    a.make_automaton()
-    return a
+def _shown(text: str | None, n: int, hit: list[int], names: list[str], listed: bool) -> tuple:
+    """The row of the result behind its id."""
+    places = [m.span() for m in WORD.finditer(text.translate(_LOWER))] if hit else []
+    spans = [(places[a][0], places[b - 1][1]) for a, b in zip(hit[::2], hit[1::2], strict=True)]
+    names = sorted(names)
+    out = n, sum(b - a for a, b in zip(hit[::2], hit[1::2], strict=True)), len(names), sha256(",".join(names)), bool(hit), ",".join(f"{a}:{b}" for a, b in spans)
+    return (*out, names) if listed else out
 
 
-def scan(text: str | None, automaton: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int, tuple]]]:
-    """The number of words, and for each match its first word, the word behind its last, and its items."""
-    w = words(text)
-    joined = (b" " + b" ".join(w) + b" ").decode("latin-1")
-    found, at, seen = [], 0, 0
-    for end, (n, items) in automaton.iter(joined):
-        seen += joined.count(" ", at, end)
-        at = end
-        found.append((seen - n, seen, items))
-    return len(w), found
-
-
-def blocks_of(windows: DataFrame, max_bytes: int = MAX_BYTES) -> list[tuple]:
-    """The windows with their items, in blocks of at most max_bytes; the benchmark's size bounds what comes to the driver."""
-    by = windows.groupBy("w").agg(F.first("n").alias("n"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    blocks, size = [[]], 0
-    for r in by.orderBy("w").toLocalIterator():
-        if size + len(r.w) > max_bytes and blocks[-1]:
-            blocks.append([])
-            size = 0
-        size += len(r.w)
-        blocks[-1].append((r.w, r.n, tuple(r["items"])))
-    return [tuple(b) for b in blocks]
-
-
-def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES, spans: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row; spans: also items and the hit runs of words as (start, end) in the text."""
-    out = _scanned(df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), _windows(items, item_col, item_text_col, window), max_bytes)
+def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES, listed: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (of the hit runs in the text, start:end) for each row; listed: also the items."""
+    bounded_batches(df.sparkSession)
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *(["items"] if listed else [])]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), *([pa.list_(pa.string())] if listed else [])]
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string" + ", items array<string>" * listed
 
-    def run(batches):
-        for batch in batches:
-            ids, texts, n_words, hits, found = (batch.column(k).to_pylist() for k in range(5))
-            rows = []
-            for text, n, hit, names in zip(texts, n_words, hits, found, strict=True):
-                runs = list(zip(hit[::2], hit[1::2], strict=True))
-                names = sorted(names)
-                row = n, sum(b - a for a, b in runs), len(names), sha256(",".join(names)), bool(runs)
-                if spans:
-                    places = [m.span() for m in WORD.finditer((text or "").translate(_LOWER))] if runs else []
-                    row = (*row, names, [x for a, b in runs for x in (places[a][0], places[b - 1][1])])
-                rows.append(row)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *([pa.list_(pa.string()), pa.list_(pa.int32())] if spans else [])]
-            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"][: len(kinds) + 1])
+    def table(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * (len(kinds) - 1)
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, kinds[1:], strict=True))], names=names)
 
-    return out.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", items array<string>, spans array<int>" * spans)
+    sent = list(finders(items, item_col, item_text_col, window, max_bytes))
+    if len(sent) == 1:
 
+        def run(batches, one=sent[0]):
+            finder = _finder(one.value)
+            for batch in batches:
+                yield table(batch.column(0), [_shown(t, *_looked(finder, t), listed) for t in batch.column(1).to_pylist()])
 
-def _windows(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    return benchmark_windows(items.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text")), window)
+        return docs.mapInArrow(run, schema)
 
+    found = hits(docs, sent).groupBy("key").agg(F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("names")).alias("names"))  # a row for each automaton
+    both = docs.withColumn("key", F.sha2("text", 256)).join(found, "key", "left").select("doc_id", "text", "hit", "names")
 
-def _union(runs: list[tuple[int, int]]) -> list[int]:
-    out: list[int] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
+    def finish(batches):
+        for batch in batches:
+            rows = [_shown(t, len(words(t)), _union(list(zip(h[::2], h[1::2], strict=True))) if h else [], list(set(n or ())), listed) for t, h, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            yield table(batch.column(0), rows)
 
+    return both.mapInArrow(finish, schema)
 
-def _scanned(df: DataFrame, windows: DataFrame, max_bytes: int) -> DataFrame:
-    """doc_id, text, n_words, the hit runs of words, the items."""
-    spark = df.sparkSession
-    bounded_batches(spark)
-    out = df.select("doc_id", "text", F.lit(0).cast("long").alias("n"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items"))
-    for block in blocks_of(windows, max_bytes):
-        sent = spark.sparkContext.broadcast(block)
 
-        def run(batches, sent=sent):
-            a = _automaton(sent.value) if sent.value else None
+def hits(docs: DataFrame, sent: list) -> DataFrame:
+    """key (a digest of the text), hit, names: for each automaton a row for each different text in which it finds something."""
+    out = None
+    for k, one in enumerate(sent):
+
+        def run(batches, one=one, k=k):
+            finder = _finder(one.value)
             for batch in batches:
-                hit, items, n_words = batch.column(3).to_pylist(), batch.column(4).to_pylist(), []
-                for k, text in enumerate(batch.column(1).to_pylist()):
-                    n, found = scan(text, a) if a else (len(words(text)), [])
-                    n_words.append(n)
-                    if found:
-                        hit[k] = _union([*zip(hit[k][::2], hit[k][1::2], strict=True), *(f[:2] for f in found)])
-                        items[k] = list({*items[k], *(i for f in found for i in f[2])})
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n", "hit", "items"])
-
-        out = out.mapInArrow(run, "doc_id long, text string, n long, hit array<int>, items array<string>")
-    return out
+                rows = [(key, k, hit, names) for key, t in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True) for _, hit, names in [_looked(finder, t)] if hit]
+                cols = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string())), strict=True)], names=["key", "k", "hit", "names"])
+
+        got = docs.select(F.sha2("text", 256).alias("key"), "text").mapInArrow(run, "key string, k int, hit array<int>, names array<string>")
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy("key", "k").agg(F.first("hit").alias("hit"), F.first("names").alias("names"))  # equal texts have equal hits
 
 
 def clean_rows(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The rows of df, with df's columns, whose text no window occurs in."""
     bounded_batches(df.sparkSession)
+    sent = list(finders(items, item_col, item_text_col, window, max_bytes))
+    if len(sent) > 1:
+        text = F.col(f"`{text_col}`").cast("string")
+        found = hits(df.select(text.alias("text")), sent).select(F.col("key").alias("__key")).distinct()
+        return df.join(found, F.sha2(text, 256) == F.col("__key"), "left_anti")
     k = df.columns.index(text_col)
-    for block in blocks_of(_windows(items, item_col, item_text_col, window), max_bytes):
-        if not block:
-            continue
-        sent = df.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches, sent=sent):
-            a = _automaton(sent.value)
-            for batch in batches:
-                yield batch.filter(pa.array([not scan(t, a)[1] for t in batch.column(k).to_pylist()], pa.bool_()))
+    def run(batches):
+        finder = _finder(sent[0].value)
+        for batch in batches:
+            yield batch.filter(pa.array([not finder.scan(words(t)) for t in batch.column(k).to_pylist()], pa.bool_()))
 
-        df = df.mapInArrow(run, df.schema)
-    return df
+    return df.mapInArrow(run, df.schema)
 
 
 SQL = r"""
 WITH b AS (SELECT DISTINCT item_id::VARCHAR AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
 v AS (SELECT item, least(10, len(ws)) AS n, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS w FROM (SELECT *, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM b WHERE len(ws) > 0)),
-d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+d AS (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT k, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
 x AS (SELECT k, i, l.n, array_to_string(ws[i : i + l.n - 1], ' ') AS w FROM p, (SELECT DISTINCT n FROM v) l WHERE i + l.n - 1 <= len(ws)),
 m AS (SELECT k, i, x.n, item FROM x JOIN v ON x.n = v.n AND x.w = v.w),
-h AS (SELECT k, count(DISTINCT j)::BIGINT AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS j FROM m) GROUP BY k),
+j AS (SELECT DISTINCT k, unnest(range(i, i + n)) AS j FROM m),
+h AS (SELECT k, count(*)::BIGINT AS n_hit FROM j GROUP BY k),
+z AS (SELECT k, list_transform(string_split_regex(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: length(x)) AS gaps, list_transform(ws, lambda x: length(x)) AS sizes FROM d WHERE k IN (SELECT k FROM j)),
+e AS (SELECT k, j, list_sum(gaps[1:j]) + coalesce(list_sum(sizes[1:j - 1]), 0) AS b, sizes[j] AS n, j - row_number() OVER (PARTITION BY k ORDER BY j) AS run FROM j JOIN z USING (k)),
+o AS (SELECT k, string_agg(b || ':' || e, ',' ORDER BY b) AS spans FROM (SELECT k, min(b)::BIGINT AS b, max(b + n)::BIGINT AS e FROM e GROUP BY k, run) GROUP BY k),
 s AS (SELECT k, count(DISTINCT item)::BIGINT AS n_items, coalesce(string_agg(DISTINCT item, ',' ORDER BY item), '') AS items FROM m GROUP BY k)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (k) LEFT JOIN s USING (k)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN h USING (k) LEFT JOIN s USING (k) LEFT JOIN o USING (k)
 """
