@@ -62,7 +62,7 @@ def operators(labels, items):
         "pii": lambda d: pii.found(d),
         "quality": quality.report,
         "bpe": lambda d: bpe.encode_decode(d, VOCAB, tokenizers.PATTERN, ids=True),
-        "benchmark": lambda d: decontaminate.contaminated(d, items, spans=True),
+        "benchmark": lambda d: decontaminate.contaminated(d, items, listed=True),
         "toxicity": lambda d: toxicity.scored(d, labels),
         "minhash": minhash.linked,
     }
@@ -486,13 +486,34 @@ def test_filtered_rows_are_those_reported_as_kept(spark):
 
 def test_small_automata_find_the_same(spark, items):
     docs = spark.createDataFrame(ODD, COLUMNS)
-    a, b = (sorted(map(str, decontaminate.contaminated(docs, items, max_bytes=n, spans=True).collect())) for n in (1 << 20, 1))
+    a, b = (sorted(map(str, decontaminate.contaminated(docs, items, max_bytes=n, listed=True).collect())) for n in (1 << 20, 1))
     assert a == b
-    row = next(r for r in decontaminate.contaminated(docs, items, spans=True).collect() if r.doc_id == 1)
-    assert (row.n_words, row.n_hit, row.n_items, row["items"], row.spans) == (7, 4, 2, ["0", "3"], [0, 13, 28, 33])
+    row = next(r for r in decontaminate.contaminated(docs, items, listed=True).collect() if r.doc_id == 1)
+    assert (row.n_words, row.n_hit, row.n_items, row["items"], row.spans) == (7, 4, 2, ["0", "3"], "0:13,28:33")
     assert decontaminate.contaminated(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+    for n in (1 << 20, 1):
+        assert {str(r.doc_id) for r in decontaminate.clean_rows(docs, items, max_bytes=n).collect()} == {str(r.doc_id) for r in decontaminate.contaminated(docs, items).where("NOT contaminated").collect()}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab ", max_size=40), max_size=4), st.text(alphabet="ab ", max_size=80), st.integers(1, 7))
+def test_blocks_find_what_windows_hit(items, text, window):
+    finder = decontaminate.Finder([(str(i), t) for i, t in enumerate(items)], window)
+    w, hit, names = decontaminate.words(text), set(), set()
+    for i, t in enumerate(items):
+        own = decontaminate.words(t)
+        for a in range(max(1, len(own) - window + 1)) if own else ():
+            n = min(window, len(own))
+            for k in range(len(w) - n + 1):
+                if w[k : k + n] == own[a : a + n]:
+                    hit |= set(range(k, k + n))
+                    names.add(str(i))
+    n, runs, found = decontaminate._looked(finder, text)
+    assert n == len(w) and {k for a, b in zip(runs[::2], runs[1::2], strict=True) for k in range(a, b)} == hit and set(found) == names
+
+
 # 9
 
 

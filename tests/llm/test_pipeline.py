@@ -2,7 +2,7 @@ import public_tokenizers as tokenizers
 
 import corpus_pipeline as pipeline
 from nearfield.llm import bpe, minhash, pii, quality
-from nearfield.llm.decontaminate import benchmark_windows, words
+from nearfield.llm.decontaminate import WINDOW, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,8 +13,9 @@ def test_stages_equal_their_operators_in_turn(spark):
     good = {r.doc_id for r in quality.report(docs).where("kept").collect()}
     first = docs.where(docs.doc_id.isin(sorted(good)))
     good = {r.doc_id for r in minhash.linked(first).where("kept").collect()}
-    windows = {r.w for r in benchmark_windows(spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("string(item_id) item_id", "text")).collect()}
-    good = {i for i in good if not any(w in f" {b' '.join(words(want[i])).decode()} " for w in windows)}
+    items = [words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {b" " + b" ".join(w[k : k + WINDOW]) + b" " for w in items if w for k in range(max(1, len(w) - WINDOW + 1))}
+    good = {i for i in good if not any(w in b" " + b" ".join(words(want[i])) + b" " for w in windows)}
     field = pii.fit(docs.where(docs.doc_id.isin(sorted(good))).select("doc_id", "text"))
     e = bpe.encoder(bpe.read_vocab(tokenizers.path("byte_bpe_50k.tiktoken")), tokenizers.PATTERN)
     want = {i: e.encode(pii.masked(want[i], pii.all_spans(want[i], field)[1])) for i in good}
