@@ -1,8 +1,11 @@
-"""Exact nearest neighbours: queries are broadcast in bounded blocks and met by every corpus row once, in matrix products.
-
-Each task keeps k hits for each query, so a shuffle carries tasks * queries * k rows; a window then takes the best k.
-Candidates from the products, all rows that rounding may put among the best k, are measured again exactly. Ties: by id,
-in any number and whatever the batches are. Rows whose vector is null are left out.
+"""Exact nearest neighbours, in matrix products of blocks.
+
+Up to max_queries queries are one block, which is broadcast; each corpus row is met once and the corpus isn't shuffled. More
+queries are dealt into blocks by a hash, the corpus too, and each pair of blocks is a cell of its own in a shuffle: nothing
+of them goes through the driver, and a task holds one pair at a time. A cell or task keeps k hits for each query; a window
+then takes the best k. Candidates from the products, all rows that rounding may put among the best k, are measured again
+exactly. For L2 a block is centred first, so that vectors far from the origin are told apart. Ties: by id, in any number and
+whatever the blocks are. Rows whose vector is null are left out.
 """
 
 from __future__ import annotations
@@ -13,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries that are broadcast at once: some megabytes; more go in further passes.
-MAX_QUERIES, CHUNK = 20_000, 128
+#: Queries of a block, corpus rows of a block: some megabytes each; queries in one product.
+MAX_QUERIES, MAX_ROWS, CHUNK = 20_000, 20_000, 128
 #: Pairs that are measured exactly at once.
 PAIRS = 1 << 16
 
@@ -48,6 +51,17 @@ def _margin(m: np.ndarray, metric: str) -> np.ndarray:
     return 8 * (m.shape[1] + 8) * np.finfo(float).eps * ((m * m).sum(1) if metric == "l2" else np.ones(len(m)))
 
 
+def _centred(q: np.ndarray, x: np.ndarray, metric: str):
+    """q and x, for L2 moved by the mean of x, and for each row its share of the most that a rough distance is off."""
+    if metric != "l2" or not len(x) or not len(q):
+        return q, x, _margin(q, metric), _margin(x, metric)
+    mean = x.mean(0)
+    size = lambda m: np.sqrt((m * m).sum(1)).max()
+    qc, xc = q - mean, x - mean
+    lost = np.finfo(float).eps * (size(q) + size(x) + np.sqrt((mean * mean).sum()))  # by moving, in each vector's length
+    return qc, xc, _margin(qc, metric) + 4 * lost * (size(qc) + size(xc) + lost), _margin(xc, metric)
+
+
 def _least_copies(ids: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     """The places of the n least ids of each distinct vector, in order. Copies lie side by side, by a hash; vectors decide."""
     mult = np.random.RandomState(1).randint(0, 1 << 62, x.shape[1]).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,10 +83,10 @@ def block_hits(q_ids, q, ids, x, k: int, metric: str, exclude: str):
     least = _least_copies(ids, x, k + spare)
     if len(least) < len(x):
         ids, x = ids[least], x[least]
-    far, near = _margin(x, metric), _margin(q, metric)
+    qc, xc, near, far = _centred(q, x, metric)
     for s in range(0, len(q), CHUNK):
         part, own, mine = q[s : s + CHUNK], q_ids[s : s + CHUNK], near[s : s + CHUNK]
-        d = _rough(part, x, metric)
+        d = _rough(qc[s : s + CHUNK], xc, metric)
         if exclude == "id":
             d[own[:, None] == ids[None]] = np.inf
         elif exclude == "zero":
@@ -99,24 +113,52 @@ def _measured(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, metric
     return np.concatenate([exact(q[i[s : s + PAIRS]], x[j[s : s + PAIRS]], metric) for s in range(0, len(i), PAIRS)] or [np.zeros(0)])
 
 
-def _pass(corpus: DataFrame, rows: list, k: int, metric: str, exclude: str) -> DataFrame:
-    sent = corpus.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+def _best(parts: list[tuple], k: int) -> tuple:
+    """The k best hits of each query among those of several blocks."""
+    got = tuple(np.concatenate([p[c] for p in parts]) for c in range(3))
+    order = np.lexsort((got[1], got[2], got[0]))
+    got = tuple(g[order] for g in got)
+    keep = np.arange(len(order)) - np.searchsorted(got[0], got[0]) < k
+    return tuple(g[keep] for g in got)
+
+
+HITS = "qid long, id long, dist double"
+
+
+def in_blocks(corpus: DataFrame, queries: DataFrame, find, merge, max_queries: int = MAX_QUERIES, max_rows: int = MAX_ROWS) -> DataFrame:
+    """qid, id, dist of find(query ids, queries, ids, vectors) for each pair of blocks; merge: of what a task found in batches."""
+    corpus = corpus.select(F.col("id").cast("long"), F.col("v").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    queries = queries.select(F.col("qid").cast("long"), F.col("qv").cast("array<double>").alias("qv")).where("qv IS NOT NULL")
+    blocks = max(1, -(-queries.count() // max_queries))
+    names = ["qid", "id", "dist"]
+    if blocks == 1:
+        rows = queries.collect()  # at most max_queries
+        sent = corpus.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+
+        def run(batches):
+            q_ids, q = sent.value
+            found = None
+            for batch in batches:
+                if batch.num_rows and len(q):
+                    got = find(q_ids, q, batch.column(0).to_numpy(), matrix(batch.column(1)))
+                    found = got if found is None else merge([found, got])
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names)
+
+        return corpus.mapInArrow(run, HITS)
 
-    def run(batches):
-        q_ids, q = sent.value
-        best = None
-        for batch in batches:
-            if not batch.num_rows or not len(q):
-                continue
-            got = block_hits(q_ids, q, batch.column(0).to_numpy(), matrix(batch.column(1)), k, metric, exclude)
-            best = got if best is None else tuple(np.concatenate(p) for p in zip(best, got, strict=True))
-            order = np.lexsort((best[1], best[2], best[0]))
-            best = tuple(b[order] for b in best)
-            best = tuple(b[(np.arange(len(order)) - np.searchsorted(best[0], best[0])) < k] for b in best)
-        if best is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(b) for b in best], names=["qid", "id", "dist"])
+    def cell(xs: pa.Table, qs: pa.Table) -> pa.Table:
+        if not xs.num_rows or not qs.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=names)
+        x, q = (matrix(t.column(1).combine_chunks()) for t in (xs, qs))
+        got = find(qs.column(0).to_numpy(), q, xs.column(0).to_numpy(), x)
+        return pa.table([pa.array(c) for c in got], names=names)
 
-    return corpus.select(F.col("id").cast("long"), "v").where("v IS NOT NULL").mapInArrow(run, "qid long, id long, dist double")
+    shares = max(corpus.sparkSession.sparkContext.defaultParallelism, -(-corpus.count() // max_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    xs = corpus.withColumn("x", F.pmod(F.xxhash64("id", "v"), F.lit(shares)).cast("int")).withColumn("q", every(blocks))
+    qs = queries.withColumn("q", F.pmod(F.xxhash64("qid", "qv"), F.lit(blocks)).cast("int")).withColumn("x", every(shares))
+    return xs.groupBy("x", "q").cogroup(qs.groupBy("x", "q")).applyInArrow(cell, HITS)
 
 
 def top(hits: DataFrame, k: int) -> DataFrame:
@@ -126,37 +168,25 @@ def top(hits: DataFrame, k: int) -> DataFrame:
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", exclude: str = "none", max_queries: int = MAX_QUERIES) -> DataFrame:
     """qid, id, dist, rank. corpus: id, v; queries: qid, qv, both with vectors of one length."""
-    queries = queries.select(F.col("qid").cast("long"), "qv").where("qv IS NOT NULL")
-    passes = max(1, -(-queries.count() // max_queries))
-    out = None
-    for p in range(passes):
-        mine = queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p) if passes > 1 else queries
-        hits = _pass(corpus, mine.collect(), k, metric, exclude)  # at most about max_queries rows
-        out = hits if out is None else out.unionByName(hits)
-    return top(out, k)
+    return top(in_blocks(corpus, queries, lambda qi, q, i, x: block_hits(qi, q, i, x, k, metric, exclude), lambda parts: _best(parts, k), max_queries), k)
 
 
 def within(corpus: DataFrame, queries: DataFrame, radius: float, metric: str = "l2", max_queries: int = MAX_QUERIES) -> DataFrame:
-    """qid, id, dist of all pairs with 1e-9 < dist <= radius: a range join, queries broadcast in bounded blocks."""
-    queries = queries.select(F.col("qid").cast("long"), "qv").where("qv IS NOT NULL")
-    passes, out = max(1, -(-queries.count() // max_queries)), None
-    for p in range(passes):
-        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p).collect()
-        sent = corpus.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+    """qid, id, dist of all pairs with 1e-9 < dist <= radius: a range join in blocks."""
 
-        def run(batches, sent=sent):
-            q_ids, q = sent.value
-            for batch in batches:
-                if not batch.num_rows or not len(q):
-                    continue
-                ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-                for s in range(0, len(q), CHUNK):
-                    limit = radius * radius if metric == "l2" else radius
-                    i, j = np.nonzero(_rough(q[s : s + CHUNK], x, metric) <= limit + 1e-6)
-                    d = np.round(exact(q[s + i], x[j], metric), 9)
-                    keep = (d > 1e-9) & (d <= radius)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[s + i][keep]), pa.array(ids[j][keep]), pa.array(d[keep])], names=["qid", "id", "dist"])
-
-        got = corpus.select(F.col("id").cast("long"), "v").where("v IS NOT NULL").mapInArrow(run, "qid long, id long, dist double")
-        out = got if out is None else out.unionByName(got)
-    return out
+    def find(q_ids, q, ids, x):
+        out = []
+        qc, xc, near, far = _centred(q, x, metric)
+        limit = (radius * radius if metric == "l2" else radius) + 1e-6
+        for s in range(0, len(q), CHUNK):
+            i, j = np.nonzero(_rough(qc[s : s + CHUNK], xc, metric) - far[None] <= limit + near[s : s + CHUNK, None])
+            d = np.round(_measured(q[s : s + CHUNK], x, i, j, metric), 9)
+            keep = (d > 1e-9) & (d <= radius)
+            out.append((q_ids[s + i[keep]], ids[j[keep]], d[keep]))
+        return _joined(out)
+
+    return in_blocks(corpus, queries, find, _joined, max_queries)
+
+
+def _joined(parts: list[tuple]) -> tuple:
+    return tuple(np.concatenate([p[c] for p in parts]) for c in range(3))

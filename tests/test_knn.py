@@ -29,3 +29,38 @@ def test_copies_of_a_vector_in_many_batches(spark):
     q = spark.createDataFrame([(1, [1.1, 2.0, 3.0])], "qid long, qv array<double>")
     for parts in (1, 7):
         assert sorted(h.id for h in knn.nearest(x.repartition(parts), q, 10).collect()) == list(range(2000, 2010))
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_vectors_far_from_the_origin(metric):
+    r = np.random.RandomState(5)
+    x = 1e6 + r.normal(size=(3000, 16)) * 1e-2
+    q = 1e6 + r.normal(size=(50, 16)) * 1e-2
+    ids, q_ids = np.arange(3000), np.arange(50)
+    assert list(zip(*knn.block_hits(q_ids, q, ids, x, 10, metric, "none"), strict=True)) == brute(q_ids, q, ids, x, 10, metric, "none")
+    if metric == "l2":
+        qc, xc, near, far = knn._centred(q, x, metric)
+        off = np.abs(knn._rough(qc, xc, metric) - knn.exact(q[:, None], x[None], metric) ** 2)
+        assert (off <= near[:, None] + far[None]).all() and (near + far.max()).max() < 1e-6
+
+
+@pytest.mark.parametrize("max_queries", [7, 40, 1000])
+def test_pairs_of_blocks_equal_brute_force(spark, max_queries):
+    r = np.random.RandomState(6)
+    x = np.concatenate([r.normal(size=(300, 4)), np.tile(r.normal(size=(1, 4)), (5000, 1))])
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "id long, v array<double>")
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 320, 8)] + [(777, None)], "qid long, qv array<double>")
+    q_ids = np.arange(0, 320, 8)
+    for exclude in ("none", "id"):
+        got = sorted((h.qid, h["rank"], h.id, h.dist) for h in knn.nearest(corpus, queries, 10, exclude=exclude, max_queries=max_queries).collect())
+        want = brute(q_ids, x[q_ids], np.arange(len(x)), x, 10, "l2", exclude)
+        assert [(a, c, d) for a, _, c, d in got] == want
+    pairs = {(h.qid, h.id) for h in knn.within(corpus, queries, 0.7, max_queries=max_queries).collect()}
+    d = knn.exact(x[q_ids][:, None], x[None], "l2")
+    assert pairs == {(int(q_ids[i]), int(j)) for i, j in zip(*np.nonzero((d > 1e-9) & (np.round(d, 9) <= 0.7)), strict=True)}
+
+
+def test_many_queries_stay_off_the_driver(spark):
+    x = spark.range(400).selectExpr("id", "array(id * 1.0D, 1.0D) AS v")
+    plan = knn.nearest(x, x.selectExpr("id AS qid", "v AS qv"), 3, max_queries=50)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "BroadcastExchange" not in plan
