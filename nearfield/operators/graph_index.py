@@ -3,8 +3,13 @@
 Vectors are dealt into shards by a hash of their id; a shard, of bounded size, is built in one task, all shards at once.
 A search runs in every shard and the best k of all are kept, so shards need no links between them. Building is in bulk:
 levels come from ids, candidates from exact neighbours within the shard and layer, then signals and policy, diverse
-selection, reverse links and, on layer 0, a second selection that knows the first pass's in-degrees. Nothing depends on
-an insertion order. Nodes that the entry point can't reach get a link from the nearest reached one.
+selection, reverse links and, on layer 0, a second selection that knows the first pass's in-degrees. An insert is in bulk,
+too: beams over the graph and the new vectors themselves give the candidates. Nothing depends on an insertion order. Nodes
+that the entry point can't reach get a link from the nearest reached one. Deleted nodes lead searches on but are never
+returned; healing ties their neighbours together and drops links to them, compaction drops the nodes.
+
+Selection and beams are array operations over many nodes or queries at once: all beams of a block of queries take a step
+together.
 
 An index is a DataFrame with a row for each node: shard, id, v, level, m, ef, density, lid, links (for each layer from 0,
 ids in order of distance), and deleted. It can be written to Parquet and read again.
@@ -13,7 +18,6 @@ ids in order of distance), and deleted. It can be written to Parquet and read ag
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 from dataclasses import dataclass
 
@@ -25,8 +29,11 @@ from pyspark.sql import functions as F
 from nearfield.operators.knn import exact, matrix, top
 
 SCHEMA = "shard int, id long, v array<double>, level int, m int, ef int, density double, lid double, links array<array<long>>, deleted boolean"
-#: Vectors of a shard.
-SHARD = 20_000
+NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+#: Vectors of a shard, queries whose beams go together, nodes whose links are selected together.
+SHARD, TOGETHER, BATCH = 20_000, 256, 64
+#: The widest default beam of a stock build.
+STOCK_EF = 200
 
 
 @dataclass(frozen=True)
@@ -44,6 +51,9 @@ class GraphConfig:
     m_min_layer: int = 4
     hub_penalty: float = 0.15
     probe: int = 30
+    kappa: float = 0.4
+    beam_min: int = 16
+    beam_max: int = 128
 
     def __post_init__(self):
         if self.metric not in ("l2", "cosine"):
@@ -63,68 +73,102 @@ def lid(dists: np.ndarray) -> float:
     return 1.0 if abs(s) < 1e-9 else float(np.clip(-(len(d) - 1) / s, 1, 1000))
 
 
-def select(cands: list[tuple[float, int]], x: np.ndarray, m: int, metric: str, degree: np.ndarray | None = None, penalty: float = 0.0) -> list[int]:
-    """Up to m of the candidates (distance, node), nearest first: one is taken unless a taken one is nearer to it than the centre
-    is, where distances from nodes of high degree count more; free places go to the nearest rejected."""
-    taken: list[int] = []
-    rejected: list[int] = []
-    mean = max(1.0, float(degree.mean())) if degree is not None and len(degree) else 1.0
-    for d, c in sorted(cands):
-        if len(taken) >= m:
-            break
-        if taken:
-            to = exact(np.broadcast_to(x[c], (len(taken), x.shape[1])), x[taken], metric)
-            if degree is not None:
-                to = to * (1 + penalty * degree[taken] / mean)
-            if (to < d).any():
-                rejected.append(c)
-                continue
-        taken.append(c)
-    return taken + rejected[: m - len(taken)]
+def select(cand: np.ndarray, dist: np.ndarray, x: np.ndarray, m: np.ndarray, metric: str, degree: np.ndarray | None = None, penalty: float = 0.0) -> list[np.ndarray]:
+    """For each row of candidates (node or -1, with ascending distances) the chosen ones, up to m, in order of distance: one is
+    taken unless a taken one is nearer to it than the centre is, where distances from nodes of high degree count more; free
+    places go to the nearest rejected."""
+    v = x[cand]
+    if metric == "l2":
+        v = v - x[np.maximum(cand[:, :1], 0)]
+        n = (v * v).sum(2)
+        between = np.sqrt(np.maximum(n[:, :, None] + n[:, None] - 2 * v @ v.transpose(0, 2, 1), 0))
+    else:
+        size = np.sqrt((v * v).sum(2))[:, :, None]
+        unit = np.where(size < 1e-9, 0.0, v / np.maximum(size, 1e-9))
+        between = np.maximum(1 - unit @ unit.transpose(0, 2, 1), 0)
+    if degree is not None:
+        between *= (1 + penalty * degree[cand] / max(1.0, float(degree.mean())))[:, None]
+    nearer = between < dist[:, :, None]  # [row, candidate, taken one]
+    valid, taken, count = cand >= 0, np.zeros(cand.shape, bool), np.zeros(len(cand), np.int64)
+    for j in range(cand.shape[1]):
+        ok = valid[:, j] & (count < m) & ~(nearer[:, j] & taken).any(1)
+        taken[:, j] = ok
+        count += ok
+    spare = valid & ~taken
+    taken |= spare & (np.cumsum(spare, axis=1) <= (m - count)[:, None])
+    return [c[t] for c, t in zip(cand, taken, strict=True)]
+
+
+def _padded(lists: list, fill, kind) -> np.ndarray:
+    out = np.full((len(lists), max(map(len, lists), default=0)), fill, kind)
+    for k, row in enumerate(lists):
+        out[k, : len(row)] = row
+    return out
 
 
 class Shard:
-    """Nodes are places in ids, which are sorted."""
+    """Nodes are places in ids, which are sorted. links: for each layer {node: its links, nearest first}."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, c: GraphConfig):
         self.ids, self.x, self.c = ids, x, c
         self.deleted = np.zeros(len(ids), bool)
-
-    def _nearest(self, members: np.ndarray, k: int):
-        """For each member its k nearest other members, as (distances, members)."""
-        x, n = self.x[members], len(members)
-        for s in range(0, n, 256):
-            part = x[s : s + 256]
+        self.links: list[dict[int, list[int]]] = []
+        self._matrices: dict = {}
+
+    # Building
+
+    def _nearest(self, of: np.ndarray, members: np.ndarray, k: int) -> tuple[list, list]:
+        """For each node of `of` its k nearest other members: their distances, and the nodes."""
+        x, dists, nodes = self.x[members], [], []
+        k = min(k + 1, len(members))
+        for s in range(0, len(of), TOGETHER):
+            mine = of[s : s + TOGETHER]
+            part = self.x[mine]
             if self.c.metric == "l2":
-                d = np.maximum((part * part).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * part @ x.T, 0)
+                mean = x.mean(0)
+                p, y = part - mean, x - mean
+                d = (y * y).sum(1)[None] - 2 * p @ y.T
             else:
                 unit = lambda a: a / np.maximum(np.sqrt((a * a).sum(1)), 1e-9)[:, None]
-                d = 1 - unit(part) @ unit(x).T
-            d[np.arange(len(part)), np.arange(s, s + len(part))] = np.inf
-            at = np.argpartition(d, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)] if n > 1 else np.zeros((len(part), 0), int)
-            for i in range(len(part)):
-                dist = exact(np.broadcast_to(part[i], (at.shape[1], x.shape[1])), x[at[i]], self.c.metric)
-                order = np.lexsort((at[i], dist))
-                yield dist[order], members[at[i][order]]
+                d = -unit(part) @ unit(x).T
+            at = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.zeros((len(mine), 0), int)
+            to = members[at]
+            far = exact(self.x[to], part[:, None], self.c.metric)
+            far[to == mine[:, None]] = np.inf  # the node itself
+            order = np.lexsort((to, far), axis=1)
+            for t, f in zip(np.take_along_axis(to, order, 1), np.take_along_axis(far, order, 1), strict=True):
+                keep = np.isfinite(f)
+                nodes.append(t[keep])
+                dists.append(f[keep])
+        return dists, nodes
+
+    def _signals(self, dists: list) -> tuple[np.ndarray, np.ndarray]:
+        probe = [d[: self.c.probe] for d in dists]
+        return np.array([p.mean() if len(p) else 1.0 for p in probe], float), np.array([lid(p) for p in probe], float)
+
+    def score(self, density: np.ndarray, lids: np.ndarray) -> np.ndarray:
+        """How hard nodes of these signals are, beside the shard's nodes."""
+        z = lambda a, all_: (a - all_.mean()) / ((all_.std() if all_.std() > 1e-6 else 1.0) + 1e-6)
+        return np.clip(0.5 * z(lids, self.lid) + 0.5 * z(density, self.density), -3, 3)
+
+    def _policy(self, density: np.ndarray, lids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = self.c
+        if not c.adaptive or not len(density):
+            return np.full(len(density), c.m_base), np.full(len(density), STOCK_EF)
+        f = 1 + c.sensitivity * self.score(density, lids)
+        return np.clip(np.rint(c.m_base * f), c.m_min, c.m_max).astype(int), np.clip(np.rint(c.ef_base * f), c.ef_min, c.ef_max).astype(int)
 
     def build(self) -> Shard:
         c, n = self.c, len(self.ids)
-        self.level = np.array([level_of(int(i), c.m_base) for i in self.ids])
-        near0 = list(self._nearest(np.arange(n), c.ef_max if c.adaptive else 200))
-        probe = [d[: c.probe] for d, _ in near0]
-        self.density = np.array([p.mean() if len(p) else 1.0 for p in probe])
-        self.lid = np.array([lid(p) for p in probe])
-        z = lambda a: (a - a.mean()) / ((a.std() if a.std() > 1e-6 else 1.0) + 1e-6)
-        if c.adaptive and n:
-            f = 1 + c.sensitivity * np.clip(0.5 * z(self.lid) + 0.5 * z(self.density), -3, 3)
-            self.m = np.clip(np.rint(c.m_base * f), c.m_min, c.m_max).astype(int)
-            self.ef = np.clip(np.rint(c.ef_base * f), c.ef_min, c.ef_max).astype(int)
-        else:
-            self.m, self.ef = np.full(n, c.m_base), np.full(n, 200)
+        self.level = np.array([level_of(int(i), c.m_base) for i in self.ids], int)
+        near = self._nearest(np.arange(n), np.arange(n), c.ef_max if c.adaptive else STOCK_EF)
+        self.density, self.lid = self._signals(near[0])
+        self.m, self.ef = self._policy(self.density, self.lid)
         self.links = []
         for layer in range(int(self.level.max(initial=0)) + 1):
             members = np.flatnonzero(self.level >= layer)
-            near = near0 if layer == 0 else list(self._nearest(members, int(self.ef.max(initial=1))))
+            if layer:
+                near = self._nearest(members, members, int(self.ef.max(initial=1)))
             links = self._layer(layer, members, near, None)
             if layer == 0 and c.adaptive and c.hub_penalty:
                 degree = np.bincount([w for ws in links.values() for w in ws], minlength=n)
@@ -133,48 +177,166 @@ class Shard:
         self._join_up()
         return self
 
-    def _budget(self, node: int, layer: int) -> tuple[int, int]:
-        m = int(self.m[node])
-        up = max(self.c.m_min_layer, math.floor(m * self.c.decay**layer)) if self.c.adaptive else m
+    def _budget(self, node, layer: int):
+        """The links that a node chooses, and the most it may have."""
+        m = self.m[node]
+        up = np.maximum(self.c.m_min_layer, np.floor(m * self.c.decay**layer)).astype(int) if self.c.adaptive else m
         return (m, 2 * m) if layer == 0 else (up, up)
 
-    def _layer(self, layer, members, near, degree) -> dict[int, list[int]]:
-        c = self.c
-        out = {}
-        for u, (d, w) in zip(members.tolist(), near, strict=True):
-            cands = list(zip(d.tolist(), w.tolist(), strict=True))[: int(self.ef[u])]
-            out[u] = select(cands, self.x, self._budget(u, layer)[0], c.metric, degree, c.hub_penalty)
+    def _chosen(self, nodes: np.ndarray, dists: list, cands: list, most: np.ndarray, degree) -> dict[int, list[int]]:
+        """select() for many nodes, those with about as many candidates together."""
+        out: dict[int, list[int]] = {}
+        order = np.argsort([len(w) for w in cands], kind="stable")
+        for s in range(0, len(order), BATCH):
+            at = order[s : s + BATCH].tolist()
+            cand, dist = _padded([cands[i] for i in at], -1, np.int64), _padded([dists[i] for i in at], np.inf, float)
+            if cand.shape[1]:
+                got = select(cand, dist, self.x, most[at], self.c.metric, degree, self.c.hub_penalty)
+                out.update((int(nodes[i]), g.tolist()) for i, g in zip(at, got, strict=True))
+            else:
+                out.update((int(nodes[i]), []) for i in at)
+        return out
+
+    def _layer(self, layer: int, members: np.ndarray, near: tuple[list, list], degree) -> dict[int, list[int]]:
+        ef = self.ef[members]
+        out = self._chosen(members, [d[:e] for d, e in zip(near[0], ef, strict=True)], [w[:e] for w, e in zip(near[1], ef, strict=True)], self._budget(members, layer)[0], degree)
         both = {u: set(ws) for u, ws in out.items()}
         for u, ws in out.items():
             for w in ws:
                 both[w].add(u)
-        for u, ws in both.items():
-            ws = sorted(ws)
-            d = exact(np.broadcast_to(self.x[u], (len(ws), self.x.shape[1])), self.x[ws], c.metric) if ws else np.zeros(0)
-            cands = list(zip(d.tolist(), ws, strict=True))
-            most = self._budget(u, layer)[1]
-            out[u] = select(cands, self.x, most, c.metric, degree, c.hub_penalty) if len(ws) > most else [w for _, w in sorted(cands)]
+        return self._trimmed(layer, both, degree)
+
+    def _trimmed(self, layer: int, links: dict, degree) -> dict[int, list[int]]:
+        """Each node's links in order of distance; where they are over its budget, the chosen ones."""
+        nodes = np.array(list(links), int)
+        count = np.array([len(ws) for ws in links.values()], int)
+        to = np.fromiter((w for ws in links.values() for w in ws), int, count.sum())
+        of = np.repeat(nodes, count)
+        dist = np.concatenate([exact(self.x[of[s : s + 8192]], self.x[to[s : s + 8192]], self.c.metric) for s in range(0, len(of), 8192)] or [np.zeros(0)])
+        order = np.lexsort((to, dist, np.repeat(np.arange(len(nodes)), count)))
+        to, dist, ends = to[order], dist[order], np.cumsum(count)
+        most = self._budget(nodes, layer)[1] if len(nodes) else count
+        out = {int(u): to[e - n : e].tolist() for u, n, e in zip(nodes, count, ends, strict=True)}
+        over = np.flatnonzero(count > most)
+        cut = [slice(ends[k] - count[k], ends[k]) for k in over]
+        out.update(self._chosen(nodes[over], [dist[c] for c in cut], [to[c] for c in cut], most[over], degree))
         return out
 
     def _join_up(self) -> None:
-        if not len(self.ids):
+        """Ties live nodes that the entry can't reach on layer 0 to the nearest reached one."""
+        self._matrices = {}
+        at = self.entry()
+        if at < 0:
             return
         links, seen = self.links[0], np.zeros(len(self.ids), bool)
-        todo = [self.entry()]
+        todo = [at]
         while True:
             while todo:
                 u = todo.pop()
                 if not seen[u]:
                     seen[u] = True
                     todo += [w for w in links[u] if not seen[w]]
-            rest = np.flatnonzero(~seen)
+            rest = np.flatnonzero(~seen & ~self.deleted)
             if not len(rest):
                 return
             u, reached = int(rest[0]), np.flatnonzero(seen)
-            d = exact(np.broadcast_to(self.x[u], (len(reached), self.x.shape[1])), self.x[reached], self.c.metric)
+            d = exact(self.x[reached], self.x[u], self.c.metric)
             links[int(reached[d.argmin()])].append(u)
             todo = [u]
 
+    # Changes
+
+    def insert(self, ids: np.ndarray, x: np.ndarray) -> Shard:
+        """A shard that has the new nodes as well. Their candidates come from beams over the graph and from each other."""
+        if not len(self.ids):
+            return Shard(ids, x, self.c).build()
+        old = len(self.ids)
+        if not len(ids):
+            return self
+        new = np.arange(old, old + len(ids))
+        first = self.search_many(x, 1, 1, levels=True)  # the way down: for each layer, where a beam starts
+        found = [self._beams(x, starts, np.full(len(x), self.c.ef_max if self.c.adaptive else STOCK_EF), layer)[0] if starts is not None else None for layer, starts in enumerate(first)]
+        self.ids, self.x = np.r_[self.ids, ids], np.concatenate([self.x, x])
+        self.deleted = np.r_[self.deleted, np.zeros(len(ids), bool)]
+        level = np.array([level_of(int(i), self.c.m_base) for i in ids], int)
+        self.level = np.r_[self.level, level]
+        widest = self.c.ef_max if self.c.adaptive else STOCK_EF
+
+        def candidates(layer: int) -> tuple[list, list]:
+            at = new[self.level[new] >= layer]
+            own = self._nearest(at, at, widest)
+            dists, nodes = [], []
+            for u, d, w in zip(at.tolist(), *own, strict=True):
+                if layer < len(found) and found[layer] is not None:
+                    fd, fw = found[layer][0][u - old], found[layer][1][u - old]
+                    live = np.isfinite(fd) & ~self.deleted[np.maximum(fw, 0)] & (fw >= 0)
+                    d, w = np.r_[d, fd[live]], np.r_[w, fw[live]]
+                order = np.lexsort((w, d))[:widest]
+                dists.append(d[order])
+                nodes.append(w[order])
+            return dists, nodes
+
+        near = candidates(0)
+        density, lids = self._signals(near[0])
+        m, ef = self._policy(density, lids)
+        self.density, self.lid, self.m, self.ef = np.r_[self.density, density], np.r_[self.lid, lids], np.r_[self.m, m], np.r_[self.ef, ef]
+        for layer in range(int(level.max(initial=0)) + 1):
+            at = new[self.level[new] >= layer]
+            if layer == len(self.links):
+                self.links.append({})
+            dists, nodes = near if layer == 0 else candidates(layer)
+            got = self._chosen(at, [d[:e] for d, e in zip(dists, self.ef[at], strict=True)], [w[:e] for w, e in zip(nodes, self.ef[at], strict=True)], self._budget(at, layer)[0], None)
+            links = self.links[layer]
+            touched = {u: set(ws) for u, ws in got.items()}
+            for u, ws in got.items():
+                for w in ws:
+                    touched.setdefault(w, set(links.get(w, ()))).add(u)
+            links.update(self._trimmed(layer, touched, None))
+        self._join_up()
+        return self._sorted()
+
+    def _sorted(self) -> Shard:
+        """The same with nodes in the order of their ids."""
+        order = np.argsort(self.ids, kind="stable")
+        return self._taken(order)
+
+    def _taken(self, order: np.ndarray) -> Shard:
+        """The shard of those nodes, in that order; links to others go."""
+        place = np.full(len(self.ids), -1)
+        place[order] = np.arange(len(order))
+        out = Shard(self.ids[order], self.x[order], self.c)
+        for name in ("level", "m", "ef", "density", "lid", "deleted"):
+            setattr(out, name, getattr(self, name)[order])
+        out.links = [{int(place[u]): [int(place[w]) for w in ws if place[w] >= 0] for u, ws in layer.items() if place[u] >= 0} for layer in self.links]
+        while out.links and not out.links[-1]:
+            out.links.pop()
+        return out
+
+    def heal(self) -> Shard:
+        """Live nodes lose their links to dead ones and choose again among what is left and the dead ones' live links; the dead
+        keep theirs, so that a beam that starts there finds a way."""
+        for layer, links in enumerate(self.links):
+            changed = {}
+            for u, ws in links.items():
+                lost = [w for w in ws if self.deleted[w]]
+                if lost and not self.deleted[u]:
+                    changed[u] = {w for w in ws if not self.deleted[w]} | {w for d in lost for w in links.get(d, ()) if w != u and not self.deleted[w]}
+            for u, ws in list(changed.items()):
+                for w in ws:  # both ways
+                    if u not in links.get(w, ()):
+                        changed.setdefault(w, {y for y in links.get(w, ()) if not self.deleted[y]}).add(u)
+            links.update(self._trimmed(layer, changed, None))
+        self._join_up()
+        return self
+
+    def compact(self) -> Shard:
+        """The shard without its dead nodes."""
+        out = self.heal()._taken(np.flatnonzero(~self.deleted))
+        out._join_up()
+        return out
+
+    # Searching
+
     def entry(self) -> int:
         """On the highest layer that has a live node with a link, the one of most links; else the first live node, or -1."""
         for layer in range(len(self.links) - 1, -1, -1):
@@ -184,139 +346,253 @@ class Shard:
         live = np.flatnonzero(~self.deleted)
         return int(live[0]) if len(live) else -1
 
-    def beam(self, q, starts: list[int], ef: int, layer: int, patience: int = 0, eps: float = 1e-4, trace: list | None = None):
-        """Best first: the ef nearest found, as (distance, node), and the number of distances. patience > 0 stops after so many
-        nodes in a row that improved nothing, once the beam is full."""
-        links = self.links[layer]
-        d0 = exact(np.broadcast_to(q, (len(starts), len(q))), self.x[starts], self.c.metric)
-        evals, seen = len(starts), set(starts)
-        todo = [(float(d), u) for d, u in zip(d0, starts, strict=True)]
-        heapq.heapify(todo)
-        found = [(-d, -u) for d, u in todo]
-        heapq.heapify(found)
-        best, still = min(d for d, _ in todo), 0
-        while todo:
-            d, u = heapq.heappop(todo)
-            if len(found) >= ef and d > -found[0][0]:
-                if trace is not None:
-                    trace.append(("prune_w", u, d))
+    def _links_of(self, layer: int) -> np.ndarray:
+        """[node, place]: the links of a layer, -1 where there are none."""
+        if layer not in self._matrices:
+            links = self.links[layer]
+            self._matrices[layer] = _padded([links.get(u, ()) for u in range(len(self.ids))], -1, np.int64)
+        return self._matrices[layer]
+
+    def _beams(self, q: np.ndarray, starts: np.ndarray, ef: np.ndarray, layer: int, patience: int = 0, eps: float = 1e-4, x: np.ndarray | None = None, trace: list | None = None):
+        """Best first, a step of all queries at a time: ((distances, nodes) [query, rank], evaluations). A beam ends when each of
+        its ef nearest was looked at. patience > 0 ends it after so many steps in a row that improved nothing, once it is full."""
+        x, links, n = self.x if x is None else x, self._links_of(layer), len(q)
+        width = int(min(ef.max(initial=1), len(self.ids)))
+        dist, node, done = np.full((n, width), np.inf), np.full((n, width), -1), np.zeros((n, width), bool)
+        limit = np.minimum(ef, width)
+        seen = np.zeros((n, len(self.ids)), bool)
+        evals, still, rows = np.ones(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+        node[:, 0], dist[:, 0], seen[rows, starts] = starts, exact(x[starts], q, self.c.metric), True
+        beyond = np.arange(width)[None] >= limit[:, None]
+        active = rows
+        while len(active):
+            waiting = (node[active] >= 0) & ~done[active]
+            has = waiting.any(1)
+            if trace is not None and not has.all():
+                trace.append(("prune_w", int(node[0, 0]), -1, layer, float(dist[0, limit[0] - 1])))
+            active, waiting = active[has], waiting[has]
+            if not len(active):
                 break
-            if trace is not None:
-                trace.append(("explore", u, d))
-            new = [w for w in links.get(u, ()) if w not in seen]
-            size, worst, was = len(found), -found[0][0], best
-            if new:
-                seen.update(new)
-                evals += len(new)
-                for dist, w in zip(exact(np.broadcast_to(q, (len(new), len(q))), self.x[new], self.c.metric).tolist(), new, strict=True):
-                    if len(found) < ef or (dist, w) < (-found[0][0], -found[0][1]):
-                        heapq.heappush(todo, (dist, w))
-                        heapq.heappush(found, (-dist, -w))
-                        if len(found) > ef:
-                            heapq.heappop(found)
-                        best = min(best, dist)
-            if patience and len(found) >= ef:
-                better = len(found) > size or worst + found[0][0] > eps or was - best > eps
-                still = 0 if better else still + 1
-                if still >= patience:
-                    if trace is not None:
-                        trace.append(("early_exit", u, d))
-                    break
-        return sorted((-d, -u) for d, u in found), evals
-
-    def search(self, q, k: int, ef: int, patience: int = 0, trace: list | None = None):
-        """(hits as (distance, id), evaluations, used ef); the dead lead on, but aren't returned."""
-        at = self.entry()
-        if at < 0:
-            return [], 0, ef
-        dead = int(self.deleted.sum())
-        ef = min(2 * ef, ef + ef * dead // max(1, len(self.ids)))
-        evals, starts = 0, [at]
+            k = waiting.argmax(1)
+            done[active, k] = True
+            at = node[active, k]
+            to = links[at]
+            fresh = (to >= 0) & ~seen[active[:, None], np.maximum(to, 0)]
+            some = fresh.any(1)
+            best, full, worst, size = dist[active, 0], node[active, limit[active] - 1] >= 0, dist[active, limit[active] - 1], (node[active] >= 0).sum(1)
+            a, t, f = active[some], to[some], fresh[some]
+            if len(a):
+                seen[np.repeat(a, f.sum(1)), t[f]] = True
+                evals[a] += f.sum(1)
+                d = np.where(f, exact(x[np.maximum(t, 0)], q[a][:, None], self.c.metric), np.inf)
+                all_d, all_n = np.concatenate([dist[a], d], 1), np.concatenate([node[a], np.where(f, t, -1)], 1)
+                all_done = np.concatenate([done[a], np.zeros(f.shape, bool)], 1)
+                order = np.argsort(all_d, axis=1, kind="stable")[:, :width]
+                dist[a], node[a], done[a] = (np.take_along_axis(v, order, 1) for v in (all_d, all_n, all_done))
+                out = beyond[a]
+                dist[a], node[a] = np.where(out, np.inf, dist[a]), np.where(out, -1, node[a])
+                if trace is not None:
+                    kept = set(node[0].tolist())
+                    trace += [("explore", w, int(at[0]), layer, y) for w, y in sorted(zip(t[0][f[0]].tolist(), d[0][f[0]].tolist(), strict=True), key=lambda p: p[1]) if w in kept]
+            if patience:
+                now = dist[active, limit[active] - 1]
+                shrunk = np.where(full, worst - np.where(full, now, 0), 0)
+                better = ((node[active] >= 0).sum(1) > size) | (shrunk > eps) | (best - dist[active, 0] > eps)
+                is_full = node[active, limit[active] - 1] >= 0
+                still[active] = np.where(is_full & ~better, still[active] + 1, 0)
+                stop = still[active] >= patience
+                if trace is not None and stop.any():
+                    trace.append(("early_exit", int(at[0]), -1, layer, float(dist[0, 0])))
+                active = active[~stop]
+        return (dist, node), evals
+
+    def coded(self, bits: int) -> np.ndarray:
+        """The vectors as they come back from codes of so many bits for each dimension, of the live vectors' range."""
+        live = self.x[~self.deleted] if (~self.deleted).any() else self.x
+        low, high, steps = live.min(0), live.max(0), (1 << bits) - 1
+        scale = np.where(high - low <= 1e-7, 1.0, (high - low) / steps)
+        return low + np.clip(np.rint((self.x - low) / scale), 0, steps) * scale
+
+    def search_many(self, q: np.ndarray, k: int, ef: int, patience: int = 0, dynamic: str = "", bits: int = 0, pool: int = 0, trace: list | None = None, levels: bool = False) -> list:
+        """For each query (hits as (distance, id), evaluations, used ef); the dead lead on, but aren't returned. dynamic: a beam as
+        wide as the entry's score (score), or that and the query's distance from it (hardness), ask for. bits: beams over codes
+        of 8 or 4 bits, whose first `pool` live hits (0: all) are measured again exactly. levels: where beams start, by layer."""
+        at, n = self.entry(), len(q)
+        if at < 0 or not n:
+            return [None] * len(self.links) if levels else [([], 0, ef)] * n
+        x = self.coded(bits) if bits else self.x
+        starts, evals, way = np.full(n, at), np.zeros(n, np.int64), [None] * len(self.links)
         if trace is not None:
-            trace.append(("enter", at, float(exact(q[None], self.x[[at]], self.c.metric)[0])))
+            trace.append(("enter", at, -1, len(self.links) - 1, float(exact(x[at], q[0], self.c.metric))))
         for layer in range(len(self.links) - 1, 0, -1):
-            if starts[0] in self.links[layer]:
-                got, e = self.beam(q, starts, 1, layer)
-                starts, evals = [got[0][1]], evals + e
-        got, e = self.beam(q, starts, ef, 0, patience, trace=trace)
-        return [(d, int(self.ids[u])) for d, u in got if not self.deleted[u]][:k], evals + e, ef
+            if at in self.links[layer]:
+                got, e = [], []
+                for s in range(0, n, TOGETHER):
+                    b = self._beams(q[s : s + TOGETHER], starts[s : s + TOGETHER], np.ones(len(q[s : s + TOGETHER]), int), layer, x=x, trace=trace)
+                    got.append(b[0][1][:, 0])
+                    e.append(b[1])
+                way[layer] = starts
+                starts, evals = np.concatenate(got), evals + np.concatenate(e)
+        way[0] = starts
+        if levels:
+            return way
+        wide = np.full(n, max(ef, pool))
+        if dynamic:
+            hard = self.score(self.density[starts], self.lid[starts])
+            if dynamic == "score":
+                wide = np.floor(np.clip(ef * (1 + 0.3 * hard), k, 2 * ef)).astype(int)
+            elif dynamic == "hardness":
+                std = self.density.std() if self.density.std() > 1e-6 else 1.0
+                z = np.clip((exact(x[starts], q, self.c.metric) - self.density.mean()) / (std + 1e-6), -2, 2)
+                wide = np.clip(np.floor(ef * (1 + self.c.kappa * (0.7 * hard + 0.3 * z)) + 0.5), self.c.beam_min, self.c.beam_max).astype(int)
+            else:
+                raise ValueError(f"no dynamic beam {dynamic}")
+        dead = int(self.deleted.sum())
+        wide = np.minimum(2 * wide, wide + wide * dead // max(1, len(self.ids)))
+        out = []
+        for s in range(0, n, TOGETHER):
+            mine = slice(s, s + TOGETHER)
+            (dist, node), e = self._beams(q[mine], starts[mine], wide[mine], 0, patience, x=x, trace=trace)
+            for i in range(len(dist)):
+                live = (node[i] >= 0) & ~self.deleted[np.maximum(node[i], 0)]
+                w, d = node[i][live], dist[i][live]
+                if bits:
+                    w = w[:pool] if pool else w
+                    d = exact(self.x[w], q[s + i], self.c.metric)
+                order = np.lexsort((self.ids[w], d))[:k]
+                out.append((list(zip(d[order].tolist(), self.ids[w[order]].tolist(), strict=True)), int(evals[s + i] + e[i]), int(wide[s + i])))
+        return out
+
+    def search(self, q, k: int, ef: int, patience: int = 0, trace: list | None = None, **how):
+        return self.search_many(np.asarray(q, float)[None], k, ef, patience, trace=trace, **how)[0]
+
+    # As a table
 
     def table(self, shard: int) -> pa.Table:
         links = [[[int(self.ids[w]) for w in layer[u]] for layer in self.links if u in layer] for u in range(len(self.ids))]
         cols = [[shard] * len(self.ids), self.ids, self.x.tolist(), self.level, self.m, self.ef, self.density, self.lid, links, self.deleted]
         kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.list_(pa.int64())), pa.bool_()]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=NAMES)
 
     @classmethod
     def of(cls, t: pa.Table, c: GraphConfig) -> Shard:
         t = t.sort_by("id").combine_chunks()
-        s = cls(t["id"].to_numpy(), matrix(t["v"].combine_chunks()), c)
+        s = cls(t["id"].to_numpy(), matrix(t["v"].combine_chunks()) if t.num_rows else np.zeros((0, 0)), c)
         place = {int(i): k for k, i in enumerate(s.ids)}
         rows = t["links"].to_pylist()
         s.links = [{u: [place[w] for w in r[layer] if w in place] for u, r in enumerate(rows) if len(r) > layer} for layer in range(max(map(len, rows), default=0))]
+        for name in ("level", "m", "ef", "density", "lid"):
+            setattr(s, name, t[name].to_numpy())
         s.deleted = np.array(t["deleted"].to_pylist(), bool)
         return s
 
 
+def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+    return rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+
+
+def _valid(rows: DataFrame) -> DataFrame:
+    return rows.where("v IS NOT NULL AND id IS NOT NULL").dropDuplicates(["id"])
+
+
 def build(corpus: DataFrame, config: GraphConfig = GraphConfig(), shard_size: int = SHARD) -> DataFrame:
     """The index of corpus (id, v); null vectors are left out, of repeated ids one stays."""
-    corpus = corpus.where("v IS NOT NULL AND id IS NOT NULL").dropDuplicates(["id"])
+    corpus = _valid(corpus)
     shards = max(1, -(-corpus.count() // shard_size))
-    rows = corpus.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.col("id").cast("long"), "v")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("id").combine_chunks()
         return Shard(t["id"].to_numpy(), matrix(t["v"].combine_chunks()), config).build().table(t["shard"][0].as_py())
 
-    return rows.groupBy("shard").applyInArrow(run, SCHEMA)
+    return _dealt(corpus, shards).groupBy("shard").applyInArrow(run, SCHEMA)
 
 
-def _searcher(sent, k: int, ef: int, config: GraphConfig, patience: int):
-    def run(t: pa.Table) -> pa.Table:
-        s, rows = Shard.of(t, config), []
-        for qid, q in sent.value:
-            hits, evals, used = s.search(q, k, ef, patience)
-            rows += [(qid, i, round(d, 9), evals, used) for d, i in hits]
+def insert(index: DataFrame, rows: DataFrame, config: GraphConfig = GraphConfig(), shard_size: int = SHARD) -> DataFrame:
+    """The index with rows (id, v) linked in; ids that it has, and null vectors, are left out. Only shards that get rows change. When
+    shards would hold twice their size on average, the index is built anew from its live nodes, in more shards."""
+    rows = _valid(rows.select("id", "v")).join(index.select("id"), "id", "left_anti")
+    stats = index.agg(F.max("shard").alias("last"), F.count("*").alias("n")).first()
+    if stats.last is None or stats.n + rows.count() > 2 * shard_size * (stats.last + 1):
+        live = index.where("NOT deleted").select("id", "v")
+        return build(live.unionByName(rows.select(F.col("id").cast("long"), F.col("v").cast("array<double>"))), config, shard_size)
+
+    def run(old: pa.Table, new: pa.Table) -> pa.Table:
+        if not new.num_rows:
+            return old.select(NAMES)
+        new = new.sort_by("id").combine_chunks()
+        return Shard.of(old, config).insert(new["id"].to_numpy(), matrix(new["v"].combine_chunks())).table(new["shard"][0].as_py())
+
+    return index.select(NAMES).groupBy("shard").cogroup(_dealt(rows, stats.last + 1).groupBy("shard")).applyInArrow(run, SCHEMA)
+
+
+def delete(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index with those nodes marked dead."""
+    dead = ids.select(F.col("id").cast("long")).distinct().withColumn("__dead", F.lit(True))
+    return index.join(dead, "id", "left").withColumn("deleted", F.col("deleted") | F.coalesce("__dead", F.lit(False))).select(NAMES)
+
+
+def _changed(index: DataFrame, change, config: GraphConfig) -> DataFrame:
+    return index.select(NAMES).groupBy("shard").applyInArrow(lambda t: change(Shard.of(t, config)).table(t["shard"][0].as_py()), SCHEMA)
+
+
+def heal(index: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
+    """The index whose live nodes no longer link to dead ones, but to those around them."""
+    return _changed(index, Shard.heal, config)
+
+
+def compact(index: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
+    """The index without its dead nodes, healed."""
+    return _changed(index, Shard.compact, config)
+
+
+FOUND = "qid long, id long, dist double, n_evals long, used_ef int"
+
+
+def search(index: DataFrame, queries: DataFrame, k: int, ef: int, config: GraphConfig = GraphConfig(), patience: int = 0, max_queries: int = 20_000, **how) -> DataFrame:
+    """qid, id, dist, rank, n_evals (of the query in the hit's shard), used_ef. queries: qid, qv. Up to max_queries are broadcast; more
+    are dealt into blocks, and each shard meets each block in a task of its own. how: dynamic, bits, pool as for a shard."""
+    queries = queries.select(F.col("qid").cast("long"), F.col("qv").cast("array<double>").alias("qv")).where("qv IS NOT NULL")
+    blocks = max(1, -(-queries.count() // max_queries))
+
+    def found(t: pa.Table, ids: list, q: np.ndarray) -> pa.Table:
+        got = Shard.of(t, config).search_many(q, k, ef, patience, **how) if t.num_rows and len(ids) else []
+        rows = [(qid, i, round(d, 9), evals, used) for qid, (hits, evals, used) in zip(ids, got, strict=bool(got)) for d, i in hits]
         cols = list(zip(*rows, strict=True)) or [()] * 5
         return pa.table([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32()), strict=True)], names=["qid", "id", "dist", "n_evals", "used_ef"])
 
-    return run
+    index = index.select(NAMES)
+    if blocks == 1:
+        rows = queries.collect()  # at most max_queries
+        sent = index.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
+        return top(index.groupBy("shard").applyInArrow(lambda t: found(t, *sent.value), FOUND), k)
+    last = index.agg(F.max("shard")).first()[0] or 0
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    qs = queries.withColumn("block", F.pmod(F.xxhash64("qid", "qv"), F.lit(blocks)).cast("int")).withColumn("shard", every(last + 1))
+    xs = index.withColumn("block", every(blocks))
 
+    def cell(t: pa.Table, mine: pa.Table) -> pa.Table:
+        return found(t, mine["qid"].to_pylist(), matrix(mine["qv"].combine_chunks()) if mine.num_rows else np.zeros((0, 0)))
 
-def search(index: DataFrame, queries: DataFrame, k: int, ef: int, config: GraphConfig = GraphConfig(), patience: int = 0, max_queries: int = 20_000) -> DataFrame:
-    """qid, id, dist, rank, n_evals (of the query in the hit's shard), used_ef. queries: qid, qv; broadcast in bounded blocks."""
-    queries = queries.select(F.col("qid").cast("long"), "qv").where("qv IS NOT NULL")
-    passes, out = max(1, -(-queries.count() // max_queries)), None
-    for p in range(passes):
-        block = queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p).collect()
-        sent = index.sparkSession.sparkContext.broadcast([(r[0], np.array(r[1], np.float64)) for r in block])
-
-        got = index.groupBy("shard").applyInArrow(_searcher(sent, k, ef, config, patience), "qid long, id long, dist double, n_evals long, used_ef int")
-        out = got if out is None else out.unionByName(got)
-    return top(out, k)
+    return top(xs.groupBy("shard", "block").cogroup(qs.groupBy("shard", "block")).applyInArrow(cell, FOUND), k)
 
 
 def trace(index: DataFrame, qid: int, q: list[float], k: int, ef: int, config: GraphConfig = GraphConfig(), patience: int = 0) -> DataFrame:
-    """shard, step, action, id, dist of one query's way through the graph."""
+    """shard, step, action, id, from, layer, dist of one query's way through the graph: enter; explore, a node that joins the beam,
+    and from where it was seen; prune_w or early_exit, where a layer's beam ends. from is null where there is none."""
 
     def run(t: pa.Table) -> pa.Table:
         s, steps = Shard.of(t, config), []
         s.search(np.array(q, np.float64), k, ef, patience, steps)
         shard = t["shard"][0].as_py()
-        rows = [(shard, n, a, int(s.ids[u]), d) for n, (a, u, d) in enumerate(steps)]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.table([pa.array(c, x) for c, x in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.float64()), strict=True)], names=["shard", "step", "action", "id", "dist"])
+        rows = [(shard, n, a, int(s.ids[u]), int(s.ids[w]) if w >= 0 else None, layer, d) for n, (a, u, w, layer, d) in enumerate(steps)]
+        cols = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
+        return pa.table([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], names=["shard", "step", "action", "id", "from", "layer", "dist"])
 
-    return index.groupBy("shard").applyInArrow(run, "shard int, step int, action string, id long, dist double")
+    return index.select(NAMES).groupBy("shard").applyInArrow(run, "shard int, step int, action string, id long, `from` long, layer int, dist double")
 
 
 def edges(index: DataFrame) -> DataFrame:
     """layer, src, dst, pos."""
     by = index.select(F.col("id").alias("src"), F.posexplode("links").alias("layer", "ws"))
     return by.select("layer", "src", F.posexplode("ws").alias("pos", "dst")).select("layer", "src", "dst", "pos")
-
-
-def delete(index: DataFrame, ids: DataFrame) -> DataFrame:
-    """The index with those nodes marked dead."""
-    dead = ids.select(F.col("id").cast("long")).distinct().withColumn("__dead", F.lit(True))
-    return index.join(dead, "id", "left").withColumn("deleted", F.col("deleted") | F.coalesce("__dead", F.lit(False))).select(*(f.split()[0] for f in SCHEMA.split(", ")))

@@ -33,14 +33,6 @@ def running_stats(stream: DataFrame, alpha: float | None = None) -> DataFrame:
     return stream.groupBy("name").applyInPandasWithState(update, "name string, n long, mean double, std double", "n long, mean double, m2 double", "update", "NoTimeout")
 
 
-def insert_batch(index: DataFrame, rows: DataFrame, config: graph_index.GraphConfig = graph_index.GraphConfig(), shard_size: int = graph_index.SHARD) -> DataFrame:
-    """The index with the new rows (id, v) in shards of their own numbers, behind the old ones; old shards are untouched."""
-    last = index.agg({"shard": "max"}).first()[0]
-    known = rows.join(index.select("id"), "id", "left_anti")
-    new = graph_index.build(known, config, shard_size)
-    return index.unionByName(new.withColumn("shard", new.shard + (0 if last is None else last + 1)))
-
-
 def follow(stream: DataFrame, path: str, checkpoint: str, config: graph_index.GraphConfig = graph_index.GraphConfig()):
     """A started query: each batch of rows (id, v, op), op insert or delete, makes a new version of the index under path."""
 
@@ -48,7 +40,7 @@ def follow(stream: DataFrame, path: str, checkpoint: str, config: graph_index.Gr
         spark = batch.sparkSession
         batch = batch.persist()
         old = spark.read.schema(graph_index.SCHEMA).parquet(f"{path}/v{version - 1}") if version else spark.createDataFrame([], graph_index.SCHEMA)
-        index = insert_batch(old, batch.where("op = 'insert'").select("id", "v"), config)
+        index = graph_index.insert(old, batch.where("op = 'insert'").select("id", "v"), config)
         graph_index.delete(index, batch.where("op = 'delete'").select("id")).write.mode("overwrite").parquet(f"{path}/v{version}")
         batch.unpersist()
 

@@ -74,6 +74,92 @@ def test_table_round_trip(shard):
     assert again.links == [{u: ws for u, ws in layer.items()} for layer in s.links]
 
 
+def test_inserted_nodes_are_found_and_linked():
+    x = R.normal(size=(700, 16))
+    s = Shard(np.arange(0, 500), x[:500], GraphConfig()).build()
+    for lo in range(500, 700, 50):
+        s = s.insert(np.arange(lo, lo + 50), x[lo : lo + 50])
+    assert recall(s, x)[0] > 0.9 and (np.diff(s.ids) > 0).all() and len(s.ids) == 700
+    assert all(s.search(x[i], 1, 32)[0][0][1] == i for i in range(500, 700, 7))
+    for layer, links in enumerate(s.links):
+        assert sum(len(ws) > s._budget(u, layer)[1] for u, ws in links.items()) <= 10
+        assert all(s.level[u] >= layer and all(w in links and w != u for w in ws) for u, ws in links.items())
+    assert Shard(np.zeros(0, int), np.zeros((0, 16)), GraphConfig()).build().insert(np.arange(3), x[:3]).search(x[1], 1, 5)[0][0][1] == 1
+
+
+def test_healing_and_compaction():
+    x = R.normal(size=(500, 16))
+    for step in ("heal", "compact"):
+        s = Shard(np.arange(500), x, GraphConfig()).build()
+        dead = [s.entry(), *range(0, 500, 3)]
+        s.deleted[dead] = True
+        s = getattr(s, step)()
+        live = set(range(500)) - set(dead)
+        assert recall(s, x, dead=dead)[0] > 0.9
+        for links in s.links:
+            for u, ws in links.items():
+                if not s.deleted[u]:
+                    assert not s.deleted[ws].any()
+        if step == "compact":
+            assert set(s.ids.tolist()) == live
+    s.deleted[:] = True
+    assert s.compact().search(x[0], 3, 8)[0] == []
+
+
+@pytest.mark.parametrize("bits, least", [(8, 0.9), (4, 0.85)])
+def test_beams_over_codes_are_measured_again(bits, least):
+    x = R.normal(size=(500, 16))
+    s = Shard(np.arange(500), x, GraphConfig()).build()
+    hit = 0
+    for q in x[:40] + 0.01:
+        true = set(np.argsort(((x - q) ** 2).sum(1))[:10].tolist())
+        got, _, _ = s.search(q, 10, 64, bits=bits, pool=30)
+        assert [d for d, _ in got] == sorted(d for d, _ in got) and all(abs(d - np.sqrt(((x[i] - q) ** 2).sum())) < 1e-9 for d, i in got)
+        hit += len(true & {i for _, i in got})
+    assert hit / 400 > least
+
+
+@pytest.mark.parametrize("kind", ["score", "hardness"])
+def test_beams_as_wide_as_the_entry_asks(shard, kind):
+    x, s = shard
+    used = {s.search(q, 10, 64, dynamic=kind)[2] for q in x[:60] + 0.5}
+    assert used <= set(range(10, 129)) and (kind == "score" or len(used) > 1)
+    with pytest.raises(ValueError):
+        s.search(x[0], 3, 8, dynamic="no")
+
+
+def test_changes_of_an_index(spark):
+    x = R.normal(size=(300, 6))
+    f = frame(spark, x)
+    q = f.where("id % 9 = 0").selectExpr("id AS qid", "v AS qv")
+    index = graph_index.build(f.where("id < 200"), shard_size=70)
+    index = graph_index.insert(index, f.where("id >= 190"), shard_size=70)
+    assert index.count() == 300 and index.select("shard").distinct().count() == 3
+    index = graph_index.delete(index, f.where("id % 4 = 0").select("id"))
+    for changed in (graph_index.heal(index), graph_index.compact(index)):
+        one, many = (sorted(map(tuple, graph_index.search(changed, q, 5, 400, max_queries=n).select("qid", "id", "rank").collect())) for n in (1000, 10))
+        true = sorted((h.qid, h.id, h["rank"]) for h in knn.nearest(f.where("id % 4 <> 0"), q, 5).collect())
+        assert one == many == true
+    assert graph_index.compact(index).count() == 225
+    again = graph_index.insert(index, f.selectExpr("id + 1000 AS id", "v"), shard_size=70)
+    assert again.where("deleted").count() == 0 and again.count() == 525 and again.select("shard").distinct().count() > 3
+
+
+def test_selection_equals_the_rule_written_out():
+    x = R.normal(size=(60, 4))
+    degree = R.randint(0, 9, 60)
+    for metric in ("l2", "cosine"):
+        for m in (1, 5, 12):
+            d = knn.exact(x[1:], x[:1], metric)
+            order = np.argsort(d)[:30]
+            (got,) = graph_index.select(order[None] + 1, d[order][None], x, np.array([m]), metric, degree, 0.15)
+            taken, rest = [], []
+            for c in (order + 1).tolist():
+                near = [knn.exact(x[c], x[t], metric) * (1 + 0.15 * degree[t] / max(1, degree.mean())) < d[c - 1] for t in taken]
+                (rest if any(near) or len(taken) >= m else taken).append(c)
+            assert set(got.tolist()) == set(taken + rest[: m - len(taken)])
+
+
 def test_empty_and_tiny(spark):
     empty = frame(spark, np.zeros((0, 4)))
     assert graph_index.build(empty).count() == 0

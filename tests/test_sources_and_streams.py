@@ -65,5 +65,5 @@ def test_index_follows_a_stream(spark, tmp_path):
     q.stop()
     index = spark.read.schema(graph_index.SCHEMA).parquet(str(tmp_path / "index/v0"))
     assert index.count() == 40 and [x.id for x in index.where("deleted").collect()] == [3]
-    more = live.insert_batch(index, spark.createDataFrame([(100, [0.0] * 4), (5, [0.0] * 4)], "id long, v array<double>"))
+    more = graph_index.insert(index, spark.createDataFrame([(100, [0.0] * 4), (5, [0.0] * 4)], "id long, v array<double>"))
     assert more.count() == 41
