@@ -8,15 +8,18 @@ A document fails where a measure lies beyond the quartiles of its group by more
 the measure's slack. That of `repeats`, 200 per mille, is the base rule's cutoff, so its threshold rejects nothing that the
 base rule keeps, in any group: it has no effect, the fixed cutoff alone decides. Groups of fewer than min_group documents use their language's thresholds, or else everyone's.
 
-Null text: no words, so base_failed. Null language or source: a group of its own. Very long texts: whole. Ties lie on
-the same side of a threshold. Repeated rows each count and are each judged. Other columns are left as they are.
+Null or empty text: no words, so base_failed. Null language or source: a group of its own. Very long texts: whole. Ties lie
+on the same side of a threshold. Repeated rows each count and are each judged. An empty table gives no rows. Other columns,
+whatever their names, are left as they are (filtered) or ignored (report).
+
+Counts are computed once, as rows of some hundred bytes without the text. The filter then drops the rows whose text, language
+and source were rejected, by a join on a digest of the text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from nearfield.llm.common import checkpointed
@@ -40,10 +43,11 @@ def _positions(pairs: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda p: F.array(p.a.i, p.b.i)))))
 
 
-def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """A struct column __q with the counts of each row's text beside df's columns as the struct __row."""
+def measured(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **more: Column) -> DataFrame:
+    """A struct column __q with the counts of each row's text, beside the struct __row of lang, source and the columns `more`."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    out = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), text.alias("__t"))
+    row = {"lang": F.col(f"`{lang_col}`"), "source": F.col(f"`{source_col}`"), **more}
+    out = df.select(F.struct(*(c.alias(k) for k, c in row.items())).alias("__row"), text.alias("__t"))
     out = out.withColumn("__w", F.array_remove(F.split("__t", SPACE), ""))
     out = out.withColumn("__l", F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size("__w")
@@ -131,21 +135,26 @@ def judged(rows: DataFrame, sketch: DataFrame, lang: Column, source: Column, rea
     return rows.withColumn("__failed", base_failed(q)).withColumn("__kept", ok)
 
 
+def _verdicts(slim: DataFrame, **how) -> DataFrame:
+    slim = checkpointed(slim)  # the texts are read once
+    lang, source = F.col("__row.lang"), F.col("__row.source")
+    return judged(slim, sketches(slim, lang, source), lang, source, **how)
+
+
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **how) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row."""
-    slim = measured(df, text_col).select(F.struct(F.col(f"__row.`{id_col}`").cast("long").alias("doc_id"), F.col(f"__row.`{lang_col}`").alias("lang"), F.col(f"__row.`{source_col}`").alias("source")).alias("__row"), "__q", "__k")
-    slim = checkpointed(slim)  # some 60 bytes a document; the texts are read once
-    lang, source = F.col("__row.lang"), F.col("__row.source")
-    out = judged(slim, sketches(slim, lang, source), lang, source, **how)
+    out = _verdicts(measured(df, text_col, lang_col, source_col, doc_id=F.col(f"`{id_col}`").cast("long")), **how)
     return out.select("__row.doc_id", *(F.col(f"__q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
 def filtered(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **how) -> DataFrame:
     """The rows of df that are kept, with df's columns."""
-    rows = measured(df, text_col)
-    lang, source = F.col(f"__row.`{lang_col}`"), F.col(f"__row.`{source_col}`")
-    kept = judged(rows, sketches(rows, lang, source), lang, source, **how).where("__kept").select("__row.*")
-    return kept.select(*(F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f, T.StructField)))
+    digest = F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
+    out = _verdicts(measured(df, text_col, lang_col, source_col, digest=digest), **how)
+    drop = out.where("NOT __kept").select("__row.*").distinct()
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), digest.alias("__d"))
+    same = (F.col("__d") == drop["digest"]) & F.col(f"__row.`{lang_col}`").eqNullSafe(drop["lang"]) & F.col(f"__row.`{source_col}`").eqNullSafe(drop["source"])
+    return rows.join(drop, same, "left_anti").select(*(F.col(f"__row.`{c}`") for c in df.columns))
 
 
 #: The same with one quantile step spelled out; {reach} and {min_group} are the production parameters.
