@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nearfield.operators.knn import exact, matrix, top
 
@@ -54,10 +55,14 @@ class GraphConfig:
     kappa: float = 0.4
     beam_min: int = 16
     beam_max: int = 128
+    kind: str = "continuous"
+    tier: float = 0.5
 
     def __post_init__(self):
         if self.metric not in ("l2", "cosine"):
             raise ValueError(f"no metric {self.metric}")
+        if self.kind not in ("continuous", "quantile", "lid_only", "density_only"):
+            raise ValueError(f"no policy {self.kind}")
 
 
 def level_of(node: int, m_base: int) -> int:
@@ -149,13 +154,18 @@ class Shard:
     def score(self, density: np.ndarray, lids: np.ndarray) -> np.ndarray:
         """How hard nodes of these signals are, beside the shard's nodes."""
         z = lambda a, all_: (a - all_.mean()) / ((all_.std() if all_.std() > 1e-6 else 1.0) + 1e-6)
-        return np.clip(0.5 * z(lids, self.lid) + 0.5 * z(density, self.density), -3, 3)
+        share = {"lid_only": 1.0, "density_only": 0.0}.get(self.c.kind, 0.5)
+        return np.clip(share * z(lids, self.lid) + (1 - share) * z(density, self.density), -3, 3)
 
     def _policy(self, density: np.ndarray, lids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = self.c
         if not c.adaptive or not len(density):
             return np.full(len(density), c.m_base), np.full(len(density), STOCK_EF)
-        f = 1 + c.sensitivity * self.score(density, lids)
+        score = self.score(density, lids)
+        if c.kind == "quantile":
+            pick = lambda low, middle, high: np.where(score > c.tier, high, np.where(score < -c.tier, low, middle))
+            return pick(c.m_min, c.m_base, c.m_max), pick(c.ef_min, c.ef_base, c.ef_max)
+        f = 1 + c.sensitivity * score
         return np.clip(np.rint(c.m_base * f), c.m_min, c.m_max).astype(int), np.clip(np.rint(c.ef_base * f), c.ef_min, c.ef_max).astype(int)
 
     def build(self) -> Shard:
@@ -545,26 +555,33 @@ def compact(index: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
     return _changed(index, Shard.compact, config)
 
 
-FOUND = "qid long, id long, dist double, n_evals long, used_ef int"
+FOUND = "qid long, id long, dist double, n_evals long, used_ef int, first boolean"
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    """The k best hits of all shards, with the evaluations in all of them."""
+    spent = F.sum(F.when(F.col("first"), F.col("n_evals"))).over(Window.partitionBy("qid"))
+    return top(hits.withColumn("n_evals", spent).drop("first"), k)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, ef: int, config: GraphConfig = GraphConfig(), patience: int = 0, max_queries: int = 20_000, **how) -> DataFrame:
-    """qid, id, dist, rank, n_evals (of the query in the hit's shard), used_ef. queries: qid, qv. Up to max_queries are broadcast; more
+    """qid, id, dist, rank, n_evals (of the query in all shards that have a hit), used_ef (in the hit's shard). queries: qid, qv. Up to max_queries are broadcast; more
     are dealt into blocks, and each shard meets each block in a task of its own. how: dynamic, bits, pool as for a shard."""
     queries = queries.select(F.col("qid").cast("long"), F.col("qv").cast("array<double>").alias("qv")).where("qv IS NOT NULL")
     blocks = max(1, -(-queries.count() // max_queries))
 
     def found(t: pa.Table, ids: list, q: np.ndarray) -> pa.Table:
         got = Shard.of(t, config).search_many(q, k, ef, patience, **how) if t.num_rows and len(ids) else []
-        rows = [(qid, i, round(d, 9), evals, used) for qid, (hits, evals, used) in zip(ids, got, strict=bool(got)) for d, i in hits]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.table([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32()), strict=True)], names=["qid", "id", "dist", "n_evals", "used_ef"])
+        rows = [(qid, i, round(d, 9), evals, used, n == 0) for qid, (hits, evals, used) in zip(ids, got, strict=bool(got)) for n, (d, i) in enumerate(hits)]
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.bool_())
+        return pa.table([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], names=["qid", "id", "dist", "n_evals", "used_ef", "first"])
 
     index = index.select(NAMES)
     if blocks == 1:
         rows = queries.collect()  # at most max_queries
         sent = index.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
-        return top(index.groupBy("shard").applyInArrow(lambda t: found(t, *sent.value), FOUND), k)
+        return _best(index.groupBy("shard").applyInArrow(lambda t: found(t, *sent.value), FOUND), k)
     last = index.agg(F.max("shard")).first()[0] or 0
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     qs = queries.withColumn("block", F.pmod(F.xxhash64("qid", "qv"), F.lit(blocks)).cast("int")).withColumn("shard", every(last + 1))
@@ -573,7 +590,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int, config: GraphC
     def cell(t: pa.Table, mine: pa.Table) -> pa.Table:
         return found(t, mine["qid"].to_pylist(), matrix(mine["qv"].combine_chunks()) if mine.num_rows else np.zeros((0, 0)))
 
-    return top(xs.groupBy("shard", "block").cogroup(qs.groupBy("shard", "block")).applyInArrow(cell, FOUND), k)
+    return _best(xs.groupBy("shard", "block").cogroup(qs.groupBy("shard", "block")).applyInArrow(cell, FOUND), k)
 
 
 def trace(index: DataFrame, qid: int, q: list[float], k: int, ef: int, config: GraphConfig = GraphConfig(), patience: int = 0) -> DataFrame:

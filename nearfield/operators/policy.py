@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POLICIES = ("continuous", "quantile", "lid_only", "density_only", "uniform")
 
 
+#: The defaults of a policy.
 @dataclass(frozen=True)
 class Policy:
     kind: str = "continuous"
@@ -55,6 +56,12 @@ class Policy:
         return F.when(layer == 0, m).otherwise(up), F.when(layer == 0, 2 * m).otherwise(up)
 
 
+def adopted(signals: DataFrame, profile: DataFrame) -> DataFrame:
+    """signals (density, lid) beside the one row of a profile made elsewhere, whose deviations up to 1e-6 count as 1: what score() needs."""
+    one = profile.select(*(F.col(f"{c}_mean") for c in ("density", "lid")), *(F.when(F.col(f"{c}_std") <= 1e-6, 1.0).otherwise(F.col(f"{c}_std")).alias(f"{c}_std") for c in ("density", "lid")))
+    return signals.join(F.broadcast(one.limit(1)), F.lit(True))
+
+
 def node_level(id_: Column, m_base: int = 16) -> Column:
     """A geometric level from the id's hash, so that it depends on no order or partition."""
     u = (F.conv(F.substring(F.md5(id_.cast("string")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0

@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,34 +27,37 @@ def seed_of(token: str) -> int:
     return sum(ord(c) * BASE**i for i, c in enumerate(token[:CHARS])) % MODULUS
 
 
-#: Token vectors that a task remembers.
-MEMO = 50_000
+#: Token vectors that a task remembers, and texts whose sums are made at once.
+MEMO, TEXTS = 50_000, 200
 
 
 def embedded(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """id, v of unit length for each row; no tokens: zeros. No shuffle: a task makes the vectors of the tokens it meets."""
-
-    def run(frames):
-        find, known = re.compile(TOKEN).findall, {}
-
-        def vector(seed):
-            if seed not in known:
-                if len(known) >= MEMO:
-                    known.clear()
-                known[seed] = np.random.RandomState(seed).normal(size=dim)
-            return known[seed]
-
-        for frame in frames:
-            out = []
-            for t in frame.text:
-                v = np.zeros(dim)
-                for seed, n in Counter(seed_of(w) for w in find((t or "").lower())).items():
-                    v += n * vector(seed)
-                size = np.sqrt((v * v).sum())
-                out.append(v / size if size > 1e-9 else v)
-            yield pd.DataFrame({"id": frame.id, "v": out})
-
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, v array<double>")
+    """id, v of unit length for each row; no tokens: zeros. No shuffle: a task makes the vectors of the tokens it meets, each once,
+    and adds them up for many texts together."""
+
+    def run(batches):
+        find, place, known = re.compile(TOKEN).findall, {}, np.zeros((0, dim))
+        for batch in batches:
+            for s in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(s, TEXTS)
+                counts = [Counter(find((t or "").lower())) for t in part.column(1).to_pylist()]
+                new = {w for c in counts for w in c if w not in place}
+                if len(place) + len(new) > MEMO:
+                    place, known, new = {}, known[:0], {w for c in counts for w in c}
+                place.update(zip(sorted(new), range(len(place), len(place) + len(new)), strict=True))
+                known = np.concatenate([known, *(np.random.RandomState(seed_of(w)).normal(size=(1, dim)) for w in sorted(new))])
+                size = np.array([len(c) for c in counts])
+                at = np.fromiter((place[w] for c in counts for w in c), np.int64, size.sum())
+                n = np.fromiter((k for c in counts for k in c.values()), float, size.sum())
+                total, begin = np.zeros((len(counts), dim)), np.cumsum(size) - size
+                some = np.flatnonzero(size)
+                if len(some):
+                    total[some] = np.add.reduceat(known[at] * n[:, None], begin[some])
+                norm = np.sqrt((total * total).sum(1))[:, None]
+                v = np.where(norm > 1e-9, total / np.maximum(norm, 1e-9), total)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(np.arange(0, len(v) * dim + 1, dim, dtype=np.int32), v.ravel())], names=["id", "v"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, v array<double>")
 
 
 def semantic_search(df: DataFrame, id_col: str, text_col: str, questions: list[tuple[int, str]], k: int = 5, dim: int = 64) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Every query of the library with its equal in DuckDB's SQL, where there is one. Doubles are rounded on both sides."""
+"""The queries of the library with their equals in DuckDB's SQL. Doubles are rounded on both sides. index_queries adds its own."""
 
 from __future__ import annotations
 
@@ -14,22 +14,10 @@ from nearfield.operators import evaluate as E
 from nearfield.operators import graph_index as I
 from nearfield.operators import knn, quantize, signals, text
 from nearfield.operators import policy as P
+from nearfield.plans import index_queries  # noqa: F401: registers its queries
+from nearfield.plans.registry import QUERIES, SQL, query
 from nearfield.plans.session import checkpoint_folder, vectors
-from nearfield.sources import generators, vecs
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from nearfield.sources import vecs
 
 def r(c, digits: int = 6):
     return F.round(c, digits)
@@ -126,25 +114,6 @@ def roundtrip_ivecs(spark, sf):
     return _roundtrip(lists, vecs.write_ivecs, vecs.read_ivecs, "qid").select("pos", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
-def _generated(df: DataFrame) -> DataFrame:
-    return df.groupBy("region").agg(F.count("*").alias("n"), r(F.avg(V.norm(F.col("v"))), 4).alias("mean_norm"))
-
-
-@query()
-def gen_multi_manifold(spark, sf):
-    return _generated(generators.multi_manifold(spark))
-
-
-@query()
-def gen_sift_like(spark, sf):
-    return _generated(generators.sift_like(spark))
-
-
-@query()
-def gen_multi_cluster(spark, sf):
-    return _generated(generators.multi_cluster(spark))
-
-
 # Distances
 
 
@@ -566,7 +535,7 @@ def graph_projection(spark, sf):
     return _edges(spark, sf).where("src < dst").select("src", "dst").orderBy("src", "dst").limit(1500)
 
 
-# The graph index. A beam as wide as the shard visits all, so its hits are the exact ones.
+# The graph index. A beam as wide as the shard visits all, so its hits are the exact ones; index_queries has the others.
 
 
 def _searched(spark, sf, config, ef=1_000_000, patience=0, shard_size=I.SHARD):
@@ -579,66 +548,6 @@ def search_stock(spark, sf):
     return _shown(_searched(spark, sf, I.GraphConfig(adaptive=False)))
 
 
-@query(_KNN.format(d=_L2, w=""))
-def search_adaptive(spark, sf):
-    return _shown(_searched(spark, sf, I.GraphConfig()))
-
-
-@query(_KNN.format(d=_L2, w=""))
-def batch_search(spark, sf):
-    """Over several shards."""
-    return _shown(_searched(spark, sf, I.GraphConfig(), shard_size=200))
-
-
-def _recalled(spark, sf, **how):
-    x = vectors(spark, sf)
-    found = _searched(spark, sf, I.GraphConfig(), **how)
-    stats = found.agg(r(F.avg("n_evals"), 1).alias("evals"), F.max("used_ef").alias("ef"))
-    return E.recall(found, knn.nearest(x, _q(x), K)).join(stats, F.lit(True))
-
-
-@query()
-def search_evals(spark, sf):
-    return _recalled(spark, sf, ef=64)
-
-
-@query()
-def search_early_exit(spark, sf):
-    return _recalled(spark, sf, ef=64, patience=6)
-
-
-@query()
-def search_trace(spark, sf):
-    x = vectors(spark, sf)
-    first = x.orderBy("id").first()
-    return I.trace(I.build(x), first.id, list(first.v), K, 64, patience=6)
-
-
-def _built(spark, sf, config):
-    e = I.edges(I.build(vectors(spark, sf), config))
-    return e.groupBy("layer").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("nodes"))
-
-
-@query()
-def graph_build_stock(spark, sf):
-    return _built(spark, sf, I.GraphConfig(adaptive=False))
-
-
-@query()
-def graph_build_adaptive(spark, sf):
-    return _built(spark, sf, I.GraphConfig())
-
-
-@query()
-def select_diverse(spark, sf):
-    return I.edges(I.build(vectors(spark, sf), I.GraphConfig(hub_penalty=0.0))).where("layer = 0").select("src", "dst", "pos")
-
-
-@query()
-def select_diverse_hub(spark, sf):
-    return I.edges(I.build(vectors(spark, sf))).where("layer = 0").select("src", "dst", "pos")
-
-
 # Evaluation
 
 _FOUND = "WITH " + _Q + ", h AS (SELECT qid, id, round(list_distance(qv, v), 9) AS dist FROM q, e), gt AS (SELECT qid, id FROM h QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, id) <= 10), fo AS (SELECT qid, id FROM h WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, id) <= 10), hr AS (SELECT gt.qid, count(fo.id) AS hits, count(*) AS want FROM gt LEFT JOIN fo ON fo.qid = gt.qid AND fo.id = gt.id GROUP BY gt.qid)"
@@ -696,14 +605,6 @@ def spearman(spark, sf):
     return E.spearman(s, "density", "lid").select("n", r("rho", 5).alias("rho"))
 
 
-@query()
-def difficulty_vs_recall(spark, sf):
-    x = vectors(spark, sf)
-    found = _searched(spark, sf, I.GraphConfig(), ef=12)
-    rates = E.hits_of(found, knn.nearest(x, _q(x), K)).select("qid", (F.col("hits") / F.col("want")).alias("rate"))
-    return E.spearman(_scored(spark, sf).join(rates, "qid").select(r("score").alias("score"), "rate"), "score", "rate")
-
-
 @query("WITH " + _E + ", h AS (SELECT a.label, a.id AS qid, b.id, round(list_distance(a.v, b.v), 9) AS dist FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS k FROM h QUALIFY k <= 10), d AS (SELECT label, qid, avg(dist) AS density FROM n GROUP BY ALL) SELECT label, count(*) AS n, round(avg(density), 6) AS mean, round(stddev_pop(density), 6) AS std, round(min(density), 6) AS least, round(max(density), 6) AS most FROM d GROUP BY label")
 def cluster_profile(spark, sf):
     return _profiled(spark, sf).groupBy("label").agg(F.count("*").alias("n"), r(F.avg("density")).alias("mean"), r(F.stddev_pop("density")).alias("std"), r(F.min("density")).alias("least"), r(F.max("density")).alias("most"))
@@ -734,23 +635,6 @@ def heterogeneity(spark, sf):
     return signals.variance(vectors(spark, sf), "label").agg(r(F.try_divide(F.max("variance"), F.min("variance"))).alias("ratio"))
 
 
-@query()
-def pca_2d(spark, sf):
-    """id, x, y: the two main axes of the centred vectors, scaled to the largest coordinate, signs by the largest loading."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    x = vectors(spark, sf)
-    mean = x.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("x")).agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("m")).select(F.col("m.x").alias("mean"))
-    centred = x.join(F.broadcast(mean), F.lit(True)).select("id", array_to_vector(F.zip_with("v", "mean", lambda a, b: a - b)).alias("c"))
-    model = PCA(k=2, inputCol="c", outputCol="p").fit(centred)
-    axes = model.pc.toArray()
-    signs = [1.0 if axes[abs(axes[:, k]).argmax(), k] >= 0 else -1.0 for k in range(2)]
-    at = model.transform(centred).select("id", vector_to_array("p").alias("p")).select("id", (F.get("p", F.lit(0)) * signs[0]).alias("x"), (F.get("p", F.lit(1)) * signs[1]).alias("y"))
-    top = at.agg(F.greatest(F.max(F.abs("x")), F.max(F.abs("y"))).alias("top"))
-    return at.join(F.broadcast(top), F.lit(True)).select("id", r(F.try_divide("x", "top")).alias("x"), r(F.try_divide("y", "top")).alias("y"))
-
-
 @query("WITH t AS (SELECT event_type, avg(value) AS m, count(*) AS c FROM events GROUP BY event_type), b AS (SELECT m FROM t ORDER BY event_type LIMIT 1) SELECT event_type, CASE WHEN b.m > 0 THEN round((b.m - t.m) / b.m * 100, 4) END AS saved FROM t, b")
 def compare_configs(spark, sf):
     t = spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").agg(F.avg("value").alias("m"))
@@ -773,16 +657,6 @@ def minmax_scale(spark, sf):
 # Text
 
 
-def _docs(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet")
-
-
-@query()
-def tokenize(spark, sf):
-    t = text.tokens(F.col("text"))
-    return _docs(spark, sf).select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
-
-
 _WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(html), '[a-z]+')) AS t FROM pages"
 
 
@@ -792,18 +666,3 @@ def token_seed(spark, sf):
     return words.select("t", text.token_seed(F.col("t")).alias("seed"))
 
 
-@query()
-def embed_documents(spark, sf):
-    return text.embedded(_docs(spark, sf), "doc_id", "text").select("id", r(V.norm(F.col("v"))).alias("norm"))
-
-
-@query()
-def semantic_search(spark, sf):
-    return text.semantic_search(_docs(spark, sf), "doc_id", "text", [(0, "the and that with"), (1, "der die und nicht")])
-
-
-@query()
-def semantic_add(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", "text")
-    added = docs.agg((F.max("doc_id") + 1).alias("doc_id")).withColumn("text", F.lit("zebra quartz juggling"))
-    return text.semantic_search(docs.unionByName(added), "doc_id", "text", [(0, "zebra quartz juggling")])
