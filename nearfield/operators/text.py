@@ -27,8 +27,8 @@ def seed_of(token: str) -> int:
     return sum(ord(c) * BASE**i for i, c in enumerate(token[:CHARS])) % MODULUS
 
 
-#: Token vectors that a task remembers, and texts whose sums are made at once.
-MEMO, TEXTS = 50_000, 200
+#: Seeds whose vectors a task remembers, and texts whose sums are made at once.
+MEMO, TEXTS = 100_000, 200
 
 
 def embedded(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
@@ -36,16 +36,21 @@ def embedded(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFr
     and adds them up for many texts together."""
 
     def run(batches):
-        find, place, known = re.compile(TOKEN).findall, {}, np.zeros((0, dim))
+        find, place, known, random = re.compile(TOKEN).findall, {}, np.zeros((0, dim)), np.random.RandomState()
+
+        def vector(seed):
+            random.seed(seed)
+            return random.normal(size=(1, dim))
+
         for batch in batches:
             for s in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(s, TEXTS)
-                counts = [Counter(find((t or "").lower())) for t in part.column(1).to_pylist()]
+                counts = [Counter(map(seed_of, find((t or "").lower()))) for t in part.column(1).to_pylist()]
                 new = {w for c in counts for w in c if w not in place}
                 if len(place) + len(new) > MEMO:
                     place, known, new = {}, known[:0], {w for c in counts for w in c}
                 place.update(zip(sorted(new), range(len(place), len(place) + len(new)), strict=True))
-                known = np.concatenate([known, *(np.random.RandomState(seed_of(w)).normal(size=(1, dim)) for w in sorted(new))])
+                known = np.concatenate([known, *map(vector, sorted(new))])
                 size = np.array([len(c) for c in counts])
                 at = np.fromiter((place[w] for c in counts for w in c), np.int64, size.sum())
                 n = np.fromiter((k for c in counts for k in c.values()), float, size.sum())

@@ -1,12 +1,14 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import checked
-from nearfield.operators import graph_index
+from nearfield.operators import graph_index, text
 from nearfield.operators.policy import Policy
 from nearfield.operators.text import TOKEN, seed_of
-from nearfield.sources import generators, vecs
+from nearfield.sources import datasets, generators, vecs
 from nearfield.streaming import live
 
 
@@ -43,6 +45,16 @@ def test_equal_prefixes_share_a_seed():
     assert seed_of("abcdefgh") == seed_of("abcdefzz") != seed_of("abcdez") and TOKEN
 
 
+def test_embeddings_equal_sums_written_out(spark):
+    texts = ["one two two", "", None, "Ünï one-two a_b 9", "abcdefgh abcdefzz x"] + [f"w{i} w{i % 7}" for i in range(450)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(2)
+    for r in text.embedded(rows, "id", "text", 16).collect():
+        v = np.zeros(16)
+        for w in re.findall(TOKEN, (texts[r.id] or "").lower()):
+            v += np.random.RandomState(seed_of(w)).normal(size=16)
+        assert np.allclose(r.v, v / np.linalg.norm(v) if v.any() else v, atol=1e-12)
+
+
 def test_running_stats_stream(spark, tmp_path):
     rows = [("a", i, float(i * i % 7)) for i in range(30)] + [("b", 0, 5.0)]
     spark.createDataFrame(rows, "name string, seq long, x double").write.parquet(str(tmp_path / "in"))
@@ -67,3 +79,20 @@ def test_index_follows_a_stream(spark, tmp_path):
     assert index.count() == 40 and [x.id for x in index.where("deleted").collect()] == [3]
     more = graph_index.insert(index, spark.createDataFrame([(100, [0.0] * 4), (5, [0.0] * 4)], "id long, v array<double>"))
     assert more.count() == 41
+
+
+def test_data_sets_by_name(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "id long, v array<double>")
+    datasets.write_text_vectors(rows.withColumnRenamed("id", "word"), str(tmp_path / "words.txt"))
+    rows.write.parquet(str(tmp_path / "table.parquet"))
+    vecs.write_fvecs(rows, str(tmp_path / "file.fvecs"))
+    for name in ("words", "table", "file"):
+        assert sorted(r.v for r in datasets.resolve(spark, name, str(tmp_path)).collect()) == [[float(i), 1.0] for i in range(5)]
+    assert datasets.resolve(spark, "multi_cluster", n=20, dim=3).count() == 20
+    for wrong in (("nothing", str(tmp_path)), ("nothing", None)):
+        with pytest.raises(ValueError):
+            datasets.resolve(spark, *wrong)
+    with pytest.raises(Exception, match="needs 3 values"):
+        datasets.read_text_vectors(spark, str(tmp_path / "words.txt"), 3).collect()
+    got = datasets.checksums(spark, str(tmp_path / "file.fvecs")).collect()
+    assert sum(r["size"] for r in got) == 5 * 12 and all(len(r.md5) == 32 for r in got)
