@@ -4,14 +4,18 @@ hash evaluations a shingle give a signature of 120 values, cut into 24 bands of
 Only one document of each distinct shingle set goes on. Documents that agree in a band share a bucket. The bucket's
 centre is the member that lies in the fullest buckets, which for copies of one text tends to be the original; links of
 members to centres are confirmed on full sets and joined into components. Where members of a bucket are in different
-components after that, the other pairs of it are compared as well, by signature and then on full sets. Large buckets
-are dealt into blocks, each pair of blocks to one task, so no task holds more than two blocks.
+components after that, the other pairs of it are compared as well. Large buckets are dealt into blocks, each pair of
+blocks, a cell, to one task, so no task holds more than two blocks. A cell compares signatures only; pairs that pass
+are confirmed on full sets by a join with the texts. A cell in which more than PAIRS pairs a member pass is dense: its
+members come together once more with their texts, and pairs are confirmed there one at a time, without being written.
 
 No bucket is capped. A pair of similarity 0.85 shares no band with probability 1e-6, one of 0.8 with 1e-4.
 
 Words are runs without white space, with A-Z lowered; a text of fewer words than a shingle is one shingle as a whole.
-Null text, or no words: empty set, linked with nothing, a component of its own. Rows that share a doc_id are one
-document with the links of all of them. Null ids: not linked, kept. Extra columns are left as they are.
+Null or empty text, or no words: empty set, linked with nothing, a component of its own. Very long texts: whole; a
+bucket's blocks are smaller by their shingles. Ties: of equal sets, or of centres of equal score, the least doc_id. Rows that
+share a doc_id are one document with the links of all of them. Null ids: not linked, kept. An empty table gives no rows.
+Extra columns, whatever their names, are left as they are (one_of_each) or ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ PERMUTATIONS = BANDS * ROWS // 2
 BLOCK, BLOCK_SHINGLES = 2000, 500_000
 #: How far below the threshold a pair's estimated similarity may be: over four standard deviations.
 SLACK = 0.15
+#: Likely pairs for each member from which on a cell is dense.
+PAIRS = 4
 
 _SEEDS = np.random.RandomState(20240229)
 _MASK = np.array([_SEEDS.randint(0, 1 << 62) for _ in range(PERMUTATIONS)], np.uint64)
@@ -150,64 +156,101 @@ def confirmed(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return edges.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _links_in(rows: list[tuple], key: int, least: float, percent: int):
-    """The links a, b of one cell that tie different components, each confirmed on full sets when its turn comes."""
-    rep, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    size = np.array([r[3] for r in rows])
-    sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-    bands = np.array([r[5] for r in rows])
-    other = rep != np.array([r[2] for r in rows])
-    sets: dict[int, np.ndarray] = {}
-
-    def of(k):
-        if k not in sets:
-            sets[k] = shingles(rows[k][6])
-        return sets[k]
-
-    for k in range(len(rows) - 1):
-        if not other[k]:
-            continue
-        lo, hi = np.minimum(size[k + 1 :], size[k]), np.maximum(size[k + 1 :], size[k])
-        rest = np.flatnonzero(other[k + 1 :] & (comp[k + 1 :] != comp[k]) & (100 * lo >= percent * hi)) + k + 1
-        rest = rest[(sig[rest] == sig[k]).mean(1) >= least]
-        # A pair that shares several bands is compared in the bucket of the first.
-        shared = bands[rest] == bands[k]
-        rest = rest[bands[k][shared.argmax(1)] == key]
-        for x in rest.tolist():
-            if comp[x] != comp[k]:
-                both = len(np.intersect1d(of(k), of(x), assume_unique=True))
-                if 100 * both >= percent * (size[k] + size[x] - both):
-                    comp[comp == comp[x]] = comp[k]
-                    yield min(rep[k], rep[x]), max(rep[k], rep[x])
-
-
-def other_links(members: DataFrame, least: float, percent: int) -> DataFrame:
-    """Links a, b between members of a bucket in different components, without those of its centre, which are done; as few as
-    tie the components. members: key, blocks, rep, centre, comp, size, sig, bands, text. A cell is a pair of a bucket's blocks;
-    its rows come to one task, where pairs are only held one at a time."""
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    cells = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "centre", "size", "sig", "bands", "text")
-    dealt = cells.repartition("cell").sortWithinPartitions("cell", "key", "i", "j")
+class _Cell:
+    """rows: rep, comp, centre, size, sig, bands, and, where links are confirmed, text."""
+
+    def __init__(self, rows: list[tuple], key: int, least: float, percent: int):
+        self.rows, self.key, self.least, self.percent = rows, key, least, percent
+        self.rep, self.comp, self.size = (np.array([r[k] for r in rows]) for k in (0, 1, 3))
+        self.sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.bands = np.array([r[5] for r in rows])
+        self.other = self.rep != np.array([r[2] for r in rows])
+
+    def likely(self, k: int) -> np.ndarray:
+        """The rows behind k in other components, neither one the centre, whose sizes and signatures allow a link; a pair that
+        shares several bands counts in the bucket of the first."""
+        if not self.other[k]:
+            return np.zeros(0, int)
+        n, size = self.size[k + 1 :], self.size[k]
+        fits = 100 * np.minimum(n, size) >= self.percent * np.maximum(n, size)
+        rest = np.flatnonzero(self.other[k + 1 :] & (self.comp[k + 1 :] != self.comp[k]) & fits) + k + 1
+        rest = rest[(self.sig[rest] == self.sig[k]).mean(1) >= self.least]
+        return rest[self.bands[k][(self.bands[rest] == self.bands[k]).argmax(1)] == self.key]
+
+    def pairs(self) -> list[tuple[int, int]] | None:
+        """The likely pairs, or None if the cell is dense."""
+        out: list[tuple[int, int]] = []
+        for k in range(len(self.rows) - 1):
+            out += [(min(self.rep[k], self.rep[x]), max(self.rep[k], self.rep[x])) for x in self.likely(k)]
+            if len(out) > PAIRS * len(self.rows):
+                return None
+        return out
+
+    def links(self):
+        """The links that tie different components, each confirmed on full sets when its turn comes."""
+        sets: dict[int, np.ndarray] = {}
+
+        def of(k):
+            if k not in sets:
+                sets[k] = shingles(self.rows[k][6])
+            return sets[k]
+
+        for k in range(len(self.rows) - 1):
+            for x in self.likely(k).tolist():
+                if self.comp[x] != self.comp[k]:
+                    both = len(np.intersect1d(of(k), of(x), assume_unique=True))
+                    if 100 * both >= self.percent * (self.size[k] + self.size[x] - both):
+                        self.comp[self.comp == self.comp[x]] = self.comp[k]
+                        yield min(self.rep[k], self.rep[x]), max(self.rep[k], self.rep[x])
+
+
+CELL = ["key", "i", "j"]
+MEMBER = ["rep", "comp", "centre", "size", "sig", "bands"]
+
+
+def _by_cell(rows: DataFrame, columns: list[str], out, schema: str) -> DataFrame:
+    """out(cell, its rows) -> a list of rows of `schema`, for each cell in turn; a cell's rows are all a task holds."""
+    dealt = rows.select(F.xxhash64(*CELL).alias("cell"), *CELL, *columns).repartition("cell").sortWithinPartitions("cell", *CELL)
+    names, kinds = [c.split()[0] for c in schema.split(", ")], [pa.int32() if c.endswith("int") else pa.int64() for c in schema.split(", ")]
 
     def run(batches):
-        now, rows = None, []
+        now, held = None, []
 
-        def out():
-            got = list(_links_in(rows, now[1], least, percent)) if len(rows) > 1 else []  # two may both be others: the centre lies in a third block
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["a", "b"])
+        def done():
+            cols = list(zip(*out(now, held), strict=True)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for *cell, rep, comp, centre, size, sig, bands, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if cell != now:
-                    if rows:
-                        yield out()
-                    now, rows = cell, []
-                rows.append((rep, comp, centre, size, sig, bands, text))
-        if rows:
-            yield out()
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            for _, key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != now:
+                    if len(held) > 1:
+                        yield done()
+                    now, held = (key, i, j), []
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield done()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def other_links(members: DataFrame, texts: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links a, b between members of a bucket in different components, without those of its centre, which are done: in a dense cell
+    as few as tie the components, in others all. members: key, blocks, rep, centre, comp, size, sig, bands; texts: rep, text."""
+    members = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def look(cell, rows):
+        got = _Cell(rows, cell[0], least, percent).pairs()
+        return [(None, None, *cell)] if got is None else [(a, b, None, None, None) for a, b in got]
+
+    found = checkpointed(_by_cell(cells, MEMBER, look, "a long, b long, key long, i int, j int"))
+    links = confirmed(found.where("key IS NULL").select("a", "b").distinct(), texts, percent)
+    dense = found.where("key IS NOT NULL").select(*CELL)
+    if not dense.limit(1).count():
+        return links
+    both = members.join(dense, "key").where("own = i OR own = j").join(texts, "rep")
+    more = _by_cell(both, [*MEMBER, "text"], lambda cell, rows: list(_Cell(rows, cell[0], least, percent).links()), "a long, b long")
+    return links.unionByName(more).distinct()
 
 
 def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -240,8 +283,8 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     in_comp = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     mixed = in_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     members = in_comp.where("n > 2").join(mixed, "key").select("key", "blocks", "rep", "centre", "comp")
-    members = members.join(nodes.select("rep", "size", "sig", "bands"), "rep").join(texts, "rep")
-    more = checkpointed(other_links(members, least, percent))
+    members = members.join(nodes.select("rep", "size", "sig", "bands"), "rep")
+    more = checkpointed(other_links(members, texts, least, percent))
     if more.limit(1).count():
         comp = components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
@@ -260,14 +303,12 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The rows of df, with df's columns, that are the first of their component; of repeated rows of one id, one."""
     got = linked(df, id_col, text_col, percent)
-    drop = got.where("NOT kept").select(F.col("doc_id").alias("__drop")).distinct()
-    rest = df.join(drop, F.col(f"`{id_col}`").cast("long") == F.col("__drop"), "left_anti")
-    twice = got.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not twice.limit(1).count():
-        return rest
-    ids = [F.col(f"`{id_col}`")]
-    again = rest.join(twice.select(F.col("doc_id").alias("__twice")), ids[0].cast("long") == F.col("__twice"), "left_semi").dropDuplicates([id_col])
-    return rest.join(twice.select(F.col("doc_id").alias("__twice")), ids[0].cast("long") == F.col("__twice"), "left_anti").unionByName(again)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    rest = rows.join(got.where("NOT kept").select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti")
+    twice = got.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
+    if twice.limit(1).count():
+        rest = rest.join(twice, "id", "left_anti").unionByName(rest.join(twice, "id", "left_semi").dropDuplicates(["id"]))
+    return rest.select(*(F.col(f"row.`{c}`") for c in df.columns))
 
 
 SQL = r"""
