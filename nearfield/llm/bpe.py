@@ -2,7 +2,8 @@
 any other is merged with a heap over a linked list of its bytes.
 
 Null text: as the empty text. Empty text: no ids. Very long texts and pre-tokens: n log n in the pre-token.
-Repeated rows are each encoded. Extra columns are ignored.
+Ties: of pairs of equal rank the leftmost is merged. Repeated rows are each encoded. Null ids stay null. An empty table gives
+no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

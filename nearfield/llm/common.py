@@ -29,13 +29,22 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the one the cluster names, or on a single machine one of our own."""
+    """The checkpoint folder: the one the cluster names in spark.checkpoint.dir; a temporary one only where all is one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "nearfield-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "nearfield-checkpoints"))
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that is no longer needed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a copy in the shared checkpoint folder."""
     shared_folder(df.sparkSession)

@@ -205,8 +205,9 @@ def clean_rows(df: DataFrame, items: DataFrame, text_col: str = "text", item_col
     sent = list(finders(items, item_col, item_text_col, window, max_bytes))
     if len(sent) > 1:
         text = F.col(f"`{text_col}`").cast("string")
-        found = hits(df.select(text.alias("text")), sent).select(F.col("key").alias("__key")).distinct()
-        return df.join(found, F.sha2(text, 256) == F.col("__key"), "left_anti")
+        found = hits(df.select(text.alias("text")), sent).select("key").distinct()
+        rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.sha2(text, 256).alias("key"))
+        return rows.join(found, "key", "left_anti").select(*(F.col(f"row.`{c}`") for c in df.columns))
     k = df.columns.index(text_col)
 
     def run(batches):

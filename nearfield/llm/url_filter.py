@@ -2,7 +2,9 @@
 
 A rule fits its host and all subdomains if the url's path starts with the rule's path. The fit with most host labels,
 then the longest path, wins, whether it allows or blocks; a url that no rule fits gets the method's verdict, default.
-Null url, or one without "://": host and path are empty and no rule fits. Of rules with equal host and path, a block wins.
+Null url, or one without "://": host and path are empty and no rule fits. Of rules with equal host and path, a block wins. Very
+long urls: whole; a lookup takes time in proportion to the labels and segments that rules have. Repeated rows are each judged.
+An empty table gives no rows; without rules every url gets the default. Extra columns, whatever their names, are ignored.
 Up to max_rules rules are broadcast as one trie; beyond that, each url's possible rules are joined with the rules.
 """
 

@@ -86,6 +86,17 @@ def test_filters_keep_columns(spark, odd, items):
     assert sorted(str(r.doc_id) for r in minhash.one_of_each(odd).collect()) == ["1", "2", "3", "4", "5", "6", "None"]
 
 
+def test_columns_named_as_the_operators_name_theirs(spark, odd, labels, items):
+    clash = odd
+    for k, name in enumerate(("__row", "__q", "__t", "__w", "__d", "__drop", "__kept", "__lang", "row", "id", "key", "rep", "set", "pid", "bands", "word", "component")):
+        clash = clash.withColumn(name, F.lit(k) if k % 2 else F.lit(None).cast("string"))
+    for f in (quality.filtered, minhash.one_of_each, lambda d: decontaminate.clean_rows(d, items), lambda d: decontaminate.clean_rows(d, items, max_bytes=1), pii.redacted):
+        got, want = f(clash), f(odd)
+        assert got.dtypes == clash.dtypes and sorted(map(str, got.select(odd.columns).collect())) == sorted(map(str, want.collect()))
+    for name, f in operators(labels, items).items():
+        assert sorted(map(str, f(clash).collect())) == sorted(map(str, f(odd).collect())), name
+
+
 # 1 and 7
 
 
@@ -189,6 +200,17 @@ def test_longest_rule_wins_in_both_ways(spark):
     assert by[9] == ("x.org/", "block") and by[10] == ("org/a/b", "block") and by[11] == ("com/de/", "block") and by[12] == (None, "allow") and by[14] == (None, "allow")
 
 
+def test_urls_of_all_sorts(spark):
+    long = "http://" + "a." * 20_000 + "example.org/es/" + "x/" * 50_000
+    rows = [(1, long), (1, long), (2, None), (None, "http://com/de/"), (3, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("labels", F.lit(None).cast("string"))
+    for n in (1000, 0):
+        got = url_filter.judge(df, url_filter.RULES, max_rules=n).collect()
+        assert sorted((str(r.page_id), str(r.rule), r.verdict) for r in got) == [("1", "example.org/es/", "block")] * 2 + [("2", "None", "allow"), ("3", "None", "allow"), ("None", "com/de/", "block")]
+        assert url_filter.judge(df.limit(0), url_filter.RULES, max_rules=n).count() == 0
+    assert {r.verdict for r in url_filter.judge(df, []).collect()} == {"allow"}
+
+
 # 3
 
 
@@ -626,9 +648,10 @@ def brute_components(rows, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_components_equal_brute_force(spark, monkeypatch, percent):
+@pytest.mark.parametrize("percent, pairs", [(80, 4), (85, 4), (80, 0), (80, 10_000)])
+def test_components_equal_brute_force(spark, monkeypatch, percent, pairs):
     monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "PAIRS", pairs)
     r = random.Random(percent)
     base = [[f"w{r.randint(0, 400)}" for _ in range(r.randint(60, 200))] for _ in range(6)]
     rows = []
@@ -646,9 +669,10 @@ def test_two_others_of_a_bucket_whose_centre_is_in_a_third_block(spark):
     a, b, c = (next(r.id for r in reps if r.block == k) for k in range(3))
     words = [f"w{i}" for i in range(200)]
     texts = {a: "a text that is like neither of the others", b: " ".join(words), c: " ".join([*words[:-1], "x"])}
-    rows = [(7, 3, r, a, r, len(minhash.shingles(t)), bytes(2 * minhash.PERMUTATIONS), [7] * minhash.BANDS, t) for r, t in texts.items()]
-    members = spark.createDataFrame(rows, "key long, blocks int, rep long, centre long, comp long, size long, sig binary, bands array<long>, text string")
-    assert [tuple(r) for r in minhash.other_links(members, 0.7, 85).collect()] == [(min(b, c), max(b, c))]
+    rows = [(7, 3, r, a, r, len(minhash.shingles(t)), bytes(2 * minhash.PERMUTATIONS), [7] * minhash.BANDS) for r, t in texts.items()]
+    members = spark.createDataFrame(rows, "key long, blocks int, rep long, centre long, comp long, size long, sig binary, bands array<long>")
+    texts = spark.createDataFrame(list(texts.items()), "rep long, text string")
+    assert [tuple(r) for r in minhash.other_links(members, texts, 0.7, 85).collect()] == [(min(b, c), max(b, c))]
 
 
 def test_one_id_with_two_texts_ties_them(spark):
@@ -658,6 +682,12 @@ def test_one_id_with_two_texts_ties_them(spark):
     assert got == {(5, 1), (1, 1), (9, 1)}
 
 
+def test_components_of_odd_edges(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (None, 4), (4, None), (6, 5), (7, 6)], "u long, v long")
+    assert sorted((r.node, r.component) for r in components.components(edges).collect()) == [(1, 1), (2, 1), (5, 5), (6, 5), (7, 5)]
+    assert components.components(edges.limit(0)).count() == 0
+
+
 def test_long_path_is_one_component(spark):
     path = spark.range(400).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     got = components.components(path).collect()

@@ -29,3 +29,22 @@ def test_stages_are_named_and_return_columns(spark):
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_whole_pipeline_on_odd_rows_and_on_none(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    good = "The committee met on Tuesday to discuss plans for the new bridge across the river and its cost to the town"
+    other = "Farmers in the valley have harvested far more apples this year than they did in any of the ten years before"
+    rows = [
+        (1, good, "en", "a", len(good), None), (1, good, "en", "a", len(good), None), (2, good, None, None, None, "x"), (3, None, "en", "a", None, None), (4, "", "en", "a", 0, None),
+        (None, other, "en", "a", 1, None), (None, None, None, None, None, None), (5, f"{other} write to joe@example.org", "en", "a", 2, None), (6, " ".join(f"w{i:x}" for i in range(60_000)), "en", "a", 3, None),
+        (7, "short", "en", "a", 5, None),
+    ]
+    items = [(0, "in any of the ten years before write to joe example org"), (1, None), (None, "")]
+    for name, own, some in (("odd", rows, items), ("none", [], items), ("no_items", rows, [])):
+        spark.createDataFrame(own, columns).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(some, "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = {str(r.doc_id): r for r in pipeline.run(spark, str(tmp_path / "odd")).collect()}
+    assert set(got) == {"1", "None", "6"} and got["6"].n_tokens > 60_000
+    assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    assert sorted(str(r.doc_id) for r in pipeline.run(spark, str(tmp_path / "no_items")).collect()) == ["1", "5", "6", "None"]
