@@ -1,4 +1,9 @@
-"""From raw documents to tokens: quality rules, near-duplicates, benchmark decontamination, personal data, byte-level BPE."""
+"""From raw documents to tokens: quality rules, near-duplicates, benchmark decontamination, personal data, byte-level BPE.
+
+Rows with nulls, empty and very long texts, repeated rows and extra columns pass through the stages as the operators say: a
+null or empty text fails the quality rules, of repeated rows and near copies one stays, other columns are kept as they are up
+to the last stage, whose rows are ids with tokens. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import uuid
 import public_tokenizers as tokenizers
 
 from nearfield.llm import bpe, decontaminate, minhash, pii, quality
-from nearfield.llm.common import shared_folder, table
+from nearfield.llm.common import remove, shared_folder, table
 
 
 def keep_good(spark, docs, sf_dir):
@@ -37,7 +42,8 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The stages one after another, each one's result written to the shared folder and read again."""
+    """The stages one after another, each one's result written to the shared folder and read again. A result that the next stage
+    has read goes; the last one written stays, as the rows returned are made from it."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
@@ -45,3 +51,5 @@ def run(spark, sf_dir):
             return out
         out.write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")

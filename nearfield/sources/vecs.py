@@ -1,15 +1,20 @@
-"""fvecs and ivecs files: records of a little-endian count and as many 4-byte values, read in record-aligned ranges.
+"""fvecs and ivecs files: records of a little-endian count and as many 4-byte values.
 
 Files are listed and read through Spark's binaryFile source, so any store that Spark knows will do. Each row of that
-source is one file; keep files to some hundred MB. A partial last record is ignored. Rows: file, pos, v.
+source is one file, which a task reads as a whole and hands on in parts; keep files to some hundred MB, as the sinks here do:
+a task writes the file of its range itself. A partial last record is ignored. Rows: file, pos, v.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pa_fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,30 +49,31 @@ def read_ivecs(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return _read(spark, path, "<i4", "int", limit)
 
 
-def records(df: DataFrame, order: str, v: str, kind: str) -> DataFrame:
-    """part, data: df's vectors as file contents, a range of `order` in each; write them with write()."""
-
-    def run(frames):
-        data = []
-        for frame in frames:
-            for x in frame.v:
-                a = np.asarray(x, kind)
-                data.append(np.int32(len(a)).tobytes() + a.tobytes())
-        yield pd.DataFrame({"data": [b"".join(data)]} if data else {"data": []})
-
-    return df.select(F.col(order).alias("o"), F.col(v).alias("v")).repartitionByRange("o").sortWithinPartitions("o").mapInPandas(run, "data binary")
-
-
 def _write(df: DataFrame, path: str, order: str, v: str, kind: str) -> None:
-    """One file for each range, through Hadoop's file systems, in order of name."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
-    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(path))
-    for k, row in enumerate(records(df, order, v, kind).toLocalIterator()):
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/part-{k:05d}"), True)
-        out.write(bytearray(row.data))
-        out.close()
+    """A file for each range of `order`, in order of name, written by the range's task under a name of its own and then renamed, so
+    that a task may run again. path: of a file system that pyarrow knows (file, hdfs, s3, gs), shared by all machines."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).mkdirs(at)
+    uri = at.getFileSystem(conf).makeQualified(at).toUri().toString()
+    uri = uri.replace("file:/", "file:///", 1) if not uri.startswith("file://") else uri
+
+    def run(batches):
+        fs, folder = pa_fs.FileSystem.from_uri(uri)
+        part, name = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if name is None:
+                name = f"{folder}/.{part}-{uuid.uuid4()}"
+                out = fs.open_output_stream(name)
+            for x in batch.column(0).to_pylist():
+                out.write(np.int32(len(x)).tobytes() + np.asarray(x, kind).tobytes())
+        if name is not None:
+            out.close()
+            fs.move(name, f"{folder}/part-{part:05d}")
+        yield pa.RecordBatch.from_arrays([pa.array([int(name is not None)], pa.int32())], names=["files"])
+
+    ranged = df.select(F.col(order).alias("o"), F.col(v).alias("v")).repartitionByRange("o").sortWithinPartitions("o").select("v")
+    ranged.mapInArrow(run, "files int").agg(F.sum("files")).collect()
 
 
 def write_fvecs(df: DataFrame, path: str, order: str = "id", v: str = "v") -> None:
