@@ -26,21 +26,24 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     return hits_of(found, truth).agg((F.sum("hits") / F.sum("want")).alias("recall"))
 
 
-def running(df: DataFrame, by: list[str], order: list[str], value: str, total, out: str) -> DataFrame:
-    """df with `out`: total (F.sum or F.max) of value over the rows of the same `by` that come before in `order`; null for the
-    first. Rows of one `by` and equal order may count in any order among themselves."""
+def running(df: DataFrame, by: list[str], order: list[str], values: dict[str, str], total=F.sum) -> DataFrame:
+    """df with, for each {out: value}, total (F.sum or F.max) of value over the rows of the same `by` that come before in `order`;
+    null for the first. Rows of one `by` and equal order count in some order among themselves. A large `by` lies in many ranges."""
     ranged = df.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id())
     within = Window.partitionBy(*by, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranged.groupBy(*by, "__p").agg(total(value).alias("__t"))  # a row for each range, and one more for each `by`
+    ranges = ranged.groupBy(*by, "__p").agg(*(total(v).alias(f"__t_{out}") for out, v in values.items()))  # a row for each range, and one more for each `by`
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(*by, F.col("__p").alias("__q"), total("__t").over(earlier).alias("__before"))
+    ranges = ranges.select(*by, F.col("__p").alias("__q"), *(total(f"__t_{out}").over(earlier).alias(f"__before_{out}") for out in values))
     same = F.col("__p") == F.col("__q")
     for k, c in enumerate(by):
         ranges = ranges.withColumnRenamed(c, f"__by{k}")
         same = same & F.col(c).eqNullSafe(F.col(f"__by{k}"))
-    both = ranged.withColumn("__in", total(value).over(within)).join(ranges, same)
-    add = (lambda a, b: F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))) if total is F.sum else F.greatest
-    return both.select(*df.columns, add(F.col("__in"), F.col("__before")).alias(out))
+    both = ranged.withColumns({f"__in_{out}": total(v).over(within) for out, v in values.items()}).join(ranges, same)
+
+    def add(a, b):
+        return F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) if total is F.sum else F.greatest(a, b)
+
+    return both.select(*df.columns, *(add(F.col(f"__in_{out}"), F.col(f"__before_{out}")).alias(out) for out in values))
 
 
 def percentiles_by_index(df: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
@@ -48,7 +51,7 @@ def percentiles_by_index(df: DataFrame, value: str, points: dict[str, float]) ->
     n = df.agg(F.count(value).alias("n"))
     c = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
     up = F.coalesce("__up", F.lit(0)) + F.col("c")
-    rows = running(c, [], [value], "c", F.sum, "__up").withColumn("up", up).crossJoin(F.broadcast(n))  # n is one row
+    rows = running(c, [], [value], {"__up": "c"}).withColumn("up", up).crossJoin(F.broadcast(n))  # n is one row
     return rows.agg(*(F.min(F.when(F.col("up") > F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1), F.col(value))).alias(k) for k, p in points.items()))
 
 
@@ -56,7 +59,7 @@ def fractional_ranks(df: DataFrame, value: str, out: str, by: str | None = None)
     """Equal values share the mean of their ranks; from counts of distinct values, joined back. Null values have no rank."""
     keys = [by] if by else []
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    ranks = running(counts, keys, [value], "__c", F.sum, "__lower")
+    ranks = running(counts, keys, [value], {"__lower": "__c"})
     ranks = ranks.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, value])), (F.coalesce("__lower", F.lit(0)) + (F.col("__c") + 1) / 2).alias(out))
     same = F.col(value) == F.col(f"__k{len(keys)}")
     if by:
@@ -97,6 +100,6 @@ def centroid_distances(df: DataFrame, by: str) -> DataFrame:
 
 def pareto_front(df: DataFrame, cost: str, gain: str) -> DataFrame:
     """The rows that no other row equals or beats in both and beats in one; by a running maximum over rising cost."""
-    steps = running(df.groupBy(cost).agg(F.max(gain).alias("__g")), [], [cost], "__g", F.max, "__upto")
+    steps = running(df.groupBy(cost).agg(F.max(gain).alias("__g")), [], [cost], {"__upto": "__g"}, F.max)
     keep = steps.where(F.col("__upto").isNull() | (F.col("__g") > F.col("__upto"))).select(F.col(cost).alias("__c"), "__g")
     return df.join(keep, (F.col(cost) == F.col("__c")) & (F.col(gain) == F.col("__g")), "left_semi")

@@ -564,11 +564,13 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return top(hits.withColumn("n_evals", spent).drop("first"), k)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, ef: int, config: GraphConfig = GraphConfig(), patience: int = 0, max_queries: int = 20_000, **how) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int | None = None, config: GraphConfig = GraphConfig(), patience: int = 0, max_queries: int = 20_000, **how) -> DataFrame:
     """qid, id, dist, rank, n_evals (of the query in all shards that have a hit), used_ef (in the hit's shard). queries: qid, qv. Up to max_queries are broadcast; more
-    are dealt into blocks, and each shard meets each block in a task of its own. how: dynamic, bits, pool as for a shard."""
+    are dealt into blocks, and each shard meets each block in a task of its own. ef: by default half the build's, k at least; less
+    than k gives fewer hits. how: dynamic, bits, pool as for a shard."""
     queries = queries.select(F.col("qid").cast("long"), F.col("qv").cast("array<double>").alias("qv")).where("qv IS NOT NULL")
     blocks = max(1, -(-queries.count() // max_queries))
+    ef = max(k, (config.ef_base if config.adaptive else STOCK_EF) // 2) if ef is None else ef
 
     def found(t: pa.Table, ids: list, q: np.ndarray) -> pa.Table:
         got = Shard.of(t, config).search_many(q, k, ef, patience, **how) if t.num_rows and len(ids) else []

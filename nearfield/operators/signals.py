@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from nearfield.operators import evaluate
 
 TINY = 1e-9
 
@@ -39,10 +40,17 @@ def profile(signals: DataFrame) -> DataFrame:
 
 
 def running(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """df with n, mean and std of the values so far in each key's order; std of one value is 1, and at least 0.001."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    var = F.when(F.count(value).over(w) > 1, F.var_samp(value).over(w)).otherwise(1.0)
-    return df.select("*", F.count(value).over(w).alias("n"), F.avg(value).over(w).alias("mean"), F.sqrt(F.greatest(var, F.lit(1e-6))).alias("std"))
+    """df with n, mean and std of the values so far in each key's order; std of one value is 1, and at least 0.001. By running sums
+    over ranges of (key, order), so that a key of any size is shared out; about the mean of all, so that squares don't cancel."""
+    centre = df.agg(F.avg(value).alias("__c"))
+    x = F.col(value) - F.coalesce("__c", F.lit(0.0))
+    rows = df.crossJoin(F.broadcast(centre)).withColumns({"__x": F.coalesce(x, F.lit(0.0)), "__xx": F.coalesce(x * x, F.lit(0.0)), "__one": F.col(value).isNotNull().cast("long")})  # centre is one row
+    sums = evaluate.running(rows, [key], [order], {"__n": "__one", "__s": "__x", "__ss": "__xx"})
+    upto = lambda before, own: F.coalesce(before, F.lit(0)) + F.col(own)
+    sums = sums.withColumns({"n": upto("__n", "__one"), "__s": upto("__s", "__x"), "__ss": upto("__ss", "__xx")})
+    n = F.col("n")
+    var = F.when(n > 1, F.greatest(F.lit(0.0), F.col("__ss") - F.col("__s") * F.col("__s") / n) / (n - 1)).otherwise(1.0)
+    return sums.select(*df.columns, "n", F.when(n > 0, F.coalesce("__c", F.lit(0.0)) + F.col("__s") / n).alias("mean"), F.sqrt(F.greatest(var, F.lit(1e-6))).alias("std"))
 
 
 def running_ema(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.05) -> DataFrame:

@@ -596,13 +596,13 @@ def fractional_rank(spark, sf):
     return E.fractional_ranks(spark.read.parquet(f"{sf}/events.parquet"), "value", "rank", "event_type").select("event_id", r("rank", 1).alias("rank"))
 
 
-_RHO = ", rk AS (SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2 AS rx, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2 AS ry FROM {t}) SELECT count(*) AS n, round(corr(rx, ry), 5) AS rho FROM rk"
+_RHO = ", rk AS (SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2 AS rx, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2 AS ry FROM {t}) SELECT count(*) AS n, round(corr(rx, ry), 5) AS rho, abs(corr(rx, ry)) * sqrt(count(*) - 1) > 2.5758293 AS p_below_1pct FROM rk"
 
 
 @query("WITH " + _SIG + ", s2 AS (SELECT round(density, 6) AS density, round(lid, 5) AS lid FROM sig)" + _RHO.format(x="density", y="lid", t="s2"))
 def spearman(spark, sf):
     s = _signals(spark, sf).select(r("density").alias("density"), r("lid", 5).alias("lid"))
-    return E.spearman(s, "density", "lid").select("n", r("rho", 5).alias("rho"))
+    return E.spearman(s, "density", "lid").select("n", r("rho", 5).alias("rho"), (F.col("p") < 0.01).alias("p_below_1pct"))
 
 
 @query("WITH " + _E + ", h AS (SELECT a.label, a.id AS qid, b.id, round(list_distance(a.v, b.v), 9) AS dist FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS k FROM h QUALIFY k <= 10), d AS (SELECT label, qid, avg(dist) AS density FROM n GROUP BY ALL) SELECT label, count(*) AS n, round(avg(density), 6) AS mean, round(stddev_pop(density), 6) AS std, round(min(density), 6) AS least, round(max(density), 6) AS most FROM d GROUP BY label")

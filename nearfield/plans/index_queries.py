@@ -6,6 +6,7 @@ whatever those are: counts, bounds of recall and of evaluations, degrees, order,
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,9 @@ from nearfield.operators import policy as P
 from nearfield.plans import harness
 from nearfield.plans.projection import plane, projection
 from nearfield.plans.registry import query
+from nearfield.plans.service import Library, Studio
 from nearfield.plans.session import checkpoint_folder, vectors
-from nearfield.sources import datasets, generators
+from nearfield.sources import archives, datasets, generators
 
 K, EF = 10, 64
 DEAD = "id % 7 = 0"
@@ -410,6 +412,16 @@ def results_csv(spark, sf):
     return _results(spark, sf, "csv")
 
 
+@query("SELECT item_id::VARCHAR AS member, md5(text) AS md5, strlen(text) AS size FROM benchmark WHERE item_id < 3")
+def archive_members(spark, sf):
+    """Texts that were packed into archives come back with the checksums that were wanted."""
+    texts = [(str(r.item_id), r.text.encode()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id < 3").select("item_id", "text").collect()]
+    packed = spark.createDataFrame([("a", archives.packed(texts[:2], "tar.gz")), ("b", archives.packed(texts[2:], "zip"))], "file string, content binary")
+    wanted = {"a": hashlib.md5(packed.where("file = 'a'").first().content).hexdigest()}
+    got = archives.unpacked(archives.checked(packed, wanted))
+    return got.select("member", F.md5("content").alias("md5"), F.length("content").cast("long").alias("size"))
+
+
 @query("SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
 def resolve_dataset(spark, sf):
     return datasets.resolve(spark, "embeddings", sf).select("id", F.round(V.total(F.col("v")), 6).alias("total"))
@@ -455,3 +467,35 @@ def semantic_add(spark, sf):
     added = docs.agg((F.max("doc_id") + 1).alias("doc_id")).withColumn("text", F.lit("zebra quartz juggling"))
     got = text.semantic_search(docs.unionByName(added), "doc_id", "text", [(0, "juggling quartz zebra")])
     return got.where("rank = 1").select("qid", "id", "similarity")
+
+
+@query("SELECT engine, 2::BIGINT AS questions, true AS all_hits, true AS in_order, true AS near_exact FROM (VALUES ('stock'), ('adaptive')) t(engine)")
+def semantic_engines(spark, sf):
+    """Both engines over the documents' text vectors, beside exact search."""
+    docs = text.embedded(_docs(spark, sf), "doc_id", "text")
+    docs = harness.kept(docs)
+    asked = spark.createDataFrame([(0, "the and that with"), (1, "der die und nicht")], "qid long, text string")
+    q = harness.kept(text.embedded(asked, "qid", "text").select(F.col("id").alias("qid"), F.col("v").alias("qv")))
+    fifth = knn.nearest(docs, q, 5, "cosine").groupBy("qid").agg(F.max("dist").alias("worst"))
+    out = None
+    for engine, config in (("stock", Library.STOCK), ("adaptive", Library.ADAPTIVE)):
+        found = harness.kept(I.search(I.build(docs, config), q, 5, 200, config))
+        by = found.groupBy("qid").agg(F.count("*").alias("n"), F.max("dist").alias("far"), F.array_sort(F.collect_list(F.struct("rank", "dist"))).alias("o")).join(fifth, "qid")
+        row = by.agg(F.count("*").alias("questions"), _all(F.col("n") == 5).alias("all_hits"), _all(F.col("o.dist") == F.array_sort("o.dist")).alias("in_order"), _all(F.col("far") <= F.col("worst") + 0.1).alias("near_exact"))
+        row = row.select(F.lit(engine).alias("engine"), *row.columns)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("SELECT 300::BIGINT AS samples, 16::BIGINT AS dim, true AS built, true AS searched, true AS drawn, 5::BIGINT AS trials, true AS recalled")
+def studio_round(spark, sf):
+    """Status, data, indexes, search, picture and benchmark of the service, one after another."""
+    s = Studio(spark)
+    s.generate(n_samples=300, dim=16, n_queries=10)
+    built, found, graph, bench = s.build(), s.search(k=5, ef=300), s.graph(100), s.benchmark(k=5, ef=64)["results"]
+    status = s.status()
+    row = (
+        status["n_samples"], status["dim"], status["stock_built"] and built["adaptive"]["stats"]["live"] == 300, found["stock"]["recall"] == found["adaptive"]["recall"] == 1.0,
+        len(graph["nodes"]) == 100 and len(graph["edges_l0"]) > 0, len(bench), all(r["recall"] >= 0.8 for r in bench),
+    )
+    return spark.createDataFrame([row], "samples long, dim long, built boolean, searched boolean, drawn boolean, trials long, recalled boolean")

@@ -12,12 +12,13 @@ from nearfield.operators import graph_index
 
 
 def running_stats(stream: DataFrame, alpha: float | None = None) -> DataFrame:
-    """name, n, mean, std after each batch, from rows (name, seq, x); alpha: exponential updates after ten values."""
+    """name, n, mean, std after each batch, from rows (name, seq, x); alpha: exponential updates after ten values. Within a batch rows
+    count in the order of seq; a row that comes in a later batch counts then, whatever its seq is, which changes nothing but
+    exponential updates. A batch's rows of one name are taken in parts, each put in order for itself."""
 
     def update(key, frames: Iterator[pd.DataFrame], state):
         n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for x in rows.x:
+        for x in (x for frame in frames for x in frame.sort_values("seq").x):
             n += 1
             d = x - mean
             if alpha and n > 10:
@@ -33,8 +34,9 @@ def running_stats(stream: DataFrame, alpha: float | None = None) -> DataFrame:
     return stream.groupBy("name").applyInPandasWithState(update, "name string, n long, mean double, std double", "n long, mean double, m2 double", "update", "NoTimeout")
 
 
-def follow(stream: DataFrame, path: str, checkpoint: str, config: graph_index.GraphConfig = graph_index.GraphConfig()):
-    """A started query: each batch of rows (id, v, op), op insert or delete, makes a new version of the index under path."""
+def follow(stream: DataFrame, path: str, checkpoint: str, config: graph_index.GraphConfig = graph_index.GraphConfig(), keep: int = 2):
+    """A started query: each batch of rows (id, v, op), op insert or delete, makes a new version of the index under path, from the one
+    before; the `keep` last versions stay. A batch that runs again makes the same version again."""
 
     def apply(batch: DataFrame, version: int) -> None:
         spark = batch.sparkSession
@@ -43,5 +45,7 @@ def follow(stream: DataFrame, path: str, checkpoint: str, config: graph_index.Gr
         index = graph_index.insert(old, batch.where("op = 'insert'").select("id", "v"), config)
         graph_index.delete(index, batch.where("op = 'delete'").select("id")).write.mode("overwrite").parquet(f"{path}/v{version}")
         batch.unpersist()
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{version - keep}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
