@@ -117,8 +117,22 @@ class Shard:
     def __init__(self, ids: np.ndarray, x: np.ndarray, c: GraphConfig):
         self.ids, self.x, self.c = ids, x, c
         self.deleted = np.zeros(len(ids), bool)
-        self.links: list[dict[int, list[int]]] = []
-        self._matrices: dict = {}
+        self.links = []
+
+    @property
+    def links(self) -> list[dict[int, list[int]]]:
+        if self._links is None:  # read from a table, and so far only searched
+            rows = [[r[r >= 0].tolist() for r in m] for m in self._matrices]
+            self._links = [{int(u): r[u] for u in np.flatnonzero(self.level[: len(r)] >= layer)} for layer, r in enumerate(rows)]
+        return self._links
+
+    @links.setter
+    def links(self, layers: list[dict[int, list[int]]]) -> None:
+        self._links, self._matrices = layers, None
+
+    def _changed(self) -> None:
+        """What links say is no longer in the matrices."""
+        self._links, self._matrices = self.links, None
 
     # Building
 
@@ -234,8 +248,9 @@ class Shard:
 
     def _join_up(self) -> None:
         """Ties live nodes that the entry can't reach on layer 0 to the nearest reached one."""
-        self._matrices = {}
+        self._changed()
         at = self.entry()
+        self._changed()
         if at < 0:
             return
         links, seen = self.links[0], np.zeros(len(self.ids), bool)
@@ -266,6 +281,7 @@ class Shard:
         new = np.arange(old, old + len(ids))
         first = self.search_many(x, 1, 1, levels=True)  # the way down: for each layer, where a beam starts
         found = [self._beams(x, starts, np.full(len(x), self.c.ef_max if self.c.adaptive else STOCK_EF), layer)[0] if starts is not None else None for layer, starts in enumerate(first)]
+        self._changed()
         self.ids, self.x = np.r_[self.ids, ids], np.concatenate([self.x, x])
         self.deleted = np.r_[self.deleted, np.zeros(len(ids), bool)]
         level = np.array([level_of(int(i), self.c.m_base) for i in ids], int)
@@ -349,24 +365,23 @@ class Shard:
 
     def entry(self) -> int:
         """On the highest layer that has a live node with a link, the one of most links; else the first live node, or -1."""
-        for layer in range(len(self.links) - 1, -1, -1):
-            live = [(-len(ws), u) for u, ws in self.links[layer].items() if ws and not self.deleted[u]]
-            if live:
-                return min(live)[1]
+        for links in reversed(self._links_of()):
+            degree = np.where(self.deleted, 0, (links >= 0).sum(1))
+            if degree.any():
+                return int(degree.argmax())
         live = np.flatnonzero(~self.deleted)
         return int(live[0]) if len(live) else -1
 
-    def _links_of(self, layer: int) -> np.ndarray:
-        """[node, place]: the links of a layer, -1 where there are none."""
-        if layer not in self._matrices:
-            links = self.links[layer]
-            self._matrices[layer] = _padded([links.get(u, ()) for u in range(len(self.ids))], -1, np.int64)
-        return self._matrices[layer]
+    def _links_of(self) -> list[np.ndarray]:
+        """[node, place] for each layer: its links, -1 where there are none."""
+        if self._matrices is None:
+            self._matrices = [_padded([layer.get(u, ()) for u in range(len(self.ids))], -1, np.int64) for layer in self._links]
+        return self._matrices
 
     def _beams(self, q: np.ndarray, starts: np.ndarray, ef: np.ndarray, layer: int, patience: int = 0, eps: float = 1e-4, x: np.ndarray | None = None, trace: list | None = None):
         """Best first, a step of all queries at a time: ((distances, nodes) [query, rank], evaluations). A beam ends when each of
         its ef nearest was looked at. patience > 0 ends it after so many steps in a row that improved nothing, once it is full."""
-        x, links, n = self.x if x is None else x, self._links_of(layer), len(q)
+        x, links, n = self.x if x is None else x, self._links_of()[layer], len(q)
         width = int(min(ef.max(initial=1), len(self.ids)))
         dist, node, done = np.full((n, width), np.inf), np.full((n, width), -1), np.zeros((n, width), bool)
         limit = np.minimum(ef, width)
@@ -392,9 +407,11 @@ class Shard:
             best, full, worst, size = dist[active, 0], node[active, limit[active] - 1] >= 0, dist[active, limit[active] - 1], (node[active] >= 0).sum(1)
             a, t, f = active[some], to[some], fresh[some]
             if len(a):
-                seen[np.repeat(a, f.sum(1)), t[f]] = True
+                of = np.repeat(a, f.sum(1))
+                seen[of, t[f]] = True
                 evals[a] += f.sum(1)
-                d = np.where(f, exact(x[np.maximum(t, 0)], q[a][:, None], self.c.metric), np.inf)
+                d = np.full(f.shape, np.inf)
+                d[f] = exact(x[t[f]], q[of], self.c.metric)
                 all_d, all_n = np.concatenate([dist[a], d], 1), np.concatenate([node[a], np.where(f, t, -1)], 1)
                 all_done = np.concatenate([done[a], np.zeros(f.shape, bool)], 1)
                 order = np.argsort(all_d, axis=1, kind="stable")[:, :width]
@@ -427,15 +444,15 @@ class Shard:
         """For each query (hits as (distance, id), evaluations, used ef); the dead lead on, but aren't returned. dynamic: a beam as
         wide as the entry's score (score), or that and the query's distance from it (hardness), ask for. bits: beams over codes
         of 8 or 4 bits, whose first `pool` live hits (0: all) are measured again exactly. levels: where beams start, by layer."""
-        at, n = self.entry(), len(q)
+        at, n, layers = self.entry(), len(q), len(self._links_of())
         if at < 0 or not n:
-            return [None] * len(self.links) if levels else [([], 0, ef)] * n
+            return [None] * layers if levels else [([], 0, ef)] * n
         x = self.coded(bits) if bits else self.x
-        starts, evals, way = np.full(n, at), np.zeros(n, np.int64), [None] * len(self.links)
+        starts, evals, way = np.full(n, at), np.zeros(n, np.int64), [None] * layers
         if trace is not None:
-            trace.append(("enter", at, -1, len(self.links) - 1, float(exact(x[at], q[0], self.c.metric))))
-        for layer in range(len(self.links) - 1, 0, -1):
-            if at in self.links[layer]:
+            trace.append(("enter", at, -1, layers - 1, float(exact(x[at], q[0], self.c.metric))))
+        for layer in range(layers - 1, 0, -1):
+            if self.level[at] >= layer:
                 got, e = [], []
                 for s in range(0, n, TOGETHER):
                     b = self._beams(q[s : s + TOGETHER], starts[s : s + TOGETHER], np.ones(len(q[s : s + TOGETHER]), int), layer, x=x, trace=trace)
@@ -488,9 +505,22 @@ class Shard:
     def of(cls, t: pa.Table, c: GraphConfig) -> Shard:
         t = t.sort_by("id").combine_chunks()
         s = cls(t["id"].to_numpy(), matrix(t["v"].combine_chunks()) if t.num_rows else np.zeros((0, 0)), c)
-        place = {int(i): k for k, i in enumerate(s.ids)}
-        rows = t["links"].to_pylist()
-        s.links = [{u: [place[w] for w in r[layer] if w in place] for u, r in enumerate(rows) if len(r) > layer} for layer in range(max(map(len, rows), default=0))]
+        outer = t["links"].combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.list_(pa.int64())))
+        inner = outer.flatten()
+        layers, first = np.diff(outer.offsets.to_numpy()), outer.offsets.to_numpy()[:-1] - (outer.offsets.to_numpy()[0] if len(outer) else 0)
+        ends, to = inner.offsets.to_numpy(), inner.flatten().to_numpy()
+        ends = ends - (ends[0] if len(ends) else 0)
+        place = np.minimum(np.searchsorted(s.ids, to), max(0, len(s.ids) - 1))
+        place = np.where(s.ids[place] == to, place, -1) if len(to) else place
+        s._links, s._matrices = None, []
+        for layer in range(int(layers.max(initial=0))):
+            u = np.flatnonzero(layers > layer)
+            at = first[u] + layer
+            count = ends[at + 1] - ends[at]
+            links = np.full((len(s.ids), int(count.max(initial=0))), -1, np.int64)
+            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            links[np.repeat(u, count), k] = place[np.repeat(ends[at], count) + k]
+            s._matrices.append(links)
         for name in ("level", "m", "ef", "density", "lid"):
             setattr(s, name, t[name].to_numpy())
         s.deleted = np.array(t["deleted"].to_pylist(), bool)
