@@ -91,7 +91,7 @@ GROUP = re.compile(r"[+(]*[0-9]+\)?")
 SPELT = re.compile(r"(?:@|[\[(]at[\])]|\bat\b)", re.IGNORECASE)
 ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:@|[\[(]at[\])]|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[(]dot[\])]|\sdot\s)\s?[A-Za-z0-9-]{2,63}){0,4}", re.IGNORECASE)
 #: Long strings in which letters and digits alternate are looked at.
-STRING = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}")
+STRING = re.compile(r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}")
 MAX_UNITS = 8
 #: The probability that a span of the field needs.
 LEAST = 0.9
