@@ -171,6 +171,24 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", e
     return top(in_blocks(corpus, queries, lambda qi, q, i, x: block_hits(qi, q, i, x, k, metric, exclude), lambda parts: _best(parts, k), max_queries), k)
 
 
+def nearest_in_groups(corpus: DataFrame, k: int, metric: str = "l2", max_rows: int = MAX_ROWS) -> DataFrame:
+    """qid, id, dist, rank: for each row of corpus (id, v, g) its nearest other rows of the same g. A group is dealt into blocks by its
+    size, and each pair of them is a cell, so that neither many groups nor a large one make a task larger than two blocks."""
+    rows = corpus.select("g", F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("v IS NOT NULL AND g IS NOT NULL")
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / F.lit(max_rows)).cast("int").alias("n"))
+    dealt = rows.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("id", "v"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cell = lambda q, x: [F.col("g"), F.col(q).alias("q"), F.col(x).alias("x"), F.col("id"), F.col("v")]
+    qs, xs = dealt.select(*cell("own", "other")), dealt.select(*cell("other", "own"))
+
+    def run(asked: pa.Table, met: pa.Table) -> pa.Table:
+        if not asked.num_rows or not met.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=["qid", "id", "dist"])
+        q, x = (matrix(t["v"].combine_chunks()) for t in (asked, met))
+        return pa.table([pa.array(c) for c in block_hits(asked["id"].to_numpy(), q, met["id"].to_numpy(), x, k, metric, "id")], names=["qid", "id", "dist"])
+
+    return top(qs.groupBy("g", "q", "x").cogroup(xs.groupBy("g", "q", "x")).applyInArrow(run, HITS), k)
+
+
 def within(corpus: DataFrame, queries: DataFrame, radius: float, metric: str = "l2", max_queries: int = MAX_QUERIES) -> DataFrame:
     """qid, id, dist of all pairs with 1e-9 < dist <= radius: a range join in blocks."""
 

@@ -611,15 +611,10 @@ def cluster_profile(spark, sf):
 
 
 def _profiled(spark, sf):
-    """label, density of each row among its own label: one pass of the neighbours within a label, in blocks of queries."""
+    """label, density of each row among its own label."""
     x = vectors(spark, sf)
-    labels = [row.label for row in x.select("label").distinct().collect()]  # a handful of clusters
-    out = None
-    for label in labels:
-        own = x.where(F.col("label") == label)
-        got = signals.neighbour_signals(knn.nearest(own, _all_queries(own), K, exclude="id")).select(F.lit(label).alias("label"), "density")
-        out = got if out is None else out.unionByName(got)
-    return out
+    near = knn.nearest_in_groups(x.withColumn("g", F.col("label")), K)
+    return signals.neighbour_signals(near).join(x.select(F.col("id").alias("qid"), "label"), "qid").select("label", "density")
 
 
 _CENT = ", ct AS (SELECT label, list(x ORDER BY d) AS c FROM (SELECT label, d, avg(x) AS x FROM (SELECT label, unnest(range(len(v))) AS d, unnest(v) AS x FROM e) GROUP BY ALL) GROUP BY label)"

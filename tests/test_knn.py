@@ -64,3 +64,16 @@ def test_many_queries_stay_off_the_driver(spark):
     x = spark.range(400).selectExpr("id", "array(id * 1.0D, 1.0D) AS v")
     plan = knn.nearest(x, x.selectExpr("id AS qid", "v AS qv"), 3, max_queries=50)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "BroadcastExchange" not in plan
+
+
+@pytest.mark.parametrize("max_rows", [30, 10_000])
+def test_neighbours_within_groups(spark, max_rows):
+    r = np.random.RandomState(8)
+    x, g = r.normal(size=(250, 3)), np.array(["a"] * 170 + ["b"] * 79 + ["c"])
+    rows = spark.createDataFrame([(i, v.tolist(), str(k)) for i, (v, k) in enumerate(zip(x, g, strict=True))] + [(900, None, "a"), (901, [0.0] * 3, None)], "id long, v array<double>, g string")
+    got = sorted((h.qid, h["rank"], h.id, h.dist) for h in knn.nearest_in_groups(rows, 4, max_rows=max_rows).collect())
+    want = []
+    for k in "abc":
+        ids = np.flatnonzero(g == k)
+        want += brute(ids, x[ids], ids, x[ids], 4, "l2", "id")
+    assert [(a, c, d) for a, _, c, d in got] == want
