@@ -177,7 +177,7 @@ def nearest_in_groups(corpus: DataFrame, k: int, metric: str = "l2", max_rows: i
     rows = corpus.select("g", F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("v IS NOT NULL AND g IS NOT NULL")
     sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / F.lit(max_rows)).cast("int").alias("n"))
     dealt = rows.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("id", "v"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cell = lambda q, x: [F.col("g"), F.col(q).alias("q"), F.col(x).alias("x"), F.col("id"), F.col("v")]
+    cell = lambda q, x: [F.col(c).alias(n) for c, n in (("g", "g"), (q, "q"), (x, "x"), ("id", "id"), ("v", "v"))]
     qs, xs = dealt.select(*cell("own", "other")), dealt.select(*cell("other", "own"))
 
     def run(asked: pa.Table, met: pa.Table) -> pa.Table:
