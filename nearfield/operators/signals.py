@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from nearfield.operators import evaluate
 
@@ -53,18 +57,66 @@ def running(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return sums.select(*df.columns, "n", F.when(n > 0, F.coalesce("__c", F.lit(0.0)) + F.col("__s") / n).alias("mean"), F.sqrt(F.greatest(var, F.lit(1e-6))).alias("std"))
 
 
+#: Values before exponential updates begin, and values that are folded at once.
+WARM, AT_ONCE = 10, 256
+
+
+class _Fold:
+    """n, mean and m2 after all values so far: Welford's update for the first ones, then exponential ones."""
+
+    def __init__(self, alpha: float):
+        self.alpha, self.n, self.mean, self.m2 = alpha, 0, 0.0, 0.0
+        back = np.subtract.outer(np.arange(AT_ONCE), np.arange(AT_ONCE))
+        self.decay = np.where(back >= 0, (1 - alpha) ** np.maximum(back, 0), 0.0)  # [after, of]
+
+    def add(self, x: np.ndarray) -> None:
+        for v in x[: max(0, WARM - self.n)].tolist():
+            self.n += 1
+            d = v - self.mean
+            self.mean += d / self.n
+            self.m2 += d * (v - self.mean)
+            x = x[1:]
+        a = self.alpha
+        for s in range(0, len(x), AT_ONCE):
+            part = x[s : s + AT_ONCE]
+            k = len(part)
+            decay, left = self.decay[:k, :k], (1 - a) ** np.arange(1, k + 1)
+            mean = left * self.mean + a * (decay @ part)
+            d = part - np.r_[self.mean, mean[:-1]]
+            self.m2 = float(left[-1] * self.m2 + (1 - a) * a * (decay[-1] @ (d * d)))
+            self.mean, self.n = float(mean[-1]), self.n + k
+
+    def row(self) -> tuple[int, float, float]:
+        var = self.m2 if self.n > WARM else self.m2 / (self.n - 1) if self.n > 1 else 1.0
+        return self.n, self.mean, max(1e-6, var) ** 0.5
+
+
 def running_ema(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """key, n, mean, std: after ten values by Welford's update, exponential updates; a fold of each key in order."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-
-    def step(s, e):
-        d, n = e["x"] - s["mean"], s["n"] + 1
-        late = n > 10
-        mean = F.when(late, s["mean"] + alpha * d).otherwise(s["mean"] + d / n)
-        m2 = F.when(late, (1 - alpha) * (s["m2"] + alpha * d * d)).otherwise(s["m2"] + d * (e["x"] - mean))
-        return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
-
-    fold = F.aggregate(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("x")))), zero, step)
-    s = df.groupBy(key).agg(fold.alias("s"))
-    var = F.when(F.col("s.n") > 10, F.col("s.m2")).when(F.col("s.n") > 1, F.col("s.m2") / (F.col("s.n") - 1)).otherwise(1.0)
-    return s.select(key, F.col("s.n").alias("n"), F.col("s.mean").alias("mean"), F.sqrt(F.greatest(var, F.lit(1e-6))).alias("std"))
+    """key, n, mean, std: after ten values by Welford's update, exponential updates. Null values are left out. A key's rows pass
+    through one task in order, some at a time; only three numbers are kept of them."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n", T.IntegerType()), T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())])
+    kind = to_arrow_type(df.schema[key].dataType)
+
+    def run(batches):
+        now, fold = None, None
+
+        def out(keys, folds):
+            cols = list(zip(*(f.row() for f in folds), strict=True)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.float64()), strict=True))], names=[key, "n", "mean", "std"])
+
+        for batch in batches:
+            keys, x = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+            starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if a == b:
+                    continue
+                if fold is None or keys[a] != now:
+                    if fold is not None:
+                        yield out([now], [fold])
+                    now, fold = keys[a], _Fold(alpha)
+                fold.add(x[a:b])
+        if fold is not None:
+            yield out([now], [fold])
+
+    return rows.repartition("k").sortWithinPartitions("k", "o").mapInArrow(run, schema)

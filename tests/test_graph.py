@@ -210,3 +210,20 @@ def test_several_passes_equal_one(spark):
     f = frame(spark, R.normal(size=(120, 5)))
     q = f.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
     assert sorted(knn.nearest(f, q, 4).collect()) == sorted(knn.nearest(f, q, 4, max_queries=17).collect())
+
+
+def test_exponential_statistics_equal_a_fold(spark):
+    rows = [(k, i, float(R.normal(5, 2))) for k, n in (("a", 700), ("b", 11), ("c", 10), ("d", 1)) for i in range(n)] + [("a", 9999, None), (None, 0, 3.0), (None, 1, 4.0)]
+    got = {r.k: r for r in signals.running_ema(spark.createDataFrame(rows, "k string, o long, x double").repartition(5), "k", "o", "x").collect()}
+    for key in ("a", "b", "c", "d", None):
+        n, mean, m2 = 0, 0.0, 0.0
+        for x in (x for k, _, x in rows if k == key and x is not None):
+            n, d = n + 1, x - mean
+            if n > 10:
+                mean += 0.05 * d
+                m2 = 0.95 * (m2 + 0.05 * d * d)
+            else:
+                mean += d / n
+                m2 += d * (x - mean)
+        std = max(1e-6, m2 if n > 10 else m2 / (n - 1) if n > 1 else 1.0) ** 0.5
+        assert got[key].n == n and abs(got[key]["mean"] - mean) < 1e-9 and abs(got[key]["std"] - std) < 1e-9
