@@ -1,4 +1,9 @@
+import re
+
+import duckdb
 import public_tokenizers as tokenizers
+import tiktoken
+from test_operators import brute_components, brute_spans
 
 import corpus_pipeline as pipeline
 from nearfield.llm import bpe, minhash, pii, quality
@@ -23,6 +28,37 @@ def test_stages_equal_their_operators_in_turn(spark):
     assert got == want and 0 < len(got) < docs.count()
 
 
+def test_rows_equal_brute_force(spark):
+    """Each stage by plain means: SQL, sets of shingles, strings in strings, regular expressions and the library tiktoken. Only where
+    the field adds spans is taken from it."""
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    names = con.sql(quality.SQL).columns
+    good = {r[names.index("doc_id")] for r in con.sql(quality.SQL).fetchall() if r[names.index("kept")]}
+    texts = {i: t for i, t in con.sql("select doc_id, text from documents").fetchall() if i in good}
+    parts = brute_components(list(texts.items()), 80)
+    texts = {i: t for i, t in texts.items() if parts[i][1] == i}
+    low = lambda t: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    items = [low(r[0]) for r in con.sql(f"select text from '{SF}/benchmark.parquet'").fetchall()]
+    windows = {" " + " ".join(w[k : k + 10]) + " " for w in items if w for k in range(max(1, len(w) - 9))}
+    texts = {i: t for i, t in texts.items() if not any(w in " " + " ".join(low(t)) + " " for w in windows)}
+    field = pii.fit(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    coder = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=bpe.encoder(bpe.read_vocab(tokenizers.path("byte_bpe_50k.tiktoken")), tokenizers.PATTERN).ranks, special_tokens={})
+    want, masks = {}, 0
+    for i, t in texts.items():
+        base, spans = brute_spans(t), pii.all_spans(t, field)[1]
+        assert set(base) <= set(spans)
+        chars, at = list(t), {}
+        for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+            if all(not (x < b and a < y) for x, y in at):  # spans of these texts don't overlap in part
+                at[a, b] = kind
+        for (a, b), kind in at.items():
+            chars[a:b] = [f"<{kind.upper()}>"] + [""] * (b - a - 1)
+            masks += 1
+        want[i] = coder.encode_ordinary("".join(chars))
+    assert {r.doc_id: r.ids for r in pipeline.run(spark, SF).collect()} == want and masks > 0
+
+
 def test_stages_are_named_and_return_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "minhash_dedup", "decontamination", "pii", "byte_bpe"]
