@@ -28,9 +28,20 @@ K, EDGE_K, RADIUS = 10, 8, 1.2
 # SQL parts: e the vectors; q the queries; hit all pairs; near the ten nearest of each row; sig its signals; g the graph.
 _E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 _Q = _E + ", q AS (SELECT id AS qid, v AS qv FROM e WHERE id % 20 = 0)"
-_NEAR = _E + ", hit AS (SELECT a.id AS qid, b.id AS id, round(list_distance(a.v, b.v), 9) AS dist FROM e a JOIN e b ON a.id <> b.id), near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM hit QUALIFY rank <= 10)"
+_NEAR = (_E +
+    ", hit AS (SELECT a.id AS qid, b.id AS id, round(list_distance(a.v, b.v), 9) AS dist FROM e a JOIN e b ON a.id <> b.id), "
+    "near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM hit QUALIFY rank <= 10)"
+)
 _LID = "CASE WHEN len(p) < 3 THEN 2.0 WHEN abs(s) < 1e-9 THEN 1.0 ELSE greatest(1.0, least(1000.0, -(len(p) - 1) / s)) END"
-_SIG = _NEAR + ", ds AS (SELECT qid, avg(dist) AS density, list_filter(list(dist ORDER BY dist), lambda x: x > 1e-9) AS p FROM near GROUP BY qid), dl AS (SELECT *, list_sum(list_transform(p[1:greatest(len(p) - 1, 0)], lambda x: ln(greatest(1e-9, least(1 - 1e-9, x / p[len(p)]))))) AS s FROM ds), sig AS (SELECT qid, density, " + _LID + " AS lid FROM dl), st AS (SELECT avg(density) AS dm, CASE WHEN stddev_pop(density) <= 1e-6 THEN 1 ELSE stddev_pop(density) END AS dsd, avg(lid) AS lm, CASE WHEN stddev_pop(lid) <= 1e-6 THEN 1 ELSE stddev_pop(lid) END AS lsd FROM sig), z AS (SELECT *, (density - dm) / (dsd + 1e-6) AS zd, (lid - lm) / (lsd + 1e-6) AS zl FROM sig, st)"
+_SIG = (_NEAR +
+    ", ds AS (SELECT qid, avg(dist) AS density, list_filter(list(dist ORDER BY dist), lambda x: x > 1e-9) AS p FROM near "
+    "GROUP BY qid), dl AS (SELECT *, list_sum(list_transform(p[1:greatest(len(p) - 1, 0)], lambda x: ln(greatest(1e-9, least(1 - 1e-9, "
+    "x / p[len(p)]))))) AS s FROM ds), sig AS (SELECT qid, density, " + _LID +
+    " AS lid FROM dl), st AS (SELECT avg(density) AS dm, "
+    "CASE WHEN stddev_pop(density) <= 1e-6 THEN 1 ELSE stddev_pop(density) END AS dsd, avg(lid) AS lm, "
+    "CASE WHEN stddev_pop(lid) <= 1e-6 THEN 1 ELSE stddev_pop(lid) END AS lsd FROM sig), "
+    "z AS (SELECT *, (density - dm) / (dsd + 1e-6) AS zd, (lid - lm) / (lsd + 1e-6) AS zl FROM sig, st)"
+)
 _SCORE = _SIG + ", sc AS (SELECT *, greatest(-3.0, least(3.0, 0.5 * zl + 0.5 * zd)) AS score FROM z)"
 _G = _NEAR + ", g AS (SELECT qid AS src, id AS dst, dist FROM near WHERE rank <= 8)"
 _DEAD = ", dead AS (SELECT id FROM e WHERE id % 7 = 0)"
@@ -141,7 +152,11 @@ def normalize_vectors(spark, sf):
 
 # Exact neighbours
 
-_KNN = "WITH " + _Q + " SELECT qid, id, round(dist, 6) AS dist, rank FROM (SELECT qid, id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM (SELECT qid, id, round({d}, 9) AS dist FROM q, e {w})) WHERE rank <= 10"
+_KNN = ("WITH " + _Q +
+    " SELECT qid, id, round(dist, 6) AS dist, rank "
+    "FROM (SELECT qid, id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank "
+    "FROM (SELECT qid, id, round({d}, 9) AS dist FROM q, e {w})) WHERE rank <= 10"
+)
 _L2, _COS = "list_distance(qv, v)", "greatest(0.0, 1 - list_cosine_similarity(qv, v))"
 
 
@@ -213,12 +228,17 @@ def signal_lid_k15(spark, sf):
     return signals.neighbour_signals(_near(spark, sf, 25), 15).select("qid", r("lid", 5).alias("lid"))
 
 
-@query("WITH " + _E + " SELECT label, round(sum(s), 6) AS variance FROM (SELECT label, d, var_pop(x) AS s FROM (SELECT label, unnest(range(len(v))) AS d, unnest(v) AS x FROM e) GROUP BY ALL) GROUP BY label")
+@query("WITH " + _E +
+    " SELECT label, round(sum(s), 6) AS variance FROM (SELECT label, d, var_pop(x) AS s "
+    "FROM (SELECT label, unnest(range(len(v))) AS d, unnest(v) AS x FROM e) GROUP BY ALL) GROUP BY label")
 def signal_variance(spark, sf):
     return signals.variance(vectors(spark, sf), "label").select("label", r("variance").alias("variance"))
 
 
-@query("WITH " + _SIG + ", nv AS (SELECT qid, d, var_pop(x) AS s FROM (SELECT qid, unnest(range(len(v))) AS d, unnest(v) AS x FROM near JOIN e USING (id)) GROUP BY ALL) SELECT qid, round(density, 6) AS density, round(lid, 5) AS lid, round(s, 6) AS variance FROM sig JOIN (SELECT qid, sum(s) AS s FROM nv GROUP BY qid) USING (qid)")
+@query("WITH " + _SIG +
+    ", nv AS (SELECT qid, d, var_pop(x) AS s FROM (SELECT qid, unnest(range(len(v))) AS d, unnest(v) AS x FROM near JOIN e USING (id)) "
+    "GROUP BY ALL) SELECT qid, round(density, 6) AS density, round(lid, 5) AS lid, round(s, 6) AS variance FROM sig "
+    "JOIN (SELECT qid, sum(s) AS s FROM nv GROUP BY qid) USING (qid)")
 def node_signals(spark, sf):
     near = _near(spark, sf)
     var = signals.variance(near.join(vectors(spark, sf), "id").select("qid", "v"), "qid")
@@ -310,12 +330,18 @@ def policy_uniform(spark, sf):
     return vectors(spark, sf).select(F.col("id").alias("qid"), m.alias("m"), ef.alias("ef"))
 
 
-@query("WITH " + _SCORE + ", p AS (SELECT " + _CONT.format(s="score") + " FROM sc) SELECT min(m)::INT AS m_min, max(m)::INT AS m_max, round(avg(m), 5) AS m_mean, round(stddev_pop(m), 5) AS m_std, median(m)::DOUBLE AS m_median, min(ef)::INT AS ef_min, max(ef)::INT AS ef_max, round(avg(ef), 5) AS ef_mean, round(stddev_pop(ef), 5) AS ef_std, median(ef)::DOUBLE AS ef_median FROM p")
+@query("WITH " + _SCORE + ", p AS (SELECT " + _CONT.format(s="score") +
+    " FROM sc) SELECT min(m)::INT AS m_min, max(m)::INT AS m_max, round(avg(m), 5) AS m_mean, round(stddev_pop(m), 5) AS m_std, "
+    "median(m)::DOUBLE AS m_median, min(ef)::INT AS ef_min, max(ef)::INT AS ef_max, round(avg(ef), 5) AS ef_mean, "
+    "round(stddev_pop(ef), 5) AS ef_std, median(ef)::DOUBLE AS ef_median FROM p")
 def policy_distribution(spark, sf):
     return policy_continuous(spark, sf).agg(*(a for c in ("m", "ef") for a in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), r(F.avg(c), 5).alias(f"{c}_mean"), r(F.stddev_pop(c), 5).alias(f"{c}_std"), F.percentile(c, F.lit(0.5)).alias(f"{c}_median"))))
 
 
-@query("WITH " + _SCORE + ", p AS (SELECT qid, " + _CONT.format(s="score") + " FROM sc) SELECT qid, layer::INT AS layer, CASE WHEN layer = 0 THEN m ELSE greatest(4, floor(m * pow(0.75, layer))::INT) END::INT AS m, CASE WHEN layer = 0 THEN 2 * m ELSE greatest(4, floor(m * pow(0.75, layer))::INT) END::INT AS m_max FROM p, range(4) t(layer)")
+@query("WITH " + _SCORE + ", p AS (SELECT qid, " + _CONT.format(s="score") +
+    " FROM sc) SELECT qid, layer::INT AS layer, "
+    "CASE WHEN layer = 0 THEN m ELSE greatest(4, floor(m * pow(0.75, layer))::INT) END::INT AS m, "
+    "CASE WHEN layer = 0 THEN 2 * m ELSE greatest(4, floor(m * pow(0.75, layer))::INT) END::INT AS m_max FROM p, range(4) t(layer)")
 def layer_budgets(spark, sf):
     m, most = P.Policy().layer_budget(F.col("m"), F.col("layer"))
     return policy_continuous(spark, sf).withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("qid", "layer", m.alias("m"), most.alias("m_max"))
@@ -337,7 +363,9 @@ def dynamic_ef(spark, sf):
     return _scored(spark, sf).select("qid", P.dynamic_ef_hardness(64, F.col("score"), z).alias("ef"))
 
 
-@query("WITH " + _E + ", n AS (SELECT count(*) FILTER (id % 7 = 0) AS d, count(*) AS a FROM e) SELECT ef::INT AS ef, least(2 * ef, ef + floor(ef * d / a))::INT AS boosted FROM n, (VALUES (16), (64), (128)) t(ef)")
+@query("WITH " + _E +
+    ", n AS (SELECT count(*) FILTER (id % 7 = 0) AS d, count(*) AS a FROM e) "
+    "SELECT ef::INT AS ef, least(2 * ef, ef + floor(ef * d / a))::INT AS boosted FROM n, (VALUES (16), (64), (128)) t(ef)")
 def tombstone_ef(spark, sf):
     n = vectors(spark, sf).agg(F.count(F.when(F.col("id") % 7 == 0, 1)).alias("d"), F.count("*").alias("a"))
     return n.withColumn("ef", F.explode(F.array(F.lit(16), F.lit(64), F.lit(128)))).select("ef", P.tombstone_ef(F.col("ef"), F.col("d"), F.col("a")).alias("boosted"))
@@ -347,7 +375,12 @@ def tombstone_ef(spark, sf):
 
 
 def _box(bits):
-    return _E + f", dims AS (SELECT id, unnest(range(len(v))) AS d, unnest(v) AS x FROM e), box AS (SELECT d, min(x) AS lo, CASE WHEN max(x) - min(x) <= 1e-7 THEN 1.0 ELSE (max(x) - min(x)) / {(1 << bits) - 1}.0 END AS sc FROM dims GROUP BY d), code AS (SELECT id, d, x, lo, sc, greatest(0, least({(1 << bits) - 1}, round_even((x - lo) / sc, 0)::INT))::INT AS c FROM dims JOIN box USING (d))"
+    return (_E +
+        f", dims AS (SELECT id, unnest(range(len(v))) AS d, unnest(v) AS x FROM e), box AS (SELECT d, min(x) AS lo, "
+        f"CASE WHEN max(x) - min(x) <= 1e-7 THEN 1.0 ELSE (max(x) - min(x)) / {(1 << bits) - 1}.0 END AS sc FROM dims GROUP BY d), "
+        f"code AS (SELECT id, d, x, lo, sc, greatest(0, least({(1 << bits) - 1}, round_even((x - lo) / sc, 0)::INT))::INT AS c FROM dims "
+        f"JOIN box USING (d))"
+    )
 
 
 def _coded(spark, sf, bits):
@@ -408,7 +441,13 @@ def _rerank(spark, sf, bits, pool):
     return _shown(knn.top(full, K))
 
 
-_RERANK = " , back AS (SELECT id, list(lo + c * sc ORDER BY d) AS w FROM code GROUP BY id), q AS (SELECT id AS qid, v AS qv FROM e WHERE id % 20 = 0), pool AS (SELECT qid, id FROM (SELECT qid, qv, id, round(list_distance(qv, w), 9) AS dist FROM q, back) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, id) <= {p}) SELECT qid, id, round(dist, 6) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM (SELECT qid, id, round(list_distance(qv, v), 9) AS dist FROM pool JOIN q USING (qid) JOIN e USING (id))) WHERE rank <= 10"
+_RERANK = (
+    " , back AS (SELECT id, list(lo + c * sc ORDER BY d) AS w FROM code GROUP BY id), q AS (SELECT id AS qid, v AS qv FROM e "
+    "WHERE id % 20 = 0), pool AS (SELECT qid, id FROM (SELECT qid, qv, id, round(list_distance(qv, w), 9) AS dist "
+    "FROM q, back) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, id) <= {p}) SELECT qid, id, round(dist, 6) AS dist, rank "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank "
+    "FROM (SELECT qid, id, round(list_distance(qv, v), 9) AS dist FROM pool JOIN q USING (qid) JOIN e USING (id))) WHERE rank <= 10"
+)
 
 
 @query("WITH " + _box(8) + _RERANK.format(p=20))
@@ -440,7 +479,9 @@ def degree_out(spark, sf):
     return G.degrees(_edges(spark, sf), "src")
 
 
-@query("WITH " + _G + ", i AS (SELECT e.id, count(g.src) AS n FROM e LEFT JOIN g ON g.dst = e.id GROUP BY e.id) SELECT round(avg(n), 6) AS mean, round(var_pop(n), 6) AS variance, max(n) AS most FROM i")
+@query("WITH " + _G +
+    ", i AS (SELECT e.id, count(g.src) AS n FROM e LEFT JOIN g ON g.dst = e.id GROUP BY e.id) "
+    "SELECT round(avg(n), 6) AS mean, round(var_pop(n), 6) AS variance, max(n) AS most FROM i")
 def hubness_stats(spark, sf):
     x = vectors(spark, sf).select("id")
     d = x.join(G.degrees(_edges(spark, sf), "dst"), "id", "left").select(F.coalesce("degree", F.lit(0)).alias("n"))
@@ -460,7 +501,11 @@ def delete_batch(spark, sf):
     return G.tombstones_after(x.where("id % 7 = 0"), asked, x)[1]
 
 
-_LAYERED = _G + ", lv AS (SELECT id, floor(-ln((('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT + 0.5) / 4294967296.0) / ln(16.0))::INT AS level FROM e), ge AS (SELECT 0 AS layer, src, dst FROM g UNION ALL SELECT 1, src, dst FROM g JOIN lv a ON a.id = src JOIN lv b ON b.id = dst WHERE a.level >= 1 AND b.level >= 1)"
+_LAYERED = (_G +
+    ", lv AS (SELECT id, floor(-ln((('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT + 0.5) / 4294967296.0) / ln(16.0))::INT AS level "
+    "FROM e), ge AS (SELECT 0 AS layer, src, dst FROM g UNION ALL SELECT 1, src, dst FROM g JOIN lv a ON a.id = src "
+    "JOIN lv b ON b.id = dst WHERE a.level >= 1 AND b.level >= 1)"
+)
 
 
 def _layered(spark, sf):
@@ -480,12 +525,17 @@ def edges_per_layer(spark, sf):
     return _layered(spark, sf).groupBy("layer").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("nodes"))
 
 
-@query("WITH " + _G + ", i AS (SELECT dst, count(*) AS n FROM g GROUP BY dst) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, sum(n)::BIGINT AS edges FROM i")
+@query("WITH " + _G +
+    ", i AS (SELECT dst, count(*) AS n FROM g GROUP BY dst) "
+    "SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, sum(n)::BIGINT AS edges FROM i")
 def graph_stats(spark, sf):
     return G.degrees(_edges(spark, sf), "dst").agg(F.min("degree").alias("least"), F.max("degree").alias("most"), r(F.avg("degree")).alias("mean"), F.percentile("degree", F.lit(0.5)).alias("median"), F.sum("degree").alias("edges"))
 
 
-@query("WITH " + _G + ", n AS (SELECT count(*) AS n, max(len(v)) AS d FROM e), c AS (SELECT count(*) AS c FROM g) SELECT k AS kind, (4 * c + CASE k WHEN 'float' THEN 4 * n * d WHEN 'sq8' THEN n * d + 8 * d ELSE n * ((d + 1) // 2) + 8 * d END)::BIGINT AS bytes FROM n, c, (VALUES ('float'), ('sq8'), ('sq4')) t(k)")
+@query("WITH " + _G +
+    ", n AS (SELECT count(*) AS n, max(len(v)) AS d FROM e), c AS (SELECT count(*) AS c FROM g) SELECT k AS kind, (4 * c + "
+    "CASE k WHEN 'float' THEN 4 * n * d WHEN 'sq8' THEN n * d + 8 * d ELSE n * ((d + 1) // 2) + 8 * d END)::BIGINT AS bytes "
+    "FROM n, c, (VALUES ('float'), ('sq8'), ('sq4')) t(k)")
 def memory_model(spark, sf):
     x = vectors(spark, sf).agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"))
     one = x.join(_edges(spark, sf).agg(F.count("*").alias("c")), F.lit(True))  # one row each
@@ -550,7 +600,13 @@ def search_stock(spark, sf):
 
 # Evaluation
 
-_FOUND = "WITH " + _Q + ", h AS (SELECT qid, id, round(list_distance(qv, v), 9) AS dist FROM q, e), gt AS (SELECT qid, id FROM h QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, id) <= 10), fo AS (SELECT qid, id FROM h WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, id) <= 10), hr AS (SELECT gt.qid, count(fo.id) AS hits, count(*) AS want FROM gt LEFT JOIN fo ON fo.qid = gt.qid AND fo.id = gt.id GROUP BY gt.qid)"
+_FOUND = ("WITH " + _Q +
+    ", h AS (SELECT qid, id, round(list_distance(qv, v), 9) AS dist FROM q, e), gt AS (SELECT qid, id "
+    "FROM h QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, id) <= 10), fo AS (SELECT qid, id FROM h "
+    "WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, id) <= 10), "
+    "hr AS (SELECT gt.qid, count(fo.id) AS hits, count(*) AS want FROM gt LEFT JOIN fo ON fo.qid = gt.qid AND fo.id = gt.id "
+    "GROUP BY gt.qid)"
+)
 
 
 def _found_and_truth(spark, sf):
@@ -596,7 +652,11 @@ def fractional_rank(spark, sf):
     return E.fractional_ranks(spark.read.parquet(f"{sf}/events.parquet"), "value", "rank", "event_type").select("event_id", r("rank", 1).alias("rank"))
 
 
-_RHO = ", rk AS (SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2 AS rx, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2 AS ry FROM {t}) SELECT count(*) AS n, round(corr(rx, ry), 5) AS rho, abs(corr(rx, ry)) * sqrt(count(*) - 1) > 2.5758293 AS p_below_1pct FROM rk"
+_RHO = (
+    ", rk AS (SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2 AS rx, rank() OVER (ORDER BY {y}) + "
+    "(count(*) OVER (PARTITION BY {y}) - 1) / 2 AS ry FROM {t}) "
+    "SELECT count(*) AS n, round(corr(rx, ry), 5) AS rho, abs(corr(rx, ry)) * sqrt(count(*) - 1) > 2.5758293 AS p_below_1pct FROM rk"
+)
 
 
 @query("WITH " + _SIG + ", s2 AS (SELECT round(density, 6) AS density, round(lid, 5) AS lid FROM sig)" + _RHO.format(x="density", y="lid", t="s2"))
@@ -605,7 +665,12 @@ def spearman(spark, sf):
     return E.spearman(s, "density", "lid").select("n", r("rho", 5).alias("rho"), (F.col("p") < 0.01).alias("p_below_1pct"))
 
 
-@query("WITH " + _E + ", h AS (SELECT a.label, a.id AS qid, b.id, round(list_distance(a.v, b.v), 9) AS dist FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS k FROM h QUALIFY k <= 10), d AS (SELECT label, qid, avg(dist) AS density FROM n GROUP BY ALL) SELECT label, count(*) AS n, round(avg(density), 6) AS mean, round(stddev_pop(density), 6) AS std, round(min(density), 6) AS least, round(max(density), 6) AS most FROM d GROUP BY label")
+@query("WITH " + _E +
+    ", h AS (SELECT a.label, a.id AS qid, b.id, round(list_distance(a.v, b.v), 9) AS dist FROM e a "
+    "JOIN e b ON a.label = b.label AND a.id <> b.id), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS k "
+    "FROM h QUALIFY k <= 10), d AS (SELECT label, qid, avg(dist) AS density FROM n GROUP BY ALL) "
+    "SELECT label, count(*) AS n, round(avg(density), 6) AS mean, round(stddev_pop(density), 6) AS std, round(min(density), 6) AS "
+    "least, round(max(density), 6) AS most FROM d GROUP BY label")
 def cluster_profile(spark, sf):
     return _profiled(spark, sf).groupBy("label").agg(F.count("*").alias("n"), r(F.avg("density")).alias("mean"), r(F.stddev_pop("density")).alias("std"), r(F.min("density")).alias("least"), r(F.max("density")).alias("most"))
 
@@ -625,24 +690,34 @@ def centroid_distances(spark, sf):
     return E.centroid_distances(vectors(spark, sf), "label").select("a", "b", r("dist").alias("dist"))
 
 
-@query("WITH " + _E + ", s AS (SELECT label, sum(s) AS variance FROM (SELECT label, d, var_pop(x) AS s FROM (SELECT label, unnest(range(len(v))) AS d, unnest(v) AS x FROM e) GROUP BY ALL) GROUP BY label) SELECT round(max(variance) / min(variance), 6) AS ratio FROM s")
+@query("WITH " + _E +
+    ", s AS (SELECT label, sum(s) AS variance FROM (SELECT label, d, var_pop(x) AS s "
+    "FROM (SELECT label, unnest(range(len(v))) AS d, unnest(v) AS x FROM e) GROUP BY ALL) GROUP BY label) "
+    "SELECT round(max(variance) / min(variance), 6) AS ratio FROM s")
 def heterogeneity(spark, sf):
     return signals.variance(vectors(spark, sf), "label").agg(r(F.try_divide(F.max("variance"), F.min("variance"))).alias("ratio"))
 
 
-@query("WITH t AS (SELECT event_type, avg(value) AS m, count(*) AS c FROM events GROUP BY event_type), b AS (SELECT m FROM t ORDER BY event_type LIMIT 1) SELECT event_type, CASE WHEN b.m > 0 THEN round((b.m - t.m) / b.m * 100, 4) END AS saved FROM t, b")
+@query(
+    "WITH t AS (SELECT event_type, avg(value) AS m, count(*) AS c FROM events GROUP BY event_type), b AS (SELECT m "
+    "FROM t ORDER BY event_type LIMIT 1) SELECT event_type, CASE WHEN b.m > 0 THEN round((b.m - t.m) / b.m * 100, 4) END AS saved "
+    "FROM t, b")
 def compare_configs(spark, sf):
     t = spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").agg(F.avg("value").alias("m"))
     b = t.orderBy("event_type").limit(1).select(F.col("m").alias("base"))
     return t.join(F.broadcast(b), F.lit(True)).select("event_type", F.when(F.col("base") > 0, r((F.col("base") - F.col("m")) / F.col("base") * 100, 4)).alias("saved"))
 
 
-@query("WITH p AS (SELECT p_partkey AS id, p_retailprice AS cost, p_size AS gain FROM part) SELECT id FROM p a WHERE NOT EXISTS (FROM p b WHERE b.cost <= a.cost AND b.gain >= a.gain AND (b.cost < a.cost OR b.gain > a.gain))")
+@query(
+    "WITH p AS (SELECT p_partkey AS id, p_retailprice AS cost, p_size AS gain FROM part) SELECT id FROM p a WHERE NOT EXISTS (FROM p b "
+    "WHERE b.cost <= a.cost AND b.gain >= a.gain AND (b.cost < a.cost OR b.gain > a.gain))")
 def pareto_front(spark, sf):
     return E.pareto_front(spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("cost"), F.col("p_size").alias("gain")), "cost", "gain").select("id")
 
 
-@query("WITH " + _E + ", d AS (SELECT id, unnest(range(len(v))) AS d, unnest(v) AS x FROM e), b AS (SELECT d, min(x) AS lo, max(x) AS hi FROM d GROUP BY d) SELECT id, d, round(CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0.0 END, 6) AS x FROM d JOIN b USING (d)")
+@query("WITH " + _E +
+    ", d AS (SELECT id, unnest(range(len(v))) AS d, unnest(v) AS x FROM e), b AS (SELECT d, min(x) AS lo, max(x) AS hi FROM d "
+    "GROUP BY d) SELECT id, d, round(CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0.0 END, 6) AS x FROM d JOIN b USING (d)")
 def minmax_scale(spark, sf):
     d = vectors(spark, sf).select("id", F.posexplode("v").alias("d", "x")).withColumn("d", F.col("d").cast("long"))
     b = d.groupBy("d").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
