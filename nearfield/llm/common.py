@@ -12,20 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of one Arrow batch, so that a few very long texts don't make a large one.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Bounds of one Arrow batch, so that a few very long texts don't make a large one, and of rows that a Parquet scan holds at once.
+BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 1000, 4 << 20, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _at_most(spark: SparkSession, key: str, most: int) -> None:
+    now = str(spark.conf.get(key)).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+
+
+def bounded_scans(spark: SparkSession) -> None:
+    """Bounds what a scan holds at once, unless the session already asks for less: thousands of whole texts are many megabytes in one
+    array, which makes a JVM's heap grow."""
+    _at_most(spark, "spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker gets at once, unless the session already asks for less."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = str(spark.conf.get(key)).rstrip("bB")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
+    """Bounds what a Python worker gets at once, too."""
+    bounded_scans(spark)
+    _at_most(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    _at_most(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,10 +56,22 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a copy in the shared checkpoint folder."""
+#: Shuffle partitions that one task of few() takes, one after another; or bytes of text, where their sum is known.
+TOGETHER, FEW_BYTES = 8, 16 << 20
+
+
+def few(df: DataFrame, size: int | None = None) -> DataFrame:
+    """df, the result of a shuffle, in fewer partitions, for what is written: two for each core at least. A small table in as many
+    files as there are shuffle partitions costs more for the files than for the rows; memory is that of one shuffle partition still."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) // TOGETHER if size is None else -(-size // FEW_BYTES)
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, parts))
+
+
+def checkpointed(df: DataFrame, shuffled: bool = True, size: int | None = None) -> DataFrame:
+    """df with its lineage cut by a copy in the shared checkpoint folder; shuffled: it is the result of a shuffle, of about that size."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (few(df, size) if shuffled else df).checkpoint(eager=True)
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.bpe import Memo
-from nearfield.llm.common import bounded_batches, checkpointed
+from nearfield.llm.common import bounded_batches, checkpointed, few
 from nearfield.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
@@ -38,6 +38,8 @@ PERMUTATIONS = BANDS * ROWS // 2
 BLOCK, BLOCK_SHINGLES = 2000, 500_000
 #: How far below the threshold a pair's estimated similarity may be: over four standard deviations.
 SLACK = 0.15
+#: Of a text, for each of its shingles.
+BYTES = 8
 #: Likely pairs for each member from which on a cell is dense.
 PAIRS = 4
 
@@ -257,25 +259,26 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     """doc_id, n_shingles, component_id, kept for each row; percent: the least similarity of linked documents."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     least = percent / 100 - SLACK
-    signs = checkpointed(signed(docs))
+    signs = checkpointed(signed(docs), shuffled=False)
+    size = BYTES * (signs.agg(F.sum("n")).first()[0] or 0)
     some = signs.where("doc_id IS NOT NULL AND n > 0")
     first = F.min(F.struct("doc_id", "text_key"))
     nodes = some.groupBy("set").agg(first.alias("f"), F.first("n").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).select("set", F.col("f.doc_id").alias("rep"), F.col("f.text_key").alias("text_key"), "size", "sig", "bands")
-    nodes = checkpointed(nodes)
+    nodes = checkpointed(nodes, size=size)
 
     rows = nodes.select("rep", "size", F.explode("bands").alias("key"))
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1")
     rows = rows.drop("size")
-    rows = checkpointed(rows.join(sizes, "key"))
+    rows = checkpointed(rows.join(sizes, "key"), size=size)
     scores = rows.groupBy("rep").agg(F.sum("n").alias("score"))
     centres = rows.join(scores, "rep").groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("c"))).alias("m")).select("key", (-F.col("m.c")).alias("centre"))
-    rows = checkpointed(rows.join(centres, "key"))
+    rows = checkpointed(rows.join(centres, "key"), size=size)
     stars = rows.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
     texts = nodes.join(rows.select("rep").distinct(), "rep", "left_semi").select("rep", "text_key")
     texts = docs.withColumn("text_key", F.xxhash64("text")).withColumnRenamed("doc_id", "rep").join(texts, ["rep", "text_key"], "left_semi").dropDuplicates(["rep", "text_key"]).select("rep", "text")
-    texts = checkpointed(texts)
+    texts = checkpointed(texts, size=size)
     sigs = nodes.select("rep", "sig")
 
     links = checkpointed(confirmed(likely(stars, sigs, least), texts, percent))
@@ -308,7 +311,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     twice = got.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
     if twice.limit(1).count():
         rest = rest.join(twice, "id", "left_anti").unionByName(rest.join(twice, "id", "left_semi").dropDuplicates(["id"]))
-    return rest.select(*(F.col(f"row.`{c}`") for c in df.columns))
+    size = BYTES * (got.agg(F.sum("n_shingles")).first()[0] or 0)
+    return few(rest, size).select(*(F.col(f"row.`{c}`") for c in df.columns))
 
 
 SQL = r"""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearfield.llm.common import checkpointed
+from nearfield.llm.common import bounded_scans, checkpointed, few
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -45,6 +45,7 @@ def _positions(pairs: Column) -> Column:
 
 def measured(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **more: Column) -> DataFrame:
     """A struct column __q with the counts of each row's text, beside the struct __row of lang, source and the columns `more`."""
+    bounded_scans(df.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     row = {"lang": F.col(f"`{lang_col}`"), "source": F.col(f"`{source_col}`"), **more}
     out = df.select(F.struct(*(c.alias(k) for k, c in row.items())).alias("__row"), text.alias("__t"))
@@ -136,25 +137,26 @@ def judged(rows: DataFrame, sketch: DataFrame, lang: Column, source: Column, rea
 
 
 def _verdicts(slim: DataFrame, **how) -> DataFrame:
-    slim = checkpointed(slim)  # the texts are read once
     lang, source = F.col("__row.lang"), F.col("__row.source")
     return judged(slim, sketches(slim, lang, source), lang, source, **how)
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **how) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row."""
-    out = _verdicts(measured(df, text_col, lang_col, source_col, doc_id=F.col(f"`{id_col}`").cast("long")), **how)
+    slim = checkpointed(measured(df, text_col, lang_col, source_col, doc_id=F.col(f"`{id_col}`").cast("long")), shuffled=False)  # the texts are read once
+    out = _verdicts(slim, **how)
     return out.select("__row.doc_id", *(F.col(f"__q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
 def filtered(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **how) -> DataFrame:
     """The rows of df that are kept, with df's columns."""
     digest = F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
-    out = _verdicts(measured(df, text_col, lang_col, source_col, digest=digest), **how)
+    slim = checkpointed(measured(df, text_col, lang_col, source_col, digest=digest), shuffled=False)
+    out, size = _verdicts(slim, **how), slim.agg(F.sum("__q.word_chars")).first()[0] or 0
     drop = out.where("NOT __kept").select("__row.*").distinct()
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), digest.alias("__d"))
     same = (F.col("__d") == drop["digest"]) & F.col(f"__row.`{lang_col}`").eqNullSafe(drop["lang"]) & F.col(f"__row.`{source_col}`").eqNullSafe(drop["source"])
-    return rows.join(drop, same, "left_anti").select(*(F.col(f"__row.`{c}`") for c in df.columns))
+    return few(rows.join(drop, same, "left_anti"), size).select(*(F.col(f"__row.`{c}`") for c in df.columns))
 
 
 #: The same with one quantile step spelled out; {reach} and {min_group} are the production parameters.

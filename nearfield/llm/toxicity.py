@@ -107,7 +107,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(distinct_features(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["fold", "y", "words"])
 
-    return checkpointed(got.mapInArrow(run, "fold int, y int, words array<string>"))
+    return checkpointed(got.mapInArrow(run, "fold int, y int, words array<string>"), shuffled=False)
 
 
 def features(rows: DataFrame) -> dict[str, bool]:
