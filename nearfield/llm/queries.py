@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from nearfield.llm import bpe, decontaminate, lang_id, minhash, pii, quality, suffix_dedup, token_counts, toxicity, url_filter
+from nearfield.llm import audit, bpe, decontaminate, lang_id, minhash, pii, quality, suffix_dedup, token_counts, toxicity, url_filter
 from nearfield.llm.common import table
 
 VOCAB, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -50,9 +50,16 @@ def op10_minhash(spark, sf_dir):
     return minhash.linked(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_filter_audit(spark, sf_dir):
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OPERATORS = (op1_token_counts, op2_url_filter, op3_language_id, op4_suffix_dedup, op5_pii, op6_quality_rules, op7_byte_bpe, op8_decontamination, op9_toxicity, op10_minhash, op11_filter_audit)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_language_id, op4_suffix_dedup, op5_pii, op6_quality_rules, op7_byte_bpe, op8_decontamination, op9_toxicity, op10_minhash)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op6_quality_rules": quality.SQL, "op8_decontamination": decontaminate.SQL, "op10_minhash": minhash.SQL}
+    return {"op2_url_filter": url_filter.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op6_quality_rules": quality.SQL, "op8_decontamination": decontaminate.SQL, "op10_minhash": minhash.SQL, "op11_filter_audit": audit.SQL}
