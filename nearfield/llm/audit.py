@@ -28,6 +28,8 @@ COPY = 1 << FILTERS.index("E")
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 #: Bytes of texts that a task holds to settle copies before it routes them.
 LOCAL_BYTES = 16 << 20
+#: Bytes of texts that a shuffle partition of routed texts gets about, and has to sort.
+PARTITION_BYTES = 32 << 20
 #: Settled rows that are routed together.
 TOGETHER = 1000
 
@@ -78,7 +80,7 @@ class Chains:
 def masked(docs: DataFrame, id_col: str, text_col: str, part_col: str, bits: int = 64, local_bytes: int = LOCAL_BYTES, partitions: int | None = None) -> RDD:
     """(id, part, mask, rows) of all documents. bits: of the fingerprint."""
     col = lambda c: F.col(f"`{c}`")
-    rows = docs.select(col(id_col).cast("long"), F.coalesce(col(text_col).cast("string"), F.lit("")), F.coalesce(col(part_col).cast("string"), F.lit(""))).rdd
+    table = docs.select(col(id_col).cast("long"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(col(part_col).cast("string"), F.lit("")))
     cut = (1 << bits) - 1
 
     def route(rows):
@@ -120,8 +122,11 @@ def masked(docs: DataFrame, id_col: str, text_col: str, part_col: str, bits: int
             yield from chains.add(h, text, mask, i, parts)
         yield from least()
 
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.mapPartitions(route).repartitionAndSortWithinPartitions(n, lambda h: h).mapPartitions(settle)
+    n = partitions
+    if n is None:
+        size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    return table.rdd.mapPartitions(route).repartitionAndSortWithinPartitions(n, lambda h: h).mapPartitions(settle)
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
