@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from nearfield.llm import audit, bpe, decontaminate, lang_id, minhash, pii, quality, suffix_dedup, token_counts, toxicity, url_filter
+from nearfield.llm import align, audit, bpe, decontaminate, lang_id, minhash, pii, quality, suffix_dedup, token_counts, toxicity, url_filter
 from nearfield.llm.common import table
 
-VOCAB, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
+VOCAB, BYTE_LEVEL, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_token_counts(spark, sf_dir, vocab=None):
@@ -54,7 +54,12 @@ def op11_filter_audit(spark, sf_dir):
     return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-OPERATORS = (op1_token_counts, op2_url_filter, op3_language_id, op4_suffix_dedup, op5_pii, op6_quality_rules, op7_byte_bpe, op8_decontamination, op9_toxicity, op10_minhash, op11_filter_audit)
+def op12_token_alignment(spark, sf_dir, byte_level=None, pieces=None):
+    read = lambda path, name: bpe.read_vocab(path or tokenizers.path(name))
+    return align.aligned(table(spark, sf_dir, "documents"), read(byte_level, BYTE_LEVEL), tokenizers.PATTERN, read(pieces, PIECES))
+
+
+OPERATORS = (op1_token_counts, op2_url_filter, op3_language_id, op4_suffix_dedup, op5_pii, op6_quality_rules, op7_byte_bpe, op8_decontamination, op9_toxicity, op10_minhash, op11_filter_audit, op12_token_alignment)
 
 
 def queries() -> dict:
