@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from nearfield.llm import align, audit, bpe, decontaminate, lang_id, minhash, pii, quality, suffix_dedup, token_counts, toxicity, url_filter
+from nearfield.llm import align, audit, bpe, decontaminate, lang_id, minhash, pii, quality, secrets, suffix_dedup, token_counts, toxicity, url_filter
 from nearfield.llm.common import table
 
 VOCAB, BYTE_LEVEL, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -59,7 +59,11 @@ def op12_token_alignment(spark, sf_dir, byte_level=None, pieces=None):
     return align.aligned(table(spark, sf_dir, "documents"), read(byte_level, BYTE_LEVEL), tokenizers.PATTERN, read(pieces, PIECES))
 
 
-OPERATORS = (op1_token_counts, op2_url_filter, op3_language_id, op4_suffix_dedup, op5_pii, op6_quality_rules, op7_byte_bpe, op8_decontamination, op9_toxicity, op10_minhash, op11_filter_audit, op12_token_alignment)
+def op13_secret_scan(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_token_counts, op2_url_filter, op3_language_id, op4_suffix_dedup, op5_pii, op6_quality_rules, op7_byte_bpe, op8_decontamination, op9_toxicity, op10_minhash, op11_filter_audit, op12_token_alignment, op13_secret_scan)
 
 
 def queries() -> dict:
@@ -67,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op6_quality_rules": quality.SQL, "op8_decontamination": decontaminate.SQL, "op10_minhash": minhash.SQL, "op11_filter_audit": audit.SQL}
+    return {"op2_url_filter": url_filter.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op6_quality_rules": quality.SQL, "op8_decontamination": decontaminate.SQL, "op10_minhash": minhash.SQL, "op11_filter_audit": audit.SQL, "op13_secret_scan": secrets.SQL}
