@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nearfield.operators.evaluate import in_ranges
+from nearfield.plans.session import kept
+
 
 def degrees(edges: DataFrame, end: str) -> DataFrame:
     return edges.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("degree"))
@@ -41,13 +44,13 @@ def healed(edges: DataFrame, dead: DataFrame, dist: DataFrame, capacity: int, re
     return live.unionByName(new.where(F.coalesce("n", F.lit(0)) + F.col("r") <= capacity).select("src", "dst"))
 
 
-def compact_ids(nodes: DataFrame, dead: DataFrame, order: str = "id") -> DataFrame:
+def compact_ids(nodes: DataFrame, dead: DataFrame) -> DataFrame:
     """id, new_id: survivors numbered from 0 in order, by counts of id ranges, so that no task numbers them all."""
-    live = nodes.select("id").join(dead.select("id"), "id", "left_anti")
-    ranged = live.repartitionByRange("id").sortWithinPartitions("id").withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ranged = in_ranges(nodes.select("id").join(dead.select("id"), "id", "left_anti"), ["id"])
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("c"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    return ranged.join(F.broadcast(before), "__p").select("id", (F.col("__before") + F.col("__k")).alias("new_id"))
+    before = sizes.select("__p", F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("__p").orderBy("id")) - 1
+    return ranged.withColumn("__k", place).join(F.broadcast(before), "__p").select("id", (F.col("__before") + F.col("__k")).alias("new_id"))
 
 
 def compact_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -58,20 +61,12 @@ def compact_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 1000, every: int = 5) -> DataFrame:
     """id: breadth first, one join a round on the frontier; lineage is cut every few rounds."""
     seen = frontier = start.select(F.col("id").cast("long"))
-    cut = _cutter(edges)
-    step = cut(edges.select("src", F.col("dst").alias("id")).distinct())
+    step = kept(edges.select("src", F.col("dst").alias("id")).distinct())
     for k in range(max_rounds):
-        frontier = cut(step.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select("id").distinct().join(seen, "id", "left_anti"))
+        frontier = kept(step.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select("id").distinct().join(seen, "id", "left_anti"))
         if not frontier.limit(1).count():
             return seen
         seen = seen.unionByName(frontier)
         if k % every == every - 1:
-            seen = cut(seen)
+            seen = kept(seen)
     raise RuntimeError(f"not all reached in {max_rounds} rounds")
-
-
-def _cutter(df: DataFrame):
-    from nearfield.plans.session import checkpoint_folder
-
-    checkpoint_folder(df.sparkSession)
-    return lambda d: d.checkpoint(eager=True)

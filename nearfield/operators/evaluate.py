@@ -1,7 +1,8 @@
 """Quality of results, statistics of runs, ranks and correlation, profiles of clusters.
 
 What needs an order over all rows is computed by ranges: running() sums within each range of a distribution by value and adds
-what lies in the ranges before, of which only a row each is sorted in one task.
+what lies in the ranges before, of which only a row each is sorted in one task. Which range a row is in is stored with it, in a
+checkpoint, before anything is summed: a second exchange of the same rows may sample other bounds or merge other partitions.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.functions.vectors import l2
+from nearfield.plans.session import kept
 
 
 def hits_of(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -26,10 +28,15 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     return hits_of(found, truth).agg((F.sum("hits") / F.sum("want")).alias("recall"))
 
 
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with __p, the number of a row's range in `order`: rows of a lower number come before, or are equal in order."""
+    return kept(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+
+
 def running(df: DataFrame, by: list[str], order: list[str], values: dict[str, str], total=F.sum) -> DataFrame:
     """df with, for each {out: value}, total (F.sum or F.max) of value over the rows of the same `by` that come before in `order`;
     null for the first. Rows of one `by` and equal order count in some order among themselves. A large `by` lies in many ranges."""
-    ranged = df.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id())
+    ranged = in_ranges(df, [*by, *order])
     within = Window.partitionBy(*by, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranged.groupBy(*by, "__p").agg(*(total(v).alias(f"__t_{out}") for out, v in values.items()))  # a row for each range, and one more for each `by`
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,13 +53,27 @@ def running(df: DataFrame, by: list[str], order: list[str], values: dict[str, st
     return both.select(*df.columns, *(add(F.col(f"__in_{out}"), F.col(f"__before_{out}")).alias(out) for out in values))
 
 
-def percentiles_by_index(df: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
-    """The values at the places floor(p * n) of the sorted column, from counts of distinct values."""
+def _places(df: DataFrame, value: str) -> DataFrame:
+    """value, up (values up to this one), n (all): a row for each distinct value that isn't null."""
     n = df.agg(F.count(value).alias("n"))
     c = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
     up = F.coalesce("__up", F.lit(0)) + F.col("c")
-    rows = running(c, [], [value], {"__up": "c"}).withColumn("up", up).crossJoin(F.broadcast(n))  # n is one row
-    return rows.agg(*(F.min(F.when(F.col("up") > F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1), F.col(value))).alias(k) for k, p in points.items()))
+    return running(c, [], [value], {"__up": "c"}).withColumn("up", up).crossJoin(F.broadcast(n))  # n is one row
+
+
+def percentiles_by_index(df: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
+    """The values at the places floor(p * n) of the sorted column, from counts of distinct values."""
+    at = lambda p: F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1)
+    return _places(df, value).agg(*(F.min(F.when(F.col("up") > at(p), F.col(value))).alias(k) for k, p in points.items()))
+
+
+def percentiles_linear(df: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
+    """Between the values at the places around p * (n - 1) of the sorted column, in proportion; from counts of distinct values by
+    ranges, so that no task holds the column. Null for a column without values."""
+    at = lambda p: F.lit(p) * (F.col("n") - 1)
+    value_at = lambda place: F.min(F.when(F.col("up") > place, F.col(value)))
+    parts = {k: (value_at(F.floor(at(p))), value_at(F.ceil(at(p))), F.max(at(p) - F.floor(at(p)))) for k, p in points.items()}
+    return _places(df, value).agg(*((lo + (hi - lo) * share).alias(k) for k, (lo, hi, share) in parts.items()))
 
 
 def fractional_ranks(df: DataFrame, value: str, out: str, by: str | None = None) -> DataFrame:

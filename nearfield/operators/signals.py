@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from nearfield.operators import evaluate
+from nearfield.plans.session import kept
 
 TINY = 1e-9
 
@@ -34,13 +35,15 @@ def variance(df: DataFrame, by: str) -> DataFrame:
 
 
 def profile(signals: DataFrame) -> DataFrame:
-    """One row: mean, population deviation (0 counts as 1) and quartiles of density and lid."""
-    aggs = []
+    """One row: mean, population deviation (0 counts as 1) and quartiles of density and lid, the latter by ranges."""
+    signals, aggs, quartiles = kept(signals.select("density", "lid")), [], {25: 0.25, 50: 0.5, 75: 0.75}
     for c in ("density", "lid"):
         sd = F.stddev_pop(c)
         aggs += [F.avg(c).alias(f"{c}_mean"), F.when(sd <= 1e-6, 1.0).otherwise(sd).alias(f"{c}_std")]
-        aggs += [F.percentile(c, F.lit(q)).alias(f"{c}_q{round(100 * q)}") for q in (0.25, 0.5, 0.75)]
-    return signals.agg(*aggs)
+    out = signals.agg(*aggs)
+    for c in ("density", "lid"):
+        out = out.crossJoin(evaluate.percentiles_linear(signals, c, {f"{c}_q{k}": p for k, p in quartiles.items()}))  # one row each
+    return out
 
 
 def running(df: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -633,7 +633,8 @@ def hit_rate(spark, sf):
 
 @query("SELECT " + ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{round(100 * p)}" for p in (0.5, 0.95, 0.99)) + " FROM events")
 def percentiles_linear(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").agg(*(r(F.percentile("value", F.lit(p))).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)))
+    p = E.percentiles_linear(spark.read.parquet(f"{sf}/events.parquet"), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return p.select(*(r(c).alias(c) for c in p.columns))
 
 
 @query("WITH s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT " + ", ".join(f"max(value) FILTER (k = floor({p} * n)) AS p{round(100 * p)}" for p in (0.5, 0.95, 0.99)) + " FROM s")

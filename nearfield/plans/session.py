@@ -25,3 +25,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, v (doubles), label."""
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), doubles(F.col("embedding")).alias("v"), "label")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a copy in the checkpoint folder, for what several plans read."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
