@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nearfield.functions.vectors import l2
 from nearfield.operators.evaluate import in_ranges
 from nearfield.plans.session import kept
 
@@ -14,6 +15,32 @@ def degrees(edges: DataFrame, end: str) -> DataFrame:
     return edges.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("degree"))
 
 
+def selected(candidates: DataFrame, x: DataFrame, m: Column, degrees: DataFrame | None = None, penalty: float = 0.15) -> DataFrame:
+    """src, dst: of each src's candidates (src, dst, dist) up to m, by a sequential rule: the nearest first, one is taken unless one
+    taken before is nearer to it than src is; free places go to the nearest rejected. x: id, v of the candidates. m: a column over
+    src. degrees (id, degree): distances from a taken node count more by penalty times its degree over the mean.
+
+    A src's candidates are sorted and folded in one expression, so a group is as large as its candidates; a dst of many candidates
+    is joined with a single row. Ties: by dst. Candidates without a vector are left out; a src of null m gets none.
+    """
+    rows = candidates.select("src", "dst", "dist").join(x.select(F.col("id").alias("dst"), "v"), "dst").where("v IS NOT NULL")
+    weight = F.lit(1.0)
+    if degrees is not None:
+        mean = degrees.agg(F.greatest(F.lit(1.0), F.avg("degree")).alias("__mean"))
+        rows = rows.join(degrees.select(F.col("id").alias("dst"), "degree"), "dst", "left").join(F.broadcast(mean), F.lit(True))  # one row
+        weight = 1 + F.lit(penalty) * F.coalesce("degree", F.lit(0)) / F.col("__mean")
+    by = rows.select("src", F.struct("dist", "dst", "v", weight.alias("w")).alias("c")).groupBy("src").agg(F.array_sort(F.collect_list("c")).alias("cs")).withColumn("m", m)
+    none = F.array().cast(by.schema["cs"].dataType)
+    nearer = lambda a, c: F.exists(a.yes, lambda s: F.round(l2(s.v, c.v), 9) * s.w < c.dist)
+
+    def step(a, c):
+        take = (F.size(a.yes) < F.col("m")) & ~nearer(a, c)
+        return F.struct(F.when(take, F.concat(a.yes, F.array(c))).otherwise(a.yes).alias("yes"), F.when(take, a.no).otherwise(F.concat(a.no, F.array(c))).alias("no"))
+
+    folded = F.aggregate("cs", F.struct(none.alias("yes"), none.alias("no")), step, lambda a: F.slice(F.concat(a.yes, a.no), F.lit(1), F.greatest(F.col("m"), F.lit(0))))
+    return by.where("m IS NOT NULL").select("src", F.explode(folded).alias("c")).select("src", F.col("c.dst").alias("dst"))
+
+
 def entry_point(edges: DataFrame, live: DataFrame) -> DataFrame:
     """The live node of most edges on the highest layer that has a live one with an edge; the least id of equals. edges: layer, src, dst."""
     by = edges.groupBy("layer", "src").agg(F.count("*").alias("degree")).join(live.select(F.col("id").alias("src")), "src", "left_semi")

@@ -171,6 +171,35 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", e
     return top(in_blocks(corpus, queries, lambda qi, q, i, x: block_hits(qi, q, i, x, k, metric, exclude), lambda parts: _best(parts, k), max_queries), k)
 
 
+def nearest_of_few(few: DataFrame, queries: DataFrame, k: int, metric: str = "l2", exclude: str = "none", max_rows: int = MAX_ROWS) -> DataFrame:
+    """qid, ids, dists: the k nearest of `few` (id, v), at most max_rows rows, for each row of queries (qid, qv). The few are
+    broadcast, and the queries, of any number, aren't shuffled. Repeated query ids are each answered."""
+    rows = few.select(F.col("id").cast("long"), F.col("v").cast("array<double>")).where("v IS NOT NULL").limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} rows")
+    sent = few.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+
+    def run(batches):
+        ids, x = sent.value
+        for batch in batches:
+            n, asked = batch.num_rows, batch.column(0).to_numpy()
+            at, found, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            if n and len(x):
+                # By place, as an id may be asked several times; rows of the same id, if they are out, are passed over afterwards.
+                most = k + (np.unique(ids, return_counts=True)[1].max() if exclude == "id" else 0)
+                at, found, dist = block_hits(np.arange(n), matrix(batch.column(1)), ids, x, int(most), metric, "none" if exclude == "id" else exclude)
+                if exclude == "id":
+                    keep = found != asked[at]
+                    at, found, dist = at[keep], found[keep], dist[keep]
+                    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+                    at, found, dist = at[keep], found[keep], dist[keep]
+            ends = pa.array(np.searchsorted(at, np.arange(n + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(found)), pa.ListArray.from_arrays(ends, pa.array(dist))], names=["qid", "ids", "dists"])
+
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("qv").cast("array<double>").alias("qv")).where("qv IS NOT NULL")
+    return asked.mapInArrow(run, "qid long, ids array<long>, dists array<double>")
+
+
 def nearest_in_groups(corpus: DataFrame, k: int, metric: str = "l2", max_rows: int = MAX_ROWS) -> DataFrame:
     """qid, id, dist, rank: for each row of corpus (id, v, g) its nearest other rows of the same g. A group is dealt into blocks by its
     size, and each pair of them is a cell, so that neither many groups nor a large one make a task larger than two blocks."""

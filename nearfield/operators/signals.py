@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
-from nearfield.operators import evaluate
+from nearfield.operators import evaluate, knn
 from nearfield.plans.session import kept
 
 TINY = 1e-9
@@ -34,15 +36,46 @@ def variance(df: DataFrame, by: str) -> DataFrame:
     return df.select(by, F.posexplode("v").alias("dim", "x")).groupBy(by, "dim").agg(F.var_pop("x").alias("s")).groupBy(by).agg(F.sum("s").alias("variance"))
 
 
+#: Rows of a sample.
+SAMPLE = 500
+
+
+def sample(x: DataFrame, size: int = SAMPLE, by: str | None = None) -> DataFrame:
+    """The `size` rows of x (id, ...) that come first by a hash of the id, of each group if `by` is given: a sample without
+    replacement that depends on no order or partition. Samples merge by taking the first rows of both, which is how tasks and
+    shuffles make it: none passes on more than `size` rows of a group."""
+    order = [F.md5(F.concat(F.col("id").cast("string"), F.lit(":sample"))), F.col("id")]
+    if by is None:
+        return x.orderBy(*order).limit(size)
+    return x.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__r") <= size).drop("__r")
+
+
+def by_sample(x: DataFrame, few: DataFrame, k: int, use: int | None = None, metric: str = "l2") -> DataFrame:
+    """qid, density, lid of each row of x (id, v) from its k nearest others in `few`, a sample, which is broadcast: no shuffle."""
+    near = knn.nearest_of_few(few, x.select(F.col("id").alias("qid"), F.col("v").alias("qv")), k, metric, "id")
+    mean = F.aggregate("dists", F.lit(0.0), lambda s, d: s + d) / F.size("dists")
+    return near.select("qid", F.when(F.size("dists") > 0, mean).otherwise(1.0).alias("density"), lid_of(F.col("dists"), use).alias("lid"))
+
+
+def sampled_profile(few: DataFrame, k: int, use: int | None = None, metric: str = "l2") -> DataFrame:
+    """The profile of a sample's rows among themselves: one row, to be computed once and adopted for all that comes later."""
+    return _profiled(by_sample(few, few, k, use, metric), lambda s, c, points: s.agg(*(F.percentile(c, F.lit(p)).alias(o) for o, p in points.items())))
+
+
 def profile(signals: DataFrame) -> DataFrame:
-    """One row: mean, population deviation (0 counts as 1) and quartiles of density and lid, the latter by ranges."""
-    signals, aggs, quartiles = kept(signals.select("density", "lid")), [], {25: 0.25, 50: 0.5, 75: 0.75}
+    """One row: mean, population deviation (up to 1e-6 counts as 1) and quartiles of density and lid of any number of rows, quartiles by ranges."""
+    return _profiled(kept(signals.select("density", "lid")), evaluate.percentiles_linear)
+
+
+def _profiled(signals: DataFrame, percentiles) -> DataFrame:
+    aggs, parts = [], []
     for c in ("density", "lid"):
         sd = F.stddev_pop(c)
         aggs += [F.avg(c).alias(f"{c}_mean"), F.when(sd <= 1e-6, 1.0).otherwise(sd).alias(f"{c}_std")]
+        parts.append(percentiles(signals, c, {f"{c}_q{k}": k / 100 for k in (25, 50, 75)}))
     out = signals.agg(*aggs)
-    for c in ("density", "lid"):
-        out = out.crossJoin(evaluate.percentiles_linear(signals, c, {f"{c}_q{k}": p for k, p in quartiles.items()}))  # one row each
+    for one in parts:
+        out = out.crossJoin(one)  # one row each
     return out
 
 
@@ -60,66 +93,121 @@ def running(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return sums.select(*df.columns, "n", F.when(n > 0, F.coalesce("__c", F.lit(0.0)) + F.col("__s") / n).alias("mean"), F.sqrt(F.greatest(var, F.lit(1e-6))).alias("std"))
 
 
-#: Values before exponential updates begin, and values that are folded at once.
+#: Values before exponential updates begin, and values whose updates are one array operation.
 WARM, AT_ONCE = 10, 256
 
 
-class _Fold:
-    """n, mean and m2 after all values so far: Welford's update for the first ones, then exponential ones."""
-
-    def __init__(self, alpha: float):
-        self.alpha, self.n, self.mean, self.m2 = alpha, 0, 0.0, 0.0
-        back = np.subtract.outer(np.arange(AT_ONCE), np.arange(AT_ONCE))
-        self.decay = np.where(back >= 0, (1 - alpha) ** np.maximum(back, 0), 0.0)  # [after, of]
-
-    def add(self, x: np.ndarray) -> None:
-        for v in x[: max(0, WARM - self.n)].tolist():
-            self.n += 1
-            d = v - self.mean
-            self.mean += d / self.n
-            self.m2 += d * (v - self.mean)
-            x = x[1:]
-        a = self.alpha
-        for s in range(0, len(x), AT_ONCE):
-            part = x[s : s + AT_ONCE]
-            k = len(part)
-            decay, left = self.decay[:k, :k], (1 - a) ** np.arange(1, k + 1)
-            mean = left * self.mean + a * (decay @ part)
-            d = part - np.r_[self.mean, mean[:-1]]
-            self.m2 = float(left[-1] * self.m2 + (1 - a) * a * (decay[-1] @ (d * d)))
-            self.mean, self.n = float(mean[-1]), self.n + k
-
-    def row(self) -> tuple[int, float, float]:
-        var = self.m2 if self.n > WARM else self.m2 / (self.n - 1) if self.n > 1 else 1.0
-        return self.n, self.mean, max(1e-6, var) ** 0.5
+class Updates:
+    """What exponential updates by one value after another do to mean and m2, as a map of both; maps of ranges that follow each
+    other compose, so that a key's values may lie in any number of ranges.
+
+    mean becomes shift + keep * (mean - shift) + add, and m2 becomes keep * m2 + q0 + q1 * (mean - shift) + q2 * (mean - shift)^2.
+    """
+
+    def __init__(self, n: int, keep: float, shift: float, add: float, q0: float, q1: float, q2: float):
+        self.n, self.keep, self.shift, self.add, self.q0, self.q1, self.q2 = n, keep, shift, add, q0, q1, q2
+
+    @classmethod
+    def of(cls, x: np.ndarray, alpha: float) -> Updates:
+        """x: up to AT_ONCE values; the shift is the first, so that squares don't cancel."""
+        n, b, shift = len(x), 1 - alpha, float(x[0])
+        powers = b ** np.arange(n + 1)
+        x = x - shift
+        back = np.subtract.outer(np.arange(n), np.arange(n))
+        local = alpha * (np.where(back >= 0, powers[np.maximum(back, 0)], 0.0) @ x)  # the mean after each value, from 0
+        e = x - np.r_[0.0, local[:-1]]
+        w = b * alpha * powers[:n][::-1]
+        return cls(n, float(powers[n]), shift, float(local[-1]), float(w @ (e * e)), float(-2 * (w @ (e * powers[:n]))), float(w @ powers[:n] ** 2))
+
+    def then(self, o: Updates) -> Updates:
+        t = self.add + self.shift - o.shift
+        return Updates(
+            self.n + o.n, self.keep * o.keep, self.shift, o.shift - self.shift + o.keep * t + o.add,
+            o.keep * self.q0 + o.q0 + o.q1 * t + o.q2 * t * t, o.keep * self.q1 + o.q1 * self.keep + 2 * o.q2 * self.keep * t, o.keep * self.q2 + o.q2 * self.keep**2,
+        )
+
+    def on(self, mean: float, m2: float) -> tuple[float, float]:
+        u = mean - self.shift
+        return self.shift + self.keep * u + self.add, self.keep * m2 + self.q0 + self.q1 * u + self.q2 * u * u
+
+    def row(self) -> tuple:
+        return self.n, self.keep, self.shift, self.add, self.q0, self.q1, self.q2
+
+
+class _Range:
+    """Of a key's values in one range: the first ones as they are, and the updates by the rest."""
+
+    def __init__(self):
+        self.first, self.rest = [], None
+
+    def add(self, x: np.ndarray, alpha: float) -> None:
+        k = max(0, WARM - len(self.first))
+        self.first += x[:k].tolist()
+        for s in range(k, len(x), AT_ONCE):
+            u = Updates.of(x[s : s + AT_ONCE], alpha)
+            self.rest = self.rest.then(u) if self.rest else u
+
+
+def _folded(ranges: list, alpha: float) -> tuple[int, float, float]:
+    """n, mean and std after the values of ranges in order: Welford's update for the first ten, then exponential ones."""
+    n, mean, m2 = 0, 0.0, 0.0
+    for first, rest in ranges:
+        for v in first:
+            n += 1
+            d = v - mean
+            if n > WARM:
+                mean += alpha * d
+                m2 = (1 - alpha) * (m2 + alpha * d * d)
+            else:
+                mean += d / n
+                m2 += d * (v - mean)
+        if rest:
+            u = Updates(*rest)
+            n, (mean, m2) = n + u.n, u.on(mean, m2)
+    var = m2 if n > WARM else m2 / (n - 1) if n > 1 else 1.0
+    return n, mean, max(1e-6, var) ** 0.5
 
 
 def running_ema(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """key, n, mean, std: after ten values by Welford's update, exponential updates. Null values are left out. A key's rows pass
-    through one task in order, some at a time; only three numbers are kept of them."""
+    """key, n, mean, std: after ten values by Welford's update, exponential updates. Null values are left out. Rows are dealt into ranges
+    of (key, order), whatever the size of a key; a range gives a row for each of its keys, and a key's rows are applied in order."""
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n", T.IntegerType()), T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())])
     kind = to_arrow_type(df.schema[key].dataType)
+    names = ["keep", "shift", "add", "q0", "q1", "q2"]
+    schema = T.StructType([T.StructField("k", df.schema[key].dataType), T.StructField("p", T.IntegerType()), T.StructField("first", T.ArrayType(T.DoubleType())), T.StructField("m", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names)])
 
-    def run(batches):
-        now, fold = None, None
+    def ranges(batches):
+        now, held, p = None, None, TaskContext.get().partitionId()
 
-        def out(keys, folds):
-            cols = list(zip(*(f.row() for f in folds), strict=True)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(keys, kind), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.float64()), strict=True))], names=[key, "n", "mean", "std"])
+        def out(done):
+            rest = [r.rest.row() if r.rest else (None,) * 7 for _, r in done]
+            cols = [pa.array([k for k, _ in done], kind), pa.array([p] * len(done), pa.int32()), pa.array([r.first for _, r in done], pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays([*cols, *(pa.array([r[c] for r in rest], pa.float64() if c else pa.int64()) for c in range(7))], names=["k", "p", "first", "m", *names])
 
         for batch in batches:
-            keys, x = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+            keys, x, done = batch.column(0).to_pylist(), batch.column(2).to_numpy(), []
             starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if a == b:
                     continue
-                if fold is None or keys[a] != now:
-                    if fold is not None:
-                        yield out([now], [fold])
-                    now, fold = keys[a], _Fold(alpha)
-                fold.add(x[a:b])
-        if fold is not None:
-            yield out([now], [fold])
-
-    return rows.repartition("k").sortWithinPartitions("k", "o").mapInArrow(run, schema)
+                if held is None or keys[a] != now:
+                    if held is not None:
+                        done.append((now, held))
+                    now, held = keys[a], _Range()
+                held.add(x[a:b], alpha)
+            if done:
+                yield out(done)
+        if held is not None:
+            yield out([(now, held)])
+
+    parts = rows.repartitionByRange("k", "o").sortWithinPartitions("k", "o").mapInArrow(ranges, schema)
+    by = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "first", "m", *names))).alias("r"))  # as many as there are ranges, at most
+    result = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n", T.IntegerType()), T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())])
+
+    def fold(batches):
+        for batch in batches:
+            got = [_folded([(r["first"], None if r["m"] is None else [r["m"], *(r[c] for c in names)]) for r in rs], alpha) for rs in batch.column(1).to_pylist()]
+            cols = list(zip(*got, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.float64()), strict=True))], names=[key, "n", "mean", "std"])
+
+    return by.mapInArrow(fold, result)

@@ -12,11 +12,11 @@ from nearfield.functions import vectors as V
 from nearfield.operators import edges as G
 from nearfield.operators import evaluate as E
 from nearfield.operators import graph_index as I
-from nearfield.operators import knn, quantize, signals, text
+from nearfield.operators import cells, knn, quantize, signals, text
 from nearfield.operators import policy as P
 from nearfield.plans import index_queries  # noqa: F401: registers its queries
 from nearfield.plans.registry import QUERIES, SQL, query
-from nearfield.plans.session import checkpoint_folder, vectors
+from nearfield.plans.session import checkpoint_folder, kept, vectors
 from nearfield.sources import vecs
 
 def r(c, digits: int = 6):
@@ -25,24 +25,32 @@ def r(c, digits: int = 6):
 
 K, EDGE_K, RADIUS = 10, 8, 1.2
 
-# SQL parts: e the vectors; q the queries; hit all pairs; near the ten nearest of each row; sig its signals; g the graph.
+# SQL parts: e the vectors; q the queries; hit all pairs; near the ten nearest of each row; sig its signals; sm a sample; g the graph.
 _E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 _Q = _E + ", q AS (SELECT id AS qid, v AS qv FROM e WHERE id % 20 = 0)"
-_NEAR = (_E +
-    ", hit AS (SELECT a.id AS qid, b.id AS id, round(list_distance(a.v, b.v), 9) AS dist FROM e a JOIN e b ON a.id <> b.id), "
-    "near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM hit QUALIFY rank <= 10)"
-)
 _LID = "CASE WHEN len(p) < 3 THEN 2.0 WHEN abs(s) < 1e-9 THEN 1.0 ELSE greatest(1.0, least(1000.0, -(len(p) - 1) / s)) END"
-_SIG = (_NEAR +
+
+
+def _neighbours_sql(among: str) -> str:
+    return (f"hit AS (SELECT a.id AS qid, b.id AS id, round(list_distance(a.v, b.v), 9) AS dist FROM e a JOIN {among} b ON a.id <> b.id), "
+        "near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM hit QUALIFY rank <= 10)")
+
+
+_SIGNALS = (
     ", ds AS (SELECT qid, avg(dist) AS density, list_filter(list(dist ORDER BY dist), lambda x: x > 1e-9) AS p FROM near "
     "GROUP BY qid), dl AS (SELECT *, list_sum(list_transform(p[1:greatest(len(p) - 1, 0)], lambda x: ln(greatest(1e-9, least(1 - 1e-9, "
-    "x / p[len(p)]))))) AS s FROM ds), sig AS (SELECT qid, density, " + _LID +
-    " AS lid FROM dl), st AS (SELECT avg(density) AS dm, "
-    "CASE WHEN stddev_pop(density) <= 1e-6 THEN 1 ELSE stddev_pop(density) END AS dsd, avg(lid) AS lm, "
-    "CASE WHEN stddev_pop(lid) <= 1e-6 THEN 1 ELSE stddev_pop(lid) END AS lsd FROM sig), "
+    "x / p[len(p)]))))) AS s FROM ds), sig AS (SELECT qid, density, " + _LID + " AS lid FROM dl)"
+)
+_NEAR = _E + ", " + _neighbours_sql("e")
+_SIG = _NEAR + _SIGNALS
+# The sample: the rows that come first by a hash. Signals of all rows from neighbours in it, and the calibration from its own.
+_SM = _E + f", sm AS (SELECT * FROM e ORDER BY md5(id || ':sample'), id LIMIT {signals.SAMPLE}), " + _neighbours_sql("sm") + _SIGNALS
+_Z = (_SM +
+    ", st AS (SELECT avg(density) AS dm, CASE WHEN stddev_pop(density) <= 1e-6 THEN 1 ELSE stddev_pop(density) END AS dsd, avg(lid) AS lm, "
+    "CASE WHEN stddev_pop(lid) <= 1e-6 THEN 1 ELSE stddev_pop(lid) END AS lsd FROM sig WHERE qid IN (SELECT id FROM sm)), "
     "z AS (SELECT *, (density - dm) / (dsd + 1e-6) AS zd, (lid - lm) / (lsd + 1e-6) AS zl FROM sig, st)"
 )
-_SCORE = _SIG + ", sc AS (SELECT *, greatest(-3.0, least(3.0, 0.5 * zl + 0.5 * zd)) AS score FROM z)"
+_SCORE = _Z + ", sc AS (SELECT *, greatest(-3.0, least(3.0, 0.5 * zl + 0.5 * zd)) AS score FROM z)"
 _G = _NEAR + ", g AS (SELECT qid AS src, id AS dst, dist FROM near WHERE rank <= 8)"
 _DEAD = ", dead AS (SELECT id FROM e WHERE id % 7 = 0)"
 
@@ -58,7 +66,7 @@ def _q(x: DataFrame) -> DataFrame:
 
 def _near(spark, sf, k: int = K) -> DataFrame:
     x = vectors(spark, sf)
-    return knn.nearest(x, _all_queries(x), k, exclude="id")
+    return cells.neighbours(x, _all_queries(x), k, "id")
 
 
 def _shown(hits: DataFrame) -> DataFrame:
@@ -69,11 +77,15 @@ def _signals(spark, sf) -> DataFrame:
     return signals.neighbour_signals(_near(spark, sf))
 
 
+def _profile(spark, sf, k: int = K) -> DataFrame:
+    return signals.sampled_profile(signals.sample(vectors(spark, sf)), k)
+
+
 def _scored(spark, sf, kind: str = "continuous") -> DataFrame:
-    s = _signals(spark, sf)
-    stats = signals.profile(s)
+    """Signals of each row by a sample, calibrated by the sample's own: no row meets all others."""
+    x = vectors(spark, sf)
+    s = P.adopted(signals.by_sample(x, signals.sample(x), K), _profile(spark, sf))
     names = ("density_mean", "density_std", "lid_mean", "lid_std")
-    s = s.join(F.broadcast(stats.select(*names)), F.lit(True))  # stats is one row
     return s.withColumn("score", P.Policy(kind).score(F.col("density"), F.col("lid"), {n: F.col(n) for n in names}))
 
 
@@ -201,13 +213,46 @@ def knn_self(spark, sf):
 
 @query("WITH " + _NEAR + " SELECT qid, id, round(dist, 6) AS dist, rank FROM near")
 def knn_self_by_id(spark, sf):
-    return _shown(_near(spark, sf))
+    x = vectors(spark, sf)
+    return _shown(cells.nearest(x, _all_queries(x), K, "id").hits)
 
 
 @query("WITH " + _Q + f" SELECT qid, id, round(dist, 6) AS dist FROM (SELECT qid, id, round(list_distance(qv, v), 9) AS dist FROM q, e) WHERE dist > 1e-9 AND dist <= {RADIUS}")
 def range_join_radius(spark, sf):
     x = vectors(spark, sf)
-    return knn.within(x, _q(x), RADIUS).select("qid", "id", r("dist").alias("dist"))
+    return cells.within(x, _q(x), RADIUS).hits.select("qid", "id", r("dist").alias("dist"))
+
+
+# The given vectors point anywhere, so that no bound leaves out a pair. These lie around a place for each label.
+_AROUND = "a AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x, i: 0.1 * x + CASE WHEN i = label + 1 THEN 5.0 ELSE 0.0 END) AS v FROM embeddings)"
+
+
+def _around(spark, sf) -> DataFrame:
+    x = vectors(spark, sf)
+    return x.select("id", F.transform("v", lambda a, i: F.lit(0.1) * a + F.when(i == F.col("label"), 5.0).otherwise(0.0)).alias("v"))
+
+
+@query("WITH " + _AROUND +
+    ", h AS (SELECT a.id AS qid, b.id AS id, round(list_distance(a.v, b.v), 9) AS dist FROM a JOIN a b ON a.id <> b.id) "
+    "SELECT qid, id, round(dist, 6) AS dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM h QUALIFY rank <= 10")
+def knn_join_clustered(spark, sf):
+    x = _around(spark, sf)
+    return _shown(cells.nearest(x, _all_queries(x), K, "id").hits)
+
+
+@query("WITH " + _AROUND + " SELECT a.id AS qid, b.id, round(round(list_distance(a.v, b.v), 9), 6) AS dist FROM a JOIN a b ON round(list_distance(a.v, b.v), 9) > 1e-9 AND round(list_distance(a.v, b.v), 9) <= 0.13")
+def range_join_clustered(spark, sf):
+    x = _around(spark, sf)
+    return cells.within(x, _all_queries(x), 0.13).hits.select("qid", "id", r("dist").alias("dist"))
+
+
+@query("SELECT 'nearest' AS kind, count(*) AS n, true AS under_half FROM embeddings UNION ALL SELECT 'within', count(*), true FROM embeddings")
+def join_pairs_measured(spark, sf):
+    """Of all pairs of the clustered rows, the joins look at fewer than half."""
+    x = _around(spark, sf)
+    n = x.agg(F.count("*").alias("n"))
+    cost = lambda joined, kind: n.join(joined.measured, F.lit(True)).select(F.lit(kind).alias("kind"), "n", (2 * F.col("measured") < F.col("n") * F.col("n")).alias("under_half"))
+    return cost(cells.nearest(x, _all_queries(x), K, "id"), "nearest").unionByName(cost(cells.within(x, _all_queries(x), 0.13), "within"))
 
 
 # Signals
@@ -248,18 +293,24 @@ def node_signals(spark, sf):
 _PROFILE = ", ".join(f"round(avg({c}), 5) AS {c}_mean, round(CASE WHEN stddev_pop({c}) <= 1e-6 THEN 1 ELSE stddev_pop({c}) END, 5) AS {c}_std, " + ", ".join(f"round(quantile_cont({c}, {q}), 5) AS {c}_q{round(100 * q)}" for q in (0.25, 0.5, 0.75)) for c in ("density", "lid"))
 
 
-@query("WITH " + _SIG + f" SELECT {_PROFILE} FROM sig")
+@query("WITH " + _SM + f" SELECT {_PROFILE} FROM sig WHERE qid IN (SELECT id FROM sm)")
 def profile_signals(spark, sf):
-    p = signals.profile(_signals(spark, sf))
+    p = _profile(spark, sf)
     return p.select(*(r(c, 5).alias(c) for c in p.columns))
 
 
-@query(("WITH " + _SIG + f" SELECT {_PROFILE} FROM sig").replace("rank <= 10", "rank <= 15"))
+@query(("WITH " + _SM + f" SELECT {_PROFILE} FROM sig WHERE qid IN (SELECT id FROM sm)").replace("rank <= 10", "rank <= 15"))
 def profile_signals_c(spark, sf):
-    p = signals.profile(signals.neighbour_signals(_near(spark, sf, 15), 15))
+    p = _profile(spark, sf, 15)
     return p.select(*(r(c, 5).alias(c) for c in p.columns))
 
 
+@query("WITH " + _E + " SELECT label, id FROM e QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(id || ':sample'), id) <= 20")
+def sample_by_label(spark, sf):
+    """A sample of each group, of one size whatever the group's."""
+    return signals.sample(vectors(spark, sf), 20, "label").select("label", "id")
+
+
 _W = "OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)"
 _RUN = f"SELECT event_id, count(value) {_W} AS n, avg(value) {_W} AS mean, sqrt(greatest(CASE WHEN count(value) {_W} > 1 THEN var_samp(value) {_W} ELSE 1 END, 1e-6)) AS std FROM events"
 
@@ -314,12 +365,12 @@ def policy_quantile(spark, sf):
     return _policy(spark, sf, "quantile")
 
 
-@query("WITH " + _SIG + " SELECT qid, " + _CONT.format(s="greatest(-3.0, least(3.0, zl))") + " FROM z")
+@query("WITH " + _Z + " SELECT qid, " + _CONT.format(s="greatest(-3.0, least(3.0, zl))") + " FROM z")
 def policy_lid_only(spark, sf):
     return _policy(spark, sf, "lid_only")
 
 
-@query("WITH " + _SIG + " SELECT qid, " + _CONT.format(s="greatest(-3.0, least(3.0, zd))") + " FROM z")
+@query("WITH " + _Z + " SELECT qid, " + _CONT.format(s="greatest(-3.0, least(3.0, zd))") + " FROM z")
 def policy_density_only(spark, sf):
     return _policy(spark, sf, "density_only")
 
@@ -469,6 +520,27 @@ def select_simple(spark, sf):
     return _edges(spark, sf).withColumn("k", F.row_number().over(w)).where("k <= 4").select("src", "dst")
 
 
+_FOLD = (_G.replace("e AS (", "RECURSIVE e AS (", 1) +
+    ", i AS (SELECT dst, count(*) AS n FROM g GROUP BY dst), av AS (SELECT greatest(1.0, avg(n)) AS av FROM i), c AS (SELECT src, g.dst, dist, v, 1 + {p} * n / av AS w, "
+    "row_number() OVER (PARTITION BY src ORDER BY dist, g.dst) AS k FROM g JOIN e ON e.id = g.dst JOIN i ON i.dst = g.dst, av), "
+    "s AS (SELECT DISTINCT src, 0::BIGINT AS k, []::BIGINT[] AS yes, []::STRUCT(v DOUBLE[], w DOUBLE)[] AS vs, []::BIGINT[] AS no FROM g UNION ALL "
+    "SELECT src, k, CASE WHEN ok THEN list_append(yes, dst) ELSE yes END, CASE WHEN ok THEN list_append(vs, struct_pack(v := v, w := w)) ELSE vs END, CASE WHEN ok THEN no ELSE list_append(no, dst) END "
+    "FROM (SELECT s.src, c.k, yes, vs, no, dst, c.v, c.w, len(yes) < 4 AND len(list_filter(vs, lambda x: round(list_distance(x.v, c.v), 9) * x.w < c.dist)) = 0 AS ok FROM s JOIN c ON c.src = s.src AND c.k = s.k + 1)) "
+    "SELECT src, unnest(list_concat(yes, no)[1:4]) AS dst FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY src ORDER BY k DESC) = 1)"
+)
+
+
+@query("WITH " + _FOLD.format(p="0.0"))
+def select_diverse_edges(spark, sf):
+    return G.selected(_edges(spark, sf), vectors(spark, sf), F.lit(4))
+
+
+@query("WITH " + _FOLD.format(p="0.15"))
+def select_hub_edges(spark, sf):
+    g = kept(_edges(spark, sf))
+    return G.selected(g, vectors(spark, sf), F.lit(4), G.degrees(g, "dst"), 0.15)
+
+
 @query("WITH " + _G + " SELECT dst AS id, count(*) AS degree FROM g GROUP BY dst")
 def degree_in(spark, sf):
     return G.degrees(_edges(spark, sf), "dst")

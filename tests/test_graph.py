@@ -227,3 +227,27 @@ def test_exponential_statistics_equal_a_fold(spark):
                 m2 += d * (x - mean)
         std = max(1e-6, m2 if n > 10 else m2 / (n - 1) if n > 1 else 1.0) ** 0.5
         assert got[key].n == n and abs(got[key]["mean"] - mean) < 1e-9 and abs(got[key]["std"] - std) < 1e-9
+
+
+def test_selection_is_a_fold_without_python(spark):
+    x = R.normal(size=(60, 5))
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    cand = [(s, int(t), float(d[s, t])) for s in range(20) for t in np.argsort(d[s])[1:16]] + [(5, 999, 0.1)]
+    df, v = spark.createDataFrame(cand, "src long, dst long, dist double"), frame(spark, x)
+    degree = spark.createDataFrame([(i, i % 7) for i in range(60)], "id long, degree long")
+    mean = np.mean([i % 7 for i in range(60)])
+    for degrees, penalty in ((None, 0.0), (degree, 0.5)):
+        got = {}
+        for r in edges.selected(df, v, F.when(F.col("src") == 3, None).otherwise(F.col("src") % 6), degrees, penalty).collect():
+            got.setdefault(r.src, set()).add(r.dst)
+        want = {}
+        for s in set(range(20)) - {3}:
+            yes, no, m = [], [], s % 6
+            for t in np.argsort(d[s])[1:16].tolist():
+                ok = len(yes) < m and not any(d[t, y] * (1 + penalty * (y % 7) / mean) < d[s, t] for y in yes)
+                (yes if ok else no).append(t)
+            if m:
+                want[s] = set((yes + no)[:m])
+        assert got == want
+    few = edges.selected(spark.read.schema("src long, dst long, dist double").parquet("/root/testdata/sf0.001/labels.parquet"), spark.read.schema("id long, v array<double>").parquet("/root/testdata/sf0.001/labels.parquet"), F.lit(4))
+    assert "Python" not in few._jdf.queryExecution().executedPlan().toString() and "Arrow" not in few._jdf.queryExecution().executedPlan().toString()
