@@ -201,7 +201,7 @@ def _queries(queries: DataFrame, sent: Broadcast) -> DataFrame:
     return _table(queries, "qid", "qv").mapInArrow(run, "c int, s int, id long, v array<double>, d double")
 
 
-def _routed(bounded: DataFrame, sent: Broadcast, copies: dict | None, visits: int) -> DataFrame:
+def _routed(bounded: DataFrame, sent: Broadcast, copies: dict | None) -> DataFrame:
     """bounded: c, s, id, v, t; rows of kind 1 for each part within t of the query but its own (c, s), which is null for none. Without
     `copies` just the parts, for counting."""
 
@@ -234,17 +234,17 @@ def _routed(bounded: DataFrame, sent: Broadcast, copies: dict | None, visits: in
     return rows.mapInArrow(run, "c int, s int" if copies is None else _TO_PART)
 
 
-def _visited(rows: DataFrame, bounded: DataFrame, cells: Cells, sent: Broadcast, find, visits: int) -> DataFrame:
+def _visited(rows_of, bounded: DataFrame, sent: Broadcast, find, visits: int) -> DataFrame:
     """The second round: queries (c, s, id, v, t) at the parts within t; a part that many visit is there in several copies."""
-    counts = _routed(bounded, sent, None, visits).groupBy("c", "s").agg(F.count("*").alias("n")).where(F.col("n") > visits).collect()  # some of the parts
-    copies = {(r.c, r.s): -(-r.n // visits) for r in counts}
+    counts = _routed(bounded, sent, None).groupBy("c", "s").agg(F.count("*").alias("n")).collect()  # a row for each part
+    copies = {(r.c, r.s): -(-r.n // visits) for r in counts if r.n > visits}
     several = F.lit(1)
     if copies:
         keys = F.create_map(*(x for (c, s), n in copies.items() for x in (F.lit(f"{c}:{s}"), F.lit(n))))
         several = F.coalesce(F.try_element_at(keys, F.concat_ws(":", "c", "s")), F.lit(1))
-    held = rows.withColumn("b", F.explode(F.sequence(F.lit(0), several - 1)))
+    held = rows_of({(r.c, r.s) for r in counts}).withColumn("b", F.explode(F.sequence(F.lit(0), several - 1)))
     held = held.select("c", "s", "b", F.lit(0).alias("kind"), "id", "v", "d", F.lit(0.0).alias("t"))
-    return _meet(held.unionByName(_routed(bounded, sent, copies, visits)), find)
+    return _meet(held.unionByName(_routed(bounded, sent, copies)), find)
 
 
 def _promised(cells: Cells, k: int):
@@ -278,18 +278,25 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, exclude: str = "none"
     """The k nearest of corpus (id, v) for each of queries (qid, qv): qid, id, dist, rank. exclude: none, id (rows of the query's id) or
     zero (distance up to 1e-9)."""
     rows, cells = dealt(corpus, max_rows, pivots)
-    spark = corpus.sparkSession
+    return search(lambda parts: rows, cells, queries, k, exclude, visits)
+
+
+def search(rows_of: Callable, cells: Cells | None, queries: DataFrame, k: int, exclude: str = "none", visits: int = VISITS, choose: bool = False) -> Joined:
+    """The same over rows that are dealt already: rows_of(parts) has the rows (id, v, c, s, d) of at least these parts, (cell, part); for
+    the first round these are all, None, unless it is to choose."""
+    spark = queries.sparkSession
     if cells is None:
         return _result(spark.createDataFrame([], _FOUND))
     sent = spark.sparkContext.broadcast(cells)
-    asked = _queries(queries, sent)
-    first = rows.select("c", "s", F.lit(0).alias("b"), F.lit(0).alias("kind"), "id", "v", "d", F.lit(0.0).alias("t"))
+    asked = kept(_queries(queries, sent))
+    first = rows_of({(r.c, r.s) for r in asked.select("c", "s").distinct().collect()} if choose else None)  # a row for each part
+    first = first.select("c", "s", F.lit(0).alias("b"), F.lit(0).alias("kind"), "id", "v", "d", F.lit(0.0).alias("t"))
     first = first.unionByName(asked.select("c", "s", F.lit(0).alias("b"), F.lit(1).alias("kind"), "id", "v", "d", F.lit(float("inf")).alias("t")))
     found = kept(_meet(first, _nearest_within(k, exclude)))
+    # Query ids that stand repeatedly share their hits: the farthest of k or more bounds what is still looked for.
     reached = found.where("id IS NOT NULL").groupBy("qid").agg(F.count("*").alias("n"), F.max("dist").alias("t"))
     asked = asked.join(reached.withColumnRenamed("qid", "__q"), F.col("id") == F.col("__q"), "left")
     bounded = asked.select("c", "s", "id", "v", F.when(F.col("n") >= k, F.col("t")).otherwise(float("inf")).alias("t"))
-    # Repeated query ids meet as often as they stand, so that their first round's hits may be more than k: t is an upper bound still.
 
     def tighten(batches):
         own = sent.value
@@ -301,7 +308,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, exclude: str = "none"
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(t)], names=["c", "s", "id", "v", "t"])
 
     bounded = kept(bounded.mapInArrow(tighten, "c int, s int, id long, v array<double>, t double"))
-    out = _result(found.unionByName(kept(_visited(rows, bounded, cells, sent, _nearest_within(k, exclude), visits))))
+    out = _result(found.unionByName(kept(_visited(rows_of, bounded, sent, _nearest_within(k, exclude), visits))))
     return Joined(top(out.hits, k), out.measured)
 
 
@@ -314,7 +321,7 @@ def within(corpus: DataFrame, queries: DataFrame, radius: float, max_rows: int =
     sent = spark.sparkContext.broadcast(cells)
 
     bounded = _table(queries, "qid", "qv").select(F.lit(None).cast("int").alias("c"), F.lit(None).cast("int").alias("s"), "id", "v", F.lit(float(radius)).alias("t"))
-    return _result(kept(_visited(rows, bounded, cells, sent, _pairs_within(radius), visits)))
+    return _result(kept(_visited(lambda parts: rows, bounded, sent, _pairs_within(radius), visits)))
 
 
 def neighbours(corpus: DataFrame, queries: DataFrame, k: int, exclude: str = "none", few: int = MAX_QUERIES) -> DataFrame:

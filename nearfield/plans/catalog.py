@@ -12,11 +12,11 @@ from nearfield.functions import vectors as V
 from nearfield.operators import edges as G
 from nearfield.operators import evaluate as E
 from nearfield.operators import graph_index as I
-from nearfield.operators import cells, knn, quantize, signals, text
+from nearfield.operators import cells, knn, quantize, signals, stored, text
 from nearfield.operators import policy as P
 from nearfield.plans import index_queries  # noqa: F401: registers its queries
 from nearfield.plans.registry import QUERIES, SQL, query
-from nearfield.plans.session import checkpoint_folder, kept, vectors
+from nearfield.plans.session import checkpoint_folder, kept, remove, vectors
 from nearfield.sources import vecs
 
 def r(c, digits: int = 6):
@@ -120,9 +120,10 @@ def sample_queries(spark, sf):
 def _roundtrip(df: DataFrame, write, read, order: str) -> DataFrame:
     folder = f"{checkpoint_folder(df.sparkSession)}/vecs-{uuid.uuid4()}"
     write(df, folder, order)
-    got = read(df.sparkSession, folder)
+    got = kept(read(df.sparkSession, folder))
+    remove(df.sparkSession, folder)
     sizes = got.groupBy("file").agg(F.count("*").alias("c"))
-    before = sizes.withColumn("b", F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "b")
+    before = sizes.withColumn("b", F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "b")  # a row for each file
     return got.join(before, "file").select((F.col("pos") + F.col("b")).alias("pos"), "v")
 
 
@@ -255,6 +256,61 @@ def join_pairs_measured(spark, sf):
     return cost(cells.nearest(x, _all_queries(x), K, "id"), "nearest").unionByName(cost(cells.within(x, _all_queries(x), 0.13), "within"))
 
 
+# The stored index, over the rows around a place for each label
+
+
+def _stored(x: DataFrame, act) -> DataFrame:
+    """act(folder of an index of x); the folder goes when it has been read."""
+    folder = f"{checkpoint_folder(x.sparkSession)}/stored-{uuid.uuid4()}"
+    stored.build(x, folder)
+    out = kept(act(folder))
+    remove(x.sparkSession, folder)
+    return out
+
+
+_STORED = ("WITH " + _AROUND +
+    ", h AS (SELECT a.id AS qid, b.id AS id, round(list_distance(a.v, b.v), 9) AS dist FROM a JOIN a b ON a.id % 20 = 0 {w}) "
+    "SELECT qid, id, round(dist, 6) AS dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM h QUALIFY rank <= 10"
+)
+
+
+@query(_STORED.format(w=""))
+def stored_search(spark, sf):
+    x = _around(spark, sf)
+    return _stored(x, lambda folder: _shown(stored.search(_q(x), folder, K).hits))
+
+
+@query("SELECT 3 AS label, count(*) AS of, true AS under_a_fifth, true AS few_measured, 1.0::DOUBLE AS recall, true AS probes_suffice FROM embeddings")
+def stored_search_read(spark, sf):
+    """The queries of one label: exact hits from less than a fifth of the rows, and with three parts a query a recall of at least 0.95."""
+    x = _around(spark, sf)
+    asked = _all_queries(x.join(vectors(spark, sf).where("label = 3").select("id"), "id", "left_semi"))
+    truth = kept(knn.nearest(x, asked, K).select("qid", "id"))
+
+    def act(folder):
+        found, probed = stored.search(asked, folder, K), stored.search(asked, folder, K, probes=12)
+        n = asked.count()
+        cost = found.measured.select(F.lit(3).alias("label"), F.lit(found.of).cast("long").alias("of"), F.lit(5 * found.read < found.of).alias("under_a_fifth"), (F.col("measured") < 0.2 * n * found.of).alias("few_measured"))
+        good = E.recall(probed.hits, truth).crossJoin(probed.measured).select(((F.col("recall") >= 0.95) & (F.col("measured") < 0.4 * n * found.of)).alias("probes_suffice"))
+        return cost.crossJoin(E.recall(found.hits, truth)).crossJoin(good)  # one row each
+
+    return _stored(x, act)
+
+
+@query(_STORED.format(w="AND b.id % 7 <> 0"))
+def stored_after_changes(spark, sf):
+    """A quarter of the rows comes later, a seventh goes, and worn cells are written anew."""
+    x = _around(spark, sf)
+
+    def act(folder):
+        stored.insert(x.where("id % 4 = 0 OR id % 10 = 1"), folder)
+        stored.delete(x.where("id % 7 = 0").select("id"), folder)
+        stored.compact(spark, folder, churn=0.1)
+        return _shown(stored.search(_q(x), folder, K).hits)
+
+    return _stored(x.where("id % 4 <> 0"), act)
+
+
 # Signals
 
 

@@ -31,3 +31,9 @@ def kept(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a copy in the checkpoint folder, for what several plans read."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer needed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

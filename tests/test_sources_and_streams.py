@@ -22,6 +22,45 @@ def test_trailing_partial_record_and_empty_file(spark, tmp_path):
     assert vecs.read_fvecs(spark, str(tmp_path), 2).count() == 2
 
 
+def test_a_file_is_read_in_ranges_that_end_at_records(spark, tmp_path):
+    x = np.random.RandomState(0).normal(size=(1000, 7)).astype("<f4")
+    path = str(tmp_path / "x.fvecs")
+    (tmp_path / "x.fvecs").write_bytes(b"".join(np.int32(7).tobytes() + r.tobytes() for r in x) + b"\7\0\0\0abc")
+    for split in (1, 31, 1000, 32_000, 1 << 20):
+        df = vecs.read_fvecs(spark, path, split=max(split, 200))
+        got = sorted((r.pos, r.v) for r in df.collect())
+        assert [p for p, _ in got] == list(range(1000)) and np.array([v for _, v in got], "<f4").tobytes() == x.tobytes()
+    assert vecs.read_fvecs(spark, path, split=1000).rdd.getNumPartitions() == 33
+    few = vecs.read_fvecs(spark, path, 100, split=1000)
+    assert few.count() == 100 and few.rdd.getNumPartitions() == 4
+    assert vecs.read_fvecs(spark, path, 5000).count() == 1000 and vecs.read_fvecs(spark, path, 0).count() == 0
+    (tmp_path / "bad").write_bytes(np.array([2, 1, 1, 3, 1, 1], "<i4").tobytes())
+    with pytest.raises(Exception, match="different lengths"):
+        vecs.read_ivecs(spark, str(tmp_path / "bad")).collect()
+
+
+def test_a_rewrite_leaves_no_old_files_and_a_failure_leaves_what_was(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = lambda n: spark.range(n).selectExpr("id", "array(float(id), float(2 * id)) AS v")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        vecs.write_fvecs(rows(100), path)
+        assert len(list((tmp_path / "out").glob("part-*"))) > 1
+        got = vecs.read_fvecs(spark, path)
+        assert sorted(r.v[0] for r in got.collect()) == list(range(100))
+        with pytest.raises(Exception, match="there are files"):
+            vecs.write_fvecs(rows(3), path)
+        with pytest.raises(Exception):
+            vecs.write_fvecs(rows(100).selectExpr("id", "if(id = 70, array(1F), v) AS v"), path, overwrite=True)
+        assert vecs.read_fvecs(spark, path).count() == 100 and not list((tmp_path / "out").glob("_*"))
+        vecs.write_fvecs(rows(3).selectExpr("id", "if(id = 1, null, v) AS v"), path, overwrite=True)
+        assert sorted(r.v[0] for r in vecs.read_fvecs(spark, path).collect()) == [0.0, 2.0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    vecs.write_ivecs(rows(0).selectExpr("id AS qid", "array(1) AS v"), str(tmp_path / "none"))
+    assert vecs.read_ivecs(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_generators_do_not_depend_on_partitions(spark):
     a = generators.multi_manifold(spark, 50, 16).collect()
     assert sorted(a) == sorted(generators.multi_manifold(spark, 50, 16).repartition(7).collect())
