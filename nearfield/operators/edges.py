@@ -53,17 +53,39 @@ def tombstones_after(tombstones: DataFrame, asked: DataFrame, nodes: DataFrame)
     return tombstones.unionByName(new), new
 
 
+#: Edges into a dead node whose sources meet its other neighbours in one group.
+HEAL_ROWS = 10_000
+
+
+def _torn(edges: DataFrame, dead: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges between live nodes (src, dst); (x, src) and (x, dst): live nodes with an edge to and from a dead x."""
+    gone = dead.select(F.col("id").alias("x"))
+    alive = lambda d, c: d.join(gone, d[c] == gone["x"], "left_anti")
+    lost = alive(edges, "src").join(gone, edges.dst == F.col("x")).select("x", "src")
+    out = alive(edges, "dst").join(gone, edges.src == F.col("x")).select("x", "dst")
+    return alive(alive(edges, "src"), "dst").select("src", "dst"), lost, out
+
+
+def heal_pairs(edges: DataFrame, dead: DataFrame, rows: int = HEAL_ROWS) -> DataFrame:
+    """src, dst: the pairs that healing may link: live nodes with edges to and from one dead node. The sources of a dead hub are dealt
+    into groups of about `rows`, each of which meets the hub's few own neighbours."""
+    _, lost, out = _torn(edges, dead)
+    shares = lost.groupBy("x").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("n"))
+    dealt = lost.join(shares, "x").withColumn("s", F.pmod(F.xxhash64("src"), F.col("n")).cast("int")).drop("n")  # each x is one row of shares
+    copied = out.join(shares, "x").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    return dealt.join(copied, ["x", "s"]).where("src <> dst").select("src", "dst").distinct()
+
+
 def healed(edges: DataFrame, dead: DataFrame, dist: DataFrame, capacity: int, repairs: int = 1) -> DataFrame:
     """src, dst: edges to and from dead nodes go, and a live node that lost one gets links to the nearest other live neighbours of
     the dead node that it has no link to yet, up to `repairs` for each dead node while it has less than `capacity`.
 
-    edges: src, dst; dist: src, dst, dist of the pairs that may be linked.
+    edges: src, dst; dist: src, dst, dist of the pairs that may be linked, once each. These meet the dead nodes that their src has
+    lost, which are few, and then the edges (dead node, dst): so a hub's sources never meet its neighbours on the hub alone.
     """
-    gone = dead.select(F.col("id").alias("x"))
-    live = edges.join(gone, edges.dst == F.col("x"), "left_anti").join(gone, edges.src == F.col("x"), "left_anti").select("src", "dst")
-    out = edges.join(gone, edges.src == F.col("x")).select("x", F.col("dst").alias("s")).join(gone.withColumnRenamed("x", "s"), "s", "left_anti")
-    lost = edges.join(gone, edges.dst == F.col("x")).select("x", "src").join(gone.withColumnRenamed("x", "src"), "src", "left_anti")
-    cand = lost.join(out, "x").where("src <> s").select("x", "src", F.col("s").alias("dst")).join(live, ["src", "dst"], "left_anti").join(dist, ["src", "dst"])
+    live, lost, out = _torn(edges, dead)
+    may = dist.where("src <> dst").join(live, ["src", "dst"], "left_anti")
+    cand = may.join(lost, "src").join(out, ["x", "dst"], "left_semi")
     w = Window.partitionBy("x", "src").orderBy("dist", "dst")
     new = cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= repairs).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
     room = live.groupBy("src").agg(F.count("*").alias("n"))

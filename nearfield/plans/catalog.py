@@ -12,7 +12,7 @@ from nearfield.functions import vectors as V
 from nearfield.operators import edges as G
 from nearfield.operators import evaluate as E
 from nearfield.operators import graph_index as I
-from nearfield.operators import cells, knn, quantize, signals, stored, text
+from nearfield.operators import cells, codes, knn, quantize, signals, stored, text
 from nearfield.operators import policy as P
 from nearfield.plans import index_queries  # noqa: F401: registers its queries
 from nearfield.plans.registry import QUERIES, SQL, query
@@ -542,10 +542,9 @@ def sq4_encode(spark, sf):
 
 def _rerank(spark, sf, bits, pool):
     """Coarse distances over codes pick a pool for each query; exact distances pick the ten."""
-    x = _coded(spark, sf, bits)
-    coarse = knn.nearest(x.select("id", quantize.decode(F.col("codes"), F.col("lows"), F.col("scales")).alias("v")), _q(x), pool)
-    full = coarse.select("qid", "id").join(x.select("id", "v"), "id").join(_q(x), "qid").select("qid", "id", r(V.l2(F.col("qv"), F.col("v")), 9).alias("dist"))
-    return _shown(knn.top(full, K))
+    x = vectors(spark, sf)
+    box = codes.Box.of(quantize.train(x, bits), bits)
+    return _shown(codes.nearest(codes.encoded(x, box), box, _q(x), K, full=x, pool=pool))
 
 
 _RERANK = (
@@ -567,6 +566,37 @@ def rerank_sq4(spark, sf):
     return _rerank(spark, sf, 4, 30)
 
 
+_CODED = (
+    " , back AS (SELECT id, list(lo + c * sc ORDER BY d) AS w FROM code GROUP BY id), q AS (SELECT id AS qid, v AS qv FROM e WHERE id % 20 = 0), "
+    "h AS (SELECT qid, id, round({d}, 9) AS dist FROM q, back) SELECT qid, id, round(dist, 6) AS dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM h QUALIFY rank <= 10"
+)
+
+
+def _by_code(spark, sf, bits, metric):
+    """The nearest by codes alone, in a stored column of bytes."""
+    x = vectors(spark, sf)
+    box = codes.Box.of(quantize.train(x, bits), bits)
+    return _shown(codes.nearest(kept(codes.encoded(x, box)), box, _q(x), K, metric))
+
+
+@query("WITH " + _box(8) + _CODED.format(d="list_distance(qv, w)"))
+def knn_codes_sq8(spark, sf):
+    return _by_code(spark, sf, 8, "l2")
+
+
+@query("WITH " + _box(4) + _CODED.format(d="greatest(0.0, 1 - list_cosine_similarity(qv, w))"))
+def knn_codes_sq4(spark, sf):
+    return _by_code(spark, sf, 4, "cosine")
+
+
+@query("SELECT 'sq8' AS kind, count(*) AS rows, sum(len(embedding))::BIGINT AS bytes FROM embeddings UNION ALL SELECT 'sq4', count(*), sum((len(embedding) + 1) // 2)::BIGINT FROM embeddings")
+def code_bytes(spark, sf):
+    """What a scan of codes holds: a byte for each dimension, or for two."""
+    x = vectors(spark, sf)
+    size = lambda bits: codes.encoded(x, codes.Box.of(quantize.train(x, bits), bits)).agg(F.count("*").alias("rows"), F.sum(F.octet_length("code")).alias("bytes"))
+    return size(8).select(F.lit("sq8").alias("kind"), "rows", "bytes").unionByName(size(4).select(F.lit("sq4").alias("kind"), "rows", "bytes"))
+
+
 # Edge tables: the graph of the eight nearest of each row
 
 
@@ -680,9 +710,7 @@ SELECT src, dst FROM live UNION ALL SELECT src, dst FROM k WHERE total <= 8""")
 def heal_edges(spark, sf):
     x, g = vectors(spark, sf), _edges(spark, sf)
     gone = x.where("id % 7 = 0").select("id")
-    lost = g.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("dst").alias("x"), "src")
-    out = g.join(gone.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("src").alias("x"), "dst")
-    pairs = lost.join(out, "x").where("src <> dst").select("src", "dst").distinct()
+    pairs = G.heal_pairs(g, gone)
     ends = pairs.join(x.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(x.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst")
     return G.healed(g, gone, ends.select("src", "dst", r(V.l2(F.col("a"), F.col("b")), 9).alias("dist")), EDGE_K)
 

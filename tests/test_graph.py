@@ -251,3 +251,20 @@ def test_selection_is_a_fold_without_python(spark):
         assert got == want
     few = edges.selected(spark.read.schema("src long, dst long, dist double").parquet("/root/testdata/sf0.001/labels.parquet"), spark.read.schema("id long, v array<double>").parquet("/root/testdata/sf0.001/labels.parquet"), F.lit(4))
     assert "Python" not in few._jdf.queryExecution().executedPlan().toString() and "Arrow" not in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_dead_hub_of_many_edges_is_dealt_out(spark):
+    n, hub = 100_000, 500_000
+    into = spark.range(n).selectExpr("id AS src", f"{hub}L AS dst")
+    out = spark.range(8).selectExpr(f"{hub}L AS src", "id * 10 AS dst")
+    g, dead = into.unionByName(out), spark.createDataFrame([(hub,)], "id long")
+    pairs = edges.heal_pairs(g, dead, rows=1000)
+    dist = pairs.selectExpr("src", "dst", "double(abs(src - dst)) AS dist")
+    new = edges.healed(g, dead, dist, 8).toPandas().sort_values("src")
+    src = np.arange(n)
+    near = np.minimum(np.rint(src / 10 + 1e-9), 7).astype(int) * 10
+    own = np.where((src % 10 == 0) & (src <= 70), np.where(src == 0, 10, src - 10), near)  # not to itself; of equals the lesser id
+    tie = (src < 70) & (src % 10 == 5)
+    own = np.where(tie, src - 5, own)
+    assert (new.src.to_numpy() == src).all() and (new.dst.to_numpy() == own).all()
+    assert pairs.count() == 8 * n - 8
