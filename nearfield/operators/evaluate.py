@@ -70,10 +70,22 @@ def percentiles_by_index(df: DataFrame, value: str, points: dict[str, float]) ->
 def percentiles_linear(df: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
     """Between the values at the places around p * (n - 1) of the sorted column, in proportion; from counts of distinct values by
     ranges, so that no task holds the column. Null for a column without values."""
+    return _between(_places(df, value), value, points)
+
+
+def group_percentiles(df: DataFrame, by: str, value: str, points: dict[str, float]) -> DataFrame:
+    """by and, for each group, values between the places around p * (n - 1), in proportion; a large group lies in many ranges."""
+    c = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    n = c.groupBy(F.col(by).alias("__by")).agg(F.sum("c").alias("n"))
+    rows = running(c, [by], [value], {"__up": "c"}).withColumn("up", F.coalesce("__up", F.lit(0)) + F.col("c")).join(n, F.col(by).eqNullSafe(F.col("__by")))
+    return _between(rows.groupBy(by), value, points)
+
+
+def _between(rows, value: str, points: dict[str, float]) -> DataFrame:
     at = lambda p: F.lit(p) * (F.col("n") - 1)
     value_at = lambda place: F.min(F.when(F.col("up") > place, F.col(value)))
     parts = {k: (value_at(F.floor(at(p))), value_at(F.ceil(at(p))), F.max(at(p) - F.floor(at(p)))) for k, p in points.items()}
-    return _places(df, value).agg(*((lo + (hi - lo) * share).alias(k) for k, (lo, hi, share) in parts.items()))
+    return rows.agg(*((lo + (hi - lo) * share).alias(k) for k, (lo, hi, share) in parts.items()))
 
 
 def fractional_ranks(df: DataFrame, value: str, out: str, by: str | None = None) -> DataFrame:

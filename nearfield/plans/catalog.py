@@ -809,34 +809,44 @@ def fractional_rank(spark, sf):
     return E.fractional_ranks(spark.read.parquet(f"{sf}/events.parquet"), "value", "rank", "event_type").select("event_id", r("rank", 1).alias("rank"))
 
 
+# The two-sided tail of a normal value in SQL, by a fit of the complementary error function (relative error below 1.2e-7); z as below.
+_FIT = ["-1.26551223", "1.00002368", "0.37409196", "0.09678418", "-0.18628806", "0.27886807", "-1.13520398", "1.48851587", "-0.82215223", "0.17087277"]
+_T = "(1 / (1 + 0.5 * (abs(corr(rx, ry)) * sqrt(count(*) - 1) / sqrt(2.0))))"
+_TAIL = f"{_T} * exp(-pow(abs(corr(rx, ry)) * sqrt(count(*) - 1) / sqrt(2.0), 2) + " + " + ".join(f"({c}) * pow({_T}, {k})" for k, c in enumerate(_FIT)) + ")"
 _RHO = (
     ", rk AS (SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2 AS rx, rank() OVER (ORDER BY {y}) + "
     "(count(*) OVER (PARTITION BY {y}) - 1) / 2 AS ry FROM {t}) "
-    "SELECT count(*) AS n, round(corr(rx, ry), 5) AS rho, abs(corr(rx, ry)) * sqrt(count(*) - 1) > 2.5758293 AS p_below_1pct FROM rk"
+    "SELECT count(*) AS n, round(corr(rx, ry), 5) AS rho, abs(corr(rx, ry)) * sqrt(count(*) - 1) > 2.5758293 AS p_below_1pct, round(greatest(1e-15, {p}), 6) AS p FROM rk"
 )
 
 
-@query("WITH " + _SIG + ", s2 AS (SELECT round(density, 6) AS density, round(lid, 5) AS lid FROM sig)" + _RHO.format(x="density", y="lid", t="s2"))
+@query("WITH " + _SIG + ", s2 AS (SELECT round(density, 6) AS density, round(lid, 5) AS lid FROM sig)" + _RHO.format(x="density", y="lid", t="s2", p=_TAIL))
 def spearman(spark, sf):
     s = _signals(spark, sf).select(r("density").alias("density"), r("lid", 5).alias("lid"))
-    return E.spearman(s, "density", "lid").select("n", r("rho", 5).alias("rho"), (F.col("p") < 0.01).alias("p_below_1pct"))
+    return E.spearman(s, "density", "lid").select("n", r("rho", 5).alias("rho"), (F.col("p") < 0.01).alias("p_below_1pct"), r("p", 6).alias("p"))
 
 
-@query("WITH " + _E +
-    ", h AS (SELECT a.label, a.id AS qid, b.id, round(list_distance(a.v, b.v), 9) AS dist FROM e a "
-    "JOIN e b ON a.label = b.label AND a.id <> b.id), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS k "
-    "FROM h QUALIFY k <= 10), d AS (SELECT label, qid, avg(dist) AS density FROM n GROUP BY ALL) "
-    "SELECT label, count(*) AS n, round(avg(density), 6) AS mean, round(stddev_pop(density), 6) AS std, round(min(density), 6) AS "
-    "least, round(max(density), 6) AS most FROM d GROUP BY label")
-def cluster_profile(spark, sf):
-    return _profiled(spark, sf).groupBy("label").agg(F.count("*").alias("n"), r(F.avg("density")).alias("mean"), r(F.stddev_pop("density")).alias("std"), r(F.min("density")).alias("least"), r(F.max("density")).alias("most"))
+_IN_LABEL = (_E +
+    ", h AS (SELECT a.label, a.id AS qid, b.id, round(list_distance(a.v, b.v), 9) AS dist FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id), "
+    "near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS k FROM h QUALIFY k <= 10)" + _SIGNALS + ", lab AS (SELECT qid, label, density, lid FROM sig JOIN e ON e.id = qid)"
+)
 
 
-def _profiled(spark, sf):
-    """label, density of each row among its own label."""
+@query("WITH " + _IN_LABEL + " SELECT label, count(*) AS n, " + ", ".join(
+    f"round(avg({c}), {d}) AS {p}mean, round(stddev_pop({c}), {d}) AS {p}std, round(min({c}), {d}) AS {p}least, round(max({c}), {d}) AS {p}most, " + ", ".join(f"round(quantile_cont({c}, {q / 100}), {d}) AS {p}q{q}" for q in (25, 50, 75))
+    for c, p, d in (("density", "", 6), ("lid", "lid_", 5))) + " FROM lab GROUP BY label")
+def cluster_profile(spark, sf):
+    """Density and intrinsic dimension of each label's rows among themselves."""
     x = vectors(spark, sf)
     near = knn.nearest_in_groups(x.withColumn("g", F.col("label")), K)
-    return signals.neighbour_signals(near).join(x.select(F.col("id").alias("qid"), "label"), "qid").select("label", "density")
+    rows = kept(signals.neighbour_signals(near).join(x.select(F.col("id").alias("qid"), "label"), "qid").select("label", "density", "lid"))
+    aggs = [f(c, p, d) for c, p, d in (("density", "", 6), ("lid", "lid_", 5)) for f in (
+        lambda c, p, d: r(F.avg(c), d).alias(f"{p}mean"), lambda c, p, d: r(F.stddev_pop(c), d).alias(f"{p}std"), lambda c, p, d: r(F.min(c), d).alias(f"{p}least"), lambda c, p, d: r(F.max(c), d).alias(f"{p}most"))]
+    out = rows.groupBy("label").agg(F.count("*").alias("n"), *aggs)
+    for c, p, d in (("density", "", 6), ("lid", "lid_", 5)):
+        q = E.group_percentiles(rows, "label", c, {f"{p}q{k}": k / 100 for k in (25, 50, 75)})
+        out = out.join(q.select("label", *(r(f"{p}q{k}", d).alias(f"{p}q{k}") for k in (25, 50, 75))), "label")
+    return out
 
 
 _CENT = ", ct AS (SELECT label, list(x ORDER BY d) AS c FROM (SELECT label, d, avg(x) AS x FROM (SELECT label, unnest(range(len(v))) AS d, unnest(v) AS x FROM e) GROUP BY ALL) GROUP BY label)"

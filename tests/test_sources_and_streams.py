@@ -135,3 +135,61 @@ def test_data_sets_by_name(spark, tmp_path):
         datasets.read_text_vectors(spark, str(tmp_path / "words.txt"), 3).collect()
     got = datasets.checksums(spark, str(tmp_path / "file.fvecs")).collect()
     assert sum(r["size"] for r in got) == 5 * 12 and all(len(r.md5) == 32 for r in got)
+
+
+def test_a_stream_in_event_order_equals_the_batch(spark, tmp_path):
+    rng = np.random.RandomState(6)
+    rows = [(f"n{i % 3}", 1_700_000_000.0 + i, i, float(rng.normal(i % 11, 2))) for i in range(600)]
+    arrival = sorted(rows, key=lambda r: r[1] + rng.uniform(0, 50))  # up to 50 seconds late
+    folder = tmp_path / "in"
+    for k in range(6):
+        part = arrival[k * 100 : (k + 1) * 100]
+        spark.createDataFrame(part, "name string, at double, seq long, x double").selectExpr("name", "timestamp_millis(bigint(at * 1000)) AS ts", "seq", "x").coalesce(1).write.parquet(str(folder / f"p{k}"))
+    end = [("end", 1_700_009_000.0, 0, 0.0)]
+    spark.createDataFrame(end, "name string, at double, seq long, x double").selectExpr("name", "timestamp_millis(bigint(at * 1000)) AS ts", "seq", "x").coalesce(1).write.parquet(str(folder / "p9"))
+    stream = spark.readStream.schema("name string, ts timestamp, seq long, x double").option("maxFilesPerTrigger", 1).parquet(str(folder / "p*"))
+    with pytest.raises(ValueError, match="RocksDB"):
+        live.running_stats_in_order(stream, "60 seconds")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKS)
+    try:
+        out = live.running_stats_in_order(stream, "60 seconds", 0.05)
+        query = out.writeStream.outputMode("update").format("memory").queryName("in_order").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {}
+    for r in spark.table("in_order").collect():
+        if r.n > got.get(r.name, (0,))[0]:
+            got[r.name] = (r.n, r["mean"], r["std"])
+    for name in ("n0", "n1", "n2"):
+        n, mean, m2 = 0, 0.0, 0.0
+        for x in (r[3] for r in rows if r[0] == name):
+            n, mean, m2 = live._after(n, mean, m2, x, 0.05)
+        assert got[name][0] == n == 200 and np.allclose(got[name][1:], (mean, m2**0.5), rtol=1e-12)
+
+
+def test_a_stored_index_follows_a_stream(spark, tmp_path):
+    from nearfield.operators import stored
+
+    x = np.random.RandomState(3).normal(size=(120, 4))
+    batches = [[(i, x[i].tolist(), "insert") for i in range(100)], [(i, x[i].tolist(), "insert") for i in range(100, 120)] + [(5, (x[5] + 9).tolist(), "insert")], [(i, None, "delete") for i in range(0, 120, 2)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "id long, v array<double>, op string").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+        stream = spark.readStream.schema("id long, v array<double>, op string").parquet(str(tmp_path / "in" / "b*"))
+        query = live.follow_stored(stream, str(tmp_path / "index"), str(tmp_path / "check"))
+        query.processAllAvailable()
+        query.stop()
+    left = [i for i in range(1, 120, 2)]
+    now = x.copy()
+    now[5] += 9
+    asked = spark.createDataFrame([(0, x[5].tolist()), (1, now[5].tolist())], "qid long, qv array<double>")
+    got = {}
+    for r in stored.search(asked, str(tmp_path / "index"), 4).hits.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    want = {q: [left[j] for j in np.argsort(((now[left] - v) ** 2).sum(1))[:4]] for q, v in ((0, x[5]), (1, now[5]))}
+    assert got == want
+    by = {}
+    for m in stored.lines(spark, str(tmp_path / "index")):
+        n, dead = by.get(m.c, (0, 0))
+        by[m.c] = n + m.n, dead + m.dead
+    assert all(dead < stored.CHURN * max(1, n) for n, dead in by.values())  # half the rows went, so cells were written anew
