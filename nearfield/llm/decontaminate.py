@@ -3,8 +3,7 @@
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z lowered. A document word is hit if it
 lies in an occurrence of a window: `window` consecutive words of an item, or the whole of a shorter one. The automaton holds
 blocks of fewer words, at every few words of an item, such that each window contains one; that takes a sixth of what all
-windows would. A block found is extended in both directions as long as document and item agree, and counts if the run is as
-long as a window. Texts are scanned as words joined by spaces, between spaces, so that matches begin and end at words; a
+windows would. Around a block found, the few windows that may contain it are looked up as a whole. Texts are scanned as words joined by spaces, between spaces, so that matches begin and end at words; a
 match's place there gives the words that are hit, and these their places in the original text.
 
 Null or empty texts: no words, not contaminated. An item with no words has no window. Very long texts: whole, in one scan.
@@ -12,23 +11,24 @@ Repeated items and rows each count; ties don't arise, as every item found is lis
 listed. An empty table gives no rows, an empty benchmark hits nothing. Extra columns, whatever their names, are ignored
 (contaminated) or left as they are (clean_rows).
 
-Up to max_bytes of blocks make one automaton, of some 50 bytes for each, and the items' words beside it. A larger benchmark is
-dealt into several, of which a task holds one at a time; what each finds is then joined to the documents. The driver holds
-the items of one automaton at a time, too.
+Up to max_bytes of blocks make one automaton, of some 50 bytes for each, and some 200 bytes for each window beside it. A larger
+benchmark is dealt into several, of which a task holds one at a time; what each finds is written and then joined to the documents.
+The driver holds the items of two automata at most, too.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import bounded_batches, sha256
+from nearfield.llm.common import bounded_batches, checkpointed, sha256
 
 WINDOW = 10
 #: Characters of the blocks in one automaton.
@@ -52,41 +52,47 @@ def blocks(n: int, window: int) -> list[tuple[int, int]]:
 
 
 class Finder:
-    """items: (id, text)."""
+    """items: (id, text). The automaton has a block once, with the places that windows around it may begin; which windows there are,
+    and the items of each, is one mapping. So what an occurrence of a block costs doesn't depend on how many items share it."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        self.ids, self.words, self.window = [i for i, _ in items], [words(t) for _, t in items], window
-        places: dict[bytes, list[tuple[int, int]]] = {}
-        for k, w in enumerate(self.words):
+        self.ids = [i for i, _ in items]
+        around: dict[bytes, set[tuple[int, int]]] = {}
+        windows: dict[bytes, list[int]] = {}
+        for k, (_, text) in enumerate(items):
+            w = words(text)
+            n = min(window, len(w))
             for a, b in blocks(len(w), window):
-                places.setdefault(b" " + b" ".join(w[a:b]) + b" ", []).append((k, a))
-        self.automaton = ahocorasick.Automaton() if places else None
-        for block, where in places.items():
-            self.automaton.add_word(block.decode("latin-1"), (block.count(b" ") - 1, where))
-        if places:
+                starts = range(max(0, b - n), min(a, len(w) - n) + 1)
+                around.setdefault(b" ".join(w[a:b]), set()).update((a - s, n) for s in starts)
+                for s in starts:
+                    own = windows.setdefault(b" ".join(w[s : s + n]), [])
+                    if not own or own[-1] != k:
+                        own.append(k)
+        shared: dict[tuple, tuple] = {}
+        same = lambda x: shared.setdefault(x, x)
+        self.windows = {key: same(tuple(own)) for key, own in windows.items()}
+        self.automaton = ahocorasick.Automaton() if around else None
+        for block, places in around.items():
+            self.automaton.add_word(f" {block.decode('latin-1')} ", (block.count(b" ") + 1, same(tuple(sorted(places)))))
+        if around:
             self.automaton.make_automaton()
 
-    def scan(self, w: list[bytes]) -> list[tuple[int, int, int]]:
-        """For each run of words that a window or several cover: its first word, the word behind its last, and the item."""
+    def scan(self, w: list[bytes]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        """For each window that occurs: its first word, the word behind its last, and the items that have it."""
         if self.automaton is None:
-            return []
+            return
         joined = (b" " + b" ".join(w) + b" ").decode("latin-1")
-        found, at, seen, upto = [], 0, 0, {}
-        for end, (n, where) in self.automaton.iter(joined):
+        at, seen = 0, 0
+        for end, (n, places) in self.automaton.iter(joined):
             seen += joined.count(" ", at, end)
             at = end
-            for item, a in where:
-                own, lo, hi, shift = self.words[item], seen - n, seen, seen - n - a
-                if upto.get((item, shift), 0) >= hi:
-                    continue  # in a run that is known
-                while lo > 0 and lo - shift > 0 and w[lo - 1] == own[lo - shift - 1]:
-                    lo -= 1
-                while hi < len(w) and hi - shift < len(own) and w[hi] == own[hi - shift]:
-                    hi += 1
-                upto[item, shift] = hi
-                if hi - lo >= min(self.window, len(own)):
-                    found.append((lo, hi, item))
-        return found
+            for left, size in places:
+                s = seen - n - left
+                if s >= 0 and s + size <= len(w):
+                    items = self.windows.get(b" ".join(w[s : s + size]))
+                    if items:
+                        yield s, s + size, items
 
 
 _FINDERS: dict[bytes, Finder] = {}
@@ -136,8 +142,9 @@ def _union(runs: list[tuple[int, int]]) -> list[int]:
 def _looked(finder: Finder, text: str | None) -> tuple[int, list[int], list[str]]:
     """The number of words, the runs of words that are hit, and the items."""
     w = words(text)
-    found = finder.scan(w)
-    return len(w), _union([f[:2] for f in found]), sorted({i for f in found if (i := finder.ids[f[2]]) is not None})
+    found = list(finder.scan(w))
+    items = {k for own in {id(f[2]): f[2] for f in found}.values() for k in own}
+    return len(w), _union([f[:2] for f in found]), sorted(i for i in {finder.ids[k] for k in items} if i is not None)
 
 
 def _shown(text: str | None, n: int, hit: list[int], names: list[str], listed: bool) -> tuple:
@@ -161,17 +168,17 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         cols = list(zip(*rows, strict=True)) or [()] * (len(kinds) - 1)
         return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, kinds[1:], strict=True))], names=names)
 
-    sent = list(finders(items, item_col, item_text_col, window, max_bytes))
-    if len(sent) == 1:
+    one, more = _several(finders(items, item_col, item_text_col, window, max_bytes))
+    if more is None:
 
-        def run(batches, one=sent[0]):
+        def run(batches):
             finder = _finder(one.value)
             for batch in batches:
                 yield table(batch.column(0), [_shown(t, *_looked(finder, t), listed) for t in batch.column(1).to_pylist()])
 
         return docs.mapInArrow(run, schema)
 
-    found = hits(docs, sent).groupBy("key").agg(F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("names")).alias("names"))  # a row for each automaton
+    found = hits(docs, more).groupBy("key").agg(F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("names")).alias("names"))  # a row for each automaton
     both = docs.withColumn("key", F.sha2("text", 256)).join(found, "key", "left").select("doc_id", "text", "hit", "names")
 
     def finish(batches):
@@ -182,38 +189,48 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return both.mapInArrow(finish, schema)
 
 
-def hits(docs: DataFrame, sent: list) -> DataFrame:
-    """key (a digest of the text), hit, names: for each automaton a row for each different text in which it finds something."""
+def _several(sent: Iterator) -> tuple:
+    """The first of one or more broadcasts, and None or all of several."""
+    first = next(sent)
+    second = next(sent, None)
+    return first, None if second is None else chain([first, second], sent)
+
+
+def hits(docs: DataFrame, sent: Iterable) -> DataFrame:
+    """key (a digest of the text), hit, names: for each automaton a row for each different text in which it finds something. What one
+    found is written before the next is made, and its broadcast goes."""
     out = None
-    for k, one in enumerate(sent):
+    for one in sent:
 
-        def run(batches, one=one, k=k):
+        def run(batches, one=one):
             finder = _finder(one.value)
             for batch in batches:
-                rows = [(key, k, hit, names) for key, t in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True) for _, hit, names in [_looked(finder, t)] if hit]
-                cols = list(zip(*rows, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string())), strict=True)], names=["key", "k", "hit", "names"])
+                rows = [(key, hit, names) for key, t in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True) for _, hit, names in [_looked(finder, t)] if hit]
+                cols = list(zip(*rows, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())), strict=True)], names=["key", "hit", "names"])
 
-        got = docs.select(F.sha2("text", 256).alias("key"), "text").mapInArrow(run, "key string, k int, hit array<int>, names array<string>")
+        got = docs.select(F.sha2("text", 256).alias("key"), "text").mapInArrow(run, "key string, hit array<int>, names array<string>")
+        got = checkpointed(got.groupBy("key").agg(F.first("hit").alias("hit"), F.first("names").alias("names")))  # equal texts have equal hits
+        one.destroy()
         out = got if out is None else out.unionByName(got)
-    return out.groupBy("key", "k").agg(F.first("hit").alias("hit"), F.first("names").alias("names"))  # equal texts have equal hits
+    return out
 
 
 def clean_rows(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The rows of df, with df's columns, whose text no window occurs in."""
     bounded_batches(df.sparkSession)
-    sent = list(finders(items, item_col, item_text_col, window, max_bytes))
-    if len(sent) > 1:
+    one, more = _several(finders(items, item_col, item_text_col, window, max_bytes))
+    if more is not None:
         text = F.col(f"`{text_col}`").cast("string")
-        found = hits(df.select(text.alias("text")), sent).select("key").distinct()
+        found = hits(df.select(text.alias("text")), more).select("key").distinct()
         rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.sha2(text, 256).alias("key"))
         return rows.join(found, "key", "left_anti").select(*(F.col(f"row.`{c}`") for c in df.columns))
     k = df.columns.index(text_col)
 
     def run(batches):
-        finder = _finder(sent[0].value)
+        finder = _finder(one.value)
         for batch in batches:
-            yield batch.filter(pa.array([not finder.scan(words(t)) for t in batch.column(k).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([next(finder.scan(words(t)), None) is None for t in batch.column(k).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

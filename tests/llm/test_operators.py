@@ -803,3 +803,40 @@ def test_long_path_is_one_component(spark):
     path = spark.range(400).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     got = components.components(path).collect()
     assert len(got) == 401 and {r.component for r in got} == {0}
+
+
+def test_a_block_that_many_items_share_costs_the_same():
+    """Items with one common sentence and ends of their own: a text with the sentence looks a window up, whatever the number of items."""
+    common = "which of the following answers is right in this case"
+    items = [(str(i), f"question {i} asks {common} a{i} b{i} c{i}") for i in range(3000)]
+    finder = decontaminate.Finder(items, 10)
+    text = decontaminate.words(f"so {common} then")
+    assert sum(1 for _ in finder.scan(text)) == 1
+    assert decontaminate._looked(finder, f"so {common} then")[2] == sorted(i for i, _ in items)
+    assert decontaminate._looked(finder, f"so asks {common} a17 then")[1] == [1, 13] and decontaminate._looked(finder, "question 5 asks which of the")[2] == []
+
+
+def test_minhash_finds_nearly_all_links_of_every_twentieth_document(spark):
+    """Recall at sf0.1 against all pairs: queries are documents whose id is divisible by 20, against all documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
+    sets = {}
+    for i, t in docs:
+        w = re.split(r"[\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}).strip("\x20\t\n\x0b\x0c\r"))
+        w = [x for x in w if x]
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    by = {}
+    for i, s in sets.items():
+        for g in s:
+            by.setdefault(g, []).append(i)
+    want = set()
+    for i, s in sets.items():
+        if i % 20 == 0 and s:
+            seen = {}
+            for g in s:
+                for j in by[g]:
+                    seen[j] = seen.get(j, 0) + 1
+            want |= {(i, j) for j, n in seen.items() if j != i and 100 * n >= 85 * (len(s) + len(sets[j]) - n)}
+    found = {r.doc_id: r.component_id for r in minhash.linked(spark.createDataFrame(docs, "doc_id long, text string"), percent=85).collect()}
+    different = [(i, j) for i, j in want if sets[i] != sets[j]]
+    hit = lambda pairs: sum(found[i] == found[j] for i, j in pairs) / len(pairs)
+    assert len(want) > 100 and different and hit(want) >= 0.99 and hit(different) >= 0.9
