@@ -225,12 +225,12 @@ def range_join_radius(spark, sf):
 
 
 # The given vectors point anywhere, so that no bound leaves out a pair. These lie around a place for each label.
-_AROUND = "a AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x, i: 0.1 * x + CASE WHEN i = label + 1 THEN 5.0 ELSE 0.0 END) AS v FROM embeddings)"
+_AROUND = "a AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x, i: x + CASE WHEN i = label + 1 THEN 50.0 ELSE 0.0 END) AS v FROM embeddings)"
 
 
 def _around(spark, sf) -> DataFrame:
     x = vectors(spark, sf)
-    return x.select("id", F.transform("v", lambda a, i: F.lit(0.1) * a + F.when(i == F.col("label"), 5.0).otherwise(0.0)).alias("v"))
+    return x.select("id", F.transform("v", lambda a, i: a + F.when(i == F.col("label"), 50.0).otherwise(0.0)).alias("v"))
 
 
 @query("WITH " + _AROUND +
@@ -241,10 +241,10 @@ def knn_join_clustered(spark, sf):
     return _shown(cells.nearest(x, _all_queries(x), K, "id").hits)
 
 
-@query("WITH " + _AROUND + " SELECT a.id AS qid, b.id, round(round(list_distance(a.v, b.v), 9), 6) AS dist FROM a JOIN a b ON round(list_distance(a.v, b.v), 9) > 1e-9 AND round(list_distance(a.v, b.v), 9) <= 0.13")
+@query("WITH " + _AROUND + " SELECT a.id AS qid, b.id, round(round(list_distance(a.v, b.v), 9), 6) AS dist FROM a JOIN a b ON round(list_distance(a.v, b.v), 9) > 1e-9 AND round(list_distance(a.v, b.v), 9) <= 1.3")
 def range_join_clustered(spark, sf):
     x = _around(spark, sf)
-    return cells.within(x, _all_queries(x), 0.13).hits.select("qid", "id", r("dist").alias("dist"))
+    return cells.within(x, _all_queries(x), 1.3).hits.select("qid", "id", r("dist").alias("dist"))
 
 
 @query("SELECT 'nearest' AS kind, count(*) AS n, true AS under_half FROM embeddings UNION ALL SELECT 'within', count(*), true FROM embeddings")
@@ -253,7 +253,7 @@ def join_pairs_measured(spark, sf):
     x = _around(spark, sf)
     n = x.agg(F.count("*").alias("n"))
     cost = lambda joined, kind: n.join(joined.measured, F.lit(True)).select(F.lit(kind).alias("kind"), "n", (2 * F.col("measured") < F.col("n") * F.col("n")).alias("under_half"))
-    return cost(cells.nearest(x, _all_queries(x), K, "id"), "nearest").unionByName(cost(cells.within(x, _all_queries(x), 0.13), "within"))
+    return cost(cells.nearest(x, _all_queries(x), K, "id"), "nearest").unionByName(cost(cells.within(x, _all_queries(x), 1.3), "within"))
 
 
 # The stored index, over the rows around a place for each label
