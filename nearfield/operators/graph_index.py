@@ -532,11 +532,12 @@ def _dealt(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def _valid(rows: DataFrame) -> DataFrame:
-    return rows.where("v IS NOT NULL AND id IS NOT NULL").dropDuplicates(["id"])
+    """Of repeated ids the least vector, so that a task that runs again has the same one."""
+    return rows.where("v IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"))
 
 
 def build(corpus: DataFrame, config: GraphConfig = GraphConfig(), shard_size: int = SHARD) -> DataFrame:
-    """The index of corpus (id, v); null vectors are left out, of repeated ids one stays."""
+    """The index of corpus (id, v); null vectors are left out, of repeated ids the least vector stays."""
     corpus = _valid(corpus)
     shards = max(1, -(-corpus.count() // shard_size))
 
@@ -589,13 +590,13 @@ FOUND = "qid long, id long, dist double, n_evals long, used_ef int, first boolea
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
-    """The k best hits of all shards, with the evaluations in all of them."""
+    """The k best hits of all shards, with the evaluations in all of them, also in those without a hit."""
     spent = F.sum(F.when(F.col("first"), F.col("n_evals"))).over(Window.partitionBy("qid"))
-    return top(hits.withColumn("n_evals", spent).drop("first"), k)
+    return top(hits.withColumn("n_evals", spent).where("id IS NOT NULL").drop("first"), k)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int | None = None, config: GraphConfig = GraphConfig(), patience: int = 0, max_queries: int = 20_000, **how) -> DataFrame:
-    """qid, id, dist, rank, n_evals (of the query in all shards that have a hit), used_ef (in the hit's shard). queries: qid, qv. Up to max_queries are broadcast; more
+    """qid, id, dist, rank, n_evals (of the query in all shards), used_ef (in the hit's shard). queries: qid, qv. Up to max_queries are broadcast; more
     are dealt into blocks, and each shard meets each block in a task of its own. ef: by default half the build's, k at least; less
     than k gives fewer hits. how: dynamic, bits, pool as for a shard."""
     queries = queries.select(F.col("qid").cast("long"), F.col("qv").cast("array<double>").alias("qv")).where("qv IS NOT NULL")
@@ -604,7 +605,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int | None = N
 
     def found(t: pa.Table, ids: list, q: np.ndarray) -> pa.Table:
         got = Shard.of(t, config).search_many(q, k, ef, patience, **how) if t.num_rows and len(ids) else []
-        rows = [(qid, i, round(d, 9), evals, used, n == 0) for qid, (hits, evals, used) in zip(ids, got, strict=bool(got)) for n, (d, i) in enumerate(hits)]
+        rows = [row for qid, (hits, evals, used) in zip(ids, got, strict=bool(got)) for row in ((qid, None, None, evals, used, True), *((qid, i, round(d, 9), evals, used, False) for d, i in hits))]  # the cost, and the hits
         cols = list(zip(*rows, strict=True)) or [()] * 6
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.bool_())
         return pa.table([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], names=["qid", "id", "dist", "n_evals", "used_ef", "first"])

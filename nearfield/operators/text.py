@@ -50,7 +50,11 @@ def embedded(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFr
                 if len(place) + len(new) > MEMO:
                     place, known, new = {}, known[:0], {w for c in counts for w in c}
                 place.update(zip(sorted(new), range(len(place), len(place) + len(new)), strict=True))
-                known = np.concatenate([known, *map(vector, sorted(new))])
+                have = len(place) - len(new)
+                if len(place) > len(known):  # grows to twice what it holds, so that each vector is copied a few times at most
+                    known = np.concatenate([known[:have], np.zeros((max(2 * len(place), 1024) - have, dim))])
+                for k, w in enumerate(sorted(new)):
+                    known[have + k] = vector(w)
                 size = np.array([len(c) for c in counts])
                 at = np.fromiter((place[w] for c in counts for w in c), np.int64, size.sum())
                 n = np.fromiter((k for c in counts for k in c.values()), float, size.sum())
