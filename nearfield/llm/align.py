@@ -66,9 +66,12 @@ class ByteLevel:
         for b, i in self.ranks.items():
             self.bytes_of[i] = b
 
-    def encode(self, text: str) -> list[int] | None:
-        ids = self.encoding.encode_ordinary(text)
-        return ids if self.encoding.decode_bytes(ids) == text.encode() else None
+        self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
+
+    def encode(self, text: str) -> np.ndarray | None:
+        """Tokens are bytes of the text one behind the other, so they are the text if their sizes add up to its own."""
+        ids = self.encoding.encode_to_numpy(text)
+        return ids if self.sizes[ids].sum() == len(text.encode()) else None
 
 
 class Changed(Exception):
@@ -155,22 +158,27 @@ def links(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, base
 class Aligner:
     def __init__(self, byte_level: bytes, pattern: str, pieces: bytes):
         self.a, self.b = ByteLevel(byte_level, pattern), Pieces(pieces)
-        self.len_a, self.len_b = (np.array([len(b) for b in t.bytes_of], np.int64) for t in (self.a, self.b))
+        self.len_a, self.len_b = self.a.sizes, np.array([len(b) for b in self.b.bytes_of], np.int64)
         self.base, self.most = len(self.len_b), max(len(self.len_a), len(self.len_b))
         self.shown = [f"{i}{sep}" for sep in ",|;" for i in range(self.most)]
 
     def encode(self, text: str | None) -> tuple[list[int], list[int]]:
+        """The tokens of a text; none if one side changes its bytes."""
+        return tuple(t.tolist() for t in self._tokens(text))
+
+    def _tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         if text:
-            a, b = self.a.encode(" " + text), self.b.encode(" " + text)
-            if a is not None and b is not None:
-                return a, b
-        return [], []
+            b = self.b.encode(" " + text)
+            a = self.a.encode(" " + text) if b is not None else None
+            if a is not None:
+                return a, np.array(b, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def batch(self, texts: list[str | None]) -> tuple:
         """n_a, n_b, n_groups, n_links, digests, and the distinct pairs with their numbers and where each text's begin."""
-        tokens = [self.encode(t) for t in texts]
+        tokens = [self._tokens(t) for t in texts]
         n_a, n_b = (np.array([len(t[k]) for t in tokens], np.int64) for k in range(2))
-        a, b = (np.array(list(chain.from_iterable(t[k] for t in tokens)), np.int64) for k in range(2))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(t[k] for t in tokens)]).astype(np.int64) for k in range(2))
         text_of, size = np.repeat(np.arange(len(texts)), n_a), len(texts)
         in_a, in_b = groups(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
         na, nb = np.bincount(in_a), np.bincount(in_b)
