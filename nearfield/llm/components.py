@@ -3,6 +3,8 @@
 Every round is a few joins and sums by key, so no task holds a component and nothing but a count and a checksum comes
 to the driver. A vertex with very many edges is only ever summed before a shuffle or joined with a single row, a join
 whose skewed side Spark splits. Rounds grow with the logarithm of the longest path.
+
+Edges with a null end and those of a vertex to itself tie nothing and are left out; repeated ones count once. No edges give no rows.
 """
 
 from __future__ import annotations
