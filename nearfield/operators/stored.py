@@ -204,12 +204,13 @@ def search(queries: DataFrame, path: str, k: int, probes: int | None = None) ->
         read.update((m.c, m.s) for m in some)
         return live(spark, path, some).select("id", "v", "c", "s", "d")
 
-    joined = cells.search(rows_of, own, queries, k, choose=True) if probes is None else _probed(rows_of, own, queries, k, probes)
+    joined = cells.search(rows_of, own, queries, k) if probes is None else _probed(rows_of, own, queries, k, probes)
     return Found(joined.hits, sum(at[p].n for p in read), sum(m.n for m in manifest), joined.measured)
 
 
 def _probed(rows_of, own: Cells, queries: DataFrame, k: int, probes: int):
     spark = queries.sparkSession
+    own, _ = cells.grouped(own, 0)
     sent = spark.sparkContext.broadcast(own)
 
     def near(batches):
@@ -221,14 +222,16 @@ def _probed(rows_of, own: Cells, queries: DataFrame, k: int, probes: int):
                 lo = cells_.distances(x[s : s + cells_.at_once()])[0][:, cells_.cell]
                 lo[:, ~alive] = np.inf
                 best = np.argsort(lo, axis=1, kind="stable")[:, :probes]
-                i, j = np.repeat(np.arange(s, s + len(lo)), best.shape[1]), best.ravel()
-                d = np.sqrt(((x[i] - cells_.pivots[cells_.cell[j]]) ** 2).sum(1))
-                at = pa.array(i)
-                zero = pa.array(np.zeros(len(i), np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(cells_.cell[j], pa.int32()), pa.array(cells_.part[j], pa.int32()), zero, pa.array(np.ones(len(i), np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(d), pa.array(np.full(len(i), np.inf))], names=cells._NAMES)
-
-    asked = kept(cells._table(queries, "qid", "qv").mapInArrow(near, cells._TO_PART))
-    rows = rows_of({(r.c, r.s) for r in asked.select("c", "s").distinct().collect()})
-    rows = rows.select("c", "s", F.lit(0).alias("b"), F.lit(0).alias("kind"), "id", "v", "d", F.lit(0.0).alias("t"))
-    out = cells._result(kept(cells._meet(rows.unionByName(asked), cells._nearest_within(k, "none"))))
+                i, j = np.repeat(np.arange(s, s + len(lo)), best.shape[1]), best.ravel().astype(np.int32)
+                for a in range(0, len(i), cells.AT_ONCE):
+                    at, to = pa.array(i[a : a + cells.AT_ONCE]), j[a : a + cells.AT_ONCE]
+                    n = len(to)
+                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.ones(n, np.int32)), pa.array(to), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.zeros(n)), pa.array(np.full(n, np.inf))], names=cells._NAMES)
+
+    asked = kept(cells._table(queries, "qid", "qv").mapInArrow(near, cells._TO_GROUP))
+    visited = [r.p for r in asked.select("p").distinct().collect()]  # a row for each part
+    at = [(int(own.cell[p]), int(own.part[p]), p) for p in visited]
+    rows = rows_of({(c, s) for c, s, _ in at}).join(F.broadcast(spark.createDataFrame(at, "c int, s int, k int")), ["c", "s"])
+    rows = rows.select("k", F.lit(0).alias("kind"), F.col("k").alias("p"), "id", "v", "d", F.lit(0.0).alias("t"))
+    out = cells._result(kept(cells._meet(rows.unionByName(asked), len(own.cell), sent, cells._second, k, "none")))
     return cells.Joined(cells.top(out.hits, k), out.measured)

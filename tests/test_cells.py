@@ -89,3 +89,12 @@ def test_a_part_is_copied_for_its_visits_only(spark):
 def test_neighbours_by_cells_equal_those_of_one_scan(spark):
     df = frame(spark, clustered(200))
     assert shown(cells.neighbours(df, queries(df), 4, "id", few=10)) == shown(knn.nearest(df, queries(df), 4, exclude="id"))
+
+
+def test_a_query_is_sent_to_a_group_once_where_no_bound_helps(spark, monkeypatch):
+    x = R.normal(size=(1500, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    df, sent, meet = frame(spark, x), [], cells._meet
+    monkeypatch.setattr(cells, "_meet", lambda rows, *more: (sent.append(rows.where("kind = 1").count()), meet(rows, *more))[1])
+    assert shown(cells.nearest(df, queries(df), 5, "id", max_rows=500).hits) == plain(x, x, 5, "id")
+    assert sum(sent) <= 8 * len(x)  # of about 75 parts
