@@ -268,3 +268,14 @@ def test_a_dead_hub_of_many_edges_is_dealt_out(spark):
     own = np.where(tie, src - 5, own)
     assert (new.src.to_numpy() == src).all() and (new.dst.to_numpy() == own).all()
     assert pairs.count() == 8 * n - 8
+
+
+def test_a_beam_as_wide_as_the_shard_takes_no_step_for_each_node(monkeypatch):
+    x, q = R.normal(size=(400, 16)), R.normal(size=(20, 16))
+    s = Shard(np.arange(400), x, GraphConfig(adaptive=False)).build()
+    s.deleted[::9] = True
+    steps = s.search_many(q, 10, 10**6, patience=10**9)  # the same beam, a step at a time
+    calls, measure = [], graph_index.exact
+    monkeypatch.setattr(graph_index, "exact", lambda *a: (calls.append(1), measure(*a))[1])
+    assert s.search_many(q, 10, 10**6) == steps
+    assert len(calls) < 100
