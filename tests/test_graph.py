@@ -279,3 +279,13 @@ def test_a_beam_as_wide_as_the_shard_takes_no_step_for_each_node(monkeypatch):
     monkeypatch.setattr(graph_index, "exact", lambda *a: (calls.append(1), measure(*a))[1])
     assert s.search_many(q, 10, 10**6) == steps
     assert len(calls) < 100
+
+
+def test_all_nodes_of_several_shards_are_reached(spark):
+    from nearfield.plans import index_queries
+
+    got = index_queries._selected(spark, "/root/testdata/sf0.001", GraphConfig(), 200).first()
+    assert got.reached == got.nodes == 500
+    index = graph_index.build(frame(spark, R.normal(size=(300, 8))), shard_size=100).persist()
+    shards = {s: Shard.of(index.where(f"shard = {s}").toArrow().combine_chunks(), GraphConfig()) for s in range(3)}
+    assert {r.shard: r.id for r in graph_index.entries(index).collect()} == {k: s.ids[s.entry()] for k, s in shards.items()}
