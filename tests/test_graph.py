@@ -289,3 +289,16 @@ def test_all_nodes_of_several_shards_are_reached(spark):
     index = graph_index.build(frame(spark, R.normal(size=(300, 8))), shard_size=100).persist()
     shards = {s: Shard.of(index.where(f"shard = {s}").toArrow().combine_chunks(), GraphConfig()) for s in range(3)}
     assert {r.shard: r.id for r in graph_index.entries(index).collect()} == {k: s.ids[s.entry()] for k, s in shards.items()}
+
+
+def test_beams_widen_until_a_sample_of_queries_finds_the_wanted_share():
+    x = R.normal(size=(3300, 64))
+    x, q = x[:3000], x[3000:]  # of no node's own, so that no node's links are the answer
+    s = Shard(np.arange(3000), x, GraphConfig()).build()
+    true = [set(np.argsort(((x - v) ** 2).sum(1))[:10].tolist()) for v in q]
+    share = lambda got: sum(len(t & {i for _, i in hits}) for t, (hits, _, _) in zip(true, got, strict=True)) / 3000
+    for how, least in (({}, 0.95), ({"patience": 3}, 0.85), ({"bits": 8, "pool": 30}, 0.95), ({"dynamic": "score"}, 0.9)):
+        assert share(s.search_many(q, 10, 16, **how)) < least - 0.05
+        got = s.search_many(q, 10, 16, recall=least, **how)
+        assert share(got) >= least - 0.05 and max(e for _, e, _ in got) < 3000
+    assert s.search_many(q, 10, 16, recall=0.1) == s.search_many(q, 10, 16)
