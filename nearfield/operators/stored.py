@@ -24,8 +24,8 @@ from nearfield.operators.cells import MAX_ROWS, Cells
 from nearfield.plans.session import kept
 
 LINE = "c int, s int, pivot array<double>, gens array<int>, dead_gens array<int>, n long, dead long, near double, far double"
-#: The share of a cell's rows that are dead when it is written anew.
-CHURN = 0.3
+#: The share of a cell's rows that are dead when it is written anew; queries by which it is seen how many parts a recall takes.
+CHURN, SAMPLE = 0.3, 128
 
 
 @dataclass(frozen=True)
@@ -189,8 +189,9 @@ def compact(spark: SparkSession, path: str, churn: float = CHURN, max_rows: int
     return len(worn)
 
 
-def search(queries: DataFrame, path: str, k: int, probes: int | None = None) -> Found:
-    """The k nearest of the index for each of queries (qid, qv)."""
+def search(queries: DataFrame, path: str, k: int, probes: int | None = None, recall: float = 0.0) -> Found:
+    """The k nearest of the index for each of queries (qid, qv). probes with a recall: at least so many parts a query, and as many more
+    as have that share of the nearest of SAMPLE queries, whose exact search isn't counted in `measured`."""
     spark = queries.sparkSession
     manifest = lines(spark, path)
     at = {(m.c, m.s): m for m in manifest if m.n > m.dead}
@@ -204,10 +205,37 @@ def search(queries: DataFrame, path: str, k: int, probes: int | None = None) ->
         read.update((m.c, m.s) for m in some)
         return live(spark, path, some).select("id", "v", "c", "s", "d")
 
-    joined = cells.search(rows_of, own, queries, k) if probes is None else _probed(rows_of, own, queries, k, probes)
+    joined = cells.search(rows_of, own, queries, k) if probes is None else _probed(rows_of, own, queries, k, _enough(rows_of, own, queries, k, probes, recall) if recall else probes)
     return Found(joined.hits, sum(at[p].n for p in read), sum(m.n for m in manifest), joined.measured)
 
 
+def _nearest_parts(own: Cells, x: np.ndarray) -> np.ndarray:
+    """The parts for each moved vector, those of the nearest pivots first and those without a row last."""
+    lo = own.distances(x)[0][:, own.cell]
+    lo[:, own.rows <= 0] = np.inf
+    return np.argsort(lo, axis=1, kind="stable")
+
+
+def _enough(rows_of, own: Cells, queries: DataFrame, k: int, probes: int, recall: float) -> int:
+    """`probes`, or the least number of nearest parts that have a share `recall` of the k nearest of SAMPLE queries, if that is more."""
+    some = kept(queries.where("qv IS NOT NULL").orderBy(F.xxhash64("qid"), "qid").limit(SAMPLE))
+    met: set = set()
+
+    def noted(parts) -> DataFrame:
+        met.update(parts)
+        return rows_of(parts)
+
+    hits = kept(cells.search(noted, own, some, k).hits)
+    at = hits.join(rows_of(met).select("id", "c", "s"), "id").select("qid", "c", "s").collect()  # k for each of SAMPLE queries
+    if not at:
+        return probes
+    own, _ = cells.grouped(own, 0)
+    places = cells._places(own)
+    rank = {r.qid: np.argsort(_nearest_parts(own, np.array([r.qv], float) - own.mean)[0]) for r in some.collect()}
+    ranks = sorted(int(rank[r.qid][places[r.c, r.s]]) for r in at)
+    return max(probes, ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))] + 1)
+
+
 def _probed(rows_of, own: Cells, queries: DataFrame, k: int, probes: int):
     spark = queries.sparkSession
     own, _ = cells.grouped(own, 0)
@@ -215,14 +243,11 @@ def _probed(rows_of, own: Cells, queries: DataFrame, k: int, probes: int):
 
     def near(batches):
         cells_ = sent.value
-        alive = cells_.rows > 0
         for batch in batches:
             x = cells._moved(batch.column(1), cells_.mean)
             for s in range(0, len(x), cells_.at_once()):
-                lo = cells_.distances(x[s : s + cells_.at_once()])[0][:, cells_.cell]
-                lo[:, ~alive] = np.inf
-                best = np.argsort(lo, axis=1, kind="stable")[:, :probes]
-                i, j = np.repeat(np.arange(s, s + len(lo)), best.shape[1]), best.ravel().astype(np.int32)
+                best = _nearest_parts(cells_, x[s : s + cells_.at_once()])[:, :probes]
+                i, j = np.repeat(np.arange(s, s + len(best)), best.shape[1]), best.ravel().astype(np.int32)
                 for a in range(0, len(i), cells.AT_ONCE):
                     at, to = pa.array(i[a : a + cells.AT_ONCE]), j[a : a + cells.AT_ONCE]
                     n = len(to)

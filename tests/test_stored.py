@@ -120,3 +120,17 @@ def test_no_rows_no_index_and_all_deleted(spark, tmp_path):
     assert stored.compact(spark, path) > 0 and stored.search(asked(spark, x), path, 3).hits.count() == 0
     stored.insert(frame(spark, x[:4]), path)
     assert shown(stored.search(asked(spark, x[:1]), path, 2)) == {0: best(x[:4], np.arange(4), x[0], 2)}
+
+
+def test_parts_that_a_wanted_recall_takes(spark, tmp_path):
+    x = np.random.RandomState(8).normal(size=(2000, 32))  # of one place, so that neighbours lie in many parts
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    path = str(tmp_path / "index")
+    stored.build(df, path)
+    asked = df.where("id % 10 = 0").selectExpr("id AS qid", "v AS qv")
+    true = {(int(i), int(j)) for i in range(0, 2000, 10) for j in np.argsort(((x - x[i]) ** 2).sum(1))[:5]}
+
+    def share(**how):
+        return len(true & {(r.qid, r.id) for r in stored.search(asked, path, 5, **how).hits.collect()}) / len(true)
+
+    assert share(probes=4) < 0.7 and share(probes=4, recall=0.9) >= 0.85
