@@ -77,3 +77,12 @@ def test_neighbours_within_groups(spark, max_rows):
         ids = np.flatnonzero(g == k)
         want += brute(ids, x[ids], ids, x[ids], 4, "l2", "id")
     assert [(a, c, d) for a, _, c, d in got] == want
+
+
+def test_the_corpus_is_not_copied_for_each_few_queries(spark, monkeypatch):
+    x = np.random.RandomState(4).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    sent, grouped = [], type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *by: (sent.append(self.count()), grouped(self, *by))[1])
+    got = knn.nearest(df, df.selectExpr("id AS qid", "v AS qv"), 3, max_queries=20)
+    assert sent[0] == 300 and got.count() == 900
