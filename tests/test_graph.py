@@ -302,3 +302,17 @@ def test_beams_widen_until_a_sample_of_queries_finds_the_wanted_share():
         got = s.search_many(q, 10, 16, recall=least, **how)
         assert share(got) >= least - 0.05 and max(e for _, e, _ in got) < 3000
     assert s.search_many(q, 10, 16, recall=0.1) == s.search_many(q, 10, 16)
+
+
+def test_small_shards_go_to_a_task_together(spark, monkeypatch):
+    """Before, a hit was shuffled for each shard and each block of few queries, and the index was copied for each such block."""
+    rng = np.random.default_rng(37)
+    x = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "id long, v array<double>")
+    index = graph_index.build(x, shard_size=50)
+    q = x.where("id % 6 = 0").selectExpr("id AS qid", "v AS qv")
+    sent, best = [], graph_index._best
+    monkeypatch.setattr(graph_index, "_best", lambda hits, k: (sent.append(hits.count()), best(hits, k))[1])
+    got = {(r.qid, r["rank"]): (r.id, r.dist, r.n_evals) for r in graph_index.search(index, q, 5, 30, max_queries=10).collect()}
+    assert sent == [100 * 6]  # five hits and the cost, not that of twelve shards
+    true = {(r.qid, r["rank"]): (r.id, r.dist) for r in knn.nearest(x, q, 5).collect()}
+    assert {key: v[:2] for key, v in got.items()} == true and all(v[2] <= 600 for v in got.values())
