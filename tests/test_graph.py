@@ -316,3 +316,13 @@ def test_small_shards_go_to_a_task_together(spark, monkeypatch):
     assert sent == [100 * 6]  # five hits and the cost, not that of twelve shards
     true = {(r.qid, r["rank"]): (r.id, r.dist) for r in knn.nearest(x, q, 5).collect()}
     assert {key: v[:2] for key, v in got.items()} == true and all(v[2] <= 600 for v in got.values())
+
+
+def test_difficulty_asks_for_neighbours_of_queries_once(spark, monkeypatch):
+    """Before, all rows were queries of an exact search of all rows, and the queries again of a second one."""
+    from nearfield.plans import index_queries
+
+    asked, nearest = [], knn.nearest
+    monkeypatch.setattr(knn, "nearest", lambda x, q, *a, **how: (asked.append((x.count(), q.count())), nearest(x, q, *a, **how))[1])
+    row = index_queries.difficulty_vs_recall(spark, "/root/testdata/sf0.001").first()
+    assert asked == [(500, 25)] and row.n == 25 and row.in_range
