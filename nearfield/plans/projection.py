@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.operators import graph_index
+from nearfield.plans.session import kept
 
 
 def plane(x: DataFrame) -> DataFrame:
@@ -30,6 +31,7 @@ def plane(x: DataFrame) -> DataFrame:
 def projection(index: DataFrame, max_nodes: int = 1500, sources: int = 500, max_edges: tuple[int, int] = (1500, 500)) -> tuple[DataFrame, DataFrame]:
     """Of the max_nodes least ids: (id, x, y, level, degree, lid, density), and (layer, src, dst) of links with src < dst between them:
     on layer 0 from the `sources` least ids. max_edges: the most of each layer; this is a picture."""
+    index = kept(index)  # read many times, by the axes too
     some = index.select("id").orderBy("id").limit(max_nodes)
     nodes = index.join(some, "id", "left_semi").join(plane(index.select("id", "v")), "id")
     nodes = nodes.select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "level", F.size(F.get("links", F.lit(0))).alias("degree"), F.round("lid", 2).alias("lid"), F.round("density", 2).alias("density"))

@@ -326,3 +326,40 @@ def test_difficulty_asks_for_neighbours_of_queries_once(spark, monkeypatch):
     monkeypatch.setattr(knn, "nearest", lambda x, q, *a, **how: (asked.append((x.count(), q.count())), nearest(x, q, *a, **how))[1])
     row = index_queries.difficulty_vs_recall(spark, "/root/testdata/sf0.001").first()
     assert asked == [(500, 25)] and row.n == 25 and row.in_range
+
+
+def test_pictures_build_the_index_once(spark):
+    """Before, the index was built anew for each of the axes' passes, for nodes and for links."""
+    from nearfield.plans.projection import projection
+
+    for part in projection(graph_index.build(frame(spark, np.random.default_rng(43).normal(size=(300, 8))))):
+        assert part.count() > 0 and "FlatMapGroupsInArrow" not in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_selection_holds_little_and_chooses_the_same():
+    """Before, all distances between a node's candidates were measured, and a block of distances grew with the shard."""
+    import tracemalloc
+
+    rng = np.random.default_rng(41)
+    x = rng.normal(size=(9000, 8))
+    cand = np.argsort(rng.random((64, 1000)), axis=1)
+    dist = graph_index.exact(x[cand], x[cand[:, :1]], "l2")
+    order = np.argsort(dist, axis=1)
+    cand, dist, degree = np.take_along_axis(cand, order, 1)[:, 1:], np.take_along_axis(dist, order, 1)[:, 1:], rng.integers(1, 40, 9000)
+    want = []
+    for c, d in zip(cand, dist, strict=True):
+        taken = []
+        for j in range(len(c)):
+            if len(taken) < 12 and all(graph_index.exact(x[c[j]], x[c[t]], "l2") * (1 + 0.15 * degree[c[t]] / degree.mean()) >= d[j] for t in taken):
+                taken.append(j)
+        spare = [j for j in range(len(c)) if j not in taken]
+        want.append(c[sorted(taken + spare[: 12 - len(taken)])].tolist())
+    peak = []
+    for run in (lambda: graph_index.select(cand, dist, x, np.full(64, 12), "l2", degree, 0.15), lambda: Shard(np.arange(9000), x, GraphConfig())._nearest(np.arange(256), np.arange(9000), 20)):
+        tracemalloc.start()
+        got = run()
+        peak.append(tracemalloc.get_traced_memory()[1] / 2**20)
+        tracemalloc.stop()
+        if len(peak) == 1:
+            assert [g.tolist() for g in got] == want
+    assert max(peak) < 40
