@@ -27,6 +27,20 @@ def seed_of(token: str) -> int:
     return sum(ord(c) * BASE**i for i, c in enumerate(token[:CHARS])) % MODULUS
 
 
+def seeds_of(tokens: list[str], known: dict[str, int]) -> Counter:
+    """How often each seed stands among tokens. known: seeds by a token's first characters; it is emptied at MEMO of them."""
+    out = Counter()
+    for token, n in Counter(tokens).items():
+        start = token[:CHARS]
+        seed = known.get(start)
+        if seed is None:
+            if len(known) >= MEMO:
+                known.clear()
+            seed = known[start] = seed_of(start)
+        out[seed] += n
+    return out
+
+
 #: Seeds whose vectors a task remembers, and texts whose sums are made at once.
 MEMO, TEXTS = 100_000, 200
 
@@ -36,7 +50,7 @@ def embedded(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFr
     and adds them up for many texts together."""
 
     def run(batches):
-        find, place, known, random = re.compile(TOKEN).findall, {}, np.zeros((0, dim)), np.random.RandomState()
+        find, place, known, random, seeds = re.compile(TOKEN).findall, {}, np.zeros((0, dim)), np.random.RandomState(), {}
 
         def vector(seed):
             random.seed(seed)
@@ -45,7 +59,7 @@ def embedded(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFr
         for batch in batches:
             for s in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(s, TEXTS)
-                counts = [Counter(map(seed_of, find((t or "").lower()))) for t in part.column(1).to_pylist()]
+                counts = [seeds_of(find((t or "").lower()), seeds) for t in part.column(1).to_pylist()]
                 new = {w for c in counts for w in c if w not in place}
                 if len(place) + len(new) > MEMO:
                     place, known, new = {}, known[:0], {w for c in counts for w in c}

@@ -58,3 +58,21 @@ def test_a_second_look_is_exact_and_bytes_are_few(spark, tmp_path):
             got.setdefault(r.qid, []).append(r.id)
         assert sum(len(set(got[i]) & set(t)) for i, t in enumerate(truth)) >= 48
     assert codes.nearest(stored.limit(0), box, asked, 5).count() == 0 and codes.nearest(stored, box, asked.limit(0), 5).count() == 0
+
+
+def test_a_block_of_queries_holds_few_distances_at_once():
+    """Before, the distances of all 2,000 queries of a block to 4,096 rows were held and sorted, with three copies."""
+    import tracemalloc
+
+    q, x = R.normal(size=(1000, 4)), R.normal(size=(codes.ROWS, 4))
+    x[7::2] = x[7]
+    box = codes.Box(x.min(0), (x.max(0) - x.min(0)) / 255, 8)
+    code = box.codes(x)
+    tracemalloc.start()
+    got = codes.block_hits(np.arange(1000), q, box, np.arange(len(x))[::-1], code, 5, "l2")
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    d = codes.distances(code, q, box, "l2")
+    order = np.lexsort((np.broadcast_to(np.arange(len(x))[::-1], d.shape), d), axis=1)[:, :5]
+    assert got[0].tolist() == np.repeat(np.arange(1000), 5).tolist() and got[1].tolist() == (len(x) - 1 - order).ravel().tolist()
+    assert got[2].tolist() == np.take_along_axis(d, order, 1).ravel().tolist() and peak < 20
