@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,16 @@ def seed_of(token: str) -> int:
     return sum(ord(c) * BASE**i for i, c in enumerate(token[:CHARS])) % MODULUS
 
 
-def seeds_of(tokens: list[str], known: dict[str, int]) -> Counter:
-    """How often each seed stands among tokens. known: seeds by a token's first characters; it is emptied at MEMO of them."""
-    out = Counter()
-    for token, n in Counter(tokens).items():
-        start = token[:CHARS]
+def seeds_of(tokens: list[str], known: dict[str, int]) -> dict[int, int]:
+    """How often each seed stands among tokens. known: seeds of tokens' first characters; it is emptied at MEMO of them."""
+    out = {}
+    for start, n in Counter(map(itemgetter(slice(CHARS)), tokens)).items():
         seed = known.get(start)
         if seed is None:
             if len(known) >= MEMO:
                 known.clear()
             seed = known[start] = seed_of(start)
-        out[seed] += n
+        out[seed] = out.get(seed, 0) + n
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.vectors import checked
 from nearfield.operators import graph_index, text
 from nearfield.operators.policy import Policy
-from nearfield.operators.text import TOKEN, seed_of
+from nearfield.operators.text import TOKEN, seed_of, seeds_of
 from nearfield.sources import datasets, generators, vecs
 from nearfield.streaming import live
 
@@ -193,3 +193,16 @@ def test_a_stored_index_follows_a_stream(spark, tmp_path):
         n, dead = by.get(m.c, (0, 0))
         by[m.c] = n + m.n, dead + m.dead
     assert all(dead < stored.CHURN * max(1, n) for n, dead in by.values())  # half the rows went, so cells were written anew
+
+
+def test_seeds_are_made_once_for_each_start(monkeypatch):
+    """Before, the seed of each token was made anew at each of its places."""
+    from collections import Counter
+
+    tokens = ["abcdefgh", "der", "abcdefzz", "", "der", "abcdez"] * 50
+    want, made = Counter(map(seed_of, tokens)), []
+    monkeypatch.setattr(text, "seed_of", lambda t: (made.append(t), seed_of(t))[1])
+    known = {}
+    assert seeds_of(tokens, known) == want and seeds_of(tokens, known) == want and sorted(made) == ["", "abcdef", "abcdez", "der"]
+    monkeypatch.setattr(text, "MEMO", 2)
+    assert seeds_of(tokens, {}) == want
