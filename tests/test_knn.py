@@ -86,3 +86,18 @@ def test_the_corpus_is_not_copied_for_each_few_queries(spark, monkeypatch):
     monkeypatch.setattr(type(df), "groupBy", lambda self, *by: (sent.append(self.count()), grouped(self, *by))[1])
     got = knn.nearest(df, df.selectExpr("id AS qid", "v AS qv"), 3, max_queries=20)
     assert sent[0] == 300 and got.count() == 900
+
+
+def test_a_large_block_is_measured_a_million_pairs_at_a_time():
+    """Before, products of 128 queries with all rows of a block were held, in several copies."""
+    import tracemalloc
+
+    rng = np.random.default_rng(45)
+    x, q = rng.normal(size=(20000, 4)), rng.normal(size=(128, 4))
+    tracemalloc.start()
+    own, ids, dist = knn.block_hits(np.arange(128), q, np.arange(20000), x, 5, "l2", "none")
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    d = knn.exact(q[:, None], x[None], "l2")
+    want = np.argsort(d, axis=1)[:, :5]
+    assert ids.tolist() == want.ravel().tolist() and np.allclose(dist, np.take_along_axis(d, want, 1).ravel(), atol=1e-9) and peak < 35
