@@ -98,3 +98,55 @@ def test_a_query_is_sent_to_a_group_once_where_no_bound_helps(spark, monkeypatch
     monkeypatch.setattr(cells, "_meet", lambda rows, *more: (sent.append(rows.where("kind = 1").count()), meet(rows, *more))[1])
     assert shown(cells.nearest(df, queries(df), 5, "id", max_rows=500).hits) == plain(x, x, 5, "id")
     assert sum(sent) <= 8 * len(x)  # of about 75 parts
+
+
+@pytest.mark.parametrize(("max_rows", "pivots", "visits"), [(20_000, None, 200_000), (60, 30, 200_000), (20, 30, 7)])
+def test_a_range_join_of_a_table_with_itself_has_each_pair_both_ways(spark, monkeypatch, max_rows, pivots, visits):
+    monkeypatch.setattr(cells, "FEW_VISITS", 50)
+    monkeypatch.setattr(cells, "ONE_WAY", 3)
+    monkeypatch.setattr(cells, "HITS_AT_ONCE", 100)
+    x = np.concatenate([clustered(400), np.repeat(clustered(2), 40, 0), clustered(60) + 1e6, clustered(100, clusters=1)])
+    ids = [i % 500 for i in range(len(x))]  # some stand twice
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in zip(ids, x, strict=True)] + [(9999, None)], "id long, v array<double>").repartition(3)
+    got = cells.within_itself(df, 3.0, max_rows, pivots, visits)
+    dist = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    want = sorted((ids[a], ids[b], dist[a, b]) for a, b in zip(*np.nonzero((dist > 1e-9) & (dist <= 3.0)), strict=True))
+    assert len(want) > 1000 and sorted((r.qid, r.id, r.dist) for r in got.hits.collect()) == want
+    both = cells.within(df, queries(df), 3.0, max_rows, pivots, visits)
+    assert sorted((r.qid, r.id, r.dist) for r in both.hits.collect()) == want
+    assert not cells.within_itself(df.where("id < 0"), 1.0).hits.count() and not cells.within_itself(df, 0.0).hits.count()
+
+
+def around_places(n, places=10, dim=64):
+    """Rows like those of the query range_join_clustered: about 1.4 apart, 70 from those of another place."""
+    x = R.normal(size=(n, dim))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[np.arange(n), np.arange(n) % places] += 50
+    return x
+
+
+def test_groups_are_cut_between_clusters(spark):
+    x = around_places(3000)
+    rows, own = cells.dealt(frame(spark, x), 400)
+    own, starts = cells.grouped(own, 400)
+    place = (own.pivots + own.mean)[own.cell, :10].argmax(1)
+    groups = np.searchsorted(starts, np.arange(len(place)), "right") - 1
+    assert len(set(zip(place.tolist(), groups.tolist(), strict=True))) == len(starts) == 10
+    assert np.add.reduceat(own.rows, starts).max() <= 400
+
+
+def test_a_range_join_of_a_table_with_itself_sends_measures_and_writes_little(spark, monkeypatch, tmp_path):
+    from nearfield.plans import catalog
+
+    x = around_places(6000)
+    x[np.arange(6000), np.arange(6000) % 10] -= 50
+    spark.createDataFrame([(i, [float(a) for a in v], i % 10) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sent, meet, grouped = [], cells._meet, cells.grouped
+    monkeypatch.setattr(cells, "grouped", lambda own, size: grouped(own, 500))
+    monkeypatch.setattr(cells, "_meet", lambda rows, *more: (sent.append(rows.where("kind = 1").count()), meet(rows, *more))[1])
+    catalog.range_join_clustered(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert sum(sent) < 2 * len(x)  # of 12 groups or more, of which two or three hold a place's rows
+    n = spark.read.parquet(f"{tmp_path}/out").count()
+    assert n > 100_000 and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 8 * n
+    itself = cells.within_itself(frame(spark, x), 1.3).measured.first().measured
+    assert itself < 0.65 * cells.within(frame(spark, x), queries(frame(spark, x)), 1.3).measured.first().measured
