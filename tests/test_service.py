@@ -50,3 +50,11 @@ def test_churn_and_sizes(spark):
     rows = {r.trial: r for r in harness.churn(x, q, (0, 40), k=5, ef=64).collect()}
     assert rows["40% compacted"].nodes < 300 == rows["40% healed"].nodes and all(r.recall > 0.8 for r in rows.values())
     assert [r.nodes for r in harness.scaled(x, q, [50, 200], k=5).orderBy("nodes").collect()] == [50, 200]
+
+
+def test_the_churn_query_takes_every_share_of_deleted_nodes(spark):
+    from nearfield.plans.catalog import QUERIES, SQL
+
+    want = {f"{p}% {state}" for p in harness.CHURN for state in ("marked", "healed", "compacted")}
+    assert {r.trial for r in QUERIES["churn"](spark, "/root/testdata/sf0.001").select("trial").collect()} == want
+    assert all(f"'{t}'" in SQL["churn"] for t in want)
