@@ -363,3 +363,19 @@ def test_selection_holds_little_and_chooses_the_same():
         if len(peak) == 1:
             assert [g.tolist() for g in got] == want
     assert max(peak) < 40
+
+
+def test_beams_as_wide_as_the_shard_are_measured_in_products(monkeypatch):
+    """No distance of a query is sorted with all others of the shard, and the hits are those of exact search."""
+    x = np.random.RandomState(5).rand(400, 8)
+    s = graph_index.Shard(np.arange(400), x, graph_index.GraphConfig(adaptive=False)).build()
+    whole = graph_index.Shard._all_reached
+
+    def all_reached(self, q, starts, layer, x):
+        assert layer
+        return whole(self, q, starts, layer, x)
+
+    monkeypatch.setattr(graph_index.Shard, "_all_reached", all_reached)
+    got = s.search_many(x[:20], 5, 1_000_000)
+    want = np.argsort(((x[:20, None] - x[None]) ** 2).sum(2), axis=1)[:, :5]
+    assert [[i for _, i in hits] for hits, _, _ in got] == want.tolist() and all(e >= 400 for _, e, _ in got)
