@@ -379,3 +379,22 @@ def test_beams_as_wide_as_the_shard_are_measured_in_products(monkeypatch):
     got = s.search_many(x[:20], 5, 1_000_000)
     want = np.argsort(((x[:20, None] - x[None]) ** 2).sum(2), axis=1)[:, :5]
     assert [[i for _, i in hits] for hits, _, _ in got] == want.tolist() and all(e >= 400 for _, e, _ in got)
+
+
+def test_an_insert_builds_the_index_once(spark, monkeypatch):
+    times = spark.sparkContext.accumulator(0)
+    built = graph_index.build
+
+    def counted(corpus, *how):
+        index = built(corpus, *how)
+
+        def count(batches):
+            for b in batches:
+                times.add(b.num_rows)
+                yield b
+
+        return index.mapInArrow(count, index.schema)
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 11), float(i)]) for i in range(80)], "id long, v array<double>")
+    index = graph_index.insert(counted(rows.where("id % 4 <> 0")), rows)
+    assert index.count() == 80 and times.value == 60
