@@ -398,3 +398,19 @@ def test_an_insert_builds_the_index_once(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i % 7), float(i % 11), float(i)]) for i in range(80)], "id long, v array<double>")
     index = graph_index.insert(counted(rows.where("id % 4 <> 0")), rows)
     assert index.count() == 80 and times.value == 60
+
+
+def test_trials_that_differ_in_patience_share_their_beams(monkeypatch):
+    x = np.random.RandomState(7).normal(size=(1500, 16))
+    s = Shard(np.arange(1500), x, GraphConfig()).build()
+    s.deleted[::5] = True
+    hows = [{"patience": p} for p in (0, 3, 5, 8)] + [{}]
+    for recall in (0.0, 0.9):
+        want = [s.found_many(x[:300], 5, 32, recall=recall, **how) for how in hows]
+        got = s.found_for(x[:300], 5, 32, hows, recall)
+        for (a, b, c), (d, e, f) in zip(got, want, strict=True):
+            assert all(np.array_equal(u, v) for u, v in zip(a, d, strict=True)) and np.array_equal(b, e) and np.array_equal(c, f)
+    calls, beams = [], Shard._beams
+    monkeypatch.setattr(Shard, "_beams", lambda self, q, starts, ef, layer, *a, **b: (calls.append(len(q) if layer == 0 else 0), beams(self, q, starts, ef, layer, *a, **b))[1])
+    s.found_for(x[:300], 5, 32, hows)
+    assert sum(calls) == 300

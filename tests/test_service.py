@@ -58,3 +58,29 @@ def test_the_churn_query_takes_every_share_of_deleted_nodes(spark):
     want = {f"{p}% {state}" for p in harness.CHURN for state in ("marked", "healed", "compacted")}
     assert {r.trial for r in QUERIES["churn"](spark, "/root/testdata/sf0.001").select("trial").collect()} == want
     assert all(f"'{t}'" in SQL["churn"] for t in want)
+
+
+def test_trials_share_neighbours_but_not_graphs(monkeypatch):
+    import numpy as np
+
+    from nearfield.operators.graph_index import Shard
+
+    x, calls, near = np.random.RandomState(3).normal(size=(400, 8)), [], Shard.neighbours
+    monkeypatch.setattr(Shard, "neighbours", lambda self, *k: (calls.append(1), near(self, *k))[1])
+    trials = [*harness.SUITE, *harness.sweep(harness.HUB_PENALTIES, "hub_penalty"), *harness.sweep(harness.SENSITIVITIES, "sensitivity")]
+    configs, make = harness._built(trials)
+    got = [(s, t) for s, _, _, t in make(np.arange(400), x, None, configs)]
+    assert len(calls) == 1 and sorted(i for _, ts in got for i, _ in ts) == list(range(len(trials)))
+    for s, ts in got:
+        assert s.links == Shard(np.arange(400), x, trials[ts[0][0]].config).build().links
+
+
+def test_churn_measures_a_row_once_for_all_shares(spark, monkeypatch):
+    from nearfield.operators import knn
+    from nearfield.sources import generators
+
+    x = generators.multi_cluster(spark, 200, 8)
+    measured, nearest = [], knn.nearest
+    monkeypatch.setattr(knn, "nearest", lambda corpus, *a, **b: (measured.append(corpus.count()), nearest(corpus, *a, **b))[1])
+    rows = harness.churn(x, generators.queries(x, 10, 0.1), (0, 20, 40), k=5, ef=64, shard_size=100).collect()
+    assert sum(measured) == 200 and len(rows) == 9 and all(r.recall > 0.8 for r in rows)
